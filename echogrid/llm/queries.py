@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding
+from . import line_dedup, quality_rules, sharding
 from .common import table
 
 
@@ -14,9 +14,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target is what labels.quality marks as good."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = quality_rules.rate(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_line_dedup": op5_line_dedup, "op7_sharding": op7_sharding}
+    return {"op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
