@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word separators of every contract: blank, tab, LF, VT, FF, CR.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -69,6 +70,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def widened(df: DataFrame, columns: str) -> T.StructType:
+    """df's schema with the columns of a DDL string at its end."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(columns).fields])
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the rows' offsets in them; null rows have length 0."""
     if isinstance(column, pa.ChunkedArray):

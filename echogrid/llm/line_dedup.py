@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     drop_name, id_name = common.free_name(kept, "drops"), common.free_name(kept, "line_doc")
     drops = drops.select(F.col("doc_id").alias(id_name), F.col("drops").alias(drop_name))
     kept = kept.join(drops, F.col("doc_id").cast("long") == F.col(id_name), "left").drop(id_name)
-    schema = kept.drop(drop_name).schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = common.widened(kept.drop(drop_name), "n_lines long, n_dropped long")
     text_at, drop_at = kept.columns.index("text"), kept.columns.index(drop_name)
 
     def strip(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,7 +126,7 @@ def even_bins(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int = 40, parcels_per_shard: int = 200, piece_rows: int = 10_000) -> DataFrame:
+def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int = 40, parcels_per_shard: int = 200, piece_rows: int = 500) -> DataFrame:
     """rows with shard (int) and slot (long, gapless from 0 in a shard) added; rows with equal key stay together.
 
     Rows of one group are numbered in pieces of about piece_rows, so a group of
@@ -156,7 +156,7 @@ def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int = 40, p
                 yield frames[0].assign(parcel=labels)
                 labels, seen = [], 0
 
-    packed = common.stored(groups.sortWithinPartitions(F.desc("group_size"), *key).mapInPandas(parcel, groups.schema.add("parcel", "long")), "parcels")
+    packed = common.stored(groups.sortWithinPartitions(F.desc("group_size"), *key).mapInPandas(parcel, common.widened(groups, "parcel long")), "parcels")
     parcels = packed.groupBy("parcel").agg(F.sum("group_size").alias("bytes"), F.sum("group_rows").alias("rows")).orderBy(F.desc("bytes"), "parcel").collect()
     offsets, plan = [0] * shards, []
     for p, shard in zip(parcels, even_bins([p["bytes"] for p in parcels], shards), strict=True):
