@@ -143,11 +143,14 @@ def word_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_folds: int, held_out: int, most: int) -> DataFrame:
-    """At most `most` labelled rows outside the held-out fold as (text, label), chosen by a hash of the id.
+    """At most `most` labelled rows outside the held-out fold as (doc_id, text, label), half of them of each class where there are as many.
 
-    `most` bounds what a model is fitted on; rows without id or label never enter.
+    The rows are chosen by a hash of the id; `most` bounds what a model is
+    fitted on. Rows without id or label never enter; an id with several labels
+    has the largest.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     marks = marks.where(fold("doc_id", n_folds) != held_out)
-    picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    half = [marks.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for v in (0, 1)]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(half[0].unionByName(half[1])), "doc_id").select("doc_id", "text", "label")

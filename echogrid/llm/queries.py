@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, quality_rules, sharding
+from . import knn_quality, language_id, line_dedup, quality_rules, sharding
 from .common import table
 
 
@@ -29,5 +29,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
+    return {"op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier}
