@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn_quality, language_id, line_dedup, quality_rules, sharding
+from . import decontamination, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding
 from .common import table
 
 
@@ -33,5 +33,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier}
+    return {"op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_sentencepiece": op10_sentencepiece}
