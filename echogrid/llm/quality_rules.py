@@ -86,10 +86,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, weight): log(target / raw) with add-one smoothing, from the words of all documents. At most `buckets` rows."""
     marks = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    # the marks join before the texts are split; ids only, so the texts need no shuffle if the ids are few
+    # the marks join before the texts are split: that moves each text once, and not at all while the ids are few
     rows = docs.join(marks, docs["doc_id"] == marks["trusted_id"], "left").select(F.col("trusted_id").isNotNull().alias("target"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     grams = rows.where(F.size("words") > 0).select("target", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("target", F.explode(_grams("words", "at", buckets)).alias("bucket")).where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target"))
+    counts = common.stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")), "gram-counts")
     totals = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()
     raw_n, target_n = totals["raw_n"] or 0, totals["target_n"] or 0
     return counts.select("bucket", (F.log((F.col("target") + 1) / F.lit(float(target_n + buckets))) - F.log((F.col("raw") + 1) / F.lit(float(raw_n + buckets)))).alias("weight"))
@@ -106,7 +106,7 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     along; columns besides doc_id and text are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    weights = common.stored(gram_weights(docs, trusted, buckets), "gram-weights")
+    weights = gram_weights(docs, trusted, buckets)
     known = trusted.where("doc_id is not null").limit(1).count() > 0
     counted = base_counts(docs.withColumn("row", F.monotonically_increasing_id()))
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
