@@ -15,7 +15,9 @@ prefix alone, and following the cells back gives exactly the merges' result.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,12 +41,19 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int = 0
     kind: str = "bpe"
-    longest: int = 0
-    whole: dict[str, bool] = field(default_factory=dict)
-    apart: dict[tuple[str, str], bool] = field(default_factory=dict)
+    beside: dict[str, dict[str, bool]] = field(default_factory=dict)  # by right piece, then left piece ("" at a word's start)
+    spines: dict[str, tuple | None] = field(default_factory=dict)
+    checked: int = 0
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.pieces), default=1)
+        self.ids = {p: i for p, (i, _) in self.pieces.items()}
+        self.ends: dict = {}  # a trie of the pieces read backwards; "" marks a piece
+        for piece in self.pieces:
+            self.beside[piece], node = {}, self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            if len(piece) > 1:
+                node[""] = (piece, self.beside[piece], self.pieces[piece][1])
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece holds a mark inside; words can't be encoded one by one")
         if self.kind not in ("bpe", "unigram"):
@@ -52,9 +61,9 @@ class Vocabulary:
         self.lone_lines = "\n" not in "".join(self.pieces)
         self.least = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging, best score first, leftmost of equals."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], str]:
+        """The pieces of a short text by merging, best score first, leftmost of equals; and the left half of the last merge."""
+        parts, half = list(text), ""
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -62,58 +71,108 @@ class Vocabulary:
                 if found is not None and (best is None or found[1] > best):
                     best, at = found[1], i
             if at < 0:
-                return parts
+                return parts, half
+            half = parts[at]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
-
-    def beside(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 400_000:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(left + right) == [left, right]
-        return known
+    def edges(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What stands at the left and at the right edge of a piece while it is merged.
+
+        Each is a list of growing parts, with the score of the merge that ends
+        the part's time (-inf for the piece itself). None if merging does not
+        give this one piece, or not in the order of falling scores.
+        """
+        if piece not in self.spines:
+            last = (piece, -math.inf)
+            if len(piece) == 1:
+                self.spines[piece] = [last], [last]
+            else:
+                parts, half = self.merged(piece)
+                left, right = (self.edges(half), self.edges(piece[len(half) :])) if parts == [piece] else (None, None)
+                score = self.pieces.get(piece, (0, 0.0))[1]
+                if left is None or right is None or any(len(h) > 1 and self.pieces[h][1] <= score for h in (half, piece[len(half) :])):
+                    self.spines[piece] = None
+                else:
+                    self.spines[piece] = [*left[0][:-1], (half, score), last], [*right[1][:-1], (piece[len(half) :], score), last]
+        return self.spines[piece]
+
+    def check(self, left: str, right: str) -> bool:
+        """Whether right stays one piece behind left when both are merged anew; the answer is kept.
+
+        It does unless some part at left's right edge and some part at right's
+        left edge, while both stand there, make a piece whose score comes first.
+        """
+        if self.checked > 200_000:
+            self.checked = 0
+            for known in self.beside.values():
+                known.clear()
+        self.checked += 1
+        own, other = self.edges(right), self.edges(left) if left else None
+        if own is None or left and other is None:
+            out = self.merged(left + right)[0] == ([left, right] if left else [right])
+        else:
+            out = True
+            if left:
+                a, b, i, j = other[1], own[0], 0, 0
+                while True:
+                    (x, x_ends), (y, y_ends) = a[i], b[j]
+                    crossing = self.pieces.get(x + y)
+                    if crossing is not None and crossing[1] > x_ends and crossing[1] >= y_ends:
+                        out = False
+                        break
+                    if x_ends == y_ends == -math.inf:
+                        break
+                    if x_ends >= y_ends:
+                        i += 1
+                    else:
+                        j += 1
+        self.beside[right][left] = out
+        return out
 
     def ids_of(self, piece: str) -> list[int]:
-        if piece in self.pieces:
-            return [self.pieces[piece][0]]
+        if (found := self.pieces.get(piece)) is not None:
+            return [found[0]]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each of the sorted words with its ids. cells[i] is the forward cell of the current path's first i characters."""
-        pieces, longest, bpe = self.pieces, self.longest, self.kind == "bpe"
-        cells: list[tuple] = [(0.0, "", [])]
-        before = ""
+        """Each of the sorted words with its ids. lasts[i] and totals[i] are the forward cell of the current path's first i characters."""
+        pieces, ends, bpe, ids = self.pieces, self.ends, self.kind == "bpe", self.ids
+        lasts, totals, before = [""], [0.0], ""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del cells[shared + 1 :]
+            del lasts[shared + 1 :], totals[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
+                last, node, start, found = word[i - 1], ends, i, []
+                while start and (node := node.get(word[start - 1])) is not None:
+                    start -= 1
+                    if "" in node:
+                        found.append((start, node[""]))
                 if bpe:
-                    last = word[i - 1]
-                    for size in range(min(i, longest), 1, -1):
-                        piece = word[i - size : i]
-                        if piece in pieces and (self.beside(cells[i - size][1], piece) if size < i else self.stands(piece)):
+                    for start, (piece, known, _) in reversed(found):
+                        left = lasts[start]
+                        if (stays := known.get(left)) is None:
+                            stays = self.check(left, piece)
+                        if stays:
                             last = piece
                             break
-                    cells.append((0.0, last))
                 else:
-                    best, last = cells[i - 1][0] + pieces.get(word[i - 1], (0, self.least))[1], word[i - 1]
-                    for size in range(2, min(i, longest) + 1):
-                        piece = word[i - size : i]
-                        if piece in pieces and (total := cells[i - size][0] + pieces[piece][1]) > best:
-                            best, last = total, piece
-                    cells.append((best, last))
+                    best = totals[i - 1] + pieces.get(last, (0, self.least))[1]
+                    for start, (piece, _, score) in found:
+                        if totals[start] + score > best:
+                            best, last = totals[start] + score, piece
+                    totals.append(best)
+                lasts.append(last)
             back, i = [], len(word)
             while i:
-                back.append(cells[i][1])
-                i -= len(cells[i][1])
-            yield word, [x for piece in reversed(back) for x in self.ids_of(piece)]
+                back.append(lasts[i])
+                i -= len(lasts[i])
+            back.reverse()
+            try:
+                yield word, [ids[piece] for piece in back]
+            except KeyError:
+                yield word, [x for piece in back for x in self.ids_of(piece)]
             before = word
 
     def split(self, text: str) -> list[str]:
@@ -135,7 +194,7 @@ class Vocabulary:
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
-_known: dict[tuple[str, str], dict[str, bytes]] = {}
+_known: dict[tuple[str, str], list[dict[str, bytes]]] = {}
 
 
 def vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
@@ -151,11 +210,12 @@ def vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", cache_words: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", cache_words: int = 250_000) -> DataFrame:
     """docs with an array<int> of piece ids added; null and empty texts have none.
 
     Whole texts are encoded; a word's ids are kept for later batches of the
-    same worker, at most cache_words of them. The file at `path` is read where
+    same worker, in two generations of about cache_words: what the young one
+    had is the old one when it is full, and what is met again becomes young. The file at `path` is read where
     the tasks run. A column of that name is replaced, others pass through, and
     rows that repeat are encoded alike.
     """
@@ -164,19 +224,25 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path, kind)
-        known = _known.setdefault((path, kind), {})
+        young, old = _known.setdefault((path, kind), [{}, {}])
         for batch in batches:
             out: list[bytes] = []
-            for _, _, text, offs in common.chunks(batch.column(at), 1 << 22):
+            for _, _, text, offs in common.chunks(batch.column(at), 1 << 21):
                 raw = text.tobytes()
                 rows = [model.split(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                fresh = {w for words in rows for w in words if w not in known}
-                if len(known) + len(fresh) > cache_words:
-                    known.clear()
-                    fresh = {w for words in rows for w in words}
-                for word, found in model.encode_words(sorted(fresh)):
-                    known[word] = np.array(found, "<i4").tobytes()
-                out += [b"".join(map(known.__getitem__, words)) for words in rows]
+                if len(young) > cache_words:
+                    young, old = {}, young
+                    _known[path, kind] = [young, old]
+                fresh = []
+                for word in set().union(*rows) - young.keys():
+                    if (found := old.get(word)) is None:
+                        fresh.append(word)
+                    else:
+                        young[word] = found
+                fresh.sort()
+                for word, found in model.encode_words(fresh):
+                    young[word] = array("i", found).tobytes()
+                out += [b"".join(map(young.__getitem__, words)) for words in rows]
             values = np.frombuffer(b"".join(out), "<i4")
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*batch.schema.names, ids])
