@@ -61,6 +61,12 @@ class Words:
         char[1::2] = ((near * np.uint32(2654435761)) >> half) + np.uint32(1 << (CHAR_BITS - 1))
         return cls(word, char, np.concatenate([[0], np.cumsum(2 * size)]), row_at)
 
+    def part(self, a: int, b: int) -> Words:
+        """Rows a to b."""
+        w, z = self.row_at[a], self.row_at[b]
+        c, d = self.char_at[w], self.char_at[z]
+        return Words(self.word[w:z], self.char[c:d], self.char_at[w : z + 1] - c, self.row_at[a : b + 1] - w)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word and length of every window; a row without words has none."""
         n = np.diff(self.row_at)
@@ -160,14 +166,19 @@ class Network:
             g[name] = gu
         return g, inputs
 
-    def score(self, words: Words, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first word and logit of every window."""
-        row, first, size = words.windows()
-        gates, out = self.gates(words), np.empty(len(row), np.float32)
-        for a in range(0, len(row), block):
-            index = _places(first[a : a + block], size[a : a + block], len(words.word))
-            out[a : a + block] = self.logits(gates, index)[0]
-        return row, first, out
+    def score(self, words: Words, block: int = 2048, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first word and logit of every window; runs of rows with about `most` words are laid out at a time."""
+        out, a, n = [], 0, len(words.row_at) - 1
+        row, first, _ = words.windows()
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(words.row_at, words.row_at[a] + most, "right")) - 1)
+            part = words.part(a, b)
+            _, at, size = part.windows()
+            gates = self.gates(part)
+            for k in range(0, len(at), block):
+                out.append(self.logits(gates, _places(at[k : k + block], size[k : k + block], len(part.word)))[0])
+            a = b
+        return row, first, np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
 def _places(first: np.ndarray, size: np.ndarray, pad: int) -> np.ndarray:
@@ -193,13 +204,14 @@ def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
 
 
-def _lead(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log ratio of toxic rows to expected ones for each bucket, and the number of rows that have it."""
-    seen = np.unique(rows.astype(np.int64) << bits | buckets)
-    own = seen & ((1 << bits) - 1)
-    held = np.bincount(own, minlength=1 << bits)
-    bad = np.bincount(own, labels[seen >> bits].astype(float), 1 << bits)
-    return np.log((bad + 3) / (held * labels.mean() + 3)), held
+def _lead(buckets: np.ndarray, at: np.ndarray, labels: np.ndarray, used: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log ratio of toxic rows to expected ones for each bucket, and the number of rows that have it; rows begin at `at`."""
+    held, bad = np.zeros(1 << bits), np.zeros(1 << bits)
+    for i in np.flatnonzero(used).tolist():
+        own = np.unique(buckets[at[i] : at[i + 1]])
+        held[own] += 1
+        bad[own] += labels[i]
+    return np.log((bad + 3) / (held * labels[used].mean() + 3)), held
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 64, steps: int = 700, rate: float = 0.005, rare: int = 4, seed: int = 11) -> Network:
@@ -210,14 +222,12 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 64
     """
     raw = [t.encode("utf-8", "replace") for t in texts]
     words = Words.of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
-    rows, r = np.repeat(np.arange(len(texts)), np.diff(words.row_at)), np.random.default_rng(seed)
+    r = np.random.default_rng(seed)
     aside = r.random(len(texts)) < 0.125
     if len({*labels[~aside]}) < 2 or len({*labels[aside]}) < 2:
         aside[:] = False
-    learn = ~aside[rows]
-    lead, held = _lead(rows[learn], words.word[learn], np.where(aside, 0, labels), WORD_BITS)
-    char_rows, char_learn = np.repeat(rows, np.diff(words.char_at)), np.repeat(learn, np.diff(words.char_at))
-    char_lead, _ = _lead(char_rows[char_learn], words.char[char_learn], np.where(aside, 0, labels), CHAR_BITS)
+    lead, held = _lead(words.word, words.row_at, labels, ~aside, WORD_BITS)
+    char_lead, _ = _lead(words.char, words.char_at[words.row_at], labels, ~aside, CHAR_BITS)
     lead[held < rare] = 0
     net = Network(lead, char_lead)
     net.p["word"][held < rare] = 0
@@ -228,6 +238,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 64
     strong = np.maximum(0, lead[words.word] - 0.5)
     strong += np.maximum(0, np.maximum.reduceat(char_lead[words.char], words.char_at[:-1]) - 0.5)
     total = np.concatenate([[0.0], np.cumsum(strong)])
+    del strong
     worst, adam, best = total[first + size] - total[first], Adam(net.p, rate), (np.inf, net.p)
     for k in range(rounds):
         order = np.lexsort((-worst, row))
