@@ -86,8 +86,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, weight): log(target / raw) with add-one smoothing, from the words of all documents. At most `buckets` rows."""
     marks = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    # the marks join before the texts are split: that moves each text once, and not at all while the ids are few
-    rows = docs.join(marks, docs["doc_id"] == marks["trusted_id"], "left").select(F.col("trusted_id").isNotNull().alias("target"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    # the marks join before the texts are split: each text moves once, at every size of the marks
+    rows = docs.join(marks.hint("merge"), docs["doc_id"] == marks["trusted_id"], "left").select(F.col("trusted_id").isNotNull().alias("target"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     grams = rows.where(F.size("words") > 0).select("target", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("target", F.explode(_grams("words", "at", buckets)).alias("bucket")).where("bucket is not null")
     counts = common.stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")), "gram-counts")
     totals = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()
