@@ -6,7 +6,7 @@ A text's set holds the hashes of its distinct word n-grams. Two texts link when
 1. All n-grams are counted in a sketch of fixed size, which orders n-grams from
    rare to frequent. A set needs only its rarest few (n - T + 1 of n) in the
    inverted lists: linked sets share at least one of those.
-2. Sets that appear in a list with others go, once, to the home list that most
+2. Sets that sizes and places in some list allow to link go, once, to the home list that most
    sets share. There, in blocks of bounded size, each set is searched among the
    others by T-occurrence: the short lists are merged, and the long ones are
    probed by binary search for what the merge left. This links nearly all of a
@@ -238,7 +238,7 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     lists = lists.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
 
     def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists with two sets or more, each row with the list's length; the rows come sorted by token."""
+        """The rows of each list that may link with another of it; rows come sorted by token, and a list may span batches."""
         rest = None
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -246,9 +246,9 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
                 columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
             cut = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
             rest = [c[cut:] for c in columns]
-            yield _shared([c[:cut] for c in columns])
+            yield _shared([c[:cut] for c in columns], percent)
         if rest is not None:
-            yield _shared(rest)
+            yield _shared(rest, percent)
 
     lists = common.stored(lists.mapInArrow(shared_lists, "token long, n int, key long, place int, m int"), "lists")
     homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home")).select("key", F.col("home.token").alias("home"), F.col("home.m").alias("m"))
@@ -316,17 +316,42 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     return members, labels.select(F.col("vertex").alias("set_key"), "label")
 
 
-def _shared(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of whole lists, repeats of a set in a list taken out, lists of one set left out, with the length m added."""
+def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one list (sorted by token, then size) that may link, as (earlier, later) row numbers.
+
+    The partners of a row stand behind it as far as its size allows, and for
+    two sets whose first shared n-gram this is, what stands behind it in either
+    set must suffice for the overlap they need.
+    """
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    end = np.repeat(np.r_[first[1:], len(token)], np.diff(np.r_[first, len(token)]))
+    live, step = np.arange(len(token)), 1
+    while len(live):
+        live = live[live + step < end[live]]
+        other = live + step
+        near = 100 * n[live] >= percent * n[other]
+        live, other = live[near], other[near]
+        rest = np.minimum(n[live] - place[live], n[other] - place[other])
+        good = (key[live] != key[other]) & (rest >= overlap(n[live], n[other], percent))
+        yield live[good], other[good]
+        step += 1
+
+
+def _shared(columns: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """Rows of whole lists that may link with another of their list, without repeats of a set, and their number m in the list."""
     token, n, key, place = columns
     if len(token):
         new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
-        token, n, key, place = token[new], n[new], key[new], place[new]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        m = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)]))
-        token, n, key, place, m = (x[m > 1] for x in (token, n, key, place, m))
-    else:
-        m = np.zeros(0, np.int64)
+        many = np.r_[token[1:] == token[:-1], False] | np.r_[False, token[1:] == token[:-1]]
+        token, n, key, place = (x[new & many] for x in (token, n, key, place))
+    meets = np.zeros(len(token), bool)
+    if len(token):
+        for a, b in _fitting(token, n.astype(np.int64), key, place.astype(np.int64), percent):
+            meets[a] = meets[b] = True
+        token, n, key, place = (x[meets] for x in (token, n, key, place))
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(token)])
+    m = np.repeat(size, size)
     return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(key), pa.array(place), pa.array(m.astype(np.int32))], ["token", "n", "key", "place", "m"])
 
 
@@ -336,23 +361,12 @@ def _open_pairs(columns: list[np.ndarray], percent: int) -> Iterator[pa.RecordBa
     n, place = n.astype(np.int64), place.astype(np.int64)
     if not len(token):
         return
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    end = np.repeat(np.r_[first[1:], len(token)], np.diff(np.r_[first, len(token)]))
-    # the partners of a row stand behind it, as far as their size allows
-    step = 1
-    live = np.arange(len(token))
     out_a, out_b, held = [], [], 0
-    while len(live):
-        live = live[live + step < end[live]]
-        other = live + step
-        fits = 100 * n[live] >= percent * n[other]
-        live, other = live[fits], other[fits]
-        rest = np.minimum(n[live] - place[live], n[other] - place[other])
-        good = (label[live] != label[other]) & (key[live] != key[other]) & (rest >= overlap(n[live], n[other], percent))
-        out_a.append(np.minimum(key[live], key[other])[good])
-        out_b.append(np.maximum(key[live], key[other])[good])
-        held += int(good.sum())
-        step += 1
+    for live, other in _fitting(token, n, key, place, percent):
+        apart = label[live] != label[other]
+        out_a.append(np.minimum(key[live], key[other])[apart])
+        out_b.append(np.maximum(key[live], key[other])[apart])
+        held += int(apart.sum())
         if held > 500_000:
             yield _pairs(out_a, out_b)
             out_a, out_b, held = [], [], 0
