@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding, toxicity
+from . import decontamination, jaccard_join, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_sentencepiece": op10_sentencepiece}
