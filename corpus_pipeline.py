@@ -1,15 +1,67 @@
-"""The corpus pipeline: stages that each write Parquet for the next."""
+"""The corpus pipeline: stages that each write Parquet for the next.
+
+Every stage works on all rows that its predecessor kept, and what it decides
+takes effect: documents without a trusted language go, repeated lines go from
+the texts, one document of each group of near copies stays, documents that hold
+a benchmark item go, and what is left is turned into piece ids. All stages but
+the last return the columns of documents. Nulls, empty tables and repeated rows
+have the results that the operators' docstrings state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echogrid.llm import common
+from echogrid.llm import common, decontamination, jaccard_join, language_id, line_dedup, piece_tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+#: A prediction below this score is no trusted language. The four languages' own texts score far above.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is `und` or hardly told from others go."""
+    pred, score = common.free_name(docs, "lang_pred"), common.free_name(docs, "lang_score")
+    found = language_id.identify(docs, language_id.fit(language_id.learnable(docs)), pred, score)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in three documents or more stay in one of them; n_chars follows the text."""
+    found = line_dedup.dedup_lines(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs, width=5, percent=80)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether decoding the ids gives the text back."""
+    coded = piece_tokens.decode(piece_tokens.encode(docs.select("doc_id", "lang", "source", "text")))
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_copy),
+    ("decontamination", drop_benchmark_leaks),
+    ("sentencepiece", to_pieces),
+]
+
+#: Language identification and piece encoding have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
