@@ -9,10 +9,11 @@ A text's set holds the hashes of its distinct word n-grams. Two texts link when
 2. Sets that sizes and places in some list allow to link go, once, to the home list that most
    sets share. There, in blocks of bounded size, each set is searched among the
    others by T-occurrence: the short lists are merged, and the long ones are
-   probed by binary search for what the merge left. This links nearly all of a
-   group of near copies without its pairs ever being written out.
-3. Every list again: its pairs of sets that are not in one component yet, and
-   that sizes and positions allow, are verified by the same search.
+   probed by binary search for what the merge left. This settles nearly all of
+   a group of near copies without its pairs ever being written out.
+3. Every list again: its pairs of sets from different homes that are not in one
+   component yet, and that sizes and positions allow, are verified by the same
+   search.
 
 Links between sets that a chain of links already joins do not change any
 component and are not searched. The components are those of all links.
@@ -170,7 +171,7 @@ def _in_blocks(array: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(array, _BLOCKS))]
 
 
-def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: int = 22, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: int = 22, block: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Sets and components of docs (doc_id, text).
 
     Returns (doc_id, n_shingles, set_key), a row for each row of docs, and
@@ -251,7 +252,10 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
             yield _shared(rest, percent)
 
     lists = common.stored(lists.mapInArrow(shared_lists, "token long, n int, key long, place int, m int"), "lists")
-    homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home")).select("key", F.col("home.token").alias("home"), F.col("home.m").alias("m"))
+    homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home"), F.first("n").alias("n")).select("key", "n", F.col("home.token").alias("home"))
+    # a home whose sets are too many for one block has parts, and each pair of parts is a block
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")).withColumnRenamed("home", "at")
+    homes = homes.join(parts, homes["home"] == parts["at"]).select("key", "home", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     homes = common.stored(homes, "homes")
     wanted = spark.sparkContext.broadcast(_bloom(homes.select("key")))
 
@@ -267,8 +271,10 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chosen], pa.int64()), pa.array([s for _, s in chosen], pa.binary())], ["set_key", "shingles"])
 
     sets = docs.select("text").where("text is not null").mapInArrow(sets_of, "set_key long, shingles binary")
-    at_home = homes.join(sets, homes["key"] == sets["set_key"]).select("key", "home", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / block)).alias("part"), "shingles")
+    # the same kind of join at every size
+    at_home = homes.hint("merge").join(sets, homes["key"] == sets["set_key"]).select("key", "home", "parts", "part", "shingles")
     at_home = common.stored(at_home, "home-sets")
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high")))
 
     def home_links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("key")
@@ -276,11 +282,14 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
         pairs = block_links(_decoded(frame), percent)
         return pd.DataFrame({"a": keys[[a for a, _ in pairs]], "b": keys[[b for _, b in pairs]]}, dtype="int64")
 
-    near = common.stored(at_home.groupBy("home", "part").applyInPandas(home_links, "a long, b long"), "home-links")
+    blocks = at_home.select("key", "home", F.explode(both).alias("cell"), "shingles").groupBy("home", "cell.low", "cell.high")
+    near = common.stored(blocks.applyInPandas(home_links, "a long, b long"), "home-links")
     labels = components(near)
 
     # what is left: pairs of one list, in different components, that sizes and places allow
-    named = lists.join(labels, lists["key"] == labels["vertex"], "left").select("token", "n", "key", "place", "m", F.coalesce("label", "key").alias("label"))
+    # and that did not meet at home, where every pair was searched
+    tags = homes.join(labels.hint("merge"), homes["key"] == labels["vertex"], "left").select(F.col("key").alias("k"), F.coalesce("label", "key").alias("label"), "home")
+    named = lists.join(tags.hint("merge"), lists["key"] == tags["k"]).select("token", "n", "key", "place", "label", "home")
     named = named.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +308,17 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     cells = max(1, pairs.count() // 4096)
     cell = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell"), F.pmod(F.xxhash64("b"), F.lit(1 + cells // 64)).alias("side"))
     asked = cell.select("cell", "side", F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(True).alias("held")), F.struct(F.col("b").alias("key"), F.lit(False).alias("held")))).alias("x")).select("cell", "side", "x.key", "x.held").distinct()
-    known = at_home.select(F.col("key").alias("set_key"), "shingles").dropDuplicates(["set_key"])
+    open_keys = spark.sparkContext.broadcast(_bloom(asked.select("key").distinct()))
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bloom(open_keys.value, batch.column(0).to_numpy())))
+
+    known = at_home.select(F.col("key").alias("set_key"), "shingles").mapInArrow(still_open, "set_key long, shingles binary")
     loaded = asked.join(known, asked["key"] == known["set_key"]).select("cell", "side", "key", "held", "shingles")
 
     def cell_links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["key", "held"])
         held, asking = frame[frame["held"]], frame[~frame["held"]]
         index, keys, out = BlockIndex(_decoded(held)), held["key"].to_numpy(), []
         for key, shingles in zip(asking["key"], _decoded(asking), strict=True):
@@ -356,14 +372,14 @@ def _shared(columns: list[np.ndarray], percent: int) -> pa.RecordBatch:
 
 
 def _open_pairs(columns: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within each list (rows sorted by token, then size) whose labels differ and whose sizes and places allow a link."""
-    token, n, key, place, _, label = columns
+    """Pairs within each list (rows sorted by token, then size) whose labels and homes differ and whose sizes and places allow a link."""
+    token, n, key, place, label, home = columns
     n, place = n.astype(np.int64), place.astype(np.int64)
     if not len(token):
         return
     out_a, out_b, held = [], [], 0
     for live, other in _fitting(token, n, key, place, percent):
-        apart = label[live] != label[other]
+        apart = (label[live] != label[other]) & (home[live] != home[other])
         out_a.append(np.minimum(key[live], key[other])[apart])
         out_b.append(np.maximum(key[live], key[other])[apart])
         held += int(apart.sum())
