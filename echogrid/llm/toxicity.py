@@ -214,7 +214,7 @@ def _lead(buckets: np.ndarray, at: np.ndarray, labels: np.ndarray, used: np.ndar
     return np.log((bad + 3) / (held * labels[used].mean() + 3)), held
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 64, steps: int = 700, rate: float = 0.005, rare: int = 4, seed: int = 11) -> Network:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int = 64, steps: int = 450, rate: float = 0.005, rare: int = 4, seed: int = 11) -> Network:
     """The network of a sample of texts with labels 0 and 1.
 
     Word buckets in fewer than `rare` texts are unknown words: they stay zero.
@@ -328,7 +328,7 @@ def rate(docs: DataFrame, net: Network | None, score: str = "toxicity") -> DataF
     return docs.mapInArrow(run, common.widened(docs, f"`{score}` double"))
 
 
-def digest(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
+def digest(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels.toxic of the other folds is what is learned. A null doc_id is held out."""
     net = fit(common.labelled_sample(docs, labels, "toxic", 5, 0, most))
     found = rate(docs.select("doc_id", "text"), net, "score")
