@@ -24,38 +24,73 @@ def pixel_grid(spark: SparkSession, x: tuple[float, float, int], y: tuple[float,
     return spark.range(nx * ny).select(row.alias("row"), col.alias("col"), (F.lit(x0) + col * ((x1 - x0) / (nx - 1))).alias("x"), (F.lit(y0) + row * ((y1 - y0) / (ny - 1))).alias("y"), F.lit(float(z)).alias("z"))
 
 
+#: Grids up to this size are broadcast to the pulses; larger ones stay spread and the profiles are broadcast.
+BROADCAST_PIXELS = 262_144
+
+
+def _form(x: np.ndarray, y: np.ndarray, z: np.ndarray, pulses: Iterator[tuple], start: float, step: float, wave: float, method: str, half_width: int) -> np.ndarray:
+    """The sum of pulses (profile, position, r0, weight) at some pixels."""
+    image = np.zeros(len(x), complex)
+    for profile, (px, py, pz), r, w in pulses:
+        delta = np.sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) - r
+        image += w * interpolate(profile, (delta - start) / step, method, half_width) * np.exp(1j * wave * delta)
+    return image
+
+
 def backproject(pixels: DataFrame, profiles: DataFrame, meta: dict[str, float], window: str = "hann", method: str = "linear", half_width: int = 8, tile: int = 65_536) -> DataFrame:
     """Complex image (row, col, re, im) of pixels from range profiles (pulse, re, im, x, y, z, r0).
 
-    The profiles, whose number of samples is bounded by MAX_COMPLEX_SAMPLES and
-    checked, are broadcast; pixels are spread over tasks and summed in tiles in
-    pulse order, so the result does not depend on tiles or tasks.
+    A grid of at most BROADCAST_PIXELS goes to where the profiles are: each task
+    sums its own pulses over all pixels, in tiles, and the tasks' sums meet in
+    one shuffle of a row for each pixel and task. For a larger grid the
+    profiles, at most MAX_COMPLEX_SAMPLES, are broadcast and pixels stay spread.
+    Both sizes are checked first.
     """
     spark = pixels.sparkSession
-    n, width = profiles.agg(F.count("*"), F.max(F.size("re"))).first()
-    if not n or n * width > MAX_COMPLEX_SAMPLES:
-        raise ValueError("profiles must be there and stay within 32 million samples")
-    held = profiles.orderBy("pulse").toPandas()
-    samples = np.stack(held["re"].to_list()) + 1j * np.stack(held["im"].to_list())
-    taper = windows.window(n, window)
-    shared = spark.sparkContext.broadcast((samples, held[["x", "y", "z"]].to_numpy(float), held["r0"].to_numpy(float), taper))
+    numbers = sorted(r["pulse"] for r in profiles.select("pulse").collect())
+    if not numbers:
+        raise ValueError("there are no profiles")
+    taper = windows.window(len(numbers), window)
+    weight = dict(zip(numbers, taper.tolist(), strict=True))
     start, step, wave = meta["range_start_m"], meta["range_step_m"], 4 * np.pi * meta["carrier_hz"] / C
+    how = (start, step, wave, method, half_width)
+
+    def pulses(frame: pd.DataFrame) -> Iterator[tuple]:
+        places, ranges = frame[["x", "y", "z"]].to_numpy(float), frame["r0"].to_numpy(float)
+        for k, (re, im) in enumerate(zip(frame["re"], frame["im"], strict=True)):
+            yield np.asarray(re) + 1j * np.asarray(im), places[k], ranges[k], weight[frame["pulse"].iloc[k]] / taper.sum()
+
+    if pixels.count() <= BROADCAST_PIXELS:
+        grid = pixels.select("row", "col", "x", "y", "z").toPandas()
+        shared = spark.sparkContext.broadcast(tuple(grid[c].to_numpy() for c in ("row", "col", "x", "y", "z")))
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            row, col, x, y, z = shared.value
+            image, some = np.zeros(len(x), complex), False
+            for batch in batches:
+                some = some or len(batch) > 0
+                for a in range(0, len(x), tile):
+                    b = min(len(x), a + tile)
+                    image[a:b] += _form(x[a:b], y[a:b], z[a:b], pulses(batch), *how)
+            if some:
+                yield pd.DataFrame({"row": row, "col": col, "re": image.real, "im": image.imag})
+
+        parts = profiles.select("pulse", "re", "im", "x", "y", "z", "r0").mapInPandas(partial, "row int, col int, re double, im double")
+        return parts.groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+    width = profiles.agg(F.max(F.size("re"))).first()[0]
+    if len(numbers) * width > MAX_COMPLEX_SAMPLES:
+        raise ValueError("profiles must stay within 32 million samples for a grid of this size")
+    held = spark.sparkContext.broadcast(profiles.select("pulse", "re", "im", "x", "y", "z", "r0").orderBy("pulse").toPandas())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        samples, positions, r0, taper = shared.value
         for batch in batches:
             for a in range(0, len(batch), tile):
                 part = batch.iloc[a : a + tile]
-                x, y, z = (part[c].to_numpy() for c in "xyz")
-                image = np.zeros(len(part), complex)
-                for profile, (px, py, pz), r, w in zip(samples, positions, r0, taper, strict=True):
-                    delta = np.sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) - r
-                    image += w * interpolate(profile, (delta - start) / step, method, half_width) * np.exp(1j * wave * delta)
-                image /= taper.sum()
+                image = _form(*(part[c].to_numpy() for c in "xyz"), pulses(held.value), *how)
                 yield pd.DataFrame({"row": part["row"], "col": part["col"], "re": image.real, "im": image.imag})
 
-    spread = pixels.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(run, "row int, col int, re double, im double")
+    return pixels.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "row int, col int, re double, im double")
 
 
 def backproject_sums(pulses: DataFrame, points: list[tuple[float, float, float]], line: str, count: int, start: float, step: float, wave: float) -> DataFrame:
