@@ -174,17 +174,17 @@ def _in_blocks(array: np.ndarray) -> list[tuple[int, bytes]]:
 def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: int = 22, block: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Sets and components of docs (doc_id, text).
 
-    Returns (doc_id, n_shingles, set_key), a row for each row of docs, and
-    (set_key, label) of the sets that link with another; sets with one label
+    Returns (doc_id, n_shingles, set_key, text_key), a row for each row of docs
+    with text_key the text's xxhash64, and (set_key, label) of the sets that link with another; sets with one label
     are one component. A text without words has no set: its set_key is null.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     slots = 1 << sketch_bits
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(slots, np.uint16), [], 0
-        names = ["doc_id", "n", "key", "block", "bytes"]
+        names = ["doc_id", "text_key", "n", "key", "block", "bytes"]
 
         def count() -> None:
             more = np.bincount(np.concatenate(waiting), minlength=slots) if waiting else np.zeros(slots, np.int64)
@@ -203,14 +203,14 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
                     count()
                     held = 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         count()
         parts = _in_blocks(counts)
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
 
-    first = common.stored(docs.mapInArrow(first_pass, "doc_id long, n int, key long, block int, bytes binary"), "sets")
-    members = first.where("block is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("set_key"))
+    first = common.stored(docs.mapInArrow(first_pass, "doc_id long, text_key long, n int, key long, block int, bytes binary"), "sets")
+    members = first.where("block is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("set_key"), "text_key")
     counts = _merged_blocks(first.where("block is not null").select("block", "bytes"), "<u2", top=False)
     if not len(counts):
         counts = np.zeros(slots, np.uint16)
@@ -426,6 +426,18 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return _merged_blocks(keys.mapInArrow(fill, "block int, bytes binary"), "<u1", top=True)
 
 
+def _named(docs: DataFrame, **options: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for each row of docs."""
+    members, labels = link_sets(docs, **options)
+    sets = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    own = labels.withColumnRenamed("set_key", "vertex")
+    sets = sets.join(own, sets["set_key"] == own["vertex"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
+    named = sets.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_set = sets.select("set_key", "label").join(named, "label").select(F.col("set_key").alias("k"), "component_id")
+    found = members.where("set_key is not null").join(of_set, F.col("set_key") == F.col("k")).select("doc_id", "text_key", "n_shingles", "component_id")
+    return found.unionByName(members.where("set_key is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
 def join_components(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
@@ -437,23 +449,26 @@ def join_components(docs: DataFrame, **options: int) -> DataFrame:
     but different texts are compared like any others. Other columns are not
     looked at; an empty table gives an empty result.
     """
-    members, labels = link_sets(docs, **options)
-    sets = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    own = labels.withColumnRenamed("set_key", "vertex")
-    sets = sets.join(own, sets["set_key"] == own["vertex"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
-    named = sets.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = sets.select("set_key", "label").join(named, "label").select(F.col("set_key").alias("k"), "component_id")
-    found = members.where("set_key is not null").join(of_set, F.col("set_key") == F.col("k")).select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(members.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return _named(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """docs without the near copies: of each component the row with the smallest doc_id stays.
 
-    Rows without words stay, and so do rows without doc_id. Rows that share the
-    component's smallest doc_id, equal ones included, all stay.
+    Rows without words stay, and so do rows without doc_id. Of rows with one
+    doc_id and equal texts one stays; different texts of one doc_id that are no
+    copies of another document all stay.
     """
-    found = join_components(docs.where("doc_id is not null"), **options).where("n_shingles > 0")
-    word = common.free_name(docs, "copy_doc")
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias(word)).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col(word), "left_anti")
+    found = common.stored(_named(docs.where("doc_id is not null"), **options).where("n_shingles > 0"), "near-copies")
+    doc, key = common.free_name(docs, "copy_doc"), common.free_name(docs, "copy_text")
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(key))
+
+    def rows(frame: DataFrame) -> DataFrame:
+        return frame.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+
+    left = docs.join(rows(found.where("component_id <> doc_id")), same, "left_anti")
+    again = rows(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"))
+    if again.limit(1).count() == 0:
+        return left
+    own = left.withColumn(key, F.xxhash64("text"))
+    return left.join(again, same, "left_anti").unionByName(own.join(again.withColumnRenamed(key, f"{key}_"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(key) == F.col(f"{key}_")), "left_semi").dropDuplicates(["doc_id", key]).drop(key))

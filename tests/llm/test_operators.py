@@ -106,6 +106,9 @@ def test_jaccard_edges(spark, docs, empty):
     assert jaccard_join.join_components(docs.where("doc_id is null")).count() == 2
     kept = jaccard_join.one_of_each(docs, width=5, percent=80)
     assert kept.columns == docs.columns
+    assert kept.where("doc_id = 3").count() == 1
+    twice = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "q r s t u v w x")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.one_of_each(twice).collect())) == [(1, "a b c d e f g h"), (2, "q r s t u v w x")]
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c in sets_oracle([x for x in sample() if x[0] is not None], 5, 80) if i == c} | {None}
 
 
