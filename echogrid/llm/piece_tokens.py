@@ -102,7 +102,7 @@ class Vocabulary:
         It does unless some part at left's right edge and some part at right's
         left edge, while both stand there, make a piece whose score comes first.
         """
-        if self.checked > 200_000:
+        if self.checked > 100_000:
             self.checked = 0
             for known in self.beside.values():
                 known.clear()
@@ -210,7 +210,7 @@ def vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", cache_words: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", cache_words: int = 120_000) -> DataFrame:
     """docs with an array<int> of piece ids added; null and empty texts have none.
 
     Whole texts are encoded; a word's ids are kept for later batches of the
