@@ -9,8 +9,9 @@ A text's set holds the hashes of its distinct word n-grams. Two texts link when
 2. Sets that sizes and places in some list allow to link go, once, to the home list that most
    sets share. There, in blocks of bounded size, each set is searched among the
    others by T-occurrence: the short lists are merged, and the long ones are
-   probed by binary search for what the merge left. This settles nearly all of
-   a group of near copies without its pairs ever being written out.
+   probed by binary search for what the merge left. A home of several blocks
+   then brings what is not yet in its main component to all its blocks. This
+   settles a group of near copies without its pairs ever being written out.
 3. Every list again: its pairs of sets from different homes that are not in one
    component yet, and that sizes and positions allow, are verified by the same
    search.
@@ -253,9 +254,9 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
 
     lists = common.stored(lists.mapInArrow(shared_lists, "token long, n int, key long, place int, m int"), "lists")
     homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home"), F.first("n").alias("n")).select("key", "n", F.col("home.token").alias("home"))
-    # a home whose sets are too many for one block has parts, and each pair of parts is a block
+    # a home whose sets are too many for one block has parts
     parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")).withColumnRenamed("home", "at")
-    homes = homes.join(parts, homes["home"] == parts["at"]).select("key", "home", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    homes = homes.join(parts, homes["home"] == parts["at"]).select("key", "n", "home", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     homes = common.stored(homes, "homes")
     wanted = spark.sparkContext.broadcast(_bloom(homes.select("key")))
 
@@ -274,7 +275,6 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     # the same kind of join at every size
     at_home = homes.hint("merge").join(sets, homes["key"] == sets["set_key"]).select("key", "home", "parts", "part", "shingles")
     at_home = common.stored(at_home, "home-sets")
-    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high")))
 
     def home_links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("key")
@@ -282,9 +282,11 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
         pairs = block_links(_decoded(frame), percent)
         return pd.DataFrame({"a": keys[[a for a, _ in pairs]], "b": keys[[b for _, b in pairs]]}, dtype="int64")
 
-    blocks = at_home.select("key", "home", F.explode(both).alias("cell"), "shingles").groupBy("home", "cell.low", "cell.high")
-    near = common.stored(blocks.applyInPandas(home_links, "a long, b long"), "home-links")
+    near = common.stored(at_home.groupBy("home", "part").applyInPandas(home_links, "a long, b long"), "home-links")
     labels = components(near)
+    if homes.where("parts > 1").limit(1).count():
+        near = near.unionByName(common.stored(_across_parts(homes, at_home, labels, percent, block), "part-links"))
+        labels = components(near)
 
     # what is left: pairs of one list, in different components, that sizes and places allow
     # and that did not meet at home, where every pair was searched
@@ -353,6 +355,36 @@ def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarra
         step += 1
 
 
+def _across_parts(homes: DataFrame, at_home: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between different parts of a home.
+
+    Most sets of a large home are in one component by now, and pairs inside it
+    are settled. Only the others ask: each goes to every part of the home,
+    while the parts stay as they are.
+    """
+    big = homes.where("parts > 1").join(labels, homes["key"] == labels["vertex"], "left").select("key", "n", "home", "parts", "part", F.coalesce("label", "key").alias("label"))
+    mains = big.groupBy("home", "label").agg(F.count("*").alias("c")).groupBy("home").agg(F.max(F.struct("c", "label")).alias("m")).select(F.col("home").alias("at"), F.col("m.label").alias("main"))
+    big = big.join(mains, big["home"] == mains["at"]).drop("at").withColumn("asks", F.col("label") != F.col("main"))
+    askers = big.where("asks").groupBy("home").agg(F.ceil(F.sum("n") / block).cast("int").alias("groups")).withColumnRenamed("home", "at")
+    big = big.join(askers, big["home"] == askers["at"]).drop("at")
+    held = big.select("key", "label", "home", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(True).alias("held"))
+    asking = big.where("asks").select("key", "label", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("key", F.lit(7)), F.col("groups")).cast("int").alias("group"), F.lit(False).alias("held"))
+    sets = at_home.where("parts > 1").select(F.col("key").alias("set_key"), "shingles")
+    cells = held.unionByName(asking).join(sets, F.col("key") == F.col("set_key")).select("home", "part", "group", "key", "label", "held", "shingles")
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["key", "held"])
+        stay, ask = frame[frame["held"]], frame[~frame["held"]]
+        index, keys, names, out = BlockIndex(_decoded(stay)), stay["key"].to_numpy(), stay["label"].to_numpy(), []
+        for key, name, shingles in zip(ask["key"], ask["label"], _decoded(ask), strict=True):
+            found = index.search(shingles, percent, names != name)
+            _, one = np.unique(names[found], return_index=True)
+            out += [(int(keys[i]), key) for i in found[one].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return cells.groupBy("home", "part", "group").applyInPandas(links, "a long, b long")
+
+
 def _shared(columns: list[np.ndarray], percent: int) -> pa.RecordBatch:
     """Rows of whole lists that may link with another of their list, without repeats of a set, and their number m in the list."""
     token, n, key, place = columns
