@@ -252,3 +252,13 @@ def test_image_chain(spark):
     for p in signal.magnitude_image(lines).collect():
         got[p.row, p.col] = p.value
     assert np.abs(got - np.abs(np.fft.fft2(x))).max() < 1e-9
+
+
+def test_targets(spark):
+    from echogrid.operators import targets
+
+    image = spark.range(25).select((F.col("id") / 5).cast("int").alias("row"), (F.col("id") % 5).cast("int").alias("col"), F.when(F.col("id") == 6, 10.0).when(F.col("id") == 18, 8.0).otherwise(0.0).alias("value"))
+    found = targets.strongest_targets(image, 5, 5, 4)
+    assert [(t.row, t.col, t.value, t.valid) for t in found] == [(1, 1, 10.0, True), (3, 3, 8.0, True)]
+    assert targets.centre_chip(image, 5, 5, 3).agg(F.max("value")).first()[0] == 10.0
+    assert targets.chip_around(image, 0, 0, 3).count() == 4
