@@ -14,7 +14,7 @@ A text's set holds the hashes of its distinct word n-grams. Two texts link when
    settles a group of near copies without its pairs ever being written out.
 3. Every list again: its pairs of sets from different homes that are not in one
    component yet, and that sizes and positions allow, are verified by the same
-   search.
+   search; first neighbours only, as that leaves few pairs for the whole round.
 
 Links between sets that a chain of links already joins do not change any
 component and are not searched. The components are those of all links.
@@ -288,11 +288,41 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
         near = near.unionByName(common.stored(_across_parts(homes, at_home, labels, percent, block), "part-links"))
         labels = components(near)
 
-    # what is left: pairs of one list, in different components, that sizes and places allow
-    # and that did not meet at home, where every pair was searched
-    tags = homes.join(labels.hint("merge"), homes["key"] == labels["vertex"], "left").select(F.col("key").alias("k"), F.coalesce("label", "key").alias("label"), "home")
-    named = lists.join(tags.hint("merge"), lists["key"] == tags["k"]).select("token", "n", "key", "place", "label", "home")
-    named = named.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
+    # what is left: pairs of one list, in different components, that sizes and places allow and that did not meet
+    # at home; first neighbours in the lists, which joins what a group of copies has at several homes, then all
+    for steps in (1, 0):
+        tags = homes.join(labels.hint("merge"), homes["key"] == labels["vertex"], "left").select(F.col("key").alias("k"), F.coalesce("label", "key").alias("label"), "home")
+        named = lists.join(tags.hint("merge"), lists["key"] == tags["k"]).select("token", "n", "key", "place", "label", "home")
+        last = common.stored(_verified(_candidates(named, percent, steps), at_home, percent), "last-links")
+        if last.limit(1).count():
+            near = near.unionByName(last)
+            labels = components(near)
+    return members, labels.select(F.col("vertex").alias("set_key"), "label")
+
+
+def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarray, percent: int, steps: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one list (sorted by token, then size) that may link, as (earlier, later) row numbers.
+
+    The partners of a row stand behind it as far as its size allows, and for
+    two sets whose first shared n-gram this is, what stands behind it in either
+    set must suffice for the overlap they need.
+    """
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    end = np.repeat(np.r_[first[1:], len(token)], np.diff(np.r_[first, len(token)]))
+    live, step = np.arange(len(token)), 1
+    while len(live) and (step <= steps or not steps):
+        live = live[live + step < end[live]]
+        other = live + step
+        near = 100 * n[live] >= percent * n[other]
+        live, other = live[near], other[near]
+        rest = np.minimum(n[live] - place[live], n[other] - place[other])
+        good = (key[live] != key[other]) & (rest >= overlap(n[live], n[other], percent))
+        yield live[good], other[good]
+        step += 1
+
+
+def _candidates(named: DataFrame, percent: int, steps: int) -> DataFrame:
+    """(a, b, label_a, label_b): pairs of one list that are open; with steps > 0 only rows that many places apart or less."""
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -302,14 +332,21 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
                 columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
             cut = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
             rest = [c[cut:] for c in columns]
-            yield from _open_pairs([c[:cut] for c in columns], percent)
+            yield from _open_pairs([c[:cut] for c in columns], percent, steps)
         if rest is not None:
-            yield from _open_pairs(rest, percent)
+            yield from _open_pairs(rest, percent, steps)
+
+    ordered = named.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
+    return common.stored(ordered.mapInArrow(open_pairs, "a long, b long, label_a long, label_b long").distinct(), "open-pairs")
 
-    pairs = common.stored(named.mapInArrow(open_pairs, "a long, b long").distinct(), "open-pairs")
+
+def _verified(pairs: DataFrame, at_home: DataFrame, percent: int) -> DataFrame:
+    """Links among open pairs, in cells of bounded size; of a cell's links between the same components one is enough."""
+    spark = pairs.sparkSession
     cells = max(1, pairs.count() // 4096)
-    cell = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell"), F.pmod(F.xxhash64("b"), F.lit(1 + cells // 64)).alias("side"))
-    asked = cell.select("cell", "side", F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(True).alias("held")), F.struct(F.col("b").alias("key"), F.lit(False).alias("held")))).alias("x")).select("cell", "side", "x.key", "x.held").distinct()
+    sides = [F.struct(F.col(x).alias("key"), F.col(f"label_{x}").alias("label"), F.lit(x == "a").alias("held")) for x in "ab"]
+    cell = pairs.select(F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell"), F.pmod(F.xxhash64("b"), F.lit(1 + cells // 64)).alias("side"), F.explode(F.array(*sides)).alias("x"))
+    asked = cell.select("cell", "side", "x.key", "x.label", "x.held").distinct()
     open_keys = spark.sparkContext.broadcast(_bloom(asked.select("key").distinct()))
 
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,42 +354,23 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
             yield batch.filter(pa.array(_in_bloom(open_keys.value, batch.column(0).to_numpy())))
 
     known = at_home.select(F.col("key").alias("set_key"), "shingles").mapInArrow(still_open, "set_key long, shingles binary")
-    loaded = asked.join(known, asked["key"] == known["set_key"]).select("cell", "side", "key", "held", "shingles")
+    loaded = asked.hint("merge").join(known, asked["key"] == known["set_key"]).select("cell", "side", "key", "label", "held", "shingles")
 
-    def cell_links(frame: pd.DataFrame) -> pd.DataFrame:
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["key", "held"])
-        held, asking = frame[frame["held"]], frame[~frame["held"]]
-        index, keys, out = BlockIndex(_decoded(held)), held["key"].to_numpy(), []
-        for key, shingles in zip(asking["key"], _decoded(asking), strict=True):
-            out += [(int(keys[i]), key) for i in index.search(shingles, percent).tolist() if keys[i] != key]
+        _, dense = np.unique(frame["label"].to_numpy(), return_inverse=True)
+        stay, forest, root, out = frame["held"].to_numpy(), Forest(int(dense.max()) + 1), dense.copy(), []
+        index, keys, own = BlockIndex(_decoded(frame[stay])), frame["key"].to_numpy()[stay], np.flatnonzero(stay)
+        for q, key, shingles in zip(np.flatnonzero(~stay).tolist(), frame["key"].to_numpy()[~stay].tolist(), _decoded(frame[~stay]), strict=True):
+            apart = root[own] != root[q]
+            for i in index.search(shingles, percent, apart).tolist() if apart.any() else ():
+                if forest.link(int(dense[q]), int(dense[own[i]])):
+                    out.append((int(keys[i]), key))
+                    x, y = root[q], root[own[i]]
+                    root[root == max(x, y)] = min(x, y)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    last = common.stored(loaded.groupBy("cell", "side").applyInPandas(cell_links, "a long, b long"), "last-links")
-    if last.limit(1).count():
-        near = near.unionByName(last)
-        labels = components(near)
-    return members, labels.select(F.col("vertex").alias("set_key"), "label")
-
-
-def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of one list (sorted by token, then size) that may link, as (earlier, later) row numbers.
-
-    The partners of a row stand behind it as far as its size allows, and for
-    two sets whose first shared n-gram this is, what stands behind it in either
-    set must suffice for the overlap they need.
-    """
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    end = np.repeat(np.r_[first[1:], len(token)], np.diff(np.r_[first, len(token)]))
-    live, step = np.arange(len(token)), 1
-    while len(live):
-        live = live[live + step < end[live]]
-        other = live + step
-        near = 100 * n[live] >= percent * n[other]
-        live, other = live[near], other[near]
-        rest = np.minimum(n[live] - place[live], n[other] - place[other])
-        good = (key[live] != key[other]) & (rest >= overlap(n[live], n[other], percent))
-        yield live[good], other[good]
-        step += 1
+    return loaded.groupBy("cell", "side").applyInPandas(links, "a long, b long")
 
 
 def _across_parts(homes: DataFrame, at_home: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
@@ -403,28 +421,29 @@ def _shared(columns: list[np.ndarray], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(key), pa.array(place), pa.array(m.astype(np.int32))], ["token", "n", "key", "place", "m"])
 
 
-def _open_pairs(columns: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+def _open_pairs(columns: list[np.ndarray], percent: int, steps: int) -> Iterator[pa.RecordBatch]:
     """Pairs within each list (rows sorted by token, then size) whose labels and homes differ and whose sizes and places allow a link."""
     token, n, key, place, label, home = columns
     n, place = n.astype(np.int64), place.astype(np.int64)
     if not len(token):
         return
-    out_a, out_b, held = [], [], 0
-    for live, other in _fitting(token, n, key, place, percent):
+    out, held = [], 0
+    for live, other in _fitting(token, n, key, place, percent, steps):
         apart = (label[live] != label[other]) & (home[live] != home[other])
-        out_a.append(np.minimum(key[live], key[other])[apart])
-        out_b.append(np.maximum(key[live], key[other])[apart])
-        held += int(apart.sum())
+        live, other = live[apart], other[apart]
+        a, b = np.where(key[live] < key[other], live, other), np.where(key[live] < key[other], other, live)
+        out.append(np.stack([key[a], key[b], label[a], label[b]], 1))
+        held += len(a)
         if held > 500_000:
-            yield _pairs(out_a, out_b)
-            out_a, out_b, held = [], [], 0
+            yield _pairs(out)
+            out, held = [], 0
     if held:
-        yield _pairs(out_a, out_b)
+        yield _pairs(out)
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["a", "b", "label_a", "label_b"])
 
 
 _BLOOM_BITS = 25
