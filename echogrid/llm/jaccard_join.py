@@ -37,6 +37,8 @@ from .components import Forest, components
 
 _MIX = [np.uint64(x | 1) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9E3779B185EBCA87)]
 _BLOCKS = 64
+#: Lists from this length on are searched for neighbours first; in shorter ones that would do their few pairs twice.
+_LONG = 16
 
 
 def shingle_sets(text: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
@@ -322,7 +324,7 @@ def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarra
 
 
 def _candidates(named: DataFrame, percent: int, steps: int) -> DataFrame:
-    """(a, b, label_a, label_b): pairs of one list that are open; with steps > 0 only rows that many places apart or less."""
+    """(a, b, label_a, label_b): pairs of one list that are open; with steps > 0 only rows of long lists that many places apart or less."""
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -427,6 +429,10 @@ def _open_pairs(columns: list[np.ndarray], percent: int, steps: int) -> Iterator
     n, place = n.astype(np.int64), place.astype(np.int64)
     if not len(token):
         return
+    if steps:
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)])
+        long = np.repeat(size, size) >= _LONG
+        token, n, key, place, label, home = (x[long] for x in (token, n, key, place, label, home))
     out, held = [], 0
     for live, other in _fitting(token, n, key, place, percent, steps):
         apart = (label[live] != label[other]) & (home[live] != home[other])
