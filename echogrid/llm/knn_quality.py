@@ -1,9 +1,11 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is counted as a bag of word shapes (which classes of bytes a word has,
-its length, whether it repeats the word before) and of pairs of neighbouring
-shapes. A truncated singular value decomposition of the labelled sample's
-weighted counts gives the latent space. The sample's vectors, a bounded number,
+A text is counted as a bag of its lower-cased words and of pairs of neighbouring
+words, hashed into fixed columns; word shapes (which classes of bytes a word
+has, its length, whether it repeats the word before) and pairs of shapes are
+further columns. Counts are sparse and weighted by inverse document frequency. A
+truncated singular value decomposition of the labelled sample's weighted counts
+gives the latent space. The sample's vectors, a bounded number,
 are broadcast; every document is compared with all of them by blocked matrix
 products, and its nearest neighbours vote with their cosine as weight.
 """
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHAPES, PAIRS = 1 << 10, 1 << 11
-WIDTH = SHAPES + PAIRS
+SHAPES, PAIRS, WORDS, WORD_PAIRS = 1 << 10, 1 << 11, 1 << 16, 1 << 16
+WIDTH = SHAPES + PAIRS + WORDS + WORD_PAIRS
 _CLASS = np.full(256, 64, np.uint8)
 _CLASS[list(common.SPACE_BYTES)] = 0
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 4, 16
@@ -29,34 +31,51 @@ _CLASS[list(b"#*$%&|<>")] = 8
 _CLASS[list(b".,;:!?")] = 32
 
 
-def counts(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Shape and pair counts of each row (rows x WIDTH, float32)."""
+def terms(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of the terms that each row has, logarithms of one more than their counts, and where each row's terms begin (n + 1 numbers)."""
     n = len(offs) - 1
     starts, ends, at = common.bounds(text, offs)
     if not len(starts):
-        return np.zeros((n, WIDTH), np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(n + 1, np.int64)
     row = np.repeat(np.arange(n), np.diff(at))
+    together = row[1:] == row[:-1]
     hashes = common.word_hashes(text, starts)
     again = np.zeros(len(starts), np.int64)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    again[1:] = (hashes[1:] == hashes[:-1]) & together
     size = np.searchsorted([2, 4, 9], ends - starts, "right")
     shape = np.bitwise_or.reduceat(_CLASS[text], starts).astype(np.int64) | size << 7 | again << 9
-    together = row[1:] == row[:-1]
     pair = ((shape[:-1] * 1031 + shape[1:]) * 2654435761 >> 7) % PAIRS
-    cells = np.concatenate([row * WIDTH + shape, (row[1:] * WIDTH + SHAPES + pair)[together]])
-    return np.bincount(cells, minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+    low = common.word_hashes(common.LOWER[text], starts)
+    word = (low % np.uint64(WORDS)).astype(np.int64)
+    two = (common.mix(low[:-1] * np.uint64(3) + low[1:]) % np.uint64(WORD_PAIRS)).astype(np.int64)
+    first = row * WIDTH
+    cells = np.concatenate([first + shape, (first[1:] + SHAPES + pair)[together], first + (SHAPES + PAIRS) + word, (first[1:] + (SHAPES + PAIRS + WORDS) + two)[together]])
+    cells, found = np.unique(cells, return_counts=True)
+    return cells % WIDTH, np.log1p(found).astype(np.float32), np.searchsorted(cells, np.arange(n + 1) * WIDTH)
+
+
+def _product(columns: np.ndarray, values: np.ndarray, at: np.ndarray, dense: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """The sparse rows (columns and values of row i from at[i] to at[i + 1]) times a dense matrix, by runs of rows with about `block` values."""
+    out, a, n = np.zeros((len(at) - 1, dense.shape[1]), np.float32), 0, len(at) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + block, "right")) - 1)
+        full = a + np.flatnonzero(np.diff(at[a : b + 1]))
+        if len(full):
+            part = dense[columns[at[a] : at[b]]] * values[at[a] : at[b], None]
+            out[full] = np.add.reduceat(part, at[full] - at[a], axis=0)
+        a = b
+    return out
 
 
 @dataclass
 class Model:
-    scale: np.ndarray  # weight of each count
-    basis: np.ndarray  # WIDTH x dimensions
+    basis: np.ndarray  # WIDTH x dimensions, times the weight of each term
     vectors: np.ndarray  # labelled rows x dimensions, unit length
     labels: np.ndarray
     prior: float
 
-    def embed(self, found: np.ndarray) -> np.ndarray:
-        out = (np.log1p(found) * self.scale) @ self.basis
+    def embed(self, columns: np.ndarray, logs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = _product(columns, logs, at, self.basis)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def vote(self, vectors: np.ndarray, neighbours: int, block: int = 512) -> np.ndarray:
@@ -72,33 +91,46 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def _decompose(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
-    """The leading right singular vectors of x by subspace iteration."""
-    q = np.random.default_rng(7).standard_normal((x.shape[1], min(dimensions + 8, *x.shape))).astype(np.float32)
+def _decompose(columns: np.ndarray, values: np.ndarray, at: np.ndarray, width: int, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of sparse rows by subspace iteration."""
+    n = len(at) - 1
+    order = np.argsort(columns, kind="stable")
+    rows = np.repeat(np.arange(n), np.diff(at))[order]
+    turned = rows, values[order], np.searchsorted(columns[order], np.arange(width + 1))
+    q = np.random.default_rng(7).standard_normal((width, min(dimensions + 8, n, width))).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(_product(*turned, _product(columns, values, at, q)))
+    _, _, v = np.linalg.svd(_product(columns, values, at, q), full_matrices=False)
     return (q @ v.T)[:, :dimensions].astype(np.float32)
 
 
 def fit(sample: DataFrame, dimensions: int = 32) -> Model | None:
-    """The model of a bounded sample (text, label); None if it is empty. Tasks count the texts; only counts come to the driver."""
+    """The model of a bounded sample (text, label); None if it is empty. Tasks count the texts; only the terms that occur come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x.astype("<f2").tobytes() for _, _, text, offs in common.chunks(batch.column(1)) for x in np.log1p(counts(text, offs))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "logs"])
+            rows = []
+            for _, _, text, offs in common.chunks(batch.column(1)):
+                columns, logs, at = terms(text, offs)
+                rows += [(columns[a:b].astype("<u4").tobytes(), logs[a:b].astype("<f2").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), pa.binary()) for x in (zip(*rows) if rows else ((), ())))], ["label", "columns", "logs"])
 
-    rows = sorted((r["label"], bytes(r["logs"])) for r in sample.select("label", "text").mapInArrow(count, "label int, logs binary").collect())
+    rows = sorted((r["label"], bytes(r["columns"]), bytes(r["logs"])) for r in sample.select("label", "text").mapInArrow(count, "label int, columns binary, logs binary").collect())
     if not rows:
         return None
-    x = np.frombuffer(b"".join(v for _, v in rows), "<f2").reshape(len(rows), WIDTH).astype(np.float32)
-    y = np.array([v for v, _ in rows], np.float64)
-    scale = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    x *= scale
-    basis = _decompose(x, dimensions)
-    vectors = x @ basis
-    return Model(scale, basis, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), y, float(y.mean()))
+    columns = np.frombuffer(b"".join(c for _, c, _ in rows), "<u4")
+    at = np.concatenate([[0], np.cumsum([len(c) // 4 for _, c, _ in rows])])
+    # only columns that the sample has are decomposed
+    used, place, holders = np.unique(columns, return_inverse=True, return_counts=True)
+    scale = np.log((1 + len(rows)) / (1 + holders)).astype(np.float32) + np.float32(0.1)
+    logs = np.frombuffer(b"".join(v for _, _, v in rows), "<f2").astype(np.float32)
+    y = np.array([v for v, _, _ in rows], np.float64)
+    found = _decompose(place, logs * scale[place], at, len(used), dimensions) * scale[:, None]
+    basis = np.zeros((WIDTH, found.shape[1]), np.float32)
+    basis[used] = found
+    model = Model(basis, np.zeros((0, found.shape[1]), np.float32), y, float(y.mean()))
+    model.vectors = model.embed(columns, logs, at)
+    return model
 
 
 def rate(docs: DataFrame, model: Model | None, neighbours: int = 15, score: str = "quality_score") -> DataFrame:
@@ -119,7 +151,7 @@ def rate(docs: DataFrame, model: Model | None, neighbours: int = 15, score: str
             out = np.full(batch.num_rows, 0.5)
             if model is not None:
                 for a, b, text, offs in common.chunks(batch.column(at)):
-                    out[a:b] = model.vote(model.embed(counts(text, offs)), neighbours)
+                    out[a:b] = model.vote(model.embed(*terms(text, offs)), neighbours)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, common.widened(docs, f"`{score}` double"))

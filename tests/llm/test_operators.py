@@ -327,6 +327,23 @@ def test_quality_votes(spark, empty):
     assert [r.score for r in knn_quality.rate(odd, None, score="score").collect()] == [0.5, 0.5]
 
 
+def test_quality_shows_in_words(spark):
+    r = random.Random(8)
+    good, spam = (["".join(r.choice("abcdefghilmnoprstu") for _ in range(6)) for _ in range(80)] for _ in range(2))
+    text = lambda pool: " ".join(r.choice(pool) for _ in range(60)).capitalize() + "."
+    rows = [(i, text(spam if i % 2 else good), 1 - i % 2) for i in range(300)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = knn_quality.digest(data.drop("quality"), data.drop("text")).join(data, "doc_id").where("held_out").collect()
+    assert sum(x.predicted == x.quality for x in found) >= 0.95 * len(found)
+    # word salad: the same words, whose neighbours alone tell it from fixed phrases
+    phrases = [" ".join(r.sample(good, 4)) for _ in range(25)]
+    rows = [(i, text(" ".join(phrases).split() if i % 2 else phrases), 1 - i % 2) for i in range(300)]
+    rows = [(i, " ".join(t.split()[:60]), q) for i, t, q in rows]
+    data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = knn_quality.digest(data.drop("quality"), data.drop("text")).join(data, "doc_id").where("held_out").collect()
+    assert sum(x.predicted == x.quality for x in found) >= 0.85 * len(found)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(10)
     plain = ["".join(r.choice(["an", "er", "th", "on", "re"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
