@@ -3,9 +3,10 @@
 Two multinomials over hashed n-grams are estimated from all documents: the
 target from the trusted rows, the raw one from every row. A document's score is
 the sum of log(target / raw) over its n-grams, divided by their number, and one
-fixed threshold decides for every document. The n-grams are word endings (the
-last three code points of a word) and pairs of neighbouring endings, which many
-words share in any language while symbols and markup stand out.
+fixed threshold decides for every document. The n-grams are whole words, pairs
+of neighbouring words and word endings (the last three code points of a word,
+which many words share, so that they tell something of words never seen before),
+each kind in buckets of its own. A short form takes only endings and their pairs.
 
 Everything here is a DataFrame expression; no Python runs on the executors.
 """
@@ -19,6 +20,8 @@ from . import common
 
 _SPACES = " \t\n\x0b\x0c\r"
 _ENDING = 3
+#: Occurrences that the target must have or lack before a whole word or pair weighs much: most words of any corpus are rare.
+_PRIOR = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -31,11 +34,21 @@ def _ending(word: Column) -> Column:
     return F.substring(word, -_ENDING, _ENDING)
 
 
-def _grams(words: str, at: str, buckets: int) -> Column:
-    """The buckets of the word ending at position `at` and of its pair with the next one (null at the last word)."""
-    one, two = _ending(F.get(F.col(words), F.col(at))), _ending(F.get(F.col(words), F.col(at) + 1))
-    pair = F.when(two.isNotNull(), F.pmod(F.xxhash64(one, F.lit("+"), two), F.lit(buckets)))
-    return F.array(F.pmod(F.xxhash64(one), F.lit(buckets)), pair)
+def _grams(words: str, at: str, buckets: int, whole: int | None) -> Column:
+    """The buckets of the n-grams at position `at` (null for a pair at the last word).
+
+    With `whole`: the ending, the word and the pair of words, in `buckets`,
+    `whole` and `whole` buckets that follow each other. Without: the ending and
+    the pair of endings, which share `buckets`.
+    """
+    first, second = F.get(F.col(words), F.col(at)), F.get(F.col(words), F.col(at) + 1)
+    ending = F.pmod(F.xxhash64(_ending(first)), F.lit(buckets))
+    if whole is None:
+        pair = F.when(second.isNotNull(), F.pmod(F.xxhash64(_ending(first), F.lit("+"), _ending(second)), F.lit(buckets)))
+        return F.array(ending, pair)
+    word = F.pmod(F.xxhash64(first), F.lit(whole)) + buckets
+    pair = F.when(second.isNotNull(), F.pmod(F.xxhash64(first, F.lit(" "), second), F.lit(whole)) + buckets + whole)
+    return F.array(ending, word, pair)
 
 
 def repeated_words(words: str, bits: str) -> Column:
@@ -83,19 +96,28 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, weight): log(target / raw) with add-one smoothing, from the words of all documents. At most `buckets` rows."""
+def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int | None = None) -> DataFrame:
+    """(bucket, weight): log(target / raw) from the words of all documents. At most buckets + 2 whole rows.
+
+    The short form has add-one smoothing. With `whole` words most grams are rare,
+    and adding one to both counts would call a gram good that the target never
+    had; there the target's count is held against the one expected from the raw
+    share, both with the same prior, so that a rare gram weighs next to nothing.
+    """
     marks = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
     # the marks join before the texts are split: each text moves once, at every size of the marks
     rows = docs.join(marks.hint("merge"), docs["doc_id"] == marks["trusted_id"], "left").select(F.col("trusted_id").isNotNull().alias("target"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    grams = rows.where(F.size("words") > 0).select("target", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("target", F.explode(_grams("words", "at", buckets)).alias("bucket")).where("bucket is not null")
+    grams = rows.where(F.size("words") > 0).select("target", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("target", F.explode(_grams("words", "at", buckets, whole)).alias("bucket")).where("bucket is not null")
     counts = common.stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")), "gram-counts")
     totals = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()
     raw_n, target_n = totals["raw_n"] or 0, totals["target_n"] or 0
+    if whole is not None:
+        expected = F.col("raw") * F.lit(target_n / max(1, raw_n))
+        return counts.select("bucket", F.log((F.col("target") + _PRIOR) / (expected + _PRIOR)).alias("weight"))
     return counts.select("bucket", (F.log((F.col("target") + 1) / F.lit(float(target_n + buckets))) - F.log((F.col("raw") + 1) / F.lit(float(raw_n + buckets)))).alias("weight"))
 
 
-def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float = -0.15) -> DataFrame:
+def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float = -0.15, whole: int | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): the counts, base_failed, ratio (double) and kept.
 
     trusted names the target's rows by doc_id. kept is false where the base
@@ -103,17 +125,19 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     all ratios follow the raw corpus alone, so no document is refused by them
     (the ratio is 0). Null and blank texts have no words and fail the base
     rules. Rows that repeat are rated one by one; a null doc_id is carried
-    along; columns besides doc_id and text are not looked at.
+    along; columns besides doc_id and text are not looked at. `whole` is the
+    number of buckets for whole words and, again, for their pairs; None takes
+    endings and their pairs alone.
     """
     docs = docs.select("doc_id", "text")
-    weights = gram_weights(docs, trusted, buckets)
+    weights = gram_weights(docs, trusted, buckets, whole)
     known = trusted.where("doc_id is not null").limit(1).count() > 0
     counted = base_counts(docs.withColumn("row", F.monotonically_increasing_id()))
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # what fails the base rules needs no ratio: its n-grams are not made
     use = (~F.col("base_failed")) & F.lit(known)
     spread = counted.select("row", *keep, "words", F.explode(F.when(use, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array(F.lit(-1)))).alias("at"))
-    spread = spread.select("row", *keep, F.explode(F.when(F.col("at") >= 0, _grams("words", "at", buckets)).otherwise(F.array(F.lit(None).cast("long")))).alias("bucket"))
+    spread = spread.select("row", *keep, F.explode(F.when(F.col("at") >= 0, _grams("words", "at", buckets, whole)).otherwise(F.array(F.lit(None).cast("long")))).alias("bucket"))
     scored = spread.join(F.broadcast(weights.withColumnRenamed("bucket", "gram")), F.col("bucket") == F.col("gram"), "left")
     rated = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in keep], F.coalesce(F.sum("weight") / F.nullif(F.count("bucket"), F.lit(0)), F.lit(0.0)).alias("ratio"))
     return rated.select(*keep, "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))

@@ -31,9 +31,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trusted target is what labels.quality marks as good."""
+    """The trusted target is what labels.quality marks as good; whole words and their pairs have 2^20 buckets each."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    found = quality_rules.rate(table(spark, sf_dir, "documents"), trusted)
+    found = quality_rules.rate(table(spark, sf_dir, "documents"), trusted, whole=1 << 20)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

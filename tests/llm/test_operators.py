@@ -225,6 +225,36 @@ def test_ratio_against_brute_force(spark):
         assert found[i] == pytest.approx(sum(np.log((target[x] + 1) / a) - np.log((raw[x] + 1) / b) for x in g) / len(g), abs=1e-9)
 
 
+def test_ratio_reads_whole_words(spark):
+    r = random.Random(6)
+    stems = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(5)) for _ in range(120)]
+    good, junk = [x + "ing" for x in stems[:60]], [x + "ing" for x in stems[60:]]
+    rows = [(i, " ".join(r.choice(junk if i % 4 == 0 else good) for _ in range(80))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = frame.where("doc_id % 4 in (1, 2)").select("doc_id")
+    found = {x.doc_id: x for x in quality_rules.rate(frame, trusted, whole=1 << 20).collect()}
+    assert not any(x.base_failed for x in found.values())
+    assert {i for i, x in found.items() if x.kept} == {i for i, _ in rows if i % 4}
+    grams = lambda t: [("e", x[-3:]) for x in words(t)] + words(t) + list(zip(words(t), words(t)[1:]))
+    raw = Counter(g for _, t in rows for g in grams(t))
+    target = Counter(g for i, t in rows if i % 4 in (1, 2) for g in grams(t))
+    share = target.total() / raw.total()
+    for i, t in rows[:8]:
+        # distinct pairs seldom share a bucket of the 2^20
+        assert found[i].ratio == pytest.approx(np.mean([np.log((target[g] + 10) / (raw[g] * share + 10)) for g in grams(t)]), abs=1e-2)
+
+
+def test_query_reads_whole_words(spark, tmp_path):
+    from echogrid.llm import queries
+
+    r = random.Random(7)
+    pools = [["".join(r.choice("abcdefghilmnoprstu") for _ in range(5)) + "ing" for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join(r.choice(pools[i % 4 == 0]) for _ in range(80))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(80) if i % 4 in (1, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {x.doc_id for x in queries.op6_quality_rules(spark, str(tmp_path)).where("kept").collect()} == {i for i in range(80) if i % 4}
+
+
 def distance(pattern, text):
     """The least edit distance of pattern to a substring of text, by the plain table."""
     row = [0] * (len(text) + 1)
