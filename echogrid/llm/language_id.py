@@ -101,27 +101,51 @@ class Model:
         return langs, scores
 
 
+def chosen(sample: DataFrame, most: int, least: int = 20) -> DataFrame:
+    """(id, language) of distinct pairs of sample (doc_id, lang), for each language those of lowest hash up to one quota.
+
+    The quota is an equal part of `most`, but `least` where there are very many
+    languages. A language with many pairs is first thinned by the hash to about
+    three quotas, so that no task gathers more than a few quotas of a language.
+    """
+    pairs = sample.select("doc_id", "lang").distinct().withColumn("rank", F.xxhash64("doc_id"))
+    sizes = pairs.groupBy("lang").agg(F.count("*").alias("pairs"))
+    n = sizes.count()
+    quota = max(least, most // max(1, n))
+    part = (F.col("rank") / F.lit(2.0**64) + 0.5) * F.col("pairs")
+    few = pairs.join(F.broadcast(sizes), "lang").where(part <= 3 * quota + 30)
+    lowest = few.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), 1, quota).alias("lowest"))
+    return lowest.select(F.explode("lowest").alias("one"), F.col("lang").alias("language")).select(F.col("one.doc_id").alias("id"), "language")
+
+
 def fit(docs: DataFrame, most: int = 2000) -> Model | None:
-    """Fits the machines on at most `most` documents with text and language; None if there is none.
+    """Fits the machines on about `most` documents with text and language, as many of each language where there are; None if there is none.
 
-    The sample is chosen by a hash of doc_id. Tasks turn the whole texts into
-    histograms; only those come to the driver.
+    The documents are chosen by a hash of doc_id, one text for each pair of
+    doc_id and language. Tasks turn the whole texts into histograms; only those
+    come to the driver.
     """
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, str], tuple[int, bytes]] = {}
         for batch in batches:
-            rows = []
-            for _, _, text, offs in common.chunks(batch.column(1)):
-                grams = trigrams(text, offs)
-                for a, b in zip(offs[:-1], offs[1:], strict=True):
-                    counts = np.bincount(grams[a:b], minlength=(1 << BITS) + 1)[:-1]
-                    rows.append((counts / max(1, counts.sum())).astype(np.float32).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "counts"])
+            ids, langs, ranks = (batch.column(k).to_pylist() for k in range(3))
+            for first, _, text, offs in common.chunks(batch.column(3)):
+                for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True), first):
+                    key = ids[i], langs[i]
+                    if key in best and best[key][0] <= ranks[i]:
+                        continue
+                    counts = np.bincount(trigrams(text[a:b], np.array([0, b - a])), minlength=(1 << BITS) + 1)[:-1]
+                    best[key] = ranks[i], (counts / max(1, counts.sum())).astype("<f4").tobytes()
+        rows = [(*key, *value) for key, value in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], ["id", "lang", "rank", "counts"])
 
     sample = docs.where("doc_id is not null and lang is not null and text is not null and length(text) > 2").select("doc_id", "lang", "text")
-    chosen = sample.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), F.col("lang").alias("language")).distinct()
-    picked = sample.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("language"))).select("lang", "text")
-    rows = sorted((str(r["lang"]), bytes(r["counts"])) for r in picked.mapInArrow(histograms, "lang string, counts binary").collect())
+    picked = sample.join(F.broadcast(chosen(sample, most)), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("language")))
+    counted = picked.select(F.col("doc_id").cast("string"), "lang", F.xxhash64("text").alias("rank"), "text").mapInArrow(histograms, "id string, lang string, rank long, counts binary")
+    # tasks leave one row of each pair; of the tasks' rows the lowest stays
+    single = counted.groupBy("id", "lang").agg(F.min(F.struct("rank", "counts")).alias("one")).select("lang", "one.counts")
+    rows = sorted((str(r["lang"]), bytes(r["counts"])) for r in single.collect())
     if not rows:
         return None
     x = np.frombuffer(b"".join(c for _, c in rows), "<f4").reshape(len(rows), -1)

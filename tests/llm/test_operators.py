@@ -348,6 +348,27 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_sample_has_a_quota(spark, monkeypatch):
+    r = random.Random(12)
+    pool = {"en": ["the", "house", "which", "with"], "es": ["casa", "que", "niño", "para"], "fr": ["maison", "quelle", "vous", "été"]}
+    text = lambda lang: " ".join(r.choice(pool[lang]) for _ in range(20))
+    rows = [(i, text("en"), "en") for i in range(3000)] + [(5000 + i, text("es"), "es") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(frame, most=60)
+    assert sorted(x for names in model.families for x in names) == ["en", "es"]
+    assert [x.lang_pred for x in language_id.identify(spark.createDataFrame([(1, text("es"))], "doc_id long, text string"), model).collect()] == ["es"]
+    # one document of many rows and a low hash takes one place, and one histogram
+    hot = spark.range(400).selectExpr("id", "xxhash64(id) h").orderBy("h").first()[0]
+    rows = [(hot, text("en"), "en")] * 500 + [(hot, text("en"), "en") for _ in range(50)] + [(1000 + i, text(x), x) for i in range(60) for x in ["en", "es", "fr"][i % 3 :][:1]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert {x.language: x["count"] for x in language_id.chosen(frame, 60).groupBy("language").count().collect()} == {"en": 20, "es": 20, "fr": 20}
+    sizes = []
+    monkeypatch.setattr(language_id, "svm", lambda x, y, plain=language_id.svm: sizes.append(len(x)) or plain(x, y))
+    model = language_id.fit(frame, most=60)
+    assert sorted(x for names in model.families for x in names) == ["en", "es", "fr"]
+    assert max(sizes) == 60
+
+
 def test_quality_votes(spark, empty):
     data, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = knn_quality.digest(data, labels).join(labels, "doc_id").where("held_out").collect()
