@@ -24,10 +24,10 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is `und` or hardly told from others go."""
-    pred, score = common.free_name(docs, "lang_pred"), common.free_name(docs, "lang_score")
-    found = language_id.identify(docs, language_id.fit(language_id.learnable(docs)), pred, score)
-    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents go whose language is `und`, is hardly told from others, or whose text is unlike all that was learned of it."""
+    pred, score, excess = (common.free_name(docs, x) for x in ("lang_pred", "lang_score", "lang_excess"))
+    found = language_id.identify(docs, language_id.fit(language_id.learnable(docs)), pred, score, excess)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(excess) >= 0)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

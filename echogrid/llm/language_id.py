@@ -28,6 +28,8 @@ FAMILIES = {
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BITS = 13
+#: Nats a trigram by which a text may fall below its language's lowest hundredth.
+ROOM = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, np.uint8)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = 1
@@ -78,6 +80,17 @@ class Model:
     pairs: list[list[tuple[int, int]]]
     weights: np.ndarray
     bias: np.ndarray
+    profiles: np.ndarray  # languages x trigrams (0 in the last column): log of each trigram's share in the language
+    least: np.ndarray  # languages: a low mean of these logs among the language's learned texts
+    spread: np.ndarray  # languages: standard deviation of one trigram's log
+
+    def excess(self, langs: np.ndarray, grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """How far each text's mean log share lies above the limit of its language; a short text has the room that chance gives it."""
+        names = [lang for family in self.families for lang in family]
+        which = np.array([names.index(lang) for lang in langs], np.int64)
+        n = np.maximum(1, np.diff(offs) - 2)
+        mean = _sums(self.profiles[np.repeat(which, np.diff(offs)), grams], offs) / n
+        return mean - self.least[which] + 4 * self.spread[which] / np.sqrt(n)
 
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Languages and scores from the margins (rows x machines)."""
@@ -163,17 +176,43 @@ def fit(docs: DataFrame, most: int = 2000) -> Model | None:
     table = np.zeros((len(machines), (1 << BITS) + 1), np.float32)
     for k, (w, _) in enumerate(machines):
         table[k, :-1] = w * scale
-    return Model(families, pairs, table, np.array([b for _, b in machines]))
+    return Model(families, pairs, table, np.array([b for _, b in machines]), *_profiles(x / scale, y, [lang for names in families for lang in names]))
 
 
-def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+def _profiles(shares: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log profiles, limits and spreads of the languages.
+
+    A limit lies ROOM below the hundredth of the learned texts with the lowest
+    means; each mean is taken from a profile that the text itself is no part of,
+    where the language has two texts.
+    """
+    logs, least, spread = np.zeros((len(names), shares.shape[1] + 1), np.float32), np.zeros(len(names)), np.zeros(len(names))
+
+    def smooth(share: np.ndarray) -> np.ndarray:
+        return np.log(0.95 * share + 0.05 / len(share))
+
+    for k, name in enumerate(names):
+        own = shares[y == name].astype(np.float64)
+        share = own.mean(0)
+        logs[k, :-1] = smooth(share)
+        others = (own.sum(0) - own) / max(1, len(own) - 1) if len(own) > 1 else own
+        least[k] = np.quantile([float(x @ smooth(o)) for x, o in zip(own, others, strict=True)], 0.01) - ROOM
+        spread[k] = np.sqrt(max(0.0, share @ (logs[k, :-1] - share @ logs[k, :-1]) ** 2))
+    return logs, least, spread
+
+
+def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", score: str = "lang_score", excess: str | None = None) -> DataFrame:
     """docs with the predicted language (string) and a score (0 to 1) added.
 
+    `excess` names a further column (double): below 0, the text is less like its
+    language than the learned texts are, so it is likely of none of them; null
+    for `und`.
+
     A text that is null or has no letter is `und` with score 0, and so is every
     text if nothing could be learned. Columns that have these names already are
     replaced; all others pass through. Rows that repeat are predicted one by one.
     """
-    docs = docs.drop(pred, score)
+    docs = docs.drop(pred, score, *([excess] if excess else []))
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,6 +220,7 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
         model = shared.value
         for batch in batches:
             langs, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+            above = np.full(batch.num_rows, np.nan)
             column = batch.column(at)
             for a, b, text, offs in common.chunks(column):
                 letters = _sums(_ASCII_LETTER[text], offs) > 0
@@ -193,9 +233,12 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
                 margins = np.stack([_sums(w[grams], offs) / n + c for w, c in zip(model.weights, model.bias, strict=True)], 1) if len(model.weights) else np.zeros((b - a, 0))
                 found, sure = model.predict(margins)
                 langs[a:b][letters], scores[a:b][letters] = found[letters], sure[letters]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
+                if excess:
+                    above[a:b][letters] = model.excess(found, grams, offs)[letters]
+            more = {excess: pa.array(above, pa.float64(), from_pandas=True)} if excess else {}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more.values()], [*batch.schema.names, pred, score, *more])
 
-    return docs.mapInArrow(run, common.widened(docs, f"`{pred}` string, `{score}` double"))
+    return docs.mapInArrow(run, common.widened(docs, f"`{pred}` string, `{score}` double" + (f", `{excess}` double" if excess else "")))
 
 
 def learnable(docs: DataFrame, n_folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
 """run() against a brute-force version of its stages."""
 
+import random
+
 import sentencepiece
 
 import corpus_pipeline
@@ -46,6 +48,20 @@ def test_pipeline(spark, tmp_path):
         assert got[i].n_tokens == len(got[i].ids)
 
 
+def test_texts_of_no_learned_language_go(spark):
+    r = random.Random(5)
+    rows = [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "for (int i = 0; i < n; ++i) { if (x[i] != NULL && y[i] > 0x1f) { buf[k++] = (uint8_t)(x[i] ^ y[i]); } } return k;",
+        "".join(r.choice("qwertyuiopasdfghjklzxcvbnm ") for _ in range(400)),
+    ]
+    planted = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)]
+    kept = {x.doc_id for x in corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows + planted, DOC), "").collect()}
+    assert kept == {i for i, t, *_ in rows if t and any(c.isalpha() for c in t)}
+
+
 def test_stages_take_empty_tables_and_nulls(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in ([], [(None, None, None, None, None), (1, None, None, None, None), (1, "", "en", None, 0)]):
