@@ -48,7 +48,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and whether decoding the ids gives the text back."""
-    coded = piece_tokens.decode(piece_tokens.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = piece_tokens.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

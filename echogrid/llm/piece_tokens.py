@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -175,34 +176,27 @@ class Vocabulary:
                 yield word, [x for piece in back for x in self.ids_of(piece)]
             before = word
 
-    def split(self, text: str) -> list[str]:
-        """The marked words of a text; a line end that no piece holds stands alone."""
-        if not text:
-            return []
+    def split(self, text: str) -> Iterator[str]:
+        """The marked words of a text without a mark in front; a line end that no piece holds stands alone."""
         pattern = f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if self.lone_lines else f"{MARK}+[^{MARK}]*"
-        return re.findall(pattern, MARK + text.replace(" ", MARK))
-
-    def decode_table(self, size: int) -> list[bytes]:
-        out = [b""] * size
-        for piece, (i, _) in self.pieces.items():
-            out[i] = piece.replace(MARK, " ").encode("utf-8", "replace")
-        for b, i in enumerate(self.byte_ids):
-            out[i] = bytes([b])
-        if not self.byte_ids:
-            out[self.unknown] = " ⁇ ".encode()
-        return out
+        return map(re.Match.group, re.finditer(pattern, text))
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
-_known: dict[tuple[str, str], list[dict[str, bytes]]] = {}
+_tables: dict[str, list[bytes]] = {}
+_known: dict[tuple[str, str], WordCache] = {}
+
+
+def _model(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     """The pieces of a SentencePiece model file; `kind` says how it was trained."""
     if (path, kind) not in _loaded:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = _model(path)
         n = model.get_piece_size()
         usual = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         byte_ids = [i for i in range(n) if model.is_byte(i)]
@@ -210,62 +204,142 @@ def vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", cache_words: int = 120_000) -> DataFrame:
+def byte_table(path: str = MODEL) -> list[bytes]:
+    """The bytes that each id stands for; all that decoding needs of a model."""
+    if path not in _tables:
+        model = _model(path)
+        table = []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                table.append(bytes([int(model.id_to_piece(i)[1:-1], 16)]))
+            elif model.is_unknown(i):
+                table.append(" \u2047 ".encode())
+            elif model.is_control(i):
+                table.append(b"")
+            else:
+                table.append(model.id_to_piece(i).replace(MARK, " ").encode("utf-8", "replace"))
+        _tables[path] = table
+    return _tables[path]
+
+
+class WordCache:
+    """Ids of words met before, in two generations of about `most` bytes each.
+
+    What the young one holds is the old one when it is full, and what is met
+    again becomes young. Long words are never kept, so the bound holds for
+    texts without blanks too.
+    """
+
+    LONGEST, ENTRY = 64, 250
+
+    def __init__(self, model: Vocabulary, most: int):
+        self.model, self.most, self.held = model, most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= self.LONGEST:
+            self.young[word] = ids
+            self.held += self.ENTRY + len(word) + len(ids)
+
+    def ids_of(self, rows: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words, as little-endian 32-bit numbers."""
+        if self.held > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
+        fresh, once = [], {}
+        for word in set().union(*rows) - self.young.keys():
+            if (found := self.old.get(word)) is None:
+                fresh.append(word)
+            else:
+                self._keep(word, found)
+        fresh.sort()
+        for word, found in self.model.encode_words(fresh):
+            once[word] = ids = array("i", found).tobytes()
+            self._keep(word, ids)
+        if not once.keys() <= self.young.keys():
+            get = lambda w: self.young.get(w) or once[w]
+            return [b"".join(map(get, words)) for words in rows]
+        return [b"".join(map(self.young.__getitem__, words)) for words in rows]
+
+
+def _marked_rows(model: Vocabulary, raw: bytes, offs: list[int], most: int) -> Iterator[tuple[int, list[list[str]]]]:
+    """Marked words by rows, as (rows that end here, words): a row beyond `most` words comes in several parts."""
+    rows: list[list[str]] = []
+    held = 0
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        words: list[str] = []
+        if b > a:
+            words = list(islice(found := model.split(MARK + raw[a:b].decode("utf-8", "replace").replace(" ", MARK)), most))
+            while len(words) == most:
+                yield len(rows), [*rows, words]
+                rows, held, words = [], 0, list(islice(found, most))
+        rows.append(words)
+        held += len(words)
+        if held > most:
+            yield len(rows), rows
+            rows, held = [], 0
+    if rows:
+        yield len(rows), rows
+
+
+def _text_of(table: list[bytes], ids: list[int]) -> str:
+    joined = b"".join(map(table.__getitem__, ids))
+    return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", decoded: str | None = None, cache_bytes: int = 24_000_000) -> DataFrame:
     """docs with an array<int> of piece ids added; null and empty texts have none.
 
-    Whole texts are encoded; a word's ids are kept for later batches of the
-    same worker, in two generations of about cache_words: what the young one
-    had is the old one when it is full, and what is met again becomes young. The file at `path` is read where
-    the tasks run. A column of that name is replaced, others pass through, and
-    rows that repeat are encoded alike.
+    `decoded` names a further column: the text that the ids give back, made in
+    the same pass. Whole texts of any length are encoded, in slices of words,
+    so that a worker holds the ids of a text but never all its words; a word's
+    ids are kept for later batches of the worker, within cache_bytes for each
+    of two generations. The file at `path` is read where the tasks run. Columns
+    of these names are replaced, others pass through, rows that repeat are
+    encoded alike, and an empty table gives an empty result.
     """
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     at = docs.columns.index("text")
+    added = f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path, kind)
-        young, old = _known.setdefault((path, kind), [{}, {}])
+        cache = _known.setdefault((path, kind), WordCache(model, cache_bytes))
+        cache.most = cache_bytes
         for batch in batches:
-            out: list[bytes] = []
-            for _, _, text, offs in common.chunks(batch.column(at), 1 << 21):
-                raw = text.tobytes()
-                rows = [model.split(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                if len(young) > cache_words:
-                    young, old = {}, young
-                    _known[path, kind] = [young, old]
-                fresh = []
-                for word in set().union(*rows) - young.keys():
-                    if (found := old.get(word)) is None:
-                        fresh.append(word)
-                    else:
-                        young[word] = found
-                fresh.sort()
-                for word, found in model.encode_words(fresh):
-                    young[word] = array("i", found).tobytes()
-                out += [b"".join(map(young.__getitem__, words)) for words in rows]
-            values = np.frombuffer(b"".join(out), "<i4")
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*batch.schema.names, ids])
-
-    return docs.mapInArrow(run, common.widened(docs, f"`{ids}` array<int>"))
-
-
-def decode(encoded: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str = "ids", text: str = "decoded") -> DataFrame:
+            for first, end, text, offs in common.chunks(batch.column(at)):
+                out: list[bytes] = []
+                parts: list[bytes] = []
+                for ended, rows in _marked_rows(model, text.tobytes(), offs.tolist(), 1 << 17):
+                    found = cache.ids_of(rows)
+                    if ended:
+                        out.append(b"".join([*parts, found[0]]))
+                        out += found[1:ended]
+                        parts = []
+                    parts += found[ended:]
+                values = np.frombuffer(b"".join(out), "<i4")
+                cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))]
+                if decoded:
+                    table = byte_table(path)
+                    more.append(pa.array([_text_of(table, values[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()))
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*batch.schema.names, ids, *([decoded] if decoded else [])])
+
+    return docs.mapInArrow(run, common.widened(docs, added))
+
+
+def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with the text of its ids added; null ids give the empty text, and bytes that are no UTF-8 become U+FFFD."""
     encoded = encoded.drop(text)
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = vocabulary(path, kind)
-        size = 1 + max([i for i, _ in model.pieces.values()] + model.byte_ids + [model.unknown])
-        table = model.decode_table(size)
+        table = byte_table(path)
         for batch in batches:
             column = batch.column(at).fill_null([]) if batch.column(at).null_count else batch.column(at)
             values, offs = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            out = []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                joined = b"".join(map(table.__getitem__, values[a:b].tolist()))
-                out.append((joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace"))
+            out = [_text_of(table, values[a:b].tolist()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
 
     return encoded.mapInArrow(run, common.widened(encoded, f"`{text}` string"))
@@ -273,7 +347,6 @@ def decode(encoded: DataFrame, path: str = MODEL, kind: str = "bpe", ids: str =
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and round_trip (the decoded text equals the text)."""
-    coded = encode(docs.select("doc_id", "text"), path)
-    both = decode(coded, path)
+    both = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echogrid.llm import components, decontamination, jaccard_join, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding, toxicity, warc
 
@@ -294,11 +295,11 @@ def test_pieces_equal_the_library(spark, docs, empty):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=piece_tokens.MODEL)
-    odd = [(100, "  lead and  trail  "), (101, "日本語 ﬁ \U0001f600\t<s> <0x0A> \r\n\n"), (102, "▁mark ▁▁x"), (103, "a" * 3000 + " " * 50 + "b")]
+    odd = [(100, "  lead and  trail  "), (101, "日本語 ﬁ \U0001f600\t<s> <0x0A> \r\n\n"), (102, "▁mark ▁▁x"), (103, "a" * 3000 + " " * 50 + "b"), (104, " ".join(f"w{i % 977}é{i}" for i in range(150_000)))]
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
-    for r in piece_tokens.decode(piece_tokens.encode(frame, cache_words=20)).collect():
+    for r in piece_tokens.decode(piece_tokens.encode(frame.withColumn("decoded", F.lit(1)), decoded="same", cache_bytes=2000)).collect():
         assert r.ids == model.encode(r.text or "")
-        assert r.decoded == (r.text or "").replace("▁", " ")
+        assert r.decoded == r.same == (r.text or "").replace("▁", " ")
     assert piece_tokens.digest(empty).count() == 0
     assert piece_tokens.digest(docs).where("not round_trip").count() == 0
 
