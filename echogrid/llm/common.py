@@ -7,6 +7,7 @@ no Python object per word.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,12 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests, a folder of this machine stands in.
+    The cluster names it in spark.checkpoint.dir; only where that is unset and
+    Spark runs in one process, as in tests, a folder of this machine stands in.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -57,6 +60,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], rows: str, how: str = "inner", most: int = 2000) -> DataFrame:
+    """left joined (inner or left) with right (null-safe equal keys), where right has each key once and, in `rows`, how many rows of left have it.
+
+    A key that holds more than a share of 1 in `most` of all these rows is split
+    by a hash of left's row, so no task gets all rows of a frequent key. At most
+    `most` keys are that frequent, which bounds what is broadcast.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    share = max(1, -(-total // most))
+    salts = F.floor((F.col(rows) - 1) / share).cast("long")
+    hot = right.where(F.col(rows) > share)
+    taken = "_" * max(len(c) for c in left.columns + right.columns)
+    salt, its, own = (f"{taken}{x}" for x in ("salt", "salts", "right_salt"))
+    hot = hot.select(*[F.col(b).alias(f"hot_{i}") for i, (_, b) in enumerate(keys)], (salts + 1).alias(its))
+    same = [left[a].eqNullSafe(hot[f"hot_{i}"]) for i, (a, _) in enumerate(keys)]
+    order = [c for c, kind in left.dtypes if not kind.startswith(("map", "variant"))]
+    salted = left.join(F.broadcast(hot), same, "left").select(*left.columns, F.coalesce(F.pmod(F.xxhash64(*order), F.col(its)), F.lit(0)).alias(salt))
+    spread = right.withColumn(own, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), salts))))
+    both = [salted[a].eqNullSafe(spread[b]) for a, b in keys]
+    return salted.join(spread, [*both, salted[salt] == spread[own]], how).drop(salt, own)
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold that the label contracts name. Null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
@@ -93,12 +118,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return text[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about `most` bytes: (first row, end row, bytes, offsets). A longer text is a run by itself."""
+def chunks(column: pa.Array, most: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most `rows` rows and about `most` bytes: (first row, end row, bytes, offsets). A longer text is a run by itself."""
     text, offs = buffers(column)
     n, a = len(offs) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
+        b = min(b, a + rows)
         yield a, b, text[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 

@@ -8,7 +8,6 @@ machine's margin for a whole text is a mean of table lookups.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,7 +29,8 @@ _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BITS = 13
 #: Nats a trigram by which a text may fall below its language's lowest hundredth.
 ROOM = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
+#: Shares travel as half floats of this many parts, which keeps small ones exact enough.
+_UNIT = 1024.0
 _ASCII_LETTER = np.zeros(256, np.uint8)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = 1
 
@@ -57,10 +57,20 @@ def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(text: np.ndarray, offs: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, offsets) in slices of about `most` bytes if this is one very long row; each trigram lies in one slice."""
+    if len(offs) > 2 or len(text) <= most + 2:
+        yield text, offs
+        return
+    for a in range(0, max(1, len(text) - 2), most):
+        part = text[a : a + most + 2]
+        yield part, np.array([0, len(part)])
+
+
 def svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient descent; classes weigh the same."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
-    size = 2 * float((share * (x * x).sum(1)).sum()) + 2 + penalty
+    size = 2 * float((share * np.einsum("ij,ij->i", x, x)).sum()) + 2 + penalty
     w, b, pw, pb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
     for k in range(rounds):
         m = k / (k + 3)
@@ -84,12 +94,21 @@ class Model:
     least: np.ndarray  # languages: a low mean of these logs among the language's learned texts
     spread: np.ndarray  # languages: standard deviation of one trigram's log
 
-    def excess(self, langs: np.ndarray, grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def totals(self, text: np.ndarray, offs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Sums of each table over the trigrams of each row (rows x tables)."""
+        out = np.zeros((len(offs) - 1, len(tables)))
+        for part, at in slices(text, offs):
+            grams = trigrams(part, at)
+            for k, table in enumerate(tables):
+                out[:, k] += _sums(table[grams], at)
+        return out
+
+    def excess(self, langs: np.ndarray, sums: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """How far each text's mean log share lies above the limit of its language; a short text has the room that chance gives it."""
         names = [lang for family in self.families for lang in family]
         which = np.array([names.index(lang) for lang in langs], np.int64)
         n = np.maximum(1, np.diff(offs) - 2)
-        mean = _sums(self.profiles[np.repeat(which, np.diff(offs)), grams], offs) / n
+        mean = sums[np.arange(len(which)), which] / n
         return mean - self.least[which] + 4 * self.spread[which] / np.sqrt(n)
 
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +167,8 @@ def fit(docs: DataFrame, most: int = 2000) -> Model | None:
                     key = ids[i], langs[i]
                     if key in best and best[key][0] <= ranks[i]:
                         continue
-                    counts = np.bincount(trigrams(text[a:b], np.array([0, b - a])), minlength=(1 << BITS) + 1)[:-1]
-                    best[key] = ranks[i], (counts / max(1, counts.sum())).astype("<f4").tobytes()
+                    counts = sum(np.bincount(trigrams(*x), minlength=(1 << BITS) + 1)[:-1] for x in slices(text[a:b], np.array([0, b - a])))
+                    best[key] = ranks[i], (counts * (_UNIT / max(1, counts.sum()))).astype("<f2").tobytes()
         rows = [(*key, *value) for key, value in best.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], ["id", "lang", "rank", "counts"])
 
@@ -161,11 +180,15 @@ def fit(docs: DataFrame, most: int = 2000) -> Model | None:
     rows = sorted((str(r["lang"]), bytes(r["counts"])) for r in single.collect())
     if not rows:
         return None
-    x = np.frombuffer(b"".join(c for _, c in rows), "<f4").reshape(len(rows), -1)
     y = np.array([lang for lang, _ in rows], object)
+    x = np.empty((len(rows), 1 << BITS), np.float32)
+    while rows:
+        x[len(rows) - 1] = np.frombuffer(rows.pop()[1], "<f2")
+    x /= _UNIT
     scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32)
-    x = x * scale
     langs = sorted(set(y))
+    profiles = _profiles(x, y, langs)
+    x *= scale
     families = [[lang for lang in langs if _FAMILY.get(lang, lang) == f] for f in sorted({_FAMILY.get(lang, lang) for lang in langs})]
     machines = [svm(x, np.where(np.isin(y, names), 1, -1).astype(np.float32)) for names in families] if len(families) > 1 else []
     pairs = [list(combinations(range(len(names)), 2)) for names in families]
@@ -176,7 +199,7 @@ def fit(docs: DataFrame, most: int = 2000) -> Model | None:
     table = np.zeros((len(machines), (1 << BITS) + 1), np.float32)
     for k, (w, _) in enumerate(machines):
         table[k, :-1] = w * scale
-    return Model(families, pairs, table, np.array([b for _, b in machines]), *_profiles(x / scale, y, [lang for names in families for lang in names]))
+    return Model(families, pairs, table, np.array([b for _, b in machines]), *(part[[langs.index(lang) for names in families for lang in names]] for part in profiles))
 
 
 def _profiles(shares: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +215,13 @@ def _profiles(shares: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[np.n
         return np.log(0.95 * share + 0.05 / len(share))
 
     for k, name in enumerate(names):
-        own = shares[y == name].astype(np.float64)
-        share = own.mean(0)
+        own = np.flatnonzero(y == name)
+        total = sum(shares[i].astype(np.float64) for i in own)
+        share = total / len(own)
         logs[k, :-1] = smooth(share)
-        others = (own.sum(0) - own) / max(1, len(own) - 1) if len(own) > 1 else own
-        least[k] = np.quantile([float(x @ smooth(o)) for x, o in zip(own, others, strict=True)], 0.01) - ROOM
+        # one text at a time: the driver holds one table of shares and no second
+        means = [float(shares[i] @ smooth((total - shares[i]) / (len(own) - 1) if len(own) > 1 else share)) for i in own]
+        least[k] = np.quantile(means, 0.01) - ROOM
         spread[k] = np.sqrt(max(0.0, share @ (logs[k, :-1] - share @ logs[k, :-1]) ** 2))
     return logs, least, spread
 
@@ -208,7 +233,8 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
     language than the learned texts are, so it is likely of none of them; null
     for `und`.
 
-    A text that is null or has no letter is `und` with score 0, and so is every
+    Whole texts are read, very long ones in slices. An empty table gives an empty
+    result. A text that is null or has no letter (str.isalpha) is `und` with score 0, and so is every
     text if nothing could be learned. Columns that have these names already are
     replaced; all others pass through. Rows that repeat are predicted one by one.
     """
@@ -225,16 +251,15 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
             for a, b, text, offs in common.chunks(column):
                 letters = _sums(_ASCII_LETTER[text], offs) > 0
                 for i in np.flatnonzero(~letters & (np.diff(offs) > 0)):
-                    letters[i] = _LETTER.search(bytes(text[offs[i] : offs[i + 1]]).decode("utf-8", "replace")) is not None
+                    letters[i] = any(map(str.isalpha, bytes(text[offs[i] : offs[i + 1]]).decode("utf-8", "replace")))
                 if model is None or not letters.any():
                     continue
-                grams = trigrams(text, offs)
                 n = np.maximum(1, np.diff(offs) - 2)
-                margins = np.stack([_sums(w[grams], offs) / n + c for w, c in zip(model.weights, model.bias, strict=True)], 1) if len(model.weights) else np.zeros((b - a, 0))
+                margins = model.totals(text, offs, model.weights) / n[:, None] + model.bias
                 found, sure = model.predict(margins)
                 langs[a:b][letters], scores[a:b][letters] = found[letters], sure[letters]
                 if excess:
-                    above[a:b][letters] = model.excess(found, grams, offs)[letters]
+                    above[a:b][letters] = model.excess(found, model.totals(text, offs, model.profiles), offs)[letters]
             more = {excess: pa.array(above, pa.float64(), from_pandas=True)} if excess else {}
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more.values()], [*batch.schema.names, pred, score, *more])
 
