@@ -3,27 +3,36 @@
 A text's set holds the hashes of its distinct word n-grams. Two texts link when
 100 * shared >= percent * united. Equal sets are one class and travel once.
 
-1. All n-grams are counted in a sketch of fixed size, which orders n-grams from
-   rare to frequent. A set needs only its rarest few (n - T + 1 of n) in the
-   inverted lists: linked sets share at least one of those.
-2. Sets that sizes and places in some list allow to link go, once, to the home list that most
-   sets share. There, in blocks of bounded size, each set is searched among the
-   others by T-occurrence: the short lists are merged, and the long ones are
-   probed by binary search for what the merge left. A home of several blocks
-   then brings what is not yet in its main component to all its blocks. This
-   settles a group of near copies without its pairs ever being written out.
+1. A sketch of fixed size orders n-grams from rare to frequent. Two linked sets
+   share at least k of their rarest n - T + k n-grams, so only these go into
+   inverted lists. A set stays a candidate if at least k of its lists hold
+   another set of fitting size; with k a tenth of the set, n-grams that sets
+   share by chance make no candidates, however large the corpus.
+2. Candidates go, once, to the home list that most sets share. There, in blocks
+   of bounded size, each set is searched among the others by T-occurrence: the
+   short lists are merged through a heap that skips what can't reach the needed
+   count, and the long ones are probed by binary search for what the merge left.
+   A home of several blocks then brings what is not yet in its main component to
+   all its blocks. This settles a group of near copies without its pairs ever
+   being written out.
 3. Every list again: its pairs of sets from different homes that are not in one
    component yet, and that sizes and positions allow, are verified by the same
    search; first neighbours only, as that leaves few pairs for the whole round.
 
-Links between sets that a chain of links already joins do not change any
-component and are not searched. The components are those of all links.
+A list that the sketch calls longer than `list_rows` lies in parts, so no task
+holds it whole; in step 3 its parts meet in pairs. Links between sets that a
+chain of links already joins do not change any component and are not searched.
+The components are those of all links. The sketch, the Bloom filters and the
+lengths from which lists are searched for neighbours first (_LONG) or in parts
+only order or spare work; no result depends on them.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -72,6 +81,11 @@ def overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarra
     return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
+def common_first(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """The number k of rare shared n-grams that the lists of a set of size n allow for."""
+    return np.maximum(1, n // 10)
+
+
 def key_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -88,6 +102,33 @@ class BlockIndex:
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
         self.tokens, self.first = every[first], first
         self.length = np.diff(np.r_[first, len(every)])
+        self.owners = self.owner.tolist()
+
+    def merge(self, lists: list[tuple[int, int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets in at least `least` of the lists (first and end place in the owners), and in how many: MergeSkip over a heap."""
+        owners, found, counts = self.owners, [], []
+        heap = [(owners[a], a, b) for a, b in lists]
+        heapify(heap)
+        while len(heap) >= least:
+            top, moved = heap[0][0], []
+            while heap and heap[0][0] == top:
+                moved.append(heappop(heap))
+            if len(moved) >= least:
+                found.append(top)
+                counts.append(len(moved))
+                for _, a, b in moved:
+                    if a + 1 < b:
+                        heappush(heap, (owners[a + 1], a + 1, b))
+                continue
+            # the next least - 1 lists can't lift any set below the new top to `least`: they jump to it
+            while len(moved) < least - 1:
+                moved.append(heappop(heap))
+            top = heap[0][0]
+            for _, a, b in moved:
+                a = bisect_left(owners, top, a, b)
+                if a < b:
+                    heappush(heap, (owners[a], a, b))
+        return np.array(found, np.int64), np.array(counts, np.int64)
 
     def search(self, query: np.ndarray, percent: int, allowed: np.ndarray | None = None, weight: float = 0.0085) -> np.ndarray:
         """The sets that link with the query."""
@@ -101,15 +142,13 @@ class BlockIndex:
         at = at[np.argsort(self.length[at], kind="stable")]
         n_long = min(int(least / (weight * np.log2(max(2, self.length[at[-1]])) + 1)), least - 1)
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        size = self.length[short]
-        places = np.repeat(self.first[short] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        merged = np.bincount(self.owner[places], minlength=len(self.sizes))
-        found = np.flatnonzero(merged >= max(1, least - n_long))
+        firsts = self.first[short]
+        found, have = self.merge(list(zip(firsts.tolist(), (firsts + self.length[short]).tolist(), strict=True)), max(1, least - n_long))
         if allowed is not None:
-            found = found[allowed[found]]
+            have, found = have[allowed[found]], found[allowed[found]]
         ratio = 100 * np.minimum(self.sizes[found], len(query)) >= percent * np.maximum(self.sizes[found], len(query))
-        found = found[ratio]
-        wanted, have = overlap(len(query), self.sizes[found], percent), merged[found]
+        have, found = have[ratio], found[ratio]
+        wanted = overlap(len(query), self.sizes[found], percent)
         left = n_long
         for k in long.tolist():
             if not len(found):
@@ -174,7 +213,7 @@ def _in_blocks(array: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(array, _BLOCKS))]
 
 
-def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: int = 22, block: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: int = 22, block: int = 500_000, list_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Sets and components of docs (doc_id, text).
 
     Returns (doc_id, n_shingles, set_key, text_key), a row for each row of docs
@@ -186,12 +225,12 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     slots = 1 << sketch_bits
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(slots, np.uint16), [], 0
+        counts, waiting, held = np.zeros(slots, np.uint32), [], 0
         names = ["doc_id", "text_key", "n", "key", "block", "bytes"]
 
         def count() -> None:
             more = np.bincount(np.concatenate(waiting), minlength=slots) if waiting else np.zeros(slots, np.int64)
-            np.minimum(counts + more, 65535, out=counts, casting="unsafe")
+            np.minimum(counts + more, 2**32 - 1, out=counts, casting="unsafe")
             waiting.clear()
 
         for batch in batches:
@@ -214,48 +253,46 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
 
     first = common.stored(docs.mapInArrow(first_pass, "doc_id long, text_key long, n int, key long, block int, bytes binary"), "sets")
     members = first.where("block is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("set_key"), "text_key")
-    counts = _merged_blocks(first.where("block is not null").select("block", "bytes"), "<u2", top=False)
+    counts = _merged_blocks(first.where("block is not null").select("block", "bytes"), "<u4", top=False)
     if not len(counts):
-        counts = np.zeros(slots, np.uint16)
+        counts = np.zeros(slots, np.uint32)
     ranks = spark.sparkContext.broadcast(np.log2(counts.astype(np.float32) + 1).astype(np.uint8))
+    # a slot counts all n-grams that fall into it: what it has beyond the usual is one long list's
+    hot = np.flatnonzero(counts > np.median(counts) + list_rows)
+    # few slots count so many n-grams; each such list has parts of about list_rows sets
+    hot_parts = spark.sparkContext.broadcast((hot, (counts[hot].astype(np.int64) // list_rows + 1).astype(np.int32)))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = ranks.value, set()
+        rank, (slot, parts_of), seen = ranks.value, hot_parts.value, set()
         for batch in batches:
             for _, _, text, offs in common.chunks(batch.column(0)):
-                tokens, sizes, keys, places = [], [], [], []
+                tokens, sizes, keys, places, parts = [], [], [], [], []
                 sets = [s for s in shingle_sets(text, offs, width) if len(s)]
                 own = [key_of(s) for s in sets]
                 for s, k, new in zip(sets, own, _first_seen(seen, own), strict=True):
                     if not new:
                         continue
-                    size = len(s) - int(need(len(s), percent)) + 1
-                    order = np.argsort(rank[s >> np.uint64(64 - sketch_bits)], kind="stable")[:size]
+                    size = len(s) - int(need(len(s), percent)) + int(common_first(len(s), percent))
+                    cells = (s >> np.uint64(64 - sketch_bits)).astype(np.int64)
+                    order = np.argsort(rank[cells], kind="stable")[:size]
                     tokens.append(s[order])
                     sizes.append(np.full(size, len(s), np.int32))
                     keys.append(np.full(size, k, np.int64))
                     places.append(np.arange(size, dtype=np.int32))
+                    part = np.zeros(size, np.int32)
+                    if len(slot):
+                        at = np.minimum(np.searchsorted(slot, cells[order]), len(slot) - 1)
+                        part = np.where(slot[at] == cells[order], 1 + (k & 0x7FFFFFFF) % parts_of[at], 0).astype(np.int32)
+                    parts.append(part)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["token", "n", "key", "place"])
-
-    lists = docs.select("text").where("text is not null").mapInArrow(postings, "token long, n int, key long, place int")
-    lists = lists.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
-
-    def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of each list that may link with another of it; rows come sorted by token, and a list may span batches."""
-        rest = None
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
-            cut = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
-            rest = [c[cut:] for c in columns]
-            yield _shared([c[:cut] for c in columns], percent)
-        if rest is not None:
-            yield _shared(rest, percent)
-
-    lists = common.stored(lists.mapInArrow(shared_lists, "token long, n int, key long, place int, m int"), "lists")
-    homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home"), F.first("n").alias("n")).select("key", "n", F.col("home.token").alias("home"))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), *map(np.concatenate, (parts, sizes, keys, places)))], ["token", "part", "n", "key", "place"])
+
+    lists = docs.select("text").where("text is not null").mapInArrow(postings, "token long, part int, n int, key long, place int")
+    lists = lists.repartition("token", "part").sortWithinPartitions("token", "part", "n", "key")
+    lists = common.stored(lists.mapInArrow(lambda batches: (_shared(x, percent) for x in _whole_lists(batches)), "token long, part int, n int, key long, place int, m int"), "lists")
+    # linked sets have min(k, k) lists in common, and the smaller one has need(n) n-grams at least
+    k = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n").cast("long") * percent / 100) / 10))
+    homes = lists.groupBy("key").agg(F.max(F.struct("m", "token")).alias("home"), F.first("n").alias("n"), F.count("*").alias("lists")).where(F.col("lists") >= k).select("key", "n", F.col("home.token").alias("home"))
     # a home whose sets are too many for one block has parts
     parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")).withColumnRenamed("home", "at")
     homes = homes.join(parts, homes["home"] == parts["at"]).select("key", "n", "home", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
@@ -292,9 +329,10 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
 
     # what is left: pairs of one list, in different components, that sizes and places allow and that did not meet
     # at home; first neighbours in the lists, which joins what a group of copies has at several homes, then all
+    lists = _only(lists, "key", wanted).where(F.col("place") <= F.col("n") - F.ceil(F.col("n").cast("long") * percent / 100))
     for steps in (1, 0):
         tags = homes.join(labels.hint("merge"), homes["key"] == labels["vertex"], "left").select(F.col("key").alias("k"), F.coalesce("label", "key").alias("label"), "home")
-        named = lists.join(tags.hint("merge"), lists["key"] == tags["k"]).select("token", "n", "key", "place", "label", "home")
+        named = lists.join(tags.hint("merge"), lists["key"] == tags["k"]).select("token", "part", "n", "key", "place", "label", "home")
         last = common.stored(_verified(_candidates(named, percent, steps), at_home, percent), "last-links")
         if last.limit(1).count():
             near = near.unionByName(last)
@@ -302,44 +340,82 @@ def link_sets(docs: DataFrame, width: int = 4, percent: int = 85, sketch_bits: i
     return members, labels.select(F.col("vertex").alias("set_key"), "label")
 
 
-def _fitting(token: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarray, percent: int, steps: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of one list (sorted by token, then size) that may link, as (earlier, later) row numbers.
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of runs of whole lists; rows come sorted by their first two columns, and a list may span batches."""
+    rest: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        other = (columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])
+        if rest and not other.any() and columns[0][0] == rest[-1][0][-1] and columns[1][0] == rest[-1][1][-1]:
+            rest.append(columns)
+            continue
+        cut = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
+        yield [np.concatenate([*(r[i] for r in rest), c[:cut]]) for i, c in enumerate(columns)]
+        rest = [[c[cut:] for c in columns]]
+    if rest:
+        yield [np.concatenate([r[i] for r in rest]) for i in range(len(rest[0]))]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
+def _fitting(first: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one list that may link, as (earlier, later) row numbers; lists begin at `first` and are sorted by size.
 
     The partners of a row stand behind it as far as its size allows, and for
     two sets whose first shared n-gram this is, what stands behind it in either
     set must suffice for the overlap they need.
     """
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    end = np.repeat(np.r_[first[1:], len(token)], np.diff(np.r_[first, len(token)]))
-    live, step = np.arange(len(token)), 1
-    while len(live) and (step <= steps or not steps):
+    if not len(n):
+        return
+    end = np.repeat(np.r_[first[1:], len(n)], np.diff(np.r_[first, len(n)]))
+    live = np.arange(len(n))
+    for step in range(1, steps + 1):
         live = live[live + step < end[live]]
+        live = live[100 * n[live] >= percent * n[live + step]]
+        if not len(live):
+            return
         other = live + step
-        near = 100 * n[live] >= percent * n[other]
-        live, other = live[near], other[near]
         rest = np.minimum(n[live] - place[live], n[other] - place[other])
-        good = (key[live] != key[other]) & (rest >= overlap(n[live], n[other], percent))
+        good = rest >= overlap(n[live], n[other], percent)
         yield live[good], other[good]
-        step += 1
 
 
-def _candidates(named: DataFrame, percent: int, steps: int) -> DataFrame:
-    """(a, b, label_a, label_b): pairs of one list that are open; with steps > 0 only rows of long lists that many places apart or less."""
+def _fitting_apart(n: np.ndarray, place: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for one long list: only rows outside its most frequent component look for partners, each in its window of sizes."""
+    names, dense, times = np.unique(label, return_inverse=True, return_counts=True)
+    asks = dense != int(times.argmax())
+    low, high = np.searchsorted(100 * n, percent * n, "left"), np.searchsorted(percent * n, 100 * n, "right")
+    for i in np.flatnonzero(asks).tolist():
+        other = np.arange(low[i], high[i])
+        # of two rows that both ask, the earlier one finds the pair
+        other = other[(dense[other] != dense[i]) & (~asks[other] | (other > i))]
+        rest = np.minimum(n[i] - place[i], n[other] - place[other])
+        other = other[rest >= overlap(n[i], n[other], percent)]
+        yield np.full(len(other), i), other
 
-    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)]
-            cut = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
-            rest = [c[cut:] for c in columns]
-            yield from _open_pairs([c[:cut] for c in columns], percent, steps)
-        if rest is not None:
-            yield from _open_pairs(rest, percent, steps)
 
-    ordered = named.repartition(F.col("token")).sortWithinPartitions("token", "n", "key")
-    return common.stored(ordered.mapInArrow(open_pairs, "a long, b long, label_a long, label_b long").distinct(), "open-pairs")
+def _candidates(named: DataFrame, percent: int, steps: int) -> DataFrame:
+    """(a, b, label_a, label_b): pairs of one list that are open; with steps > 0 only rows of long lists that many places apart or less.
+
+    In the whole round, a list in parts is met by cells of two parts each (or
+    one with itself), so that each pair of its rows meets once.
+    """
+    if steps:
+        cells = named.withColumn("cell", F.col("part"))
+    else:
+        parts = named.where("part > 0").groupBy("token").agg(F.max("part").alias("parts")).withColumnRenamed("token", "hot")
+        split = named.where("part > 0").join(parts, F.col("token") == F.col("hot")).withColumn("q", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+        pair = F.least("part", "q") * (F.col("parts") + 1) + F.greatest("part", "q")
+        cells = named.where("part = 0").withColumn("cell", F.lit(0)).unionByName(split.withColumn("cell", pair.cast("int")).drop("hot", "parts", "q"))
+    ordered = cells.select("token", "cell", "n", "key", "place", "label", "home", "part").repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "key")
+    return common.stored(ordered.mapInArrow(lambda batches: (y for x in _whole_lists(batches) for y in _open_pairs(x, percent, steps)), "a long, b long, label_a long, label_b long").distinct(), "open-pairs")
 
 
 def _verified(pairs: DataFrame, at_home: DataFrame, percent: int) -> DataFrame:
@@ -351,11 +427,7 @@ def _verified(pairs: DataFrame, at_home: DataFrame, percent: int) -> DataFrame:
     asked = cell.select("cell", "side", "x.key", "x.label", "x.held").distinct()
     open_keys = spark.sparkContext.broadcast(_bloom(asked.select("key").distinct()))
 
-    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bloom(open_keys.value, batch.column(0).to_numpy())))
-
-    known = at_home.select(F.col("key").alias("set_key"), "shingles").mapInArrow(still_open, "set_key long, shingles binary")
+    known = _only(at_home.select(F.col("key").alias("set_key"), "shingles"), "set_key", open_keys)
     loaded = asked.hint("merge").join(known, asked["key"] == known["set_key"]).select("cell", "side", "key", "label", "held", "shingles")
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
@@ -406,43 +478,56 @@ def _across_parts(homes: DataFrame, at_home: DataFrame, labels: DataFrame, perce
 
 
 def _shared(columns: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    """Rows of whole lists that may link with another of their list, without repeats of a set, and their number m in the list."""
-    token, n, key, place = columns
-    if len(token):
-        new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
-        many = np.r_[token[1:] == token[:-1], False] | np.r_[False, token[1:] == token[:-1]]
-        token, n, key, place = (x[new & many] for x in (token, n, key, place))
-    meets = np.zeros(len(token), bool)
-    if len(token):
-        for a, b in _fitting(token, n.astype(np.int64), key, place.astype(np.int64), percent):
-            meets[a] = meets[b] = True
-        token, n, key, place = (x[meets] for x in (token, n, key, place))
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(token)])
-    m = np.repeat(size, size)
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(key), pa.array(place), pa.array(m.astype(np.int32))], ["token", "n", "key", "place", "m"])
+    """Rows of whole lists that have a set of fitting size in their list, without repeats of a set, and their number m in the list.
+
+    Rows are sorted by size, so it is enough to look at the neighbours. Rows of
+    a list in parts all stay, as their partners may be in another part.
+    """
+    columns = [c[_starts(columns[0], columns[1], columns[3])] for c in columns]
+    token, part, n, key, place = columns
+    near = (token[1:] == token[:-1]) & (part[1:] == part[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+    meets = (np.r_[near, False] | np.r_[False, near] | (part > 0)) if len(token) else np.zeros(0, bool)
+    token, part, n, key, place = (c[meets] for c in columns)
+    size = np.diff(np.r_[_starts(token, part), len(token)]) if len(token) else np.zeros(0, np.int64)
+    m = np.repeat(size, size).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, part, n, key, place, m)], ["token", "part", "n", "key", "place", "m"])
 
 
 def _open_pairs(columns: list[np.ndarray], percent: int, steps: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within each list (rows sorted by token, then size) whose labels and homes differ and whose sizes and places allow a link."""
-    token, n, key, place, label, home = columns
+    """Pairs within each list or cell (rows sorted by size) whose labels and homes differ and whose sizes and places allow a link."""
+    token, cell, n, key, place, label, home, part = columns
     n, place = n.astype(np.int64), place.astype(np.int64)
-    if not len(token):
-        return
-    if steps:
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)])
-        long = np.repeat(size, size) >= _LONG
-        token, n, key, place, label, home = (x[long] for x in (token, n, key, place, label, home))
+    first = _starts(token, cell)
+    size = np.diff(np.r_[first, len(token)])
     out, held = [], 0
-    for live, other in _fitting(token, n, key, place, percent, steps):
-        apart = (label[live] != label[other]) & (home[live] != home[other])
+
+    def found(live: np.ndarray, other: np.ndarray) -> None:
+        nonlocal held
+        apart = (label[live] != label[other]) & (home[live] != home[other]) & (key[live] != key[other])
         live, other = live[apart], other[apart]
         a, b = np.where(key[live] < key[other], live, other), np.where(key[live] < key[other], other, live)
         out.append(np.stack([key[a], key[b], label[a], label[b]], 1))
         held += len(a)
-        if held > 500_000:
-            yield _pairs(out)
-            out, held = [], 0
+
+    if steps:
+        rows = np.flatnonzero(np.repeat(size >= _LONG, size))
+        for live, other in _fitting(_starts(token[rows], cell[rows]), n[rows], place[rows], percent, steps):
+            found(rows[live], rows[other])
+    else:
+        rows = np.flatnonzero(np.repeat(size < _LONG, size))
+        for live, other in _fitting(_starts(token[rows], cell[rows]), n[rows], place[rows], percent, _LONG):
+            found(rows[live], rows[other])
+        for k in np.flatnonzero(size >= _LONG).tolist():
+            a, b = first[k], first[k] + size[k]
+            # a cell of two parts is for pairs between them
+            two = part[a:b].min() != part[a:b].max()
+            for live, other in _fitting_apart(n[a:b], place[a:b], label[a:b], percent):
+                if two:
+                    live, other = live[part[a + live] != part[a + other]], other[part[a + live] != part[a + other]]
+                found(a + live, a + other)
+                if held > 500_000:
+                    yield _pairs(out)
+                    out, held = [], 0
     if held:
         yield _pairs(out)
 
@@ -469,6 +554,17 @@ def _in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _only(df: DataFrame, column: str, wanted) -> DataFrame:
+    """The rows of df whose key may be in a broadcast Bloom filter."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bloom(wanted.value, batch.column(at).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _bloom(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size (4 MB) over a column of longs; it only spares work, and never decides."""
 
