@@ -29,11 +29,11 @@ _DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, row: int, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit holds the HTTP header without the payload."""
+def record(page_id: int | None, url: str | None, place: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC/1.1 record; its id comes from its place in an archive. A revisit holds the HTTP header without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    name = uuid.UUID(bytes=hashlib.md5(f"{page_id} {url} {row}".encode("utf-8", "replace")).digest())
+    name = uuid.UUID(bytes=hashlib.md5(place.encode()).digest())
     clean = "" if url is None else "".join(c if c.isprintable() and c != " " else "%%%02X" % (ord(c) & 255) for c in url)
     head = [
         "WARC/1.1",
@@ -71,19 +71,36 @@ def write(pages: DataFrame, path: str, min_bytes: int = 100, level: int = 4) ->
 
     Of rows with equal payloads of at least min_bytes bytes, the one with the
     smallest page_id is a response and the others revisit it; all smaller
-    payloads are responses. Ties go to the smaller URL, then to one row. A row
-    without page_id comes after all others, and is a response only if no row
-    with an id has its payload. A null html is the empty payload.
+    payloads are responses. Ties go to the smaller URL (null is the empty one);
+    of rows that repeat whole, one is the response. A row without page_id comes
+    after all others, and is a response only if no row with an id has its
+    payload. A null html is the empty payload; payloads of any length are
+    written whole; other columns are not looked at; an empty table gives an
+    empty index.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.monotonically_increasing_id().alias("row"), html.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("url"), "row")
-    # only payloads that occur again are of interest; their first rows are few against the pages
-    again = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first")
-    marked = rows.join(again, rows["digest"] == F.col("same"), "left")
-    revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
-    marked = marked.select("page_id", "url", "row", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
+    # short payloads never meet: their keys equal no digest, and spread them
+    large = F.octet_length("payload") >= min_bytes
+    rows = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("link").alias("url"), "copies")
+    each = rows.where(large).groupBy("digest", "page_id", F.coalesce("url", F.lit("")).alias("link")).agg(F.count("*").alias("copies"))
+    again = each.groupBy("digest").agg(F.min(place).alias("first"), F.sum("copies").alias("n")).where("n > 1").withColumnRenamed("digest", "same")
+    again = common.stored(again, "warc-again")
+    joined = common.split_join(rows, again, [("key", "same")], "n", "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.coalesce("url", F.lit("")) == F.col("first.url"))
+    revisit = F.col("first").isNotNull() & ~F.coalesce(is_first, F.lit(False))
+    refers = F.when(revisit, F.col("first.page_id"))
+    marked = joined.withColumns({"revisit": revisit, "refers_to": refers, "copies": F.when(~revisit, F.col("first.copies"))})
+    columns = ["page_id", "url", "payload", "digest", "revisit", "refers_to"]
+    if again.where("first.copies > 1").limit(1).count():
+        # rows that repeat whole can't be told apart: they are counted, and written as one response and revisits
+        tied = marked.where("copies > 1").groupBy("page_id", F.coalesce("url", F.lit("")).alias("url"), "digest").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
+        tied = tied.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("revisit", F.col("nth") > 1)
+        tied = tied.withColumn("refers_to", F.when(F.col("revisit"), F.col("page_id")))
+        marked = marked.where("copies is null or copies = 1").select(*columns).unionByName(tied.select(*columns))
+    marked = marked.select(*columns)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out, at, name = TaskContext.get(), None, 0, ""
@@ -96,9 +113,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 100, level: int = 4) ->
                         name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
                         store.create_dir(top, recursive=True)
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
-                    page_id, url, row, payload, digest, revisit, refers_to = r
+                    page_id, url, payload, digest, revisit, refers_to = r
                     member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    data = member.compress(record(page_id, url, row, payload, digest, refers_to, revisit)) + member.flush()
+                    data = member.compress(record(page_id, url, f"{name} {at}", payload, digest, refers_to, revisit)) + member.flush()
                     out.write(data)
                     index.append((f"{path}/{name}", at, len(data), page_id, url, digest, "revisit" if revisit else "response"))
                     at += len(data)
@@ -112,13 +129,16 @@ def write(pages: DataFrame, path: str, min_bytes: int = 100, level: int = 4) ->
     return common.stored(marked.mapInArrow(archive, INDEX), "warc-index")
 
 
-def read(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
+def read(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, split: int = 1 << 22) -> DataFrame:
     """The records (see RECORD) that index selects. Ranges at most `gap` bytes apart are read together, up to about `most` bytes at once.
 
+    An archive is read by several tasks, one for about each `split` bytes that are selected.
+
     A revisit has the payload's size and digest and the page it refers to, but
     a null payload; a URL comes back with blanks and control characters escaped.
     """
-    chosen = index.select("archive", "offset", "length").repartition(F.col("archive")).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    chosen = index.select("archive", "offset", "length").repartition(max(1, -(-total // split)), "archive", F.floor(F.col("offset") / split)).sortWithinPartitions("archive", "offset")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
