@@ -3,16 +3,22 @@
 Equal texts form a group that no shard boundary may split. Packing runs on two
 levels, so that no task and no driver sees all groups:
 
-1. Each task takes its groups by falling size and packs them into parcels of a
-   fixed capacity, total / (shards * parcels_per_shard). A group beyond that
-   capacity is a parcel of its own.
-2. The parcels, at most 2 * shards * parcels_per_shard and one for each task,
+1. A hash of the key deals the groups to a fixed number of packers. Each packer
+   takes its groups by falling size and packs them into parcels of a fixed
+   capacity, total / (shards * parcels_per_shard). A group beyond that capacity
+   is a parcel of its own.
+2. The parcels, at most 2 * shards * parcels_per_shard and one for each packer,
    enter the shards on the driver by the same rule, under the smallest
    capacity that lets them all fit.
+
+What a packer holds is the open parcels alone. Number of packers, order within
+them and ties depend on keys and sizes only, so the result does not depend on
+how Spark deals out the rows, and a lost task gives the same parcels again.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -126,56 +132,55 @@ def even_bins(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int = 40, parcels_per_shard: int = 200, piece_rows: int = 500) -> DataFrame:
+def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int = 40, parcels_per_shard: int = 200, piece_rows: int = 500, packers: int = 256) -> DataFrame:
     """rows with shard (int) and slot (long, gapless from 0 in a shard) added; rows with equal key stay together.
 
     Rows of one group are numbered in pieces of about piece_rows, so a group of
-    any size spreads over tasks. Nulls in key are equal to each other; a null
+    any size spreads over tasks, and a frequent key is split before it is
+    joined. An empty table gives an empty result. Nulls in key are equal to each other; a null
     size counts as 0. Columns named shard or slot are replaced.
     """
     rows = rows.drop("shard", "slot")
-    groups = common.stored(rows.groupBy(*key).agg(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("group_size"), F.count("*").alias("group_rows")), "groups")
+    spark = rows.sparkSession
+    # every column gets a name of its own, so that no name of the input can clash
+    given = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in given.items()])
+    keys = [given[c] for c in key]
+    groups = rows.groupBy(*keys).agg(F.sum(F.coalesce(F.col(given[size]), F.lit(0)).cast("long")).alias("group_size"), F.count("*").alias("group_rows"))
+    groups = common.stored(groups.withColumn("packer", F.pmod(F.xxhash64(*keys), F.lit(packers))), "groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     capacity = max(1, total // (shards * parcels_per_shard))
 
-    def parcel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        frames = [iter(())]
-
-        def sizes() -> Iterator[int]:
-            for batch in batches:
-                frames[0] = batch
-                yield from batch["group_size"].tolist()
-
-        base, labels, seen = TaskContext.get().partitionId() << 40, [], 0
-        for label in best_fit(sizes(), capacity):
-            labels.append(base + label)
-            seen += 1
-            if seen == len(frames[0]):
-                yield frames[0].assign(parcel=labels)
-                labels, seen = [], 0
-
-    packed = common.stored(groups.sortWithinPartitions(F.desc("group_size"), *key).mapInPandas(parcel, common.widened(groups, "parcel long")), "parcels")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, fit, feed = None, None, deque()
+        for batch in batches:
+            labels = []
+            for own, amount in zip(batch["packer"].tolist(), batch["group_size"].tolist(), strict=True):
+                if own != packer:
+                    packer, feed = own, deque()
+                    fit = best_fit(iter(feed.popleft, None), capacity)
+                feed.append(amount)
+                labels.append((own << 40) + next(fit))
+            yield batch.assign(parcel=labels)
+
+    ordered = groups.repartition("packer").sortWithinPartitions("packer", F.desc("group_size"), *keys)
+    packed = common.stored(ordered.mapInPandas(pack, common.widened(groups, "parcel long")), "parcels")
     parcels = packed.groupBy("parcel").agg(F.sum("group_size").alias("bytes"), F.sum("group_rows").alias("rows")).orderBy(F.desc("bytes"), "parcel").collect()
     offsets, plan = [0] * shards, []
     for p, shard in zip(parcels, even_bins([p["bytes"] for p in parcels], shards), strict=True):
         plan.append((p["parcel"], shard, offsets[shard], -(-p["rows"] // piece_rows)))
         offsets[shard] += p["rows"]
-    spark = rows.sparkSession
     plan = spark.createDataFrame(plan, "parcel long, shard int, parcel_at long, pieces long")
-    names = {c: common.free_name(rows, f"group_{i}") for i, c in enumerate(key)}
-    where = packed.select(*[F.col(c).alias(n) for c, n in names.items()], "parcel").join(F.broadcast(plan), "parcel")
-    same = [rows[c].eqNullSafe(where[n]) for c, n in names.items()]
+    where = packed.select(*[F.col(c).alias(f"key_{c}") for c in keys], "group_rows", "parcel").join(F.broadcast(plan), "parcel")
+    placed = common.split_join(rows, where, [(c, f"key_{c}") for c in keys], "group_rows")
     order = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
-    placed = rows.join(where, same).drop(*names.values())
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64(*order), F.col("pieces")))
+    placed = placed.select(*rows.columns, "parcel", "shard", "parcel_at", F.pmod(F.xxhash64(*order), F.col("pieces")).alias("piece"))
     counts = placed.groupBy("parcel", "piece").agg(F.count("*").alias("n"))
     before = Window.partitionBy("parcel").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("parcel").alias("p"), F.col("piece").alias("q"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("piece_at"))
+    counts = counts.select(F.col("parcel").alias("of_parcel"), F.col("piece").alias("of_piece"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("piece_at"))
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("parcel", "piece").orderBy(*order)))
-    placed = placed.join(counts, (placed["parcel"] == counts["p"]) & (placed["piece"] == counts["q"]))
-    return placed.select(*rows.columns, "shard", (F.col("parcel_at") + F.col("piece_at") + F.col("nth") - 1).alias("slot"))
+    placed = placed.join(counts, (placed["parcel"] == counts["of_parcel"]) & (placed["piece"] == counts["of_piece"]))
+    return placed.select(*[F.col(n).alias(c) for c, n in given.items()], "shard", (F.col("parcel_at") + F.col("piece_at") + F.col("nth") - 1).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, **options: int) -> DataFrame:
@@ -185,7 +190,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, **options: int) -> DataFr
     ('bytes'), shard, slot and grown_shard (null: the law `bytes` makes no
     promise for another shard count). A null text counts as the empty text.
     Rows that repeat are rows of their own; a null doc_id is carried along.
-    Groups larger than an even share get a shard to themselves.
+    Groups larger than an even share get a shard to themselves. Whole texts of
+    any length count; other columns are not looked at; an empty table gives an
+    empty result.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_key"))
