@@ -10,9 +10,10 @@ and Myers' bit-parallel algorithm verifies the stretch of text around a hit.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
@@ -60,21 +61,26 @@ def myers(masks: dict[str, int], m: int, text: Iterable[str], stop: int = 0) ->
 
 @dataclass
 class Matcher:
-    """A block of items and what is needed to find them; built where it is used."""
+    """A block of items and what is needed to find them; built where it is used, once in each worker."""
 
+    name: str
     items: list[tuple[int, str]]
     rate: float
-    min_chars: int
-    whole: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
 
-    def build(self) -> Matcher:
+    def built(self) -> Matcher:
+        """This block, or the one of the same name that the worker has built before; a worker holds one block."""
+        if _built.get("name") != self.name:
+            _built.clear()
+            _built.update(name=self.name, matcher=self._build())
+        return _built["matcher"]
+
+    def budget(self, k: int) -> int:
+        return int(self.rate * len(self.items[k][1]))
+
+    def _build(self) -> Matcher:
         pieces: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(self.items):
-            m = len(text)
-            if m < self.min_chars:
-                self.whole[text].append(k)
-                continue
-            n = int(self.rate * m) + 1
+            m, n = len(text), self.budget(k) + 1
             for j in range(n):
                 a, b = j * m // n, (j + 1) * m // n
                 pieces[text[a:b]].append((k, a, b - a))
@@ -86,14 +92,17 @@ class Matcher:
         self.masks: dict[int, dict[str, int]] = {}
         return self
 
-    def find(self, text: str) -> dict[int, int]:
-        """Places in `items` of those within their budget somewhere in text, with the least number of edits."""
-        found = {k: 0 for k in self.whole.get(text, ())}
+    def find(self, text: str, first_only: bool = False) -> dict[int, int]:
+        """Places in `items` of those within their budget somewhere in text, with the least number of edits; or one of them."""
+        found: dict[int, int] = {}
         spans: dict[int, list[list[int]]] = {}
         if len(self.automaton):
             for end, where in self.automaton.iter(text):
                 for k, a, size in where:
-                    m, budget = len(self.items[k][1]), int(self.rate * len(self.items[k][1]))
+                    m, budget = len(self.items[k][1]), self.budget(k)
+                    if not budget:
+                        found[k] = 0
+                        continue
                     first = end + 1 - size - a - budget
                     last = first + m + 2 * budget
                     held = spans.setdefault(k, [])
@@ -102,17 +111,18 @@ class Matcher:
                     else:
                         held.append([first, last])
         for k, held in spans.items():
-            item = self.items[k][1]
-            m, budget = len(item), int(self.rate * len(item))
+            if first_only and found:
+                break
+            item, budget = self.items[k][1], self.budget(k)
             best = budget + 1
             for first, last in held:
                 stretch = text[max(0, first) : max(0, last)]
                 if item in stretch:
                     best = 0
-                elif len(stretch) >= m - budget:
+                elif len(stretch) >= len(item) - budget:
                     if k not in self.masks:
                         self.masks[k] = letter_masks(item)
-                    best = min(best, myers(self.masks[k], m, stretch, 0))
+                    best = min(best, myers(self.masks[k], len(item), stretch, 0))
                 if best == 0:
                     break
             if best <= budget:
@@ -120,31 +130,46 @@ class Matcher:
         return found
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: int = 20, block_chars: int = 16_000_000) -> DataFrame:
-    """(doc_id, item_id, errors, budget): each item found in a document, with the least number of edits.
+_built: dict = {}
 
-    Items shorter than min_chars code points say little by themselves; they
-    only match a text that equals them. Items without words match nothing, and
-    neither do null or empty texts. Rows that share a doc_id count as one
-    document, and a null doc_id or item_id is carried along. Items travel to
-    the executors in blocks of about block_chars characters, one broadcast and
-    one pass over the documents for each, so that no broadcast grows with them.
-    """
+
+def _blocks(items: DataFrame, rate: float, block_chars: int) -> Iterator[tuple[Matcher, int]]:
+    """The items in blocks of about block_chars characters, each fetched when its turn comes, and the number of blocks."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    found = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         listed = sorted({(r["item_id"], normalised(r["text"].encode())) for r in part.collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher([x for x in listed if x[1]], rate, min_chars))
+        yield Matcher(uuid.uuid4().hex, [x for x in listed if x[1]], rate), blocks
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, errors, budget): each item found in a document, with the least number of edits.
+
+    Items of every length follow the one rule: floor(rate * length) edits, so an
+    item below 1 / rate characters is found where it stands unchanged. Items
+    without words match nothing, and neither do null or empty texts. Whole texts
+    of any length are searched. Rows that share a doc_id count as one document,
+    items that share an item_id as one item (the best match counts), items with
+    the same span are all found, and a null doc_id or item_id is carried along.
+    Other columns are not looked at; an empty table gives an empty result.
+
+    Items travel to the executors in blocks of about block_chars characters
+    (about 50 bytes of automaton each in a worker), one broadcast and one pass
+    over the documents for each; a block's matches are stored before the next
+    block is fetched, so what is broadcast does not grow with the items.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    spark, found = docs.sparkSession, []
+    for matcher, blocks in _blocks(items, rate, block_chars):
+        shared = spark.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = shared.value.build()
+            matcher = shared.value.built()
             for batch in batches:
                 rows = [
-                    (doc, matcher.items[k][0], errors, int(matcher.rate * len(matcher.items[k][1])) if len(matcher.items[k][1]) >= min_chars else 0)
+                    (doc, matcher.items[k][0], errors, matcher.budget(k))
                     for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True)
                     for k, errors in matcher.find(normalised(text)).items()
                 ]
@@ -152,13 +177,33 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: in
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "errors", "budget"])
 
-        found.append(texts.mapInArrow(run, "doc_id long, item_id long, errors int, budget int"))
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("errors").alias("errors"), F.min("budget").alias("budget"))
+        hits = texts.mapInArrow(run, "doc_id long, item_id long, errors int, budget int")
+        if blocks > 1:
+            hits = common.stored(hits, "item-matches")
+            shared.unpersist()
+        found.append(hits)
+    best = F.min(F.struct("errors", "budget")).alias("best")
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.errors", "best.budget")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
+    """docs without the rows whose text holds an item; see `matches` for what holds one.
 
+    Each row is judged by its own whole text, so rows without doc_id go like any
+    others, and nothing is shuffled. Columns stay as they are, whatever their
+    names; rows without text stay; an empty table gives an empty result.
+    """
+    at = docs.columns.index("text")
+    for matcher, blocks in _blocks(items, rate, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(matcher)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = shared.value.built()
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(normalised(text), first_only=True) for text in _texts(batch.column(at))], pa.bool_()))
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:
-    """docs without those that hold an item. Columns stay as they are; a row without doc_id stays."""
-    hit = matches(docs, items, **options).where("doc_id is not null").select(F.col("doc_id").alias("hit_doc")).distinct()
-    name = common.free_name(docs, "hit_doc")
-    hit = hit.withColumnRenamed("hit_doc", name)
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            docs = common.stored(docs, "clean")
+            shared.unpersist()
+    return docs
