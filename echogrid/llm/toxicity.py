@@ -76,6 +76,25 @@ class Words:
         return row, self.row_at[row] + nth * STRIDE, np.minimum(WINDOW, n[row] - nth * STRIDE)
 
 
+def slices(text: np.ndarray, offs: np.ndarray, words: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, offsets) as it is, but one very long row in slices of `words` words.
+
+    A slice begins at a window of the whole text and ends with another, so all
+    slices together have exactly the windows of the whole text.
+    """
+    if len(offs) > 2 or len(text) < 16 * words:
+        yield text, offs
+        return
+    starts, ends, _ = common.bounds(np.where(_SPLIT[text], np.uint8(32), text), offs)
+    step = max(1, words // STRIDE) * STRIDE
+    for k in range(0, max(1, len(starts)), step):
+        if k and len(starts) - k <= WINDOW - STRIDE:
+            break
+        last = min(len(starts), k + step + WINDOW - STRIDE)
+        part = text[starts[k] : ends[last - 1]] if len(starts) else text[:0]
+        yield part, np.array([0, len(part)])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -305,6 +324,8 @@ def fit(sample: DataFrame) -> Network | None:
 def rate(docs: DataFrame, net: Network | None, score: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1 added, the highest of the text's windows.
 
+    Whole texts are read; a very long one in slices, whose windows are those of
+    the whole text. An empty table gives an empty result.
     A text without words, null included, has the score of an empty window; all
     have 0.5 without a network. A column of that name is replaced; others pass
     through; rows that repeat get the same score.
@@ -319,10 +340,11 @@ def rate(docs: DataFrame, net: Network | None, score: str = "toxicity") -> DataF
             out = np.full(batch.num_rows, 0.0 if net is None else net.p["bias"][0], np.float64)
             if net is not None:
                 for a, b, text, offs in common.chunks(batch.column(at)):
-                    row, _, logits = net.score(Words.of(text, offs))
-                    if len(row):
-                        edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                        out[a:b][row[edge]] = np.maximum.reduceat(logits, edge)
+                    found = np.full(b - a, -np.inf)
+                    for part, cuts in slices(text, offs):
+                        row, _, logits = net.score(Words.of(part, cuts))
+                        np.maximum.at(found, row, logits)
+                    out[a:b] = np.where(np.isfinite(found), found, out[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(out), pa.float64())], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, common.widened(docs, f"`{score}` double"))

@@ -65,13 +65,17 @@ def test_line_dedup(docs, empty):
 
 
 def test_line_runs_compact(spark):
-    runs = line_dedup.LineRuns(2)
+    runs = line_dedup.LineRuns(spark, 2)
     for k in range(4):
         runs.add(spark.createDataFrame([(k, 1, 1), (k, k, 2)], "doc_id long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    found = {(r.h1, r.h2): (r.n_docs, r.holder) for r in runs.merged().collect()}
-    assert found[1, 1] == (4, 3)
-    assert found[2, 2] == (1, 2)
+    # the run has each hash once, as the first batch had it; what came later are hits
+    assert {(r.h1, r.h2): (r.n_docs, r.holder) for r in runs.runs()[0].collect()} == {(1, 1): (1, 0), **{(k, k if k != 1 else 1, ): (1, k) for k in ()}, (0, 2): (1, 0), (1, 2): (1, 1), (2, 2): (1, 2), (3, 2): (1, 3)}
+    assert [(r.h1, r.h2, r.n_docs, r.holder) for r in runs.repeated(3).collect()] == [(1, 1, 4, 3)]
+    assert runs.repeated(1).count() == 5
+    runs.add(spark.createDataFrame([(9, 1, 1), (9, 9, 9)], "doc_id long, h1 long, h2 long"))
+    join = runs._merged(*runs.runs()[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in join
 
 
 def sets_oracle(rows, width, percent):
@@ -98,10 +102,38 @@ def sets_oracle(rows, width, percent):
 
 @pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 500_000), (5, 80, 60)])
 def test_jaccard_join(docs, width, percent, block):
-    found = jaccard_join.join_components(docs, width=width, percent=percent, block=block, sketch_bits=12)
+    found = jaccard_join.join_components(docs, width=width, percent=percent, block=block, sketch_bits=12, list_rows=3 if block == 60 else 50_000)
     assert Counter(map(tuple, found.collect())) == sets_oracle(sample(), width, percent)
 
 
+def test_jaccard_join_of_near_copies(spark):
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(400)]
+    bases = [[r.choice(pool) for _ in range(n)] for n in (12, 60, 61, 150) for _ in range(3)]
+    passage = [r.choice(pool) for _ in range(55)]
+    rows = []
+    for i in range(150):
+        w = list(bases[i % len(bases)]) + (passage if i % 5 == 0 else [])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice(pool)
+        rows.append((i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"list_rows": 4, "block": 300, "sketch_bits": 10}):
+        found = jaccard_join.join_components(frame, **options).collect()
+        assert Counter(map(tuple, found)) == sets_oracle(rows, 4, 85)
+
+
+def test_merge_skip_is_exact():
+    r = np.random.default_rng(4)
+    index = jaccard_join.BlockIndex([np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(70)])
+    for least in (1, 2, 5, 9):
+        picked = r.choice(len(index.tokens), 20, replace=False)
+        lists = [(int(index.first[k]), int(index.first[k] + index.length[k])) for k in picked]
+        truth = Counter(x for a, b in lists for x in index.owners[a:b])
+        found, counts = index.merge(lists, least)
+        assert dict(zip(found.tolist(), counts.tolist())) == {k: v for k, v in truth.items() if v >= least}
+
+
 def test_jaccard_edges(spark, docs, empty):
     assert jaccard_join.join_components(empty).count() == 0
     assert jaccard_join.join_components(docs.where("doc_id is null")).count() == 2
@@ -157,6 +189,20 @@ def test_sharding(docs, empty):
         sizes[r.shard] += r.size
     assert max(sizes.values()) - min(sizes.values()) <= max(sizes.values()) * 0.2
     assert sharding.shard_documents(empty).count() == 0
+    again = sharding.shard_documents(docs.repartition(7, "text"), shards=6, piece_rows=2).collect()
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in found)
+
+
+def test_sharding_of_clashing_columns(spark):
+    names = ["parcel", "piece", "nth", "group_size", "shard", "packer"]
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, i, i, i, i, i) for i in range(30)], ", ".join(f"{n} long" for n in names))
+    found = sharding.shard_groups(rows, ["parcel"], "nth", shards=2, piece_rows=2)
+    assert found.columns == ["parcel", "piece", "nth", "group_size", "packer", "shard", "slot"]
+    assert sorted(r.piece for r in found.collect()) == list(range(30))
+    homes = {}
+    for r in found.collect():
+        homes.setdefault(r.parcel, set()).add(r.shard)
+    assert all(len(x) == 1 for x in homes.values())
 
 
 def test_best_fit():
@@ -284,10 +330,12 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, " Tiny "), (None, "zz" * 30)], "item_id long, text string")
     found = {(x.doc_id, x.item_id, x.errors) for x in decontamination.matches(frame, items).collect()}
     low = item.translate(LOW)
-    assert found == {(0, 7, 0), (1, 7, distance(low, broken.translate(LOW))), (5, 10, 0), (None, 7, 0)}
+    assert found == {(0, 7, 0), (1, 7, distance(low, broken.translate(LOW))), (5, 10, 0), (6, 10, 0), (None, 7, 0)}
     assert found == {(x.doc_id, x.item_id, x.errors) for x in decontamination.matches(frame, items, block_chars=40).collect()}
     kept = decontamination.decontaminate(frame.withColumnRenamed("source", "hit_doc"), items)
-    assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == [2, 3, 4, 6]
+    assert kept.columns == ["doc_id", "text", "lang", "hit_doc", "n_chars"]
+    assert sorted(x.doc_id for x in kept.collect()) == [2, 3, 4]
+    assert sorted(x.doc_id for x in decontamination.decontaminate(frame, items, block_chars=40).collect()) == [2, 3, 4]
     assert decontamination.matches(empty, items).count() == decontamination.matches(docs, items.limit(0)).count() == 0
 
 
