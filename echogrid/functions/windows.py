@@ -12,8 +12,8 @@ def hann(count: int) -> np.ndarray:
     return np.hanning(count) if count > 2 else np.ones(count)
 
 
-def taylor(count: int, nbar: int = 4, sidelobe_db: float = 35.0) -> np.ndarray:
-    """Taylor weights with mean 1: nbar - 1 cosines whose coefficients follow from the pattern's zeros."""
+def taylor_cosines(nbar: int = 4, sidelobe_db: float = 35.0) -> np.ndarray:
+    """The amplitudes of the Taylor weights' nbar - 1 cosines, which follow from the pattern's zeros."""
     if not 2 <= nbar <= 32 or not 15 <= sidelobe_db <= 120:
         raise ValueError("nbar must be in [2, 32] and the sidelobes in [15, 120] dB")
     a = np.arccosh(10 ** (sidelobe_db / 20)) / np.pi
@@ -21,14 +21,39 @@ def taylor(count: int, nbar: int = 4, sidelobe_db: float = 35.0) -> np.ndarray:
     sigma2 = nbar**2 / (a**2 + (nbar - 0.5) ** 2)
     top = np.prod(1 - m[:, None] ** 2 / (sigma2 * (a**2 + (m[None, :] - 0.5) ** 2)), axis=1)
     bottom = np.array([np.prod([1 - k**2 / j**2 for j in m if j != k]) for k in m])
-    f = (-1.0) ** (m + 1) * top / (2 * bottom)
+    return (-1.0) ** (m + 1) * top / (2 * bottom)
+
+
+def taylor(count: int, nbar: int = 4, sidelobe_db: float = 35.0) -> np.ndarray:
+    """Taylor weights with mean 1."""
+    f = taylor_cosines(nbar, sidelobe_db)
     x = (np.arange(count) - (count - 1) / 2) / count
-    weights = 1 + 2 * (f[:, None] * np.cos(2 * np.pi * m[:, None] * x)).sum(0)
+    weights = 1 + 2 * (f[:, None] * np.cos(2 * np.pi * np.arange(1, nbar)[:, None] * x)).sum(0)
     if (weights < 0).any() or weights.sum() <= 0:
         raise ValueError("these parameters give invalid weights")
     return weights
 
 
+def weight_at(place: Column, count: Column, name: str, nbar: int = 4, sidelobe_db: float = 35.0) -> Column:
+    """The weight at one place (from 0) of a window over `count` samples, all as columns."""
+    if name == "none":
+        return F.lit(1.0)
+    if name == "hann":
+        return F.when(count > 2, 0.5 - 0.5 * F.cos(2 * F.pi() * place / F.greatest(count - 1, F.lit(1)))).otherwise(1.0)
+    if name != "taylor":
+        raise ValueError("window must be hann, none or taylor")
+    x = (place - (count - 1) / 2) / count
+    weight = F.lit(1.0)
+    for m, f in enumerate(taylor_cosines(nbar, sidelobe_db).tolist(), 1):
+        weight = weight + 2 * f * F.cos(2 * m * F.pi() * x)
+    return F.when(weight < 0, F.raise_error(F.lit("these parameters give invalid weights"))).otherwise(weight)
+
+
+def weight_sum(count: Column, name: str) -> Column:
+    """The sum of such a window over all its places."""
+    return F.when(count > 2, (count - 1) / 2).otherwise(count) if name == "hann" else count.cast("double")
+
+
 def window(count: int, name: str, nbar: int = 4, sidelobe_db: float = 35.0) -> np.ndarray:
     if count < 1:
         raise ValueError("count must be positive")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the WGS84 ellipsoid and the mean Earth radius in metres.
@@ -12,33 +12,247 @@ WGS84_A, WGS84_F, EARTH_RADIUS = 6378137.0, 1 / 298.257223563, 6371008.8
 WGS84_E2 = WGS84_F * (2 - WGS84_F)
 
 
-def line_lookup(lines: DataFrame, blocks: DataFrame, line: str, width: int = 1024) -> DataFrame:
-    """lines with the first block (block, first, last) that covers each: a range join turned into an equi-join on cells of `width` lines."""
+def line_lookup(rows: DataFrame, blocks: DataFrame, line: str, width: int = 1024) -> DataFrame:
+    """rows with the first block (of block, first, last) that covers each row's line; rows without one go, repeated rows stay.
+
+    A range join turned into an equi-join on cells of `width` lines. Each
+    distinct line is looked up once.
+    """
     cells = blocks.select("block", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("_cell"))
-    asked = lines.withColumn("_cell", F.floor(F.col(line) / width))
-    found = asked.join(cells, "_cell").where(F.col(line).between(F.col("first"), F.col("last")))
-    return found.groupBy(*lines.columns).agg(F.min("block").alias("block"))
-
-
-def knot_intervals(knots: DataFrame, line: str, value: str, cell: int) -> DataFrame:
-    """Successive knots as intervals (low, high, v_low, v_high), found cell by cell: only each cell's last knot crosses tasks."""
-    own = Window.partitionBy("_cell").orderBy(line)
-    rows = knots.select(F.col(line).alias("low"), F.col(value).alias("v_low")).withColumn("_cell", F.floor(F.col("low") / cell))
-    own = Window.partitionBy("_cell").orderBy("low")
-    rows = rows.withColumns({"high": F.lead("low").over(own), "v_high": F.lead("v_low").over(own)})
-    heads = rows.groupBy("_cell").agg(F.min_by(F.struct("low", "v_low"), "low").alias("head")).orderBy("_cell")
-    nexts = heads.select((F.lead("_cell").over(Window.orderBy("_cell"))).alias("_to"), F.col("_cell").alias("_at"), F.lead("head").over(Window.orderBy("_cell")).alias("next"))
-    out = rows.join(nexts, F.col("_cell") == F.col("_at"), "left")
-    return out.select("low", "v_low", F.coalesce("high", F.col("next.low")).alias("high"), F.coalesce("v_high", F.col("next.v_low")).alias("v_high")).where("high is not null")
-
-
-def interpolate_lines(lines: DataFrame, line: str, intervals: DataFrame, width: int = 1024) -> DataFrame:
-    """lines with the value between the knots around each, linearly; lines outside all intervals are left out."""
-    cells = intervals.select("*", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("_cell"))
-    asked = lines.withColumn("_cell", F.floor(F.col(line) / width))
-    found = asked.join(cells, "_cell").where((F.col(line) >= F.col("low")) & (F.col(line) < F.col("high")))
-    share = (F.col(line) - F.col("low")) / (F.col("high") - F.col("low"))
-    return found.select(*lines.columns, (F.col("v_low") + share * (F.col("v_high") - F.col("v_low"))).alias("value"))
+    asked = rows.select(F.col(line).alias("_line")).distinct().withColumn("_cell", F.floor(F.col("_line") / width))
+    found = asked.join(cells, "_cell").where(F.col("_line").between(F.col("first"), F.col("last"))).groupBy("_line").agg(F.min("block").alias("block"))
+    return rows.join(found, rows[line] == found["_line"]).drop("_line")
+
+
+def latest(rows: DataFrame, line: str, table: DataFrame, at: str, name: str = "found", width: int = 1024) -> DataFrame:
+    """rows with `name`: a struct of the table's row with the greatest `at` that is not beyond the row's line, or null.
+
+    An as-of join as an equi-join on cells of `width` lines. What a cell lacks
+    comes from the cell before it that has something, found within runs of
+    `width` cells; only one row for each such run passes through one task.
+    `at` must be distinct whole numbers, so that a cell holds `width` rows at most.
+    """
+    order = F.struct(F.col(at).alias("_at"), F.struct(*table.columns).alias("_row"))
+    cells = table.groupBy(F.floor(F.col(at) / width).alias("_cell")).agg(F.array_sort(F.collect_list(order)).alias("_held"))
+    asked = rows.select(F.floor(F.col(line) / width).alias("_cell")).distinct()
+    every = cells.join(asked, "_cell", "full_outer").withColumns({"_run": F.floor(F.col("_cell") / width), "_tail": F.element_at("_held", -1)["_row"]})
+    before = Window.partitionBy("_run").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    runs = every.where("_tail is not null").groupBy("_run").agg(F.max_by("_tail", "_cell").alias("_far"))
+    runs = every.select("_run").distinct().join(runs, "_run", "left")
+    runs = runs.select(F.col("_run").alias("_of"), F.last("_far", ignorenulls=True).over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
+    near = F.last("_tail", ignorenulls=True).over(before)
+    every = every.withColumn("_near", near).join(runs, F.col("_run") == F.col("_of"), "left").select("_cell", "_held", F.coalesce("_near", "_far").alias("_before"))
+    found = rows.withColumn("_cell", F.floor(F.col(line) / width)).join(every, "_cell")
+    inside = F.filter("_held", lambda x: x["_at"] <= F.col(line))
+    own = F.when(F.size(inside) > 0, F.element_at(inside, -1)["_row"])
+    return found.select(*rows.columns, F.coalesce(own, F.col("_before")).alias(name))
+
+
+def knot_intervals(knots: DataFrame, at: str, *values: str, width: int = 1024) -> DataFrame:
+    """Successive knots as intervals (low, high, and for each value v: v_low, v_high). Knots are distinct whole numbers."""
+    # the knot before the next whole number below a knot is its predecessor
+    table = knots.select(F.col(at).alias("low"), *[F.col(v).alias(f"{v}_low") for v in values])
+    heads = knots.select((F.col(at) - 1).alias("_line"), F.col(at).alias("high"), *[F.col(v).alias(f"{v}_high") for v in values])
+    pairs = latest(heads, "_line", table, "low", "_low", width).where("_low is not null")
+    return pairs.select("_low.low", "high", *[c for v in values for c in (f"_low.{v}_low", f"{v}_high")])
+
+
+def interpolate_lines(rows: DataFrame, line: str, knots: DataFrame, at: str, *values: str, width: int = 1024) -> DataFrame:
+    """rows with each value of the knots at the row's line: the knot's own at a knot, linear between two, and
+    carried on along the first or last interval outside them. A single knot gives its value everywhere."""
+    intervals = knot_intervals(knots, at, *values, width=width)
+    first = intervals.orderBy("low").limit(1).agg(F.first(F.struct(*intervals.columns)).alias("_first"))
+    single = knots.orderBy(at).limit(1).agg(F.first(F.struct(*values)).alias("_single"))
+    found = latest(rows, line, intervals, "low", "_i", width).join(F.broadcast(first)).join(F.broadcast(single))
+    i = F.coalesce("_i", "_first")
+    share = F.when(i["high"].isNotNull(), (F.col(line) - i["low"]) / (i["high"] - i["low"]))
+
+    def value(v: str) -> Column:
+        low, high = i[f"{v}_low"], i[f"{v}_high"]
+        return F.when(i.isNull(), F.col("_single")[v]).when(F.col(line) == i["high"], high).otherwise(low + share * (high - low)).alias(v)
+
+    return found.select(*rows.columns, *map(value, values))
+
+
+def across_pixels(pixel: Column, pixels: Column | int, begin: Column, middle: Column, end: Column) -> Column:
+    """A value at a pixel (from 1) of a line, from those at its first, middle ((n + 1) / 2) and last pixel; carried on outside."""
+    n = F.lit(pixels) if isinstance(pixels, int) else pixels
+    centre = F.floor((n + 1) / 2)
+    left = F.coalesce(begin + F.try_divide(pixel - 1, centre - 1) * (middle - begin), begin)
+    right = F.coalesce(middle + F.try_divide(pixel - centre, n - centre) * (end - middle), middle)
+    return F.when(pixel == 1, begin).when(pixel == centre, middle).when(pixel == n, end).when(pixel < centre, left).otherwise(right)
+
+
+def grid_coordinates(rows: DataFrame, grid: DataFrame, pixels: int, line: str = "line", pixel: str = "pixel") -> DataFrame:
+    """rows (line, pixel) with latitude, longitude and ratio from a geolocation grid (line and, for begin, mid and end, _lat, _lon, _ratio)."""
+    names = [f"{p}_{v}" for p in ("begin", "mid", "end") for v in ("lat", "lon", "ratio")]
+    found = interpolate_lines(rows, line, grid, "line", *names)
+    at = [across_pixels(F.col(pixel), pixels, *[F.col(f"{p}_{v}") for p in ("begin", "mid", "end")]) for v in ("lat", "lon", "ratio")]
+    return found.select(*rows.columns, *[c.alias(n) for c, n in zip(at, ("latitude", "longitude", "ratio"), strict=True)])
+
+
+def matching_blocks(catalog: DataFrame, number: int, named: str | None = None) -> DataFrame:
+    """The image blocks of a catalog (path, chunk, mode, start, lines, ...) that an acquisition number asks for, best first.
+
+    A stripmap block answers for the lines that it covers, any other for its
+    own frame number; zero or less asks for the first block. The named file
+    goes before the others, which follow in their order.
+    """
+    stripmap = F.col("mode") == "stripmap"
+    hit = F.when(stripmap, F.lit(number).between(F.col("start"), F.col("start") + F.col("lines") - 1)).otherwise(F.col("start") == number)
+    asked = catalog if number <= 0 else catalog.where(hit)
+    return asked.orderBy(F.col("path") != named if named else F.lit(False), "path", "chunk")
+
+
+def line_stream(catalog: DataFrame, match: DataFrame) -> DataFrame:
+    """The blocks that a line stream runs over: all stripmap blocks of the match's files in order, or the one matching block.
+
+    Each block keeps its own chunk number, by which its geolocation grid is found.
+    """
+    head = match.limit(1).select(F.col("path").alias("_path"), F.col("chunk").alias("_chunk"), F.col("mode").alias("_mode"))
+    chosen = catalog.join(F.broadcast(head), (F.col("mode") == F.col("_mode")) & ((F.col("mode") == "stripmap") | ((F.col("path") == F.col("_path")) & (F.col("chunk") == F.col("_chunk")))))
+    return chosen.where((F.col("path") >= F.col("_path"))).select(*catalog.columns)
+
+
+def flat_grid(lines: DataFrame) -> DataFrame:
+    """A stand-in geolocation grid for (first, last): two lines at least, ratios of one, and no coordinates."""
+    names = [f"{p}_{v}" for p in ("begin", "mid", "end") for v in ("lat", "lon", "ratio")]
+    at = lines.select(F.explode(F.array("first", F.greatest(F.col("last"), F.col("first") + 1))).alias("line"))
+    return at.select("line", *[(F.lit(1.0) if n.endswith("ratio") else F.lit(None).cast("double")).alias(n) for n in names])
+
+
+def control_lattice(spark: SparkSession, rows: int, cols: int, x: tuple[float, float], y: tuple[float, float], lat: float, lon: float, height: float = 0.0, heading: float = 90.0, z: float = 0.0) -> DataFrame:
+    """Up to 5 x 5 distinct control points of a scene image: (row, col, lon, lat, up) at pixel centres; x and y are the axes' ends."""
+    places = [sorted({round(k * (n - 1) / 4) for k in range(5)}) for n in (rows, cols)]
+    at = spark.range(1).select(F.explode(F.lit(places[0])).alias("row")).select("row", F.explode(F.lit(places[1])).alias("col"))
+    px = F.lit(x[0]) + F.col("col") * ((x[1] - x[0]) / max(1, cols - 1))
+    py = F.lit(y[0]) + F.col("row") * ((y[1] - y[0]) / max(1, rows - 1))
+    found = scene_to_geodetic(px, py, F.lit(z), lat, lon, height, heading)
+    return at.select((F.col("row") + 0.5).alias("row"), (F.col("col") + 0.5).alias("col"), *[c.alias(n) for c, n in zip(found, ("lon", "lat", "up"), strict=True)])
+
+
+def wrapped(degrees: Column) -> Column:
+    """An angle brought between -180 and 180 degrees."""
+    return degrees - 360 * F.round(degrees / 360)
+
+
+def frame_coordinates(pixels: DataFrame, rows: list[float], cols: list[float], lon: list[list[float]], lat: list[list[float]]) -> DataFrame:
+    """pixels (row, col) with lon and lat from a small grid of knots, bilinear, across the date line too; null outside the knots.
+
+    The knots (33 x 33 at most) travel as literals.
+    """
+    if len(rows) > 33 or len(cols) > 33 or min(len(rows), len(cols)) < 2:
+        raise ValueError("a geolocation grid has 2 to 33 knots on each axis")
+
+    def place(value: Column, knots: list[float]) -> tuple[Column, Column]:
+        at = F.lit([float(k) for k in knots])
+        k = F.least(F.greatest(F.size(F.filter(at, lambda x: x <= value)) - 1, F.lit(0)), F.lit(len(knots) - 2))
+        return k, (value - F.get(at, k)) / (F.get(at, k + 1) - F.get(at, k))
+
+    (r, u), (c, v) = place(F.col("row"), rows), place(F.col("col"), cols)
+    inside = F.col("row").between(rows[0], rows[-1]) & F.col("col").between(cols[0], cols[-1])
+
+    def mixed(table: list[list[float]], turn: bool) -> Column:
+        corner = lambda i, j: F.get(F.get(F.lit([[float(x) for x in line] for line in table]), r + i), c + j)
+        base = corner(0, 0)
+        off = [[wrapped(corner(i, j) - base) if turn else corner(i, j) - base for j in (0, 1)] for i in (0, 1)]
+        out = base + (1 - u) * v * off[0][1] + u * (1 - v) * off[1][0] + u * v * off[1][1]
+        return F.when(inside, wrapped(out) if turn else out)
+
+    return pixels.withColumns({"lon": mixed(lon, True), "lat": mixed(lat, False)})
+
+
+def knot_residual(points: DataFrame) -> DataFrame:
+    """The largest distance in metres between places (lon, lat) and what a knot grid gives for them (grid_lon, grid_lat), as one row."""
+    return points.agg(F.max(great_circle(F.col("lon"), F.col("lat"), F.col("grid_lon"), F.col("grid_lat"))).alias("residual_m"))
+
+
+def utm_zone(lon: Column, lat: Column) -> Column:
+    """The EPSG code of the UTM zone of a place."""
+    zone = F.least(F.lit(60), F.greatest(F.lit(1), F.floor((lon + 180) / 6).cast("int") + 1))
+    return F.when(lat >= 0, 32600 + zone).otherwise(32700 + zone)
+
+
+#: Third flattening and the first coefficients of Krueger's series, from their definition by the flattening.
+_N = WGS84_F / (2 - WGS84_F)
+_RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+_BETA = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480]
+_DELTA = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15]
+
+
+def to_utm(lon: Column, lat: Column, epsg: Column | int) -> tuple[Column, Column]:
+    """Easting and northing in metres in a UTM zone given by its EPSG code (Krueger's series to the third order)."""
+    code = F.lit(epsg) if isinstance(epsg, int) else epsg
+    centre, south = (code % 100) * 6 - 183, code >= 32700
+    phi, lam = F.radians(lat), F.radians(wrapped(lon - centre))
+    e = WGS84_E2**0.5
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    north, east = xi, eta
+    for j, a in enumerate(_ALPHA, 1):
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return 500_000 + 0.9996 * _RECTIFYING * east, F.when(south, 10_000_000.0).otherwise(0.0) + 0.9996 * _RECTIFYING * north
+
+
+def from_utm(east: Column, north: Column, epsg: Column | int) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in a UTM zone."""
+    code = F.lit(epsg) if isinstance(epsg, int) else epsg
+    xi = (north - F.when(code >= 32700, 10_000_000.0).otherwise(0.0)) / (0.9996 * _RECTIFYING)
+    eta = (east - 500_000) / (0.9996 * _RECTIFYING)
+    u, v = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return wrapped(F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (code % 100) * 6 - 183), F.degrees(phi)
+
+
+def merged_mask(value: Column, nodata: Column | float | None = None, mask: Column | None = None) -> Column:
+    """A value, or NaN where its mask is zero, where it is the nodata value, or where it is not finite. Zero stays zero."""
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    if nodata is not None:
+        bad = bad | F.coalesce(value == nodata, F.lit(False))
+    if mask is not None:
+        bad = bad | (F.coalesce(mask, F.lit(0)) == 0)
+    return F.when(bad, float("nan")).otherwise(value)
+
+
+def geocode(image: DataFrame, a: tuple[float, float, float, float, float, float], rows: int, cols: int, pixel_m: float | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """A magnitude image (row, col, value; lon and lat by an affine map of its pixels) on the north-up grid of its UTM zone.
+
+    Each source pixel gives its value to the output pixels around it: it is
+    dealt, with its weight of a bilinear sample, to those whose own place in
+    the source lies within one pixel. One shuffle by output pixel adds the
+    weights up. Output without all its neighbours, or with one that is NaN, is
+    NaN; output pixels outside the source are not in the result. The second
+    result has epsg, the top left corner and the pixel size.
+    """
+    spark = image.sparkSession
+    corners = spark.range(1).select(F.explode(F.lit([[float(r), float(c)] for r in (0, rows) for c in (0, cols)])).alias("p")).select((F.col("p")[0] - 0.5).alias("r"), (F.col("p")[1] - 0.5).alias("c"))
+    lon, lat = affine(F.col("r"), F.col("c"), a)
+    centre = affine(F.lit(rows / 2 - 0.5), F.lit(cols / 2 - 0.5), a)
+    placed = corners.select(lon.alias("lon"), lat.alias("lat"), utm_zone(*centre).alias("epsg"))
+    east, north = to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    box = placed.select("epsg", east.alias("e"), north.alias("n")).agg(F.first("epsg").alias("epsg"), F.min("e").alias("left"), F.max("e").alias("right"), F.min("n").alias("low"), F.max("n").alias("top")).first()
+    step = pixel_m or max((box["right"] - box["left"]) / cols, (box["top"] - box["low"]) / rows)
+    width, height = math.ceil((box["right"] - box["left"]) / step), math.ceil((box["top"] - box["low"]) / step)
+    grid = {"epsg": box["epsg"], "left": box["left"], "top": box["top"], "pixel_m": step, "rows": height, "cols": width}
+    det = a[0] * a[4] - a[1] * a[3]
+    out = spark.range(width * height).select((F.floor(F.col("id") / width)).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    at = from_utm(F.lit(box["left"]) + (F.col("col") + 0.5) * step, F.lit(box["top"]) - (F.col("row") + 0.5) * step, box["epsg"])
+    dx, dy = at[0] - a[2], at[1] - a[5]
+    out = out.withColumns({"sc": (a[4] * dx - a[1] * dy) / det - 0.5, "sr": (a[0] * dy - a[3] * dx) / det - 0.5})
+    out = out.where(F.col("sr").between(0, rows - 1) & F.col("sc").between(0, cols - 1))
+    r0, c0 = F.least(F.floor("sr").cast("int"), F.lit(rows - 2)), F.least(F.floor("sc").cast("int"), F.lit(cols - 2))
+    near = [F.struct((r0 + i).alias("row"), (c0 + j).alias("col"), ((1 - F.abs(F.col("sr") - (r0 + i))) * (1 - F.abs(F.col("sc") - (c0 + j)))).alias("w")) for i in (0, 1) for j in (0, 1)]
+    asked = out.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.explode(F.array(*near)).alias("s")).where("s.w > 0").select("to_row", "to_col", "s.w", F.col("s.row").alias("row"), F.col("s.col").alias("col"))
+    met = asked.join(image.select("row", "col", "value"), ["row", "col"], "left").groupBy("to_row", "to_col").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(float("nan")))).alias("value"))
+    return met.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value"), grid
 
 
 def affine(row: Column, col: Column, a: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:

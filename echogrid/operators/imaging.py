@@ -1,96 +1,149 @@
-"""Image formation: pixel grids, coherent backprojection, direct sums, synthetic echoes."""
+"""Image formation: pixel grids, coherent backprojection, direct frequency sums."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import windows
-from .signal import C, MAX_COMPLEX_SAMPLES, interpolate, let, total
+from ..functions import lines, windows
+from .signal import C, aperture_weights, interpolate, let, total
 
-MAX_PIXELS = 16_777_216
+_PIXEL = "row int, col int, re double, im double"
+
+
+class Grid(NamedTuple):
+    """Evenly spaced axes (first, last, count) at one height; rows follow y. Six numbers and a height, whatever its size."""
+
+    x: tuple[float, float, int]
+    y: tuple[float, float, int]
+    z: float = 0.0
+
+    def checked(self) -> Grid:
+        if any(n < 2 or b <= a for a, b, n in (self.x, self.y)):
+            raise ValueError("axes must rise and have two points or more")
+        return self
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(row, col, x, y, z) of all pixels."""
+        (x0, x1, nx), (y0, y1, ny), z = self.checked()
+        row, col = F.floor(F.col("id") / nx).cast("int"), (F.col("id") % nx).cast("int")
+        return spark.range(nx * ny).select(row.alias("row"), col.alias("col"), (F.lit(x0) + col * ((x1 - x0) / (nx - 1))).alias("x"), (F.lit(y0) + row * ((y1 - y0) / (ny - 1))).alias("y"), F.lit(float(z)).alias("z"))
+
+    def tiles(self, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, col, x, y, z) of runs of at most `most` pixels."""
+        (x0, x1, nx), (y0, y1, ny), z = self
+        for a in range(0, nx * ny, most):
+            row, col = np.divmod(np.arange(a, min(nx * ny, a + most)), nx)
+            yield row.astype(np.int32), col.astype(np.int32), x0 + col * ((x1 - x0) / (nx - 1)), y0 + row * ((y1 - y0) / (ny - 1)), np.full(len(row), float(z))
 
 
 def pixel_grid(spark: SparkSession, x: tuple[float, float, int], y: tuple[float, float, int], z: float = 0.0) -> DataFrame:
     """(row, col, x, y, z) of evenly spaced axes (first, last, count); row follows y."""
-    (x0, x1, nx), (y0, y1, ny) = x, y
-    if nx < 2 or ny < 2 or nx * ny > MAX_PIXELS or x1 <= x0 or y1 <= y0:
-        raise ValueError("axes must increase, with two points or more and a bounded product")
-    row, col = F.floor(F.col("id") / nx).cast("int"), (F.col("id") % nx).cast("int")
-    return spark.range(nx * ny).select(row.alias("row"), col.alias("col"), (F.lit(x0) + col * ((x1 - x0) / (nx - 1))).alias("x"), (F.lit(y0) + row * ((y1 - y0) / (ny - 1))).alias("y"), F.lit(float(z)).alias("z"))
+    return Grid(x, y, z).frame(spark)
+
+
+class _Kernel(NamedTuple):
+    """How one pulse adds to some pixels."""
+
+    start: float
+    step: float
+    wave: float
+    method: str
+    half_width: int
+
+    def add(self, image: np.ndarray, at: tuple[np.ndarray, ...], profile: np.ndarray, px: float, py: float, pz: float, r0: float, weight: float) -> None:
+        x, y, z = at
+        delta = np.sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) - r0
+        value = interpolate(profile, (delta - self.start) / self.step, self.method, self.half_width)
+        angle = self.wave * delta
+        turn = np.empty(len(x), complex)
+        turn.real, turn.imag = np.cos(angle), np.sin(angle)
+        image += weight * value * turn
+
+
+def _kernel(meta: dict[str, float], method: str, half_width: int) -> _Kernel:
+    return _Kernel(meta["range_start_m"], meta["range_step_m"], 4 * np.pi * meta["carrier_hz"] / C, method, half_width)
 
 
-#: Grids up to this size are broadcast to the pulses; larger ones stay spread and the profiles are broadcast.
-BROADCAST_PIXELS = 262_144
+def _profiles(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(profile, x, y, z, r0, weight) of each row of (re, im, x, y, z, r0, weight)."""
+    (re, at), (im, _) = lines.offsets(batch.column(0)), lines.offsets(batch.column(1))
+    rest = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(2, 7)]
+    for a, b, *place in zip(at[:-1].tolist(), at[1:].tolist(), *rest, strict=True):
+        profile = np.empty(b - a, complex)
+        profile.real, profile.imag = re[a:b], im[a:b]
+        yield profile, *place
 
 
-def _form(x: np.ndarray, y: np.ndarray, z: np.ndarray, pulses: Iterator[tuple], start: float, step: float, wave: float, method: str, half_width: int) -> np.ndarray:
-    """The sum of pulses (profile, position, r0, weight) at some pixels."""
-    image = np.zeros(len(x), complex)
-    for profile, (px, py, pz), r, w in pulses:
-        delta = np.sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) - r
-        image += w * interpolate(profile, (delta - start) / step, method, half_width) * np.exp(1j * wave * delta)
-    return image
+def _pixels(row: np.ndarray, col: np.ndarray, image: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, col, image.real, image.imag)], ["row", "col", "re", "im"])
 
 
-def backproject(pixels: DataFrame, profiles: DataFrame, meta: dict[str, float], window: str = "hann", method: str = "linear", half_width: int = 8, tile: int = 65_536) -> DataFrame:
-    """Complex image (row, col, re, im) of pixels from range profiles (pulse, re, im, x, y, z, r0).
+def _weighted(profiles: DataFrame, window: str) -> DataFrame:
+    """The columns that a sum needs; profiles that came without weights get them here."""
+    full = profiles if "weight" in profiles.columns else aperture_weights(profiles, window)
+    return full.select("re", "im", "x", "y", "z", "r0", "weight")
 
-    A grid of at most BROADCAST_PIXELS goes to where the profiles are: each task
-    sums its own pulses over all pixels, in tiles, and the tasks' sums meet in
-    one shuffle of a row for each pixel and task. For a larger grid the
-    profiles, at most MAX_COMPLEX_SAMPLES, are broadcast and pixels stay spread.
-    Both sizes are checked first.
+
+def backproject(grid: Grid, profiles: DataFrame, meta: dict[str, float], window: str = "hann", method: str = "linear", half_width: int = 8, tile: int = 65_536, held: int = 4_194_304) -> DataFrame:
+    """Complex image (row, col, re, im) of a grid from range profiles (pulse, re, im, x, y, z, r0, weight).
+
+    Profiles stay where they are. Each task makes the pixels' places from the
+    grid's axes, tile by tile, and sums its own pulses; the sums meet in one
+    shuffle by pixel. A task hands over what it has summed when that reaches
+    `held` pixels, so memory is bounded for a grid of any size. Where profiles
+    have no weight column, the aperture's weights are found first.
     """
-    spark = pixels.sparkSession
-    numbers = sorted(r["pulse"] for r in profiles.select("pulse").collect())
-    if not numbers:
-        raise ValueError("there are no profiles")
-    taper = windows.window(len(numbers), window)
-    weight = dict(zip(numbers, taper.tolist(), strict=True))
-    start, step, wave = meta["range_start_m"], meta["range_step_m"], 4 * np.pi * meta["carrier_hz"] / C
-    how = (start, step, wave, method, half_width)
-
-    def pulses(frame: pd.DataFrame) -> Iterator[tuple]:
-        places, ranges = frame[["x", "y", "z"]].to_numpy(float), frame["r0"].to_numpy(float)
-        for k, (re, im) in enumerate(zip(frame["re"], frame["im"], strict=True)):
-            yield np.asarray(re) + 1j * np.asarray(im), places[k], ranges[k], weight[frame["pulse"].iloc[k]] / taper.sum()
-
-    if pixels.count() <= BROADCAST_PIXELS:
-        grid = pixels.select("row", "col", "x", "y", "z").toPandas()
-        shared = spark.sparkContext.broadcast(tuple(grid[c].to_numpy() for c in ("row", "col", "x", "y", "z")))
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            row, col, x, y, z = shared.value
-            image, some = np.zeros(len(x), complex), False
-            for batch in batches:
-                some = some or len(batch) > 0
-                for a in range(0, len(x), tile):
-                    b = min(len(x), a + tile)
-                    image[a:b] += _form(x[a:b], y[a:b], z[a:b], pulses(batch), *how)
-            if some:
-                yield pd.DataFrame({"row": row, "col": col, "re": image.real, "im": image.imag})
-
-        parts = profiles.select("pulse", "re", "im", "x", "y", "z", "r0").mapInPandas(partial, "row int, col int, re double, im double")
-        return parts.groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-    width = profiles.agg(F.max(F.size("re"))).first()[0]
-    if len(numbers) * width > MAX_COMPLEX_SAMPLES:
-        raise ValueError("profiles must stay within 32 million samples for a grid of this size")
-    held = spark.sparkContext.broadcast(profiles.select("pulse", "re", "im", "x", "y", "z", "r0").orderBy("pulse").toPandas())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    grid.checked()
+    kernel = _kernel(meta, method, half_width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, sums = grid.x[2] * grid.y[2] <= held, {}
         for batch in batches:
-            for a in range(0, len(batch), tile):
-                part = batch.iloc[a : a + tile]
-                image = _form(*(part[c].to_numpy() for c in "xyz"), pulses(held.value), *how)
-                yield pd.DataFrame({"row": part["row"], "col": part["col"], "re": image.real, "im": image.imag})
+            if not batch.num_rows:
+                continue
+            pulses = list(_profiles(batch))
+            for k, (row, col, *at) in enumerate(grid.tiles(tile)):
+                image = sums.setdefault(k, np.zeros(len(row), complex)) if small else np.zeros(len(row), complex)
+                for pulse in pulses:
+                    kernel.add(image, at, *pulse)
+                if not small:
+                    yield _pixels(row, col, image)
+        if sums:
+            for k, (row, col, *_) in enumerate(grid.tiles(tile)):
+                yield _pixels(row, col, sums[k])
+
+    return _weighted(profiles, window).mapInArrow(partial, _PIXEL).groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def backproject_points(points: DataFrame, profiles: DataFrame, meta: dict[str, float], window: str = "hann", method: str = "linear", half_width: int = 8, point_parts: int = 1, pulse_parts: int = 8) -> DataFrame:
+    """The same sum at any points (row, col, x, y, z), such as pixels on a surface.
+
+    Points and pulses are dealt into parts by hash, and each pair of parts is
+    one task's work: a point travels to pulse_parts tasks, a profile to
+    point_parts. Choose the parts so that a pair fits a task's memory.
+    """
+    kernel = _kernel(meta, method, half_width)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = points.select(F.pmod(F.hash("row", "col"), F.lit(point_parts)).alias("p"), every(pulse_parts).alias("q"), "row", "col", "x", "y", "z")
+    seen = _weighted(profiles, window)
+    seen = seen.select("re", "im", "x", "y", "z", "r0", "weight", F.pmod(F.hash("x", "y", "z", "r0"), F.lit(pulse_parts)).alias("q"), every(point_parts).alias("p"))
+
+    def form(at: pa.Table, pulses: pa.Table) -> pa.Table:
+        row, col, *places = (at.column(c).to_numpy() for c in ("row", "col", "x", "y", "z"))
+        image = np.zeros(len(row), complex)
+        for batch in pulses.to_batches() if len(row) else ():
+            for pulse in _profiles(batch):
+                kernel.add(image, tuple(places), *pulse)
+        return pa.Table.from_batches([_pixels(row.astype(np.int32), col.astype(np.int32), image)])
 
-    return pixels.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "row int, col int, re double, im double")
+    parts = asked.groupBy("p", "q").cogroup(seen.groupBy("p", "q")).applyInArrow(form, _PIXEL)
+    return parts.groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def backproject_sums(pulses: DataFrame, points: list[tuple[float, float, float]], line: str, count: int, start: float, step: float, wave: float) -> DataFrame:
@@ -123,48 +176,41 @@ def direct_sums(pulses: DataFrame, points: list[tuple[float, float, float]], lin
     return spread.groupBy("point").agg(F.sum(part(F.cos)).alias("re"), F.sum(part(F.sin)).alias("im"))
 
 
-def direct_reference(pulses: DataFrame, points: DataFrame, frequency: np.ndarray, window: str = "hann", azimuth_window: str = "hann") -> DataFrame:
-    """(row, col, re, im) of points by the direct frequency sum, for checks: points meet the pulses in Arrow batches."""
-    held = pulses.orderBy("pulse").toPandas()
-    samples = np.stack(held["re"].to_list()) + 1j * np.stack(held["im"].to_list())
-    weight = windows.window(len(samples), azimuth_window)[:, None] * windows.window(len(frequency), window)
-    shared = points.sparkSession.sparkContext.broadcast((samples * weight, held[["x", "y", "z"]].to_numpy(float), held["r0"].to_numpy(float), weight.sum()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        samples, positions, r0, norm = shared.value
-        for batch in batches:
-            out = []
-            for p in batch[["x", "y", "z"]].to_numpy():
-                delta = np.linalg.norm(positions - p, axis=1) - r0
-                out.append((samples * np.exp(1j * 4 * np.pi / C * delta[:, None] * frequency)).sum() / norm)
-            out = np.array(out, complex)
-            yield pd.DataFrame({"row": batch["row"], "col": batch["col"], "re": out.real, "im": out.imag})
-
-    return points.mapInPandas(run, "row int, col int, re double, im double")
-
+def frequency_sums(pulses: DataFrame, points: DataFrame, frequency: np.ndarray, window: str = "hann", azimuth_window: str = "hann") -> DataFrame:
+    """(row, col, re, im) at a short list of points: the sum over all pulses and frequencies, without any transform.
 
-def self_check(image: DataFrame, grid: DataFrame, pulses: DataFrame, frequency: np.ndarray, window: str = "hann", azimuth_window: str = "hann", most: float = 0.01) -> float:
+    The points travel as one row to the pulses; what is summed within a pulse
+    stays an array expression, and one row for each point and task is shuffled.
+    """
+    taper = windows.window(len(frequency), window)
+    axis = F.lit([float(f) * 4 * np.pi / C for f in frequency])
+    share = F.lit([float(w) / float(taper.sum()) for w in taper])
+    listed = points.agg(F.collect_list(F.struct("row", "col", "x", "y", "z")).alias("_points"))
+    seen = pulses if "weight" in pulses.columns else aperture_weights(pulses, azimuth_window)
+    each = seen.join(F.broadcast(listed)).select("re", "im", "weight", "r0", *[F.col(c).alias(f"p{c}") for c in "xyz"], F.explode("_points").alias("at"))
+    delta = F.sqrt(sum((F.col(f"at.{c}") - F.col(f"p{c}")) ** 2 for c in "xyz")) - F.col("r0")
+    each = each.withColumn("delta", delta).withColumn("angles", F.transform(axis, lambda f: f * F.col("delta")))
+    both = F.zip_with(F.arrays_zip("re", "im"), F.arrays_zip(F.col("angles").alias("a"), share.alias("w")), lambda v, t: F.struct(((v["re"] * F.cos(t["a"]) - v["im"] * F.sin(t["a"])) * t["w"]).alias("re"), ((v["re"] * F.sin(t["a"]) + v["im"] * F.cos(t["a"])) * t["w"]).alias("im")))
+    each = each.select("at.row", "at.col", "weight", both.alias("turned"))
+    return each.groupBy("row", "col").agg(*[F.sum(F.col("weight") * total(F.col("turned")[c])).alias(c) for c in ("re", "im")])
+
+
+def self_check(image: DataFrame, grid: Grid, pulses: DataFrame, frequency: np.ndarray, window: str = "hann", azimuth_window: str = "hann", most: float = 0.01) -> float:
     """Relative error of the image against the direct sum on a 5 x 5 lattice and its 25 strongest pixels; beyond `most` an error."""
     if not image.agg(F.bool_or((F.col("re") != 0) | (F.col("im") != 0))).first()[0]:
         raise ValueError("the image has no signal")
-    rows, cols = image.agg(F.max("row"), F.max("col")).first()
-    places = [[round(i * n / 4) for i in range(5)] for n in (rows, cols)]
-    chosen = image.where(F.col("row").isin(places[0]) & F.col("col").isin(places[1])).unionByName(image.orderBy(F.desc(F.hypot("re", "im")), "row", "col").limit(25)).distinct()
-    points = grid.join(F.broadcast(chosen.select("row", "col")), ["row", "col"])
-    truth = direct_reference(pulses, points, frequency, window, azimuth_window).select("row", "col", F.col("re").alias("tr"), F.col("im").alias("ti"))
-    d2 = (F.col("re") - F.col("tr")) ** 2 + (F.col("im") - F.col("ti")) ** 2
-    error = chosen.join(truth, ["row", "col"]).agg(F.sqrt(F.sum(d2) / F.sum(F.col("tr") ** 2 + F.col("ti") ** 2))).first()[0]
+    on = [F.col(c).isin([round(k * (axis[2] - 1) / 4) for k in range(5)]) for c, axis in (("row", grid.y), ("col", grid.x))]
+    strongest = image.orderBy(F.desc(F.hypot("re", "im")), "row", "col").limit(25)
+    chosen = image.where(on[0] & on[1]).unionByName(strongest).distinct()
+    points = grid.frame(image.sparkSession).join(F.broadcast(chosen.select("row", "col")), ["row", "col"])
+    truth = frequency_sums(pulses, points, frequency, window, azimuth_window).withColumnsRenamed({"re": "true_re", "im": "true_im"})
+    off = (F.col("re") - F.col("true_re")) ** 2 + (F.col("im") - F.col("true_im")) ** 2
+    error = chosen.join(truth, ["row", "col"]).agg(F.sqrt(F.sum(off) / F.sum(F.col("true_re") ** 2 + F.col("true_im") ** 2))).first()[0]
     if not error <= most:
         raise ValueError(f"the image differs from the direct sum by {error}")
     return error
 
 
-def chirp(bandwidth_hz: float, length_s: float, sampling_hz: float, tapered: bool = False) -> np.ndarray:
-    n = int(length_s * sampling_hz)
-    t = np.arange(n) / sampling_hz
-    return np.exp(1j * np.pi * bandwidth_hz / length_s * t**2) * (windows.hann(n) if tapered else 1)
-
-
 def point_echoes(targets: DataFrame, pulses: int, spacing_m: float, samples: int, step_m: float, wave: float, phase_sign: int = 1) -> DataFrame:
     """(pulse, sample, re, im) of point targets (x, y, rcs) seen by a platform that moves along y.
 

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .measure import pta_stats_2d
+
 
 class Target(NamedTuple):
     row: int
@@ -37,6 +39,25 @@ def strongest_targets(pixels: DataFrame, rows: int, cols: int, most: int, chip:
     return out
 
 
+def target_statistics(pixels: DataFrame, found: list[Target], chip: int = 3) -> DataFrame:
+    """(nth, row, col, value, valid, x, y): peak statistics by column and by row of each valid target's chip.
+
+    The targets, a short list, travel as a literal. A pixel that an earlier
+    target's chip has set aside counts as zero in a later one.
+    """
+    spark, half = pixels.sparkSession, chip // 2
+    listed = spark.createDataFrame([(k, *t) for k, t in enumerate(found)], "nth int, row int, col int, value double, valid boolean")
+    if not found:
+        return listed.select("*", *[F.lit(None).alias(c) for c in "xy"])
+    places = F.lit([[k, t.row, t.col] for k, t in enumerate(found)])
+    near = F.filter(places, lambda t: (F.abs(F.col("row") - t[1]) <= half) & (F.abs(F.col("col") - t[2]) <= half))
+    held = pixels.select("row", "col", "value", near.alias("near")).where(F.size("near") > 0).select("row", "col", "value", F.posexplode("near").alias("order", "t"))
+    cut = held.select(F.col("t")[0].alias("nth"), (F.col("row") - F.col("t")[1] + half).alias("row"), (F.col("col") - F.col("t")[2] + half).alias("col"), F.when(F.col("order") == 0, F.col("value")).otherwise(0.0).alias("value"))
+    stats = pta_stats_2d(cut, chip, chip, "nth").withColumnRenamed("nth", "of")
+    valid = F.col("valid")
+    return listed.join(stats, F.col("nth") == F.col("of"), "left").select(*listed.columns, F.when(valid, F.col("x")).alias("x"), F.when(valid, F.col("y")).alias("y"))
+
+
 def chip_around(pixels: DataFrame, row: int, col: int, size: int) -> DataFrame:
     """The size x size pixels around a place, with rows and columns counted from the chip's corner; what lies outside the image is left out."""
     half = size // 2

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MAX_CELLS = 4_194_304
+from .geo import WGS84_A, WGS84_E2, WGS84_F
 
 
 def bilinear(heights: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -28,29 +30,50 @@ def bilinear(heights: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarra
     return out
 
 
-def surface(points: DataFrame, heights: np.ndarray, step: tuple[float, float], origin: tuple[float, float], rounds: int = 12, close: float = 1e-4) -> DataFrame:
-    """points (row, col, x, y, z) with z where each point's vertical meets the model: a fixed point found to 0.1 mm.
-
-    The model is broadcast; its size is bounded by MAX_CELLS and checked.
+def world(x: np.ndarray, y: np.ndarray, z: np.ndarray, origin: tuple[float, float, float, float]) -> np.ndarray:
+    """Longitude, latitude and ellipsoid height (n x 3) of scene points; origin is latitude, longitude, height and the heading of x."""
+    phi, lam, _, heading = (np.deg2rad(v) for v in origin)
+    turn = np.array([[np.sin(heading), -np.cos(heading), 0], [np.cos(heading), np.sin(heading), 0], [0, 0, 1]])
+    basis = np.array([[-np.sin(lam), -np.sin(phi) * np.cos(lam), np.cos(phi) * np.cos(lam)], [np.cos(lam), -np.sin(phi) * np.sin(lam), np.cos(phi) * np.sin(lam)], [0, np.cos(phi), np.sin(phi)]])
+    across = WGS84_A / np.sqrt(1 - WGS84_E2 * np.sin(phi) ** 2)
+    centre = basis[:, 2] * (across + origin[2]) - np.array([0, 0, WGS84_E2 * across * np.sin(phi)])
+    ex, ey, ez = (np.stack([x, y, z], 1) @ turn.T @ basis.T + centre).T
+    p, b = np.hypot(ex, ey), WGS84_A * (1 - WGS84_F)
+    theta = np.arctan2(ez * WGS84_A, p * b)
+    lat = np.arctan2(ez + WGS84_E2 / (1 - WGS84_E2) * b * np.sin(theta) ** 3, p - WGS84_E2 * WGS84_A * np.cos(theta) ** 3)
+    own = WGS84_A / np.sqrt(1 - WGS84_E2 * np.sin(lat) ** 2)
+    return np.stack([np.rad2deg(np.arctan2(ey, ex)), np.rad2deg(lat), p * np.cos(lat) + ez * np.sin(lat) - WGS84_A**2 / own], 1)
+
+
+def surface(points: DataFrame, heights: np.ndarray, affine: tuple[float, float, float, float, float, float], origin: tuple[float, float, float, float], rounds: int = 12, close: float = 1e-4) -> DataFrame:
+    """points (x, y, z in a scene, z being a first guess) with z on an elevation model of ellipsoid heights.
+
+    The affine map gives longitude and latitude of a place (col, row) in the
+    model. A point is moved by what the model's height at its place on the
+    ellipsoid differs from its own, until it is within 0.1 mm; a batch that does
+    not get there is an error, and so is a missing height. The window of the
+    model is broadcast: it must fit a worker's memory, so cut it to the scene.
     """
-    if heights.size > MAX_CELLS:
-        raise ValueError("the elevation window is too large")
-    shared = points.sparkSession.sparkContext.broadcast(heights)
+    det = affine[0] * affine[4] - affine[1] * affine[3]
+    shared = points.sparkSession.sparkContext.broadcast(np.asarray(heights))
+    at = [points.columns.index(c) for c in "xyz"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.zeros(len(batch))
+            x, y, z = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in at)
             for _ in range(rounds):
-                new = bilinear(shared.value, (batch["y"].to_numpy() - origin[1]) / step[1], (batch["x"].to_numpy() - origin[0]) / step[0])
-                moved = np.abs(new - z).max() if len(z) else 0.0
-                z = new
-                if moved <= close:
+                place = world(x, y, z, origin)
+                dx, dy = place[:, 0] - affine[2], place[:, 1] - affine[5]
+                off = bilinear(shared.value, (affine[0] * dy - affine[3] * dx) / det, (affine[4] * dx - affine[1] * dy) / det) - place[:, 2]
+                if not len(off) or np.abs(off).max() <= close:
                     break
+                z = z + off
             else:
                 raise ValueError("the surface was not met")
-            yield batch.assign(z=z)
+            columns = [pa.array(z) if k == at[2] else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return points.mapInPandas(run, points.schema)
+    return points.withColumn("z", F.col("z").cast("double")).mapInArrow(run, points.withColumn("z", F.col("z").cast("double")).schema)
 
 
 def spline(knots: np.ndarray, values: np.ndarray):

@@ -15,16 +15,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.decode import pixels
+from . import files
 
 #: Fixed values of the tape format: record size, sync word, header and trailing test ramp, accessory prefix.
 RECORD, SYNC, HEADER, RAMP, ACCESSORY = 2048, 0x0EB22000, 28, 76, 8192
-#: Fixed values of the product format: chunk sync and chunk types.
-CHUNK_SYNC, IMAGE, ANNOTATION, END = 0xDCDC, 0, 200, 32768
+BLOCK = 1 << 22
 
 
 def _files(path: str) -> list[str]:
-    store, top = fs.FileSystem.from_uri(path)
+    store, top = files.located(path)
     info = store.get_file_info(top)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -34,9 +33,7 @@ def _files(path: str) -> list[str]:
     return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in found if x.type == fs.FileType.File)
 
 
-def _open(path: str):
-    store, where = fs.FileSystem.from_uri(path)
-    return store.open_input_file(where)
+_open = files.opened
 
 
 class Range(InputPartition):
@@ -61,9 +58,14 @@ class _Tape(DataSourceReader):
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
+        most = BLOCK // RECORD * RECORD
         with _open(part.path) as f:
             for k, at in enumerate(range(part.start, part.end, RECORD)):
-                raw = f.read_at(RECORD, at)
+                # the range is read in blocks of megabytes, not record by record
+                inside = (at - part.start) % most
+                if not inside:
+                    block = f.read_at(min(most, part.end - at), at)
+                raw = block[inside : inside + RECORD]
                 kind, number, time = struct.unpack(">HHI", raw[4:12])
                 data = raw[HEADER : RECORD - RAMP]
                 if kind >> 12 == 0 and number == 1:
@@ -90,53 +92,6 @@ class SarTape(DataSource):
         return _Tape(self.options["path"], int(self.options.get("records_per_task", 32_768)))
 
 
-class _Product(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[Range]:
-        out = []
-        for path in _files(self.path):
-            with _open(path) as f:
-                at, nth, size = 0, 0, f.size()
-                while at + 8 <= size:
-                    sync, kind, eighths = struct.unpack(">HHI", f.read_at(8, at))
-                    if sync != CHUNK_SYNC:
-                        raise ValueError(f"{path}: no chunk at byte {at}")
-                    if kind == END:
-                        break
-                    if at + 8 + eighths * 8 > size:
-                        raise ValueError(f"{path}: the chunk at byte {at} is cut short")
-                    out.append(Range(path, at + 8, at + 8 + eighths * 8, (nth, kind)))
-                    at, nth = at + 8 + eighths * 8, nth + 1
-        return out
-
-    def read(self, part: Range) -> Iterator[tuple]:
-        nth, kind = part.more
-        with _open(part.path) as f:
-            if kind != IMAGE:
-                yield part.path, nth, kind, None, None, None, None, f.read_at(part.end - part.start, part.start), None
-                return
-            frame, width, height, pixel, _ = struct.unpack(">5i", f.read_at(20, part.start))
-            image = pixels(f.read_at(part.end - part.start - 64, part.start + 64), width, height, pixel)
-            for line, row in enumerate(image):
-                yield part.path, nth, kind, frame, line, width, pixel, None, row.tolist()
-
-
-class RpfProduct(DataSource):
-    """Products as rows: one for each image line (pixels as floats), one for each other chunk (its bytes as body)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "rpf"
-
-    def schema(self) -> str:
-        return "path string, chunk int, type int, frame int, line int, width int, pixel_type int, body binary, pixels array<float>"
-
-    def reader(self, schema) -> _Product:
-        return _Product(self.options["path"])
-
-
 class _Raster(DataSourceReader):
     def __init__(self, path: str, rows: int):
         self.path, self.rows = path, rows
@@ -174,7 +129,7 @@ class FloatRaster(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (SarTape, RpfProduct, FloatRaster):
+    for source in (SarTape, FloatRaster):
         spark.dataSource.register(source)
 
 

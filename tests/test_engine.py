@@ -8,65 +8,124 @@ from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, decode, windows
 from echogrid.operators import geo, imaging, measure, preview, register, signal
-from echogrid.sources import binary, products
 from echogrid.streaming import frames
 
 C = 299792458.0
 
 
+#: Published responses of ideal windows (half-power width in bins, PSLR and ISLR in dB).
+TAYLOR_424 = (1.18416, -35.167, -27.131)
+SINC = (0.88589294, -13.26146)
+
+
+def response(spark, values, spacing=1.0, bounds=None, strict=True):
+    frame = spark.createDataFrame([([float(v) for v in np.abs(values)],)], "line array<double>")
+    return frame.select(measure.impulse_response(F.col("line"), spacing, bounds, strict).alias("r")).first()["r"]
+
+
 def test_windows(spark):
     assert windows.hann(2).tolist() == [1, 1]
     assert windows.taylor(64, 5, 40).mean() == pytest.approx(1, abs=1e-9)
     assert windows.hamming(1, 0) == pytest.approx(0.08)
     row = spark.range(1).select(windows.hann_array(5)).first()[0]
     assert row == pytest.approx(np.hanning(5).tolist())
+    for name in ("hann", "taylor", "none"):
+        got = spark.range(9).select(windows.weight_at(F.col("id"), F.lit(9), name), windows.weight_sum(F.lit(9), name)).collect()
+        assert [r[0] for r in got] == pytest.approx(windows.window(9, name).tolist())
+        assert got[0][1] == pytest.approx(windows.window(9, name).sum())
+    flat = np.array([4.0, 1.0])
+    assert windows.shaped(flat, 2.0).tolist() == [2, 1]
+    assert windows.shaped(flat, 1.0, "sum").sum() == pytest.approx(1)
+    assert np.sqrt((windows.shaped(flat, 1.0, "totalpower") ** 2).mean()) == pytest.approx(1)
     cut = np.abs(np.fft.fft(windows.taylor(424), 424 * 64))
-    found = measure.impulse_response(np.fft.fftshift(cut), 1 / 64)
-    assert found.width == pytest.approx(1.18416, abs=2e-3)
-    assert found.pslr_db == pytest.approx(-35.167, abs=0.02)
-    assert found.islr_db == pytest.approx(-27.131, abs=0.05)
+    found = response(spark, np.fft.fftshift(cut), 1 / 64)
+    assert found.width == pytest.approx(TAYLOR_424[0], abs=2e-3)
+    assert found.pslr_db == pytest.approx(TAYLOR_424[1], abs=0.02)
+    assert found.islr_db == pytest.approx(TAYLOR_424[2], abs=0.05)
 
 
-def test_impulse_response():
+def test_impulse_response(spark):
     x = np.linspace(-16, 16, 32001)
-    found = measure.impulse_response(np.sinc(x) * np.exp(0.7j), 0.001)
-    assert (found.peak, found.bounds) == (16000, (15000, 17000))
-    assert found.width == pytest.approx(0.88589294, abs=2e-6)
-    assert found.pslr_db == pytest.approx(-13.26146, abs=1e-4)
-    lobe = measure.impulse_response(np.sqrt([0.01, 0.04, 0, 0.25, 1, 0.25, 0, 0.09, 0.01]), 2, (2, 6))
+    found = response(spark, np.sinc(x), 0.001)
+    assert (found.peak, found.left, found.right) == (16000, 15000, 17000)
+    assert found.width == pytest.approx(SINC[0], abs=2e-6)
+    assert found.pslr_db == pytest.approx(SINC[1], abs=1e-4)
+    power = np.array([1, 4, 0, 25, 100, 25, 0, 9, 1]) / 100
+    lobe = response(spark, np.sqrt(power), 2, (2, 6))
     assert lobe.width == pytest.approx(8 / 3)
-    assert (lobe.pslr, lobe.islr) == (pytest.approx(0.09), pytest.approx(0.1))
-    assert measure.impulse_response([0, 0, 0, 1, 0, 0, 0], bounds=(2, 4)).pslr_db is None
-
-
-def history(spark, target, amplitude):
-    angle = np.deg2rad(np.linspace(-35, 35, 17))
-    positions = np.stack([400 * np.cos(angle), 400 * np.sin(angle), np.full(17, 80.0)], 1)
-    f = 9.6e9 + 20e6 * np.arange(64)
-    r0 = np.linalg.norm(positions, axis=1)
-    tau = 2 * (np.linalg.norm(positions - target, axis=1) - r0) / C
-    s = amplitude * np.exp(-2j * np.pi * tau[:, None] * f)
-    rows = [(i, x.real.tolist(), x.imag.tolist(), *map(float, p), float(r)) for i, (x, p, r) in enumerate(zip(s, positions, r0))]
-    return spark.createDataFrame(rows, "pulse int, re array<double>, im array<double>, x double, y double, z double, r0 double"), f
+    assert lobe.pslr == pytest.approx(0.09)
+    assert lobe.islr == pytest.approx((power[:2].sum() + power[7:].sum()) / power[2:7].sum())
+    lone = response(spark, [0, 0, 0, 1, 0, 0, 0], bounds=(2, 4))
+    assert (lone.pslr, lone.pslr_db) == (0, None)
+    # a flat minimum counts by its middle
+    flat = response(spark, [3, 1, 1, 1, 2, 9, 2, 0.5, 0.5, 4])
+    assert (flat.left, flat.right) == (2, 7)
+    assert response(spark, [1, 2, 3, 4, 5], strict=False) is None
+    for bad in ([1, 2, 3, 4, 5], [0, 0, 0, 0, 0], [1, float("inf"), 0, 1, 2]):
+        with pytest.raises(Exception, match="peak"):
+            response(spark, bad)
+
+
+def pulses_of(spark, points, count=17, radius=400.0, height=80.0, samples=64):
+    """Frequency samples of point targets (x, y, z, amplitude) seen from an arc; made by Spark expressions."""
+    axis = [9.6e9 + 2e7 * k for k in range(samples)]
+    turn = F.radians(F.lit(-35.0) + F.col("id") * (70.0 / (count - 1)))
+    seat = spark.range(count).select(F.col("id").cast("int").alias("pulse"), (radius * F.cos(turn)).alias("x"), (radius * F.sin(turn)).alias("y"), F.lit(height).alias("z"))
+    seat = seat.withColumn("r0", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
+    parts = {"re": F.array_repeat(F.lit(0.0), samples), "im": F.array_repeat(F.lit(0.0), samples)}
+    for px, py, pz, a in points:
+        far = F.sqrt((F.col("x") - px) ** 2 + (F.col("y") - py) ** 2 + (F.col("z") - pz) ** 2) - F.col("r0")
+        freq = F.lit(axis)
+        parts["re"] = _add(parts["re"], freq, far, a, True)
+        parts["im"] = _add(parts["im"], freq, far, a, False)
+    return seat.withColumns(parts).select("pulse", "re", "im", "x", "y", "z", "r0"), np.array(axis)
+
+
+def _add(held, freq, far, a, real):
+    k = -4 * np.pi / C
+    if real:
+        return F.zip_with(held, freq, lambda v, f: v + a.real * F.cos(k * far * f) - a.imag * F.sin(k * far * f))
+    return F.zip_with(held, freq, lambda v, f: v + a.real * F.sin(k * far * f) + a.imag * F.cos(k * far * f))
+
+
+def apart(a, b):
+    """The largest difference between two complex images (row, col, re, im), and how many pixels they share."""
+    other = b.select("row", "col", F.col("re").alias("r2"), F.col("im").alias("i2"))
+    return a.join(other, ["row", "col"]).agg(F.max(F.hypot(F.col("re") - F.col("r2"), F.col("im") - F.col("i2"))), F.count("*")).first()
 
 
 def test_point_target(spark):
-    pulses, f = history(spark, np.array([0.3, 0.2, 0]), 0.7 + 1.1j)
+    amplitude = 0.7 + 1.1j
+    pulses, f = pulses_of(spark, [(0.3, 0.2, 0.0, amplitude)])
     profiles, meta = signal.compress_phase_history(pulses, f, 64)
-    grid = imaging.pixel_grid(spark, (-0.6, 0.6, 25), (-0.6, 0.6, 25))
+    grid = imaging.Grid((-0.6, 0.6, 25), (-0.6, 0.6, 25))
     image = imaging.backproject(grid, profiles, meta).cache()
     top = image.orderBy(F.desc(F.hypot("re", "im"))).first()
     assert (top["col"], top["row"]) == (18, 16)
-    assert abs(complex(top["re"], top["im"]) - (0.7 + 1.1j)) < 1e-3
+    assert abs(complex(top["re"], top["im"]) - amplitude) < 1e-3
     assert imaging.self_check(image, grid, pulses, f) < 0.01
-    again = imaging.backproject(grid, profiles, meta, tile=7)
-    assert measure.compare_images(image.select("row", "col", F.col("re").alias("value")), again.select("row", "col", F.col("re").alias("value")), 1e-12, 0).first()["failures"] == 0
-    imaging.BROADCAST_PIXELS, held = 0, imaging.BROADCAST_PIXELS
-    try:
-        spread = imaging.backproject(grid, profiles, meta)
-        assert measure.compare_images(image.select("row", "col", F.col("im").alias("value")), spread.select("row", "col", F.col("im").alias("value")), 1e-12, 0).first()["failures"] == 0
-    finally:
-        imaging.BROADCAST_PIXELS = held
+    points = grid.frame(spark)
+    for other in (
+        imaging.backproject(grid, profiles, meta, tile=7),
+        imaging.backproject(grid, profiles, meta, tile=100, held=0),
+        imaging.backproject(grid, profiles.drop("weight"), meta),
+        imaging.backproject_points(points, profiles, meta, point_parts=3, pulse_parts=2),
+    ):
+        assert apart(image, other) == (pytest.approx(0, abs=1e-12), 625)
+    direct = imaging.frequency_sums(pulses, points.where("row % 6 = 0 and col % 6 = 0"), f)
+    assert apart(image, direct)[0] < 0.01
+    with pytest.raises(ValueError, match="no signal"):
+        imaging.self_check(image.withColumns({"re": F.lit(0.0), "im": F.lit(0.0)}), grid, pulses, f)
+    with pytest.raises(ValueError, match="differs"):
+        imaging.self_check(image.withColumn("re", F.col("re") * 2), grid, pulses, f)
+
+
+def test_weights_follow_the_pulses(spark):
+    rows = [(k, 0.0) for k in [5000, 3, 9, 4097, 12, 7]]
+    found = signal.aperture_weights(spark.createDataFrame(rows, "pulse int, r0 double"), "hann").orderBy("pulse").collect()
+    truth = np.hanning(6) / np.hanning(6).sum()
+    assert [r.pulse for r in found] == [3, 7, 9, 12, 4097, 5000]
+    assert [r.weight for r in found] == pytest.approx(truth.tolist())
 
 
 def test_every_bin(spark):
@@ -82,19 +141,24 @@ def test_every_bin(spark):
 
 
 def test_matched_filter(spark):
-    t = np.arange(32) / 200e6
-    replica = np.exp(1j * np.pi * (80e6 / t[-1]) * (t - t[-1] / 2) ** 2)
-    lags, amplitudes = [0, 13, 64], [0.8 - 0.6j, -0.3 + 0.9j, 0.4 + 0.2j]
-    rows = []
-    for i, (lag, a) in enumerate(zip(lags, amplitudes)):
-        x = np.zeros(96, complex)
-        x[lag : lag + 32] = a * replica
-        rows.append((i, x.real.tolist(), x.imag.tolist(), (1 + i / 10) * 1e-6))
+    r = np.random.default_rng(6)
+    sent = np.exp(2j * np.pi * np.cumsum(np.linspace(-0.2, 0.2, 24)))
+    x = r.standard_normal((3, 80)) + 1j * r.standard_normal((3, 80))
+    x[1] = 0
+    x[1, 17:41] = (0.3 - 0.4j) * sent
+    rows = [(k, v.real.tolist(), v.imag.tolist(), 1e-6 * k) for k, v in enumerate(x)]
     frame = spark.createDataFrame(rows, "pulse int, re array<double>, im array<double>, receive_start_s double")
-    for r, lag, a in zip(signal.compress_raw_echo(frame, replica, 200e6).orderBy("pulse").collect(), lags, amplitudes):
-        y = np.array(r.re) + 1j * np.array(r.im)
-        assert np.abs(y).argmax() == lag
-        assert abs(y[lag] - a) < 2e-12
+    for window in ("none", "hann"):
+        w = windows.window(24, window)
+        got = signal.compress_raw_echo(frame, sent, 1e8, window).orderBy("pulse").collect()
+        for k, row in enumerate(got):
+            padded = np.concatenate([x[k], np.zeros(24)])
+            truth = [(padded[lag : lag + 24] * (sent * w).conj()).sum() / w.sum() for lag in range(80)]
+            assert np.abs(np.array(row.re) + 1j * np.array(row.im) - truth).max() < 1e-12
+            assert row.range_start_m == pytest.approx(C / 2 * 1e-6 * k)
+        assert np.hypot(got[1].re, got[1].im).argmax() == 17
+    with pytest.raises(ValueError, match="energy"):
+        signal.compress_raw_echo(frame, np.zeros(4), 1e8)
 
 
 def test_interpolation():
@@ -104,13 +168,28 @@ def test_interpolation():
     sinc, line = (np.abs(signal.interpolate(x(n), at, m) - x(at)).max() for m in ("sinc", "linear"))
     assert sinc < 0.002
     assert sinc * 40 < line
-    for method, bad in (("linear", -1e-12), ("linear", 127.000000000001), ("sinc", 6.99), ("sinc", 120.01)):
+    for method, bad in (("linear", -1e-12), ("linear", 127.000000000001), ("sinc", 6.99), ("sinc", 120.01), ("sinc", -1.0), ("sinc", 128.0)):
         with pytest.raises(ValueError):
             signal.interpolate(np.ones(128, complex), np.array([bad]), method)
+    # whole places are samples, at the ends too
+    whole = np.array([0.0, 5.0, 127.0])
+    assert signal.interpolate(x(n), whole, "sinc").tolist() == x(n)[[0, 5, 127]].tolist()
+    mixed = signal.interpolate(x(n), np.array([3.0, 40.25]), "sinc")
+    assert mixed[0] == x(n)[3]
+    assert abs(mixed[1] - x(40.25)) < 0.002
+
+
+def test_interpolated_lines(spark):
+    rows = [(1, [0.0, 1.0, 4.0], [0.0, 0.0, 2.0], [0.5, 2.0]), (2, [1.0, 2.0], [0.0, 0.0], [])]
+    frame = spark.createDataFrame(rows, "k int, re array<double>, im array<double>, at array<double>")
+    got = signal.interpolated(frame, "at").orderBy("k").collect()
+    assert (got[0].at_re, got[0].at_im, got[1].at_re) == ([0.5, 4.0], [0.0, 2.0], [])
+    with pytest.raises(Exception, match="swath"):
+        signal.interpolated(frame.withColumn("at", F.lit([9.0])), "at").collect()
 
 
 def test_focus(spark):
-    pulses, f = history(spark, np.array([0.13, -0.21, 0.07]), 0.7 - 0.4j)
+    pulses, f = pulses_of(spark, [(0.13, -0.21, 0.07, 0.7 - 0.4j)])
     error = 1.3 + 2.6 * F.sin(0.9 * F.col("pulse")) + 0.15 * F.col("pulse")
     turned = pulses.withColumn("e", error).withColumns({
         "re": F.zip_with("re", "im", lambda a, b: a * F.cos("e") - b * F.sin("e")),
@@ -144,8 +223,11 @@ def test_histogram_and_order(spark):
     assert counts([0, 1, 100], 2) == {0: 2, 1: 1}
     assert counts([5, 5, 5], 4) == {0: 3}
     v = np.random.default_rng(1).gamma(2, size=500).round(2)
-    got = dict(map(tuple, measure.order_statistics(frame(v), "v", [0.0, 0.3, 1.0], 16).collect()))
-    assert got == {p: np.sort(v)[int(p * 499)] for p in (0.0, 0.3, 1.0)}
+    for values in (v, np.r_[v, 1e300, -1e300, np.full(300, 2.5)], np.full(40, 7.0)):
+        for most in (5, 1_000_000):
+            got = dict(map(tuple, measure.order_statistics(frame(values), "v", [0.0, 0.3, 1.0], most).collect()))
+            assert got == {p: np.sort(values)[int(p * (len(values) - 1))] for p in (0.0, 0.3, 1.0)}
+    assert measure.order_statistics(frame([float("nan")]), "v", [0.5]).count() == 0
 
 
 def test_registration(spark):
@@ -159,13 +241,44 @@ def test_registration(spark):
 
 
 def test_lookup(spark):
-    knots = spark.createDataFrame([(1, 10.0), (3, 20.0), (9000, 0.0)], "line int, v double")
-    lines = spark.createDataFrame([(2,), (3,), (9000,), (0,)], "line int")
-    got = {r.line: r.value for r in geo.interpolate_lines(lines, "line", geo.knot_intervals(knots, "line", "v", 16)).collect()}
-    assert got[2] == 15.0
-    assert set(got) == {2, 3}
     blocks = spark.createDataFrame([(1, 0, 10), (2, 5, 3000)], "block int, first int, last int")
-    assert {r.line: r.block for r in geo.line_lookup(lines, blocks, "line").collect()} == {2: 1, 3: 1, 0: 1}
+    lines = spark.createDataFrame([(2,), (3,), (9000,), (0,), (7,), (7,)], "line int")
+    assert sorted((r.line, r.block) for r in geo.line_lookup(lines, blocks, "line").collect()) == [(0, 1), (2, 1), (3, 1), (7, 1), (7, 1)]
+
+
+def test_grid_interpolation(spark):
+    knots = spark.createDataFrame([(1, 10.0), (3, 20.0), (9000, 0.0), (5_000_000, 8.0)], "at int, v double")
+    asked = [-50, 0, 1, 2, 3, 700, 9000, 9001, 4_000_000, 5_000_000, 6_000_000]
+    lines = spark.createDataFrame([(x,) for x in asked], "line int")
+    truth = {}
+    at, v = [1, 3, 9000, 5_000_000], [10.0, 20.0, 0.0, 8.0]
+    for x in asked:
+        k = min(max(np.searchsorted(at, x, "right") - 1, 0), 2)
+        truth[x] = v[k] + (x - at[k]) / (at[k + 1] - at[k]) * (v[k + 1] - v[k])
+    for width in (16, 1024):
+        got = {r.line: r.v for r in geo.interpolate_lines(lines, "line", knots, "at", "v", width=width).collect()}
+        assert got == pytest.approx(truth)
+        assert got[9000] == 0.0
+    single = geo.interpolate_lines(lines, "line", knots.limit(1), "at", "v").collect()
+    assert {r.v for r in single} == {10.0}
+    assert geo.latest(lines, "line", knots, "at").where("found is null").count() == 2
+
+
+def test_grid_coordinates(spark):
+    names = [f"{p}_{v}" for p in ("begin", "mid", "end") for v in ("lat", "lon", "ratio")]
+    rows = [(1, *[float(10 * k) for k in range(9)]), (3, *[float(10 * k + 100) for k in range(9)])]
+    grid = spark.createDataFrame(rows, ", ".join(["line int", *[f"{n} double" for n in names]]))
+    asked = spark.createDataFrame([(2, 3), (2, 1), (2, 5), (2, 2), (1, 0), (1, 10), (0, 3), (9, 3)], "line int, pixel int")
+    got = {(r.line, r.pixel): (r.latitude, r.longitude, r.ratio) for r in geo.grid_coordinates(asked, grid, 5).collect()}
+    # lat is 0, 30, 60 at pixels 1, 3 and 5 of line 1, and 100 more at line 3
+    assert got[2, 3] == (80.0, 90.0, 100.0)
+    assert got[2, 1][0] == 50.0
+    assert got[2, 5][0] == 110.0
+    assert got[2, 2][0] == 65.0
+    assert got[1, 0][0] == -15.0
+    assert got[1, 10][0] == 60.0 + 5 * 15.0
+    assert got[0, 3][0] == 30.0 - 50.0
+    assert got[9, 3][0] == 30.0 + 400.0
 
 
 def test_geodetic(spark):
@@ -200,28 +313,6 @@ def test_preview(spark):
     assert tuple(spark.range(1).select(*levels).first()) == (0, 85, 255)
 
 
-def test_files(spark, tmp_path):
-    image = spark.range(12).select((F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
-    path = f"{tmp_path}/a.raw"
-    products.write_raster(image, path, 3, 4)
-    assert [r.value for r in binary.read(spark, "floatraster", path, rows_per_task=2).orderBy("row").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
-    with pytest.raises(FileExistsError):
-        products.write_raster(image, path, 3, 4)
-    with pytest.raises(ValueError):
-        products.write_raster(image, f"{tmp_path}/b.raw", 4, 4)
-    good = products.tape_record(2, 5, 1, 99, bytes([3, 4, 255, 0]))
-    (tmp_path / "t.dat").write_bytes(bytes(8192) + good + b"\0\0\0\0" + good[4:] + good)
-    tape = binary.read(spark, "sartape", f"{tmp_path}/t.dat", records_per_task=2).orderBy("ordinal")
-    assert [(r.ordinal, r.sync_valid, r.type, r.scene, r.time) for r in tape.collect()] == [(0, True, 2, 5, 99), (1, False, 2, 5, 99), (2, True, 2, 5, 99)]
-    assert products.kept_records(tape, True).count() == 1
-    assert products.kept_records(tape, False).count() == 3
-    assert products.magnitude_lines(tape).first()["values"][:3] == [5.0, 1.0, 0.0]
-    assert [products.expected_lines(*x) for x in ((17, 0, 0), (1, 99, 0), (0, 0, 12449), (1, -5, 0))] == [32772, 99, 12448, None]
-    (tmp_path / "p.rpf").write_bytes(products.image_chunk(7, [[1, 2], [3, 4]]) + products.image_chunk(8, [[5.4, 70000]], 1) + products.end_chunk())
-    lines = binary.read(spark, "rpf", f"{tmp_path}/p.rpf").orderBy("chunk", "line").collect()
-    assert [(r.frame, r.line, r.pixels) for r in lines] == [(7, 0, [1, 2]), (7, 1, [3, 4]), (8, 0, [5, 65535])]
-
-
 def test_streams(spark, tmp_path):
     rows = [("s", i, float(i), 1.0, i % 3 * 1.0, 0.0) for i in range(10)]
     for k in range(2):
@@ -260,5 +351,8 @@ def test_targets(spark):
     image = spark.range(25).select((F.col("id") / 5).cast("int").alias("row"), (F.col("id") % 5).cast("int").alias("col"), F.when(F.col("id") == 6, 10.0).when(F.col("id") == 18, 8.0).otherwise(0.0).alias("value"))
     found = targets.strongest_targets(image, 5, 5, 4)
     assert [(t.row, t.col, t.value, t.valid) for t in found] == [(1, 1, 10.0, True), (3, 3, 8.0, True)]
+    stats = targets.target_statistics(image, found).orderBy("nth").collect()
+    assert [(r.nth, r.x.max_power, r.x.pos, r.y.pos) for r in stats] == [(0, 10.0, 2, 2), (1, 8.0, 2, 2)]
+    assert targets.target_statistics(image, []).count() == 0
     assert targets.centre_chip(image, 5, 5, 3).agg(F.max("value")).first()[0] == 10.0
     assert targets.chip_around(image, 0, 0, 3).count() == 4
