@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cplx
-from ..operators import geo, imaging, measure, preview, register, signal
+from ..operators import chain, geo, imaging, measure, preview, register, signal
+from ..sources import tape
 
 N, REPLICA = 64, [0.25, 0.5, 0.75, 1.0, 0.75, 0.5, 0.25]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,8 +157,8 @@ def q18_block_line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q19_asof_grid_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     knots = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10).alias("at"), "s_acctbal")
     lines = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"))
-    found = geo.interpolate_lines(lines, "line", geo.knot_intervals(knots, "at", "s_acctbal", 4096))
-    return found.select("line", _r("value").alias("value"))
+    found = geo.interpolate_lines(lines, "line", knots, "at", "s_acctbal")
+    return found.select("line", _r("s_acctbal").alias("value"))
 
 
 _POINTS = [(x, y, 0.0) for y in (-2.0, 0.0, 2.0) for x in (-2.0, 0.0, 2.0)]
@@ -175,7 +178,7 @@ def q20_backproject_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def q21_direct_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = imaging.direct_sums(_pulses(spark, sf_dir), _POINTS[:4], "line", 0.5, 0.01, N)
+    found = imaging.direct_sums(_pulses(spark, sf_dir), _POINTS, "line", 0.5, 0.01, N)
     return found.select("point", _r("re", 4).alias("re"), _r("im", 4).alias("im"))
 
 
@@ -183,7 +186,7 @@ def q21_direct_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q22_compare_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     place = [(F.col("l_orderkey") % 32).cast("int").alias("row"), F.col("l_linenumber").alias("col")]
-    b = lines.where("l_returnflag <> 'A' or l_linenumber < 7").groupBy(*place).agg(F.sum(F.col("l_quantity") * (1 + F.col("l_tax") / 100)).alias("value"))
+    b = lines.groupBy(*place).agg(F.sum(F.col("l_quantity") * (1 + F.col("l_tax") / 100)).alias("value"))
     found = measure.compare_images(_raster(spark, sf_dir), b, 0.5, 0.0004)
     return found.select("pixels", _r("rms", 4).alias("rms"), _r("max_difference", 4).alias("max_difference"), "failures", "unmatched")
 
@@ -237,9 +240,9 @@ def q29_mag_phase_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def q30_zoom_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zoomed lines' peaks; the transform has no SQL form."""
-    zoomed = signal.zoom(_lines(spark, sf_dir), "line", 4, "vec_id")
-    return zoomed.select("vec_id", F.array_max("zoomed").alias("peak"), (F.array_position("zoomed", F.array_max("zoomed")) - 1).alias("place"))
+    """The zoomed lines' peaks, the first of equals."""
+    zoomed = signal.zoom(_lines(spark, sf_dir), "line", 4, "vec_id").withColumn("zoomed", F.transform("zoomed", lambda x: F.round(x, 9)))
+    return zoomed.select("vec_id", _r(F.array_max("zoomed")).alias("peak"), (F.array_position("zoomed", F.array_max("zoomed")) - 1).cast("int").alias("place"))
 
 
 @_query
@@ -273,8 +276,10 @@ def q35_scene_geodetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def q36_phase_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _lines(spark, sf_dir).select("vec_id", F.get("line", 0).alias("a"), F.get("line", 1).alias("b"))
-    return pairs.select("vec_id", preview.gray_phase(F.atan2("b", "a")).alias("gray"))
+    """Neighbouring samples as real and imaginary parts."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(N // 2 - 1)), lambda k: F.struct(F.get("line", 2 * k).alias("a"), F.get("line", 2 * k + 1).alias("b")))
+    each = _lines(spark, sf_dir).select("vec_id", F.posexplode(pairs).alias("pos", "v"))
+    return each.select("vec_id", "pos", preview.gray_phase(F.atan2("v.b", "v.a")).alias("gray"))
 
 
 @_query
@@ -290,5 +295,159 @@ def q38_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("vec_id").agg(F.sum(F.abs("code")).alias("codes"), F.max("code").alias("top"), F.min("code").alias("least"))
 
 
+@_query
+def q39_impulse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null where a line has no minimum or no half-power crossing on one side."""
+    found = _lines(spark, sf_dir).select("vec_id", measure.impulse_response(F.transform("line", lambda x: F.abs(x)), 0.5, strict=False).alias("r"))
+    return found.select("vec_id", "r.peak", "r.left", "r.right", *[_r(f"r.{c}").alias(c) for c in ("width", "pslr", "islr", "pslr_db", "islr_db")])
+
+
+def _frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as an 8 x 8 frame: (vec_id, row, col, value)."""
+    each = _lines(spark, sf_dir).select("vec_id", F.posexplode("line").alias("pos", "value"))
+    return each.select("vec_id", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).alias("col"), "value")
+
+
+@_query
+def q40_axis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = measure.pta_stats_2d(_frame_pixels(spark, sf_dir).withColumn("value", F.abs("value")), 8, 8, "vec_id")
+    return both.select("vec_id", *[_r(f"{a}.max_power").alias(f"{a}_power") for a in "xy"], *[F.col(f"{a}.pos").alias(f"{a}_pos") for a in "xy"], *[F.col(f"{a}.irw").alias(f"{a}_irw") for a in "xy"])
+
+
+@_query
+def q41_image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected lines, without zoom: statistics and the highest peak."""
+    found = measure.image_quality(_lines(spark, sf_dir), "line", N, "vec_id", most=1)
+    return found.select("vec_id", _r("stats.max_power", 4).alias("max_power"), F.col("stats.pos").alias("pos"), F.col("stats.irw").alias("irw"), _r(F.col("peaks")[0]["power"], 4).alias("peak"))
+
+
+@_query
+def q42_demonstration_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older chain on the raster: mean removed, Hamming both ways, two FFTs, magnitudes, rows evened out, edges tapered."""
+    lines = _raster(spark, sf_dir).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"].cast("double")).alias("re")).withColumn("im", F.transform("re", lambda x: F.lit(0.0)))
+    image, _, _ = chain.demonstration_image(lines, 32, 7, chain.Settings(agc=True, edge_taper=2))
+    return image.select("row", "col", _r("value").alias("value"))
+
+
+@_query
+def q43_compressed_backprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range compression of every embedding as a pulse of 64 frequencies, and the coherent image of a full grid."""
+    angle = F.col("vec_id") * F.lit(0.01)
+    pulses = _lines(spark, sf_dir).select(F.col("vec_id").alias("pulse"), F.col("line").alias("re"), F.transform("line", lambda x: F.lit(0.0)).alias("im"), (100 * F.cos(angle)).alias("x"), (100 * F.sin(angle)).alias("y"), F.lit(20.0).alias("z"), F.lit(math.sqrt(10400.0)).alias("r0"))
+    profiles, meta = signal.compress_phase_history(pulses, 1e8 + 1e6 * np.arange(N), 2)
+    image = imaging.backproject(imaging.Grid((-15.0, 15.0, 11), (-15.0, 15.0, 7)), profiles, meta)
+    return image.select("row", "col", _r("re").alias("re"), _r("im").alias("im"))
+
+
+@_query
+def q44_reduced_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir).withColumn("col", F.col("col") - 1)
+    return preview.reduced(image, 32, 7, 5, 3).select("row", "col", _r("value").alias("value"))
+
+
+@_query
+def q45_centre_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = [(F.col("l_orderkey") % 32).cast("int").alias("row"), (F.col("l_linenumber") - 1).alias("col")]
+    image = _table(spark, sf_dir, "lineitem").groupBy(*place).agg(F.sum("l_quantity").alias("re"), F.sum(F.col("l_discount") * 100 - 5).alias("im"))
+    return preview.centre_phase(image, 32, 7, 5, 3).select("row", "col", _r("value").alias("value"))
+
+
+@_query
+def q46_level_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir)
+    top = image.agg(F.max("value").alias("top"))
+    return image.join(F.broadcast(top)).select("row", "col", preview.level_db(F.col("value"), F.col("top"), 6.0).alias("level"))
+
+
+@_query
+def q47_frame_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers at places of a frame whose knots lie on both sides of the date line."""
+    at = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 41 / 2.0).alias("row"), (F.col("c_custkey") % 37 / 3.0).alias("col"))
+    found = geo.frame_coordinates(at, [0.0, 8.0, 19.0], [0.0, 11.0], [[179.0, -179.5], [179.5, -178.5], [-179.8, -177.0]], [[10.0, 10.5], [9.0, 9.4], [7.0, 7.7]])
+    return found.select("c_custkey", _r("lon").alias("lon"), _r("lat").alias("lat"))
+
+
+@_query
+def q48_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 350 - 175.0).alias("lon"), (F.col("c_acctbal") / 200).alias("lat"))
+    placed = places.withColumn("epsg", geo.utm_zone(F.col("lon"), F.col("lat")))
+    east, north = geo.to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    return placed.select("c_custkey", "epsg", _r(east, 3).alias("east"), _r(north, 3).alias("north"))
+
+
+@_query
+def q49_acquisition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as image blocks of files by nation; those that answer for line or frame 350."""
+    key = F.col("s_suppkey")
+    catalog = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("path"), key.alias("chunk"), F.when(key % 3 > 0, "stripmap").otherwise("seaspot").alias("mode"), (key * 10).alias("start"), F.lit(55).alias("lines"))
+    return geo.matching_blocks(catalog, 350, "f7")
+
+
+@_query
+def q50_scene_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scene headers."""
+    size = F.col("p_size")
+    headers = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (size * 100).alias("radar_frequency"), (size * 3).alias("pulse_width"), F.col("p_retailprice").alias("sampling_mhz"), (size / 2.0).alias("fm_rate_mhz_us"), F.col("p_retailprice").alias("velocity_t0"), (size * 1000).alias("scene_range"), (size * 1.5).alias("scene_eta"), (size % 5 * 200).alias("pri"))
+    found = tape.scene_parameters(headers, 10)
+    return found.withColumn("eta_rad", _r("eta_rad", 9))
+
+
+@_query
+def q51_source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("k"), (9600.0 + F.col("s_suppkey") * 0.02 + F.col("s_acctbal") * 1e-6).alias("frequency_hz"))
+    found = measure.source_statistics(table)
+    return found.select("samples", _r("start").alias("start"), _r("step", 8).alias("step"), _r("error").alias("error"), _r("bandwidth_hz", 5).alias("bandwidth_hz"), _r("resolution_m", 1).alias("resolution_m"))
+
+
+@_query
+def q52_tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir).withColumn("col", F.col("col") - 1)
+    found = chain.tile_blend(image, 32, 7, chain.tile_layout(32, 7, 2, 5, 2))
+    return found.select("row", "col", _r("value").alias("value"), "tiles")
+
+
+@_query
+def q53_stage_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.element_at(F.lit(["phase_history", "raw_echo", "focused_image"]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    sets = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("data_set"), kinds.alias("kind"), (F.col("s_nationkey") < 12).alias("has_origin"))
+    return preview.stage_policy(sets)
+
+
+@_query
+def q54_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir)
+    top = image.agg(F.max("value").alias("top"))
+    level = F.when(F.col("row") % 8 > 0, F.round(F.col("value") / F.col("top"), 9))
+    return image.join(F.broadcast(top)).select("row", "col", preview.coloured(level).alias("c")).select("row", "col", "c.*")
+
+
+@_query
+def q55_flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strips = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("first"), (F.col("s_suppkey") + F.col("s_nationkey") % 4).alias("last"))
+    return geo.flat_grid(strips).groupBy("line").agg(F.count("*").alias("n"), F.sum("mid_ratio").alias("ratios"), F.count("mid_lat").alias("known"))
+
+
+@_query
+def q56_merged_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir).groupBy("row").agg(F.count("*").alias("n"), F.sum(F.when(~F.isnan(geo.merged_mask(F.col("value").cast("double"), F.lit(None).cast("double"), (F.col("col") % 3))), F.col("value"))).alias("kept"))
+    return image.select("row", "n", _r("kept").alias("kept"))
+
+
+@_query
+def q57_edge_taper_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = _raster(spark, sf_dir).withColumn("col", F.col("col") - 1)
+    return chain.image_edge_taper(image, 3, 32, 7).select("row", "col", _r("value").alias("value"))
+
+
+@_query
+def q58_grid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as places (line, pixel) between the geolocation lines that suppliers stand for."""
+    names = [f"{p}_{v}" for p in ("begin", "mid", "end") for v in ("lat", "lon", "ratio")]
+    knots = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 40).alias("line"), *[(F.col("s_acctbal") / 97 + k * F.col("s_nationkey")).alias(n) for k, n in enumerate(names)])
+    asked = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("line"), (F.col("o_orderkey") % 23).alias("pixel"))
+    found = geo.grid_coordinates(asked, knots, 20)
+    return found.select("o_orderkey", *[_r(c, 5).alias(c) for c in ("latitude", "longitude", "ratio")])
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
