@@ -161,11 +161,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words at `starts`: a polynomial over random codes of the bytes, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(text))
-    return mix(np.add.reduceat(CODES[text] * up[: len(text)], starts) * down[starts])
+    """64-bit hashes of the words at `starts`: a polynomial over random codes of the bytes, then mixed.
+
+    Bytes are taken in slices of whole words of about a megabyte.
+    """
+    out, a = np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + (1 << 20))))
+        part = text[starts[a] : starts[b] if b < len(starts) else len(text)]
+        up, down = powers(len(part))
+        out[a:b] = np.add.reduceat(CODES[part] * up[: len(part)], starts[a:b] - starts[a]) * down[starts[a:b] - starts[a]]
+        a = b
+    return mix(out)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_folds: int, held_out: int, most: int) -> DataFrame:

@@ -600,7 +600,8 @@ def join_components(docs: DataFrame, **options: int) -> DataFrame:
     along and never names a component unless no other id is there (then null).
     Rows that repeat have one set and so one component; rows with one doc_id
     but different texts are compared like any others. Other columns are not
-    looked at; an empty table gives an empty result.
+    looked at; whole texts of any length are cut into n-grams; an empty table
+    gives an empty result.
     """
     return _named(docs, **options).select("doc_id", "n_shingles", "component_id")
 

@@ -83,10 +83,12 @@ class Model:
         k = min(neighbours, len(self.labels))
         for a in range(0, len(vectors), block):
             cosines = vectors[a : a + block] @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** 8
+            least = np.partition(cosines, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            weight = np.where(cosines >= least, np.maximum(cosines, 0), 0)
+            for _ in range(3):
+                weight *= weight
             total = weight.sum(1)
-            voted = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
+            voted = weight @ self.labels / np.maximum(total, 1e-12)
             out[a : a + block] = np.where(total > 1e-12, voted, self.prior)
         return np.clip(out, 0, 1)
 
@@ -136,7 +138,8 @@ def fit(sample: DataFrame, dimensions: int = 32) -> Model | None:
 def rate(docs: DataFrame, model: Model | None, neighbours: int = 15, score: str = "quality_score") -> DataFrame:
     """docs with a score from 0 to 1 added: the share of good labels among the nearest neighbours.
 
-    A null text counts as empty. Where no neighbour resembles the text, as for
+    Whole texts are read. All neighbours that tie at the last place vote. An
+    empty table gives an empty result. A null text counts as empty. Where no neighbour resembles the text, as for
     an empty one, the score is the sample's share of good rows, and 0.5 without
     a model. A column of that name is replaced; others pass through; rows that
     repeat get the same score.

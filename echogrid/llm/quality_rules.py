@@ -124,7 +124,8 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     rules fail, and otherwise whether ratio >= threshold; with no trusted row
     all ratios follow the raw corpus alone, so no document is refused by them
     (the ratio is 0). Null and blank texts have no words and fail the base
-    rules. Rows that repeat are rated one by one; a null doc_id is carried
+    rules. Whole texts of any length are counted; an empty table gives an empty
+    result. Rows that repeat are rated one by one; a null doc_id is carried
     along; columns besides doc_id and text are not looked at. `whole` is the
     number of buckets for whole words and, again, for their pairs; None takes
     endings and their pairs alone.
