@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import struct
 import zipfile
@@ -26,23 +27,29 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _member(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> np.ndarray:
+    """One array of an archive, if its header is plain and promises exactly the bytes that are there."""
+    readers = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}
+    with archive.open(info) as raw:
+        if (version := np.lib.format.read_magic(raw)) not in readers:
+            raise ValueError(f"{info.filename}: NPY version {version}")
+        shape, by_column, kind = readers[version](raw)
+        size = math.prod(shape) * kind.itemsize
+        if kind.hasobject or raw.tell() + size != info.file_size:
+            raise ValueError(f"{info.filename}: objects, or a size that is not the header's")
+        return np.frombuffer(raw.read(size), kind).reshape(shape, order="F" if by_column else "C")
+
+
 def guarded(content: bytes, stage: str) -> dict[str, np.ndarray]:
-    """The arrays of an NPZ archive: plain NPY members of honest sizes within MAX_BYTES, and of the stage that is asked for."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if sum(i.file_size for i in z.infolist()) > MAX_BYTES:
+    """The arrays of an NPZ archive that is of the stage asked for. Nothing of it is unpickled, and its unpacked size is
+    held against MAX_BYTES, which one row of a task can hold, before anything is unpacked."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        members = archive.infolist()
+        if sum(m.file_size for m in members) > MAX_BYTES:
             raise ValueError("the archive is too large")
-        for i in z.infolist():
-            with z.open(i) as member:
-                version = np.lib.format.read_magic(member)
-                if version not in ((1, 0), (2, 0)):
-                    raise ValueError(f"{i.filename}: NPY version {version}")
-                shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(member)
-                if kind.hasobject or i.file_size - member.tell() != int(np.prod(shape, dtype=np.int64)) * kind.itemsize:
-                    raise ValueError(f"{i.filename}: objects, or a size that is not the header's")
-    with np.load(io.BytesIO(content), allow_pickle=False) as data:
-        found = {k: data[k] for k in data.files}
-    if str(found.get("stage")) != stage:
-        raise ValueError(f"stage is {found.get('stage')}, not {stage}")
+        found = {m.filename.removesuffix(".npy"): _member(archive, m) for m in members}
+    if (own := str(found.get("stage"))) != stage:
+        raise ValueError(f"stage is {own}, not {stage}")
     return found
 
 
@@ -111,11 +118,14 @@ def mat_variables(content: bytes) -> dict[str, object]:
 
 
 def phase_histories(spark: SparkSession, folder: str, first: int = 1, last: int = 4, passage: int = 1, polarisation: str = "HH") -> DataFrame:
-    """Pulses of the azimuth files first..last: azimuth, nth, re, im, x, y, z, r0, az_deg and the file's frequencies.
+    """Pulses of the azimuth files first..last: azimuth, nth, re, im, x, y, z, r0, az_deg, the frequencies, and af.
 
-    Each azimuth must have exactly one file. Rows sort by (azimuth, nth).
+    Folders are searched to any depth. Each azimuth must have exactly one file,
+    and all files one frequency axis. Rows sort by (azimuth, nth). af holds a
+    producer's corrections (r_correct, ph_correct) as they are; nothing here
+    applies them, as nothing says whether they were applied before.
     """
-    names = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     found = F.regexp_extract("name", rf"^data_3dsar_pass{passage}_az(\d+)_{re.escape(polarisation)}\.mat$", 1)
     chosen = names.withColumn("azimuth", F.when(found != "", found.cast("int"))).where(F.col("azimuth").between(first, last))
     counts = {r["azimuth"]: r["count"] for r in chosen.groupBy("azimuth").count().collect()}
@@ -130,10 +140,24 @@ def phase_histories(spark: SparkSession, folder: str, first: int = 1, last: int
                 n = len(s)
                 if s.shape[1] != len(f) or any(d[c].size != n for c in ("x", "y", "z", "r0", "th")) or not np.isfinite(s).all():
                     raise ValueError(f"{name}: shapes do not agree, or values are not finite")
+                af = d.get("af")
+                if af is not None:
+                    parts = [np.atleast_1d(np.asarray(af.get(k)).squeeze()) if isinstance(af, dict) else np.zeros(0) for k in ("r_correct", "ph_correct")]
+                    if any(v.shape != (n,) or v.dtype.kind not in "fiu" or not np.isfinite(v).all() for v in parts):
+                        raise ValueError(f"{name}: af must hold one real value for each pulse")
+                    af = [{"r_correct": float(a), "ph_correct": float(b)} for a, b in zip(*parts, strict=True)]
                 yield pd.DataFrame({
                     "azimuth": [azimuth] * n, "nth": range(n), "re": list(s.real), "im": list(s.imag), "x": d["x"].ravel(), "y": d["y"].ravel(), "z": d["z"].ravel(),
-                    "r0": d["r0"].ravel(), "az_deg": d["th"].ravel(), "frequency_hz": [f] * n,
+                    "r0": d["r0"].ravel(), "az_deg": d["th"].ravel(), "frequency_hz": [f] * n, "af": af or [None] * n,
                 })
 
-    schema = "azimuth int, nth int, re array<double>, im array<double>, x double, y double, z double, r0 double, az_deg double, frequency_hz array<double>"
-    return chosen.select("path", "azimuth", "content").mapInPandas(rows, schema)
+    def axis(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"axis": [np.ascontiguousarray(mat_variables(c)["data"]["freq"].ravel()).tobytes() for c in batch["content"]]})
+
+    schema = "azimuth int, nth int, re array<double>, im array<double>, x double, y double, z double, r0 double, az_deg double, frequency_hz array<double>, af struct<r_correct double, ph_correct double>"
+    found = chosen.select("path", "azimuth", "content").mapInPandas(rows, schema)
+    axes = chosen.select("path", "azimuth", "content").mapInPandas(axis, "axis binary").distinct().limit(2).count()
+    if axes > 1:
+        raise ValueError("the files differ in their frequency axes")
+    return found

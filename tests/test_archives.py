@@ -45,9 +45,20 @@ def test_phase_histories(spark, tmp_path):
     assert len(got) == 6
     for row in got:
         assert np.allclose(np.array(row.re) + 1j * np.array(row.im), kept[row.azimuth][:, row.nth])
+    assert all(row.af is None for row in got)
     with pytest.raises(ValueError):
         archives.phase_histories(spark, str(tmp_path), 1, 3)
     assert archives.provenance(spark, str(tmp_path)).count() == 2
+    base = {"fp": np.ones((5, 3)) + 0j, "freq": 9e9 + np.arange(5.0), "x": np.arange(3.0), "y": np.ones(3), "z": np.ones(3), "r0": np.full(3, 7.0), "th": np.ones(3)}
+    mat(tmp_path / "data_3dsar_pass1_az003_HH.mat", base | {"af": {"r_correct": np.array([1.0, 2, 3]), "ph_correct": np.zeros(3)}}, False)
+    kept = archives.phase_histories(spark, str(tmp_path), 3, 3).orderBy("nth").collect()
+    assert [(r.af.r_correct, r.re) for r in kept] == [(k, [1.0] * 5) for k in (1.0, 2.0, 3.0)]
+    mat(tmp_path / "data_3dsar_pass1_az004_HH.mat", base | {"freq": 9e9 + 2 * np.arange(5.0)}, False)
+    with pytest.raises(ValueError, match="frequency"):
+        archives.phase_histories(spark, str(tmp_path), 1, 4)
+    mat(tmp_path / "data_3dsar_pass1_az005_HH.mat", base | {"af": {"r_correct": np.ones(2), "ph_correct": np.zeros(3)}}, False)
+    with pytest.raises(Exception, match="one real value"):
+        archives.phase_histories(spark, str(tmp_path), 5, 5).collect()
 
 
 def test_raw_echoes(spark, tmp_path):
@@ -73,8 +84,25 @@ def test_terrain(spark):
     for at in ((0.1, 1.0), (5.4, 7.4)):
         with pytest.raises(ValueError):
             terrain.bilinear(hole, np.array([at[0]]), np.array([at[1]]))
-    points = spark.createDataFrame([(0, 0, 3.7, 2.2, 0.0)], "row int, col int, x double, y double, z double")
-    assert terrain.surface(points, plane, (1, 1), (0, 0)).first()["z"] == pytest.approx(15.0)
+    # a sphere's curve: the ellipsoid's own circle at the equator, 100 m up
+    flat = np.full((60, 60), 100.0)
+    at = spark.createDataFrame([(x, 0.0, 0.0) for x in (-1000.0, 0.0, 1000.0)], "x double, y double, z double")
+    got = terrain.surface(at, flat, (0.001, 0, -0.03, 0, -0.001, 0.03), (0.0, 0.0, 0.0, 90.0)).orderBy("x").collect()
+    for r in got:
+        assert r.z == pytest.approx(np.sqrt((6378137.0 + 100) ** 2 - r.x**2) - 6378137.0, abs=1e-4)
+    # a slope in longitude and latitude, with a turned scene
+    row, col = np.mgrid[:100, :100] + 0.5
+    step = (0.0004, 0.0, -106.52, 0.0, -0.0004, 35.22)
+    heights = lambda lon, lat: 1725 + 5000 * (lon + 106.5) + 7000 * (lat - 35.2)
+    slope = heights(step[0] * col + step[2], step[4] * row + step[5])
+    places = spark.createDataFrame([(float(x), float(y), 15.0) for x in (-400, 0, 400) for y in (-400, 100)], "x double, y double, z double")
+    for heading in (0.0, 35.0, 270.0):
+        origin = (35.2, -106.5, 1700.0, heading)
+        for r in terrain.surface(places, slope, step, origin).collect():
+            lon, lat, up = terrain.world(*(np.array([v]) for v in (r.x, r.y, r.z)), origin)[0]
+            assert up == pytest.approx(heights(lon, lat), abs=2e-4)
+    with pytest.raises(Exception, match="outside|not met"):
+        terrain.surface(places.withColumn("x", places.x * 100), slope, step, origin).collect()
     control = [(r, c, -106 + c * 0.01 + r * 0.002, 35 - r * 0.01) for r in (0, 10, 20) for c in (0, 10, 20)]
     got = terrain.georeference(spark.createDataFrame([(4, 7)], "row int, col int"), control).first()
     assert (got["lon"], got["lat"]) == pytest.approx((-106 + 0.075 + 0.009, 35 - 0.045), abs=1e-9)
