@@ -34,21 +34,21 @@ def _ending(word: Column) -> Column:
     return F.substring(word, -_ENDING, _ENDING)
 
 
-def _grams(words: str, at: str, buckets: int, whole: int | None) -> Column:
-    """The buckets of the n-grams at position `at` (null for a pair at the last word).
+def _grams(words: str, buckets: int, whole: int | None) -> Column:
+    """The buckets of all n-grams of a text, as one array<long>.
 
-    With `whole`: the ending, the word and the pair of words, in `buckets`,
-    `whole` and `whole` buckets that follow each other. Without: the ending and
-    the pair of endings, which share `buckets`.
+    With `whole`: endings, words and pairs of words, in `buckets`, `whole` and
+    `whole` buckets that follow each other. Without: endings and pairs of
+    endings, which share `buckets`.
     """
-    first, second = F.get(F.col(words), F.col(at)), F.get(F.col(words), F.col(at) + 1)
-    ending = F.pmod(F.xxhash64(_ending(first)), F.lit(buckets))
+    n = F.size(words)
+    left, right = F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
+    endings = F.transform(words, lambda w: F.pmod(F.xxhash64(_ending(w)), F.lit(buckets)))
     if whole is None:
-        pair = F.when(second.isNotNull(), F.pmod(F.xxhash64(_ending(first), F.lit("+"), _ending(second)), F.lit(buckets)))
-        return F.array(ending, pair)
-    word = F.pmod(F.xxhash64(first), F.lit(whole)) + buckets
-    pair = F.when(second.isNotNull(), F.pmod(F.xxhash64(first, F.lit(" "), second), F.lit(whole)) + buckets + whole)
-    return F.array(ending, word, pair)
+        return F.concat(endings, F.zip_with(left, right, lambda a, b: F.pmod(F.xxhash64(_ending(a), F.lit("+"), _ending(b)), F.lit(buckets))))
+    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(whole)) + buckets)
+    pairs = F.zip_with(left, right, lambda a, b: F.pmod(F.xxhash64(a, F.lit(" "), b), F.lit(whole)) + (buckets + whole))
+    return F.concat(endings, single, pairs)
 
 
 def repeated_words(words: str, bits: str) -> Column:
@@ -96,6 +96,27 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """The rows of docs whose doc_id is trusted.
+
+    A bit table of fixed size (512 KB), as a scalar subquery, leaves out most
+    other rows before any text is shuffled; only the join decides.
+    """
+    marks = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    cells = marks.select(place("trusted_id").alias("at")).groupBy(F.floor(F.col("at") / 64).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("held"))
+    table = _dense(cells, "cell", "held", bits // 64, F.lit(0).cast("long")).scalar()
+    bit = F.getbit(F.get(table, F.floor(place("doc_id") / 64).cast("int")), (place("doc_id") % 64).cast("int"))
+    near = docs.where(F.col("doc_id").isNotNull() & (bit == 1))
+    return near.join(marks.hint("merge"), near["doc_id"].cast("long") == marks["trusted_id"]).select(*docs.columns)
+
+
+def _dense(table: DataFrame, index: str, value: str, size: int, empty: Column) -> DataFrame:
+    """A table of at most `size` rows as one row with one array, by index; `size` bounds it, whatever the input."""
+    every = table.sparkSession.range(size).join(table, F.col("id") == F.col(index), "left").select("id", F.coalesce(F.col(value), empty).alias("v"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("values"))
+
+
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int | None = None) -> DataFrame:
     """(bucket, weight): log(target / raw) from the words of all documents. At most buckets + 2 whole rows.
 
@@ -104,11 +125,15 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int |
     had; there the target's count is held against the one expected from the raw
     share, both with the same prior, so that a rare gram weighs next to nothing.
     """
-    marks = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    # the marks join before the texts are split: each text moves once, at every size of the marks
-    rows = docs.join(marks.hint("merge"), docs["doc_id"] == marks["trusted_id"], "left").select(F.col("trusted_id").isNotNull().alias("target"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    grams = rows.where(F.size("words") > 0).select("target", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("target", F.explode(_grams("words", "at", buckets, whole)).alias("bucket")).where("bucket is not null")
-    counts = common.stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")), "gram-counts")
+
+    def grams(rows: DataFrame, column: str) -> DataFrame:
+        words = rows.select(words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+        each = words.select(F.explode(_grams("words", buckets, whole)).alias("bucket"))
+        return each.select("bucket", *[F.lit(int(c == column)).cast("long").alias(c) for c in ("raw", "target")])
+
+    # only the trusted rows' texts move; each n-gram is counted where its text is, and one shuffle of buckets joins both
+    both = grams(docs, "raw").unionByName(grams(_marked(docs, trusted), "target"))
+    counts = common.stored(both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "gram-counts")
     totals = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()
     raw_n, target_n = totals["raw_n"] or 0, totals["target_n"] or 0
     if whole is not None:
@@ -128,17 +153,19 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     result. Rows that repeat are rated one by one; a null doc_id is carried
     along; columns besides doc_id and text are not looked at. `whole` is the
     number of buckets for whole words and, again, for their pairs; None takes
-    endings and their pairs alone.
+    endings and their pairs alone. The weights, at most one number a bucket,
+    are broadcast; what a text's n-grams weigh is added up where the text is.
     """
     docs = docs.select("doc_id", "text")
     weights = gram_weights(docs, trusted, buckets, whole)
     known = trusted.where("doc_id is not null").limit(1).count() > 0
-    counted = base_counts(docs.withColumn("row", F.monotonically_increasing_id()))
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # what fails the base rules needs no ratio: its n-grams are not made
-    use = (~F.col("base_failed")) & F.lit(known)
-    spread = counted.select("row", *keep, "words", F.explode(F.when(use, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array(F.lit(-1)))).alias("at"))
-    spread = spread.select("row", *keep, F.explode(F.when(F.col("at") >= 0, _grams("words", "at", buckets, whole)).otherwise(F.array(F.lit(None).cast("long")))).alias("bucket"))
+    # what fails the base rules needs no ratio: its n-grams are not made. A mark (-1) stands for the row itself
+    grams = F.when(~F.col("base_failed") & F.lit(known), _grams("words", buckets, whole)).otherwise(F.array().cast("array<long>"))
+    counted = base_counts(docs.withColumn("text_key", F.xxhash64("text"))).select(*keep, "text_key", F.concat(F.array(F.lit(-1).cast("long")), grams).alias("grams"))
+    spread = counted.select(*keep, "text_key", F.explode("grams").alias("bucket"))
     scored = spread.join(F.broadcast(weights.withColumnRenamed("bucket", "gram")), F.col("bucket") == F.col("gram"), "left")
-    rated = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in keep], F.coalesce(F.sum("weight") / F.nullif(F.count("bucket"), F.lit(0)), F.lit(0.0)).alias("ratio"))
+    # rows that repeat whole have one sum; the marks say how many rows they are, so no row needs a number of its own
+    sums = scored.groupBy(*keep, "text_key").agg(F.sum("weight").alias("total"), F.count_if(F.col("bucket") >= 0).alias("grams"), F.count_if(F.col("bucket") < 0).alias("rows"))
+    rated = sums.withColumn("ratio", F.coalesce(F.try_divide("total", "grams"), F.lit(0.0))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return rated.select(*keep, "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
