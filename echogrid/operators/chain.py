@@ -147,8 +147,8 @@ def input_slice(lines: DataFrame, first: int = 1, most: int = 0) -> DataFrame:
     return cut.join(F.broadcast(ends)).select((F.col("line") - F.col("_start")).cast("int").alias("row"), re.alias("re"), F.transform("pixels", lambda x: F.lit(0.0)).alias("im"))
 
 
-def stream_input(catalog: DataFrame, number: int = 1, first: int = 1, most: int = 0) -> DataFrame:
-    """The lines of the acquisition that a number asks for, cut to a slice; only their bytes are read."""
+def stream_input(catalog: DataFrame, number: int = 0, first: int = 1, most: int = 0) -> DataFrame:
+    """The lines of the acquisition that a number asks for (0: the first), cut to a slice; only their bytes are read."""
     blocks = geo.line_stream(catalog, geo.matching_blocks(catalog, number))
     lines = rpf.lines(blocks, first=first)
     return input_slice(lines.select("line", "pixels"), first, most)

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,3 +82,26 @@ def windowed_counts(events: DataFrame, time: str, width: str, late: str) -> Data
     """An extension: events in tumbling windows, with a watermark for late ones. A time without zone is taken as UTC."""
     stamped = events.withColumn(time, F.col(time).cast("timestamp"))
     return stamped.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
+
+
+def repeated(spark: SparkSession, frame: DataFrame, per_second: int = 10) -> DataFrame:
+    """A stream that hands out one frame (a single row) over and over with a fresh version and time: version, ts_ns and the frame's columns."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    ticks = ticks.select(F.col("value").alias("_version"), (F.unix_micros("timestamp") * 1000).alias("_ts"))
+    return ticks.join(F.broadcast(frame.limit(1))).select(F.col("_version").alias("version"), F.col("_ts").alias("ts_ns"), *frame.columns)
+
+
+def changed(frames: DataFrame, key: str, version: str = "version") -> DataFrame:
+    """The frames (key, version, value) whose version is not the one that came before it for their key; frames of a batch are taken by ts_ns."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("ts_ns", kind="stable")
+        last = rows[version].shift(1)
+        if state.exists:
+            last.iloc[0] = state.get[0]
+        new = rows[last.isna() | (rows[version] != last)]
+        state.update((int(rows[version].iloc[-1]),))
+        yield pd.DataFrame({key: [k[0]] * len(new), version: new[version].astype("int64"), "ts_ns": new["ts_ns"].astype("int64"), "value": new["value"].astype(float)})
+
+    kind = dict(frames.dtypes)[key]
+    return frames.select(key, version, "ts_ns", "value").groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{version}` long, ts_ns long, value double", "last long", "append", GroupStateTimeout.NoTimeout)

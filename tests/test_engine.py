@@ -331,6 +331,20 @@ def test_streams(spark, tmp_path):
     assert {r.frame: r.dx for r in moved} == {i: -(i % 3) for i in range(10)}
     best = run(frames.best_frames(source().select("k", "frame", F.col("value").alias("metric")), "k"), "append", "best")
     assert all(r.is_best for r in best)
+    follows = {r.frame: r for r in run(frames.registered(source(), "k", 0.5), "append", "follows")}
+    rx, want = 0.0, {0: 0}
+    for i in range(1, 10):
+        off = i % 3 - rx
+        want[i] = int(np.copysign(np.floor(abs(off) + 0.5), -off))
+        rx = 0.5 * rx + 0.5 * (i % 3)
+    assert {i: r.dx for i, r in follows.items()} == want
+    ends = {r.frame: r.converged for r in run(frames.best_frames(source().select("k", "frame", F.col("cx").alias("metric")), "k", 0.5, 9), "append", "ends")}
+    assert ends == {i: i not in (1, 2) for i in range(10)}
+    news = run(frames.changed(source().select("k", F.floor(F.col("frame") / 3).alias("version"), F.col("frame").alias("ts_ns"), "value"), "k"), "append", "news")
+    assert sorted(r.ts_ns for r in news) == [0, 3, 6, 9]
+    one = spark.createDataFrame([(2, 1.5)], "width int, value double")
+    assert frames.repeated(spark, one).columns == ["version", "ts_ns", "width", "value"]
+    assert frames.repeated(spark, one).isStreaming
     stats = run(frames.latencies(source().withColumn("latency", F.col("value") - 2), "k"), "complete", "stats")
     assert tuple(stats[0])[1:] == (8, 0.0, 7.0, 3.5)
 

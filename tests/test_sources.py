@@ -358,3 +358,62 @@ def test_configs(spark, tmp_path):
     (tmp_path / "in" / "data_3dsar_pass1_az001_HH.mat").write_bytes(b"x")
     with pytest.raises(ValueError):
         configs.input_format(spark, f"{tmp_path}/in")
+
+
+def dem(order="<", rows=6, cols=5, extra=(), unit="m", strip=2, nodata="-9999"):
+    values = np.arange(rows * cols, dtype=np.float32).reshape(rows, cols)
+    values[5, 4] = -9999
+    data = values.astype(order + "f4").tobytes()
+    note = f'<GDALMetadata><Item name="UNITTYPE" role="unittype">{unit}</Item>{"".join(extra)}</GDALMetadata>\0'.encode()
+    size = strip * cols * 4
+    strips = [8 + size * k for k in range(rows // strip)]
+    tags = [(256, 3, [cols]), (257, 3, [rows]), (258, 3, [32]), (259, 3, [1]), (273, 4, strips), (277, 3, [1]), (278, 3, [strip]), (339, 3, [3])]
+    tags += [(33550, 12, [0.1, 0.2, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 10.0, 50.0, 0.0]), (34735, 3, [1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326]), (42112, 2, list(note)), (42113, 2, list(nodata.encode() + b"\0"))]
+    at, behind, directory = 8 + len(data) + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, kind, v in tags:
+        raw = struct.pack(f"{order}{len(v)}{ {2: 'B', 3: 'H', 4: 'I', 12: 'd'}[kind] }", *v)
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(f"{order}I", at + len(behind))
+        behind += raw if len(raw) > 4 else b""
+        directory += struct.pack(f"{order}HHI", tag, kind, len(v)) + place
+    mark = b"II" if order == "<" else b"MM"
+    return mark + struct.pack(f"{order}HI", 42, 8 + len(data)) + data + struct.pack(f"{order}H", len(tags)) + directory + bytes(4) + behind, values
+
+
+def test_elevation(spark, tmp_path):
+    from echogrid.sources import elevation
+
+    for order in "<>":
+        raw, values = dem(order)
+        (tmp_path / "d.tif").write_bytes(raw)
+        x = elevation.layout(f"{tmp_path}/d.tif")
+        assert (x.epsg, x.affine) == (4326, (0.1, 0.0, 10.0, 0.0, -0.2, 50.0))
+        got = np.array([r.value for r in elevation.rows(spark, f"{tmp_path}/d.tif", window=3).orderBy("row").collect()])
+        assert np.isnan(got[5, 4])
+        assert np.array_equal(got[:5], values[:5])
+        assert elevation.rows(spark, f"{tmp_path}/d.tif", 1, 4, 2).count() == 3
+    cut, affine = elevation.window_around(spark, f"{tmp_path}/d.tif", [(10.15, 49.5)], margin=1)
+    assert np.array_equal(cut, values[1:4, 0:3])
+    assert affine == pytest.approx((0.1, 0.0, 10.0, 0.0, -0.2, 49.8))
+    datum = ['<Item name="VERTICAL_DATUM">EGM96</Item>']
+    for broken in (dem(unit="ft")[0], dem(extra=datum)[0], b"II*\0", dem()[0].replace(struct.pack("<HHIHH", 259, 3, 1, 1, 0), struct.pack("<HHIHH", 259, 3, 1, 5, 0))):
+        (tmp_path / "b.tif").write_bytes(broken)
+        with pytest.raises((ValueError, struct.error)):
+            elevation.layout(f"{tmp_path}/b.tif")
+
+
+def test_commands(spark, tmp_path, capsys):
+    from echogrid import __main__ as commands
+
+    for name, v in (("a", 1.0), ("b", 1.5)):
+        products.write_raster(pixels(spark, np.full((2, 2), v)), f"{tmp_path}/{name}.raw", 2, 2)
+    assert commands.main(["compare", f"{tmp_path}/a.raw", f"{tmp_path}/b.raw", "--atol", "0.6"]) == 0
+    assert commands.main(["compare", f"{tmp_path}/a.raw", f"{tmp_path}/b.raw"]) == 1
+    (tmp_path / "c.json").write_text(json.dumps({"chipData": [0, 1, 0], "reportPath": f"{tmp_path}/out.txt", "reportFormat": "odd"}))
+    assert commands.main(["analyze", f"{tmp_path}/c.json"]) == 0
+    assert "pta.stats.pos=2" in (tmp_path / "out.txt").read_text()
+    (tmp_path / "t.dat").write_bytes(products.tape_record(2, 5, 1, 99, bytes([3, 4])))
+    assert commands.main(["ingest", f"{tmp_path}/t.dat", f"{tmp_path}/o"]) == 0
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.sarframe").write_text("{}")
+    assert commands.main(["validate", f"{tmp_path}/f"]) == 1
+    assert '"valid": false' in capsys.readouterr().out
