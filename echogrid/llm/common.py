@@ -145,7 +145,7 @@ def bounds(text: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tup
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 17 << 16)
         for i, p in enumerate((POWER, pow(POWER, -1, 1 << 64))):
             out = np.full(size, p, np.uint64)
             out[0] = 1
