@@ -128,7 +128,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int |
 
     def grams(rows: DataFrame, column: str) -> DataFrame:
         words = rows.select(words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-        each = words.select(F.explode(_grams("words", buckets, whole)).alias("bucket"))
+        each = words.select(F.explode_outer(_grams("words", buckets, whole)).alias("bucket")).where("bucket is not null")
         return each.select("bucket", *[F.lit(int(c == column)).cast("long").alias(c) for c in ("raw", "target")])
 
     # only the trusted rows' texts move; each n-gram is counted where its text is, and one shuffle of buckets joins both
@@ -163,7 +163,9 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     # what fails the base rules needs no ratio: its n-grams are not made. A mark (-1) stands for the row itself
     grams = F.when(~F.col("base_failed") & F.lit(known), _grams("words", buckets, whole)).otherwise(F.array().cast("array<long>"))
     counted = base_counts(docs.withColumn("text_key", F.xxhash64("text"))).select(*keep, "text_key", F.concat(F.array(F.lit(-1).cast("long")), grams).alias("grams"))
-    spread = counted.select(*keep, "text_key", F.explode("grams").alias("bucket"))
+    # explode_outer: a plain explode lets the optimizer infer a filter on the array's size, which is pushed below
+    # the projections and makes all words anew for every word
+    spread = counted.select(*keep, "text_key", F.explode_outer("grams").alias("bucket"))
     scored = spread.join(F.broadcast(weights.withColumnRenamed("bucket", "gram")), F.col("bucket") == F.col("gram"), "left")
     # rows that repeat whole have one sum; the marks say how many rows they are, so no row needs a number of its own
     sums = scored.groupBy(*keep, "text_key").agg(F.sum("weight").alias("total"), F.count_if(F.col("bucket") >= 0).alias("grams"), F.count_if(F.col("bucket") < 0).alias("rows"))
