@@ -34,21 +34,24 @@ def _ending(word: Column) -> Column:
     return F.substring(word, -_ENDING, _ENDING)
 
 
-def _grams(words: str, buckets: int, whole: int | None) -> Column:
-    """The buckets of all n-grams of a text, as one array<long>.
+def _pairs(words: str) -> Column:
+    """Each word of a text with the one behind it, as array<struct<word, next>>; null at the last word."""
+    return F.arrays_zip(F.col(words).alias("word"), F.slice(words, 2, F.size(words)).alias("next"))
 
-    With `whole`: endings, words and pairs of words, in `buckets`, `whole` and
-    `whole` buckets that follow each other. Without: endings and pairs of
+
+def _grams(pair: str, buckets: int, whole: int | None) -> list[Column]:
+    """The buckets of the n-grams that begin at a word (null for a pair at the last word).
+
+    With `whole`: ending, word and pair of words, in `buckets`, `whole` and
+    `whole` buckets that follow each other. Without: ending and pair of
     endings, which share `buckets`.
     """
-    n = F.size(words)
-    left, right = F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
-    endings = F.transform(words, lambda w: F.pmod(F.xxhash64(_ending(w)), F.lit(buckets)))
+    first, second = F.col(f"{pair}.word"), F.col(f"{pair}.next")
+    ending = F.pmod(F.xxhash64(_ending(first)), F.lit(buckets))
     if whole is None:
-        return F.concat(endings, F.zip_with(left, right, lambda a, b: F.pmod(F.xxhash64(_ending(a), F.lit("+"), _ending(b)), F.lit(buckets))))
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(whole)) + buckets)
-    pairs = F.zip_with(left, right, lambda a, b: F.pmod(F.xxhash64(a, F.lit(" "), b), F.lit(whole)) + (buckets + whole))
-    return F.concat(endings, single, pairs)
+        return [ending, F.when(second.isNotNull(), F.pmod(F.xxhash64(_ending(first), F.lit("+"), _ending(second)), F.lit(buckets)))]
+    pair_of = F.when(second.isNotNull(), F.pmod(F.xxhash64(first, F.lit(" "), second), F.lit(whole)) + (buckets + whole))
+    return [ending, F.pmod(F.xxhash64(first), F.lit(whole)) + buckets, pair_of]
 
 
 def repeated_words(words: str, bits: str) -> Column:
@@ -128,7 +131,8 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int |
 
     def grams(rows: DataFrame, column: str) -> DataFrame:
         words = rows.select(words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-        each = words.select(F.explode_outer(_grams("words", buckets, whole)).alias("bucket")).where("bucket is not null")
+        each = words.select(F.explode_outer(_pairs("words")).alias("p")).where("p is not null")
+        each = each.select(F.explode_outer(F.array(*_grams("p", buckets, whole))).alias("bucket")).where("bucket is not null")
         return each.select("bucket", *[F.lit(int(c == column)).cast("long").alias(c) for c in ("raw", "target")])
 
     # only the trusted rows' texts move; each n-gram is counted where its text is, and one shuffle of buckets joins both
@@ -160,14 +164,22 @@ def rate(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: fl
     weights = gram_weights(docs, trusted, buckets, whole)
     known = trusted.where("doc_id is not null").limit(1).count() > 0
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # what fails the base rules needs no ratio: its n-grams are not made. A mark (-1) stands for the row itself
-    grams = F.when(~F.col("base_failed") & F.lit(known), _grams("words", buckets, whole)).otherwise(F.array().cast("array<long>"))
-    counted = base_counts(docs.withColumn("text_key", F.xxhash64("text"))).select(*keep, "text_key", F.concat(F.array(F.lit(-1).cast("long")), grams).alias("grams"))
+    # what fails the base rules needs no ratio: its n-grams are not made. A null pair at the end stands for the row itself
+    use = ~F.col("base_failed") & F.lit(known)
+    pairs = F.when(use, F.array_append(_pairs("words"), F.lit(None))).otherwise(F.slice(F.array_append(_pairs("words"), F.lit(None)), -1, 1))
+    counted = base_counts(docs.withColumn("text_key", F.xxhash64("text"))).select(*keep, "text_key", pairs.alias("pairs"))
     # explode_outer: a plain explode lets the optimizer infer a filter on the array's size, which is pushed below
     # the projections and makes all words anew for every word
-    spread = counted.select(*keep, "text_key", F.explode_outer("grams").alias("bucket"))
-    scored = spread.join(F.broadcast(weights.withColumnRenamed("bucket", "gram")), F.col("bucket") == F.col("gram"), "left")
+    spread = counted.select(*keep, "text_key", F.explode_outer("pairs").alias("p"))
+    places = _grams("p", buckets, whole)
+    scored = spread.select(*keep, "text_key", F.col("p").isNull().alias("mark"), *[F.when(F.col("p").isNotNull(), g).alias(f"g{k}") for k, g in enumerate(places)])
+    for k in range(len(places)):
+        table = F.broadcast(weights.select(F.col("bucket").alias("gram"), F.col("weight").alias(f"w{k}")))
+        scored = scored.join(table, F.col(f"g{k}") == F.col("gram"), "left").drop("gram", f"g{k}")
     # rows that repeat whole have one sum; the marks say how many rows they are, so no row needs a number of its own
-    sums = scored.groupBy(*keep, "text_key").agg(F.sum("weight").alias("total"), F.count_if(F.col("bucket") >= 0).alias("grams"), F.count_if(F.col("bucket") < 0).alias("rows"))
-    rated = sums.withColumn("ratio", F.coalesce(F.try_divide("total", "grams"), F.lit(0.0))).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    weight = sum((F.coalesce(F.col(f"w{k}"), F.lit(0.0)) for k in range(1, len(places))), F.coalesce("w0", F.lit(0.0)))
+    sums = scored.groupBy(*keep, "text_key").agg(F.sum(weight).alias("total"), F.count_if("mark").alias("rows"))
+    # a text of n words has n n-grams of each kind, but one pair less
+    grams = (len(places) * F.col("n_words") - 1) * F.col("rows")
+    rated = sums.withColumn("ratio", F.when(use, F.coalesce(F.try_divide("total", grams), F.lit(0.0))).otherwise(0.0)).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return rated.select(*keep, "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
