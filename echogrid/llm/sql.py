@@ -37,5 +37,31 @@ FROM p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND p.payload_b
 """
 
 
+OP12 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id, label, q) AS k FROM v
+), s AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, x.k AS other, x.vec_id AS other_id, a.label = x.label AS same,
+         CAST(list_dot_product(a.q, x.q) AS BIGINT) AS score
+  FROM n a JOIN n x ON a.k <> x.k WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+), m AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same
+   AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op5_line_dedup": OP5}
+    return {"op4_warc": OP4, "op5_line_dedup": OP5, "op12_hard_negatives": OP12}
