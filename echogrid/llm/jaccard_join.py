@@ -581,12 +581,16 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 def _named(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of docs."""
-    members, labels = link_sets(docs, **options)
+    return named(*link_sets(docs, **options))
+
+
+def named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id from the results of link_sets()."""
     sets = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     own = labels.withColumnRenamed("set_key", "vertex")
     sets = sets.join(own, sets["set_key"] == own["vertex"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
-    named = sets.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = sets.select("set_key", "label").join(named, "label").select(F.col("set_key").alias("k"), "component_id")
+    least = sets.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_set = sets.select("set_key", "label").join(least, "label").select(F.col("set_key").alias("k"), "component_id")
     found = members.where("set_key is not null").join(of_set, F.col("set_key") == F.col("k")).select("doc_id", "text_key", "n_shingles", "component_id")
     return found.unionByName(members.where("set_key is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, hard_negatives, jaccard_join, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding, toxicity, warc
+from . import chosen_path, conversation_repair, decontamination, hard_negatives, jaccard_join, knn_quality, language_id, line_dedup, piece_tokens, quality_rules, sharding, toxicity, warc
 from .common import table
 
 
@@ -61,5 +61,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of two words, similarity 0.8 or more, as the contract has it."""
+    return chosen_path.near_copies(table(spark, sf_dir, "documents"), width=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_sentencepiece": op10_sentencepiece, "op11_conversation_repair": op11_conversation_repair, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding, "op8_quality_classifier": op8_quality_classifier, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_sentencepiece": op10_sentencepiece, "op11_conversation_repair": op11_conversation_repair, "op12_hard_negatives": op12_hard_negatives, "op13_near_copies": op13_near_copies}
