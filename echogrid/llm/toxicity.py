@@ -128,7 +128,11 @@ class Network:
         if len(words.word):
             chars = np.maximum.reduceat(p["char"][words.char], words.char_at[:-1], axis=0)
             np.matmul(chars, p["in_char"], out=out[:-1])
-            out[:-1] += (p["word"] @ p["in_word"] + p["in_bias"])[words.word]
+            # the whole table once, or the words that are there if they are fewer
+            if len(words.word) > len(p["word"]):
+                out[:-1] += (p["word"] @ p["in_word"] + p["in_bias"])[words.word]
+            else:
+                out[:-1] += p["word"][words.word] @ p["in_word"] + p["in_bias"]
         out[-1, :HIDDEN] = out[-1, _GATES : _GATES + HIDDEN] = 30
         return out
 
@@ -206,21 +210,26 @@ def _places(first: np.ndarray, size: np.ndarray, pad: int) -> np.ndarray:
 
 
 class Adam:
+    """Adam's steps. A gradient (rows, values) of an embedding moves these rows alone, so a step costs the same for any table."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.k = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def apply(self, g: dict[str, np.ndarray]) -> None:
+    def apply(self, g: dict[str, tuple[np.ndarray | slice, np.ndarray]]) -> None:
         self.k += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.k) / (1 - 0.9**self.k)
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
+        for k, (at, x) in g.items():
+            m, v = self.m[k][at], self.v[k][at]
+            m, v = m + 0.1 * (x - m), v + 0.001 * (x * x - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.p[k][at] -= scale * m / (np.sqrt(v) + 1e-7)
 
 
-def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in index, and the sums of their values."""
+    rows, at = np.unique(index, return_inverse=True)
+    return rows, np.stack([np.bincount(at, values[:, k], len(rows)) for k in range(values.shape[1])], 1).astype(np.float32)
 
 
 def _lead(buckets: np.ndarray, at: np.ndarray, labels: np.ndarray, used: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +277,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int = 64
         bad = labels[row[used]] == 1
         weight = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum())) * len(used)
         adam.rate = rate * (1 - k / (rounds + 1))
-        for _ in range(max(1, round(steps / rounds * batch / len(used)))):
+        # as many passes as make the round's share of the steps: a small sample is passed more often, not without end
+        for _ in range(max(1, round(steps / rounds / -(-len(used) // batch)))):
             for a in range(0, len(used), batch):
                 w = used[a : a + batch]
                 same = (labels[row[w]] == 0) & (r.random(len(w)) < 0.15)
@@ -306,16 +316,34 @@ def _learn(net: Network, adam: Adam, words: Words, first: np.ndarray, size: np.n
     each = p["char"][chars]
     most = np.maximum.reduceat(each, char_at[:-1], axis=0)
     g["in_word"], g["in_char"], g["in_bias"] = p["word"][part.word].T @ inputs, most.T @ inputs, inputs.sum(0)
-    g["word"] = _sums(part.word, inputs @ p["in_word"].T, 1 << WORD_BITS)
-    g["char"] = _sums(chars, np.repeat(inputs @ p["in_char"].T, n_chars, axis=0) * (each == np.repeat(most, n_chars, axis=0)), 1 << CHAR_BITS)
-    g["word"][frozen] = 0
-    norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-    adam.apply({k: x * min(1.0, 1.0 / max(norm, 1e-9)) for k, x in g.items()})
+    moved = {k: (slice(None), x) for k, x in g.items()}
+    moved["word"] = _sums(part.word, inputs @ p["in_word"].T * ~frozen[part.word, None])
+    moved["char"] = _sums(chars, np.repeat(inputs @ p["in_char"].T, n_chars, axis=0) * (each == np.repeat(most, n_chars, axis=0)))
+    norm = np.sqrt(sum(float((x * x).sum()) for _, x in moved.values()))
+    adam.apply({k: (at, x * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))) for k, (at, x) in moved.items()})
+
+
+def spread(text: str, most: int, piece: int = 4096) -> str:
+    """A text of at most about `most` characters as it is; of a longer one pieces of whole words, evenly spread over it."""
+    if len(text) <= most:
+        return text
+    starts = np.linspace(0, len(text) - piece, max(1, most // piece)).astype(int).tolist()
+    cut = (text[a : a + piece].split(" ") for a in starts)
+    return " ".join(" ".join(words[1:-1] if len(words) > 2 else words) for words in cut)
+
 
+def fit(sample: DataFrame, characters: int = 1 << 16) -> Network | None:
+    """The network of a bounded sample (text, label); None if it is empty.
+
+    `characters` bounds what one text of the sample brings to the driver: of a
+    longer text evenly spread pieces are learned from.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(t, characters) for t in batch.column(1).to_pylist()], pa.string())], ["label", "text"])
 
-def fit(sample: DataFrame) -> Network | None:
-    """The network of a bounded sample (text, label); None if it is empty."""
-    rows = sorted((r["label"], r["text"]) for r in sample.select("label", "text").collect())
+    rows = sorted((r["label"], r["text"]) for r in sample.select("label", "text").mapInArrow(bounded, "label int, text string").collect())
     if not rows:
         return None
     return train([t for _, t in rows], np.array([min(1, max(0, v)) for v, _ in rows]))
