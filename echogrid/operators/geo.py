@@ -175,8 +175,8 @@ def utm_zone(lon: Column, lat: Column) -> Column:
 
 #: Third flattening and the first coefficients of Krueger's series, from their definition by the flattening.
 _N = WGS84_F / (2 - WGS84_F)
-_RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
 _BETA = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480]
 _DELTA = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15]
 
@@ -190,17 +190,17 @@ def to_utm(lon: Column, lat: Column, epsg: Column | int) -> tuple[Column, Column
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     north, east = xi, eta
-    for j, a in enumerate(_ALPHA, 1):
+    for j, a in enumerate(ALPHA, 1):
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return 500_000 + 0.9996 * _RECTIFYING * east, F.when(south, 10_000_000.0).otherwise(0.0) + 0.9996 * _RECTIFYING * north
+    return 500_000 + 0.9996 * RECTIFYING * east, F.when(south, 10_000_000.0).otherwise(0.0) + 0.9996 * RECTIFYING * north
 
 
 def from_utm(east: Column, north: Column, epsg: Column | int) -> tuple[Column, Column]:
     """Longitude and latitude of a place in a UTM zone."""
     code = F.lit(epsg) if isinstance(epsg, int) else epsg
-    xi = (north - F.when(code >= 32700, 10_000_000.0).otherwise(0.0)) / (0.9996 * _RECTIFYING)
-    eta = (east - 500_000) / (0.9996 * _RECTIFYING)
+    xi = (north - F.when(code >= 32700, 10_000_000.0).otherwise(0.0)) / (0.9996 * RECTIFYING)
+    eta = (east - 500_000) / (0.9996 * RECTIFYING)
     u, v = xi, eta
     for j, b in enumerate(_BETA, 1):
         u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)

@@ -9,8 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .geo import WGS84_A, WGS84_E2, WGS84_F
+from ..sources.elevation import HIGHEST, LOWEST, Elevation, tiles
+from .geo import ALPHA, RECTIFYING, WGS84_A, WGS84_E2, WGS84_F
+
+Affine = tuple[float, float, float, float, float, float]
 
 
 def bilinear(heights: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -27,9 +31,32 @@ def bilinear(heights: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarra
             if (~np.isfinite(h) & (w > 0)).any():
                 raise ValueError("a height is missing")
             out += np.where(w > 0, w * np.where(np.isfinite(h), h, 0), 0)
+    if ((out < LOWEST) | (out > HIGHEST)).any():
+        raise ValueError("heights are no terrain's")
     return out
 
 
+def utm(lon: np.ndarray, lat: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Easting and northing in a UTM zone, as geo.to_utm has them for columns."""
+    phi, lam = np.deg2rad(lat), np.deg2rad((lon - ((epsg % 100) * 6 - 183) + 180) % 360 - 180)
+    e = WGS84_E2**0.5
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    north, east = xi.copy(), eta.copy()
+    for j, a in enumerate(ALPHA, 1):
+        north += a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        east += a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    return 500_000 + 0.9996 * RECTIFYING * east, (10_000_000 if epsg >= 32700 else 0) + 0.9996 * RECTIFYING * north
+
+
+def cells(lon: np.ndarray, lat: np.ndarray, affine: Affine, epsg: int = 4326) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column (centres at halves) of places in a model with this affine map, whose coordinates are degrees or those of a UTM zone."""
+    zone = 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760
+    x, y = utm(lon, lat, epsg) if zone else (lon, lat)
+    dx, dy, det = x - affine[2], y - affine[5], affine[0] * affine[4] - affine[1] * affine[3]
+    return (affine[0] * dy - affine[3] * dx) / det, (affine[4] * dx - affine[1] * dy) / det
+
+
 def world(x: np.ndarray, y: np.ndarray, z: np.ndarray, origin: tuple[float, float, float, float]) -> np.ndarray:
     """Longitude, latitude and ellipsoid height (n x 3) of scene points; origin is latitude, longitude, height and the heading of x."""
     phi, lam, _, heading = (np.deg2rad(v) for v in origin)
@@ -45,16 +72,16 @@ def world(x: np.ndarray, y: np.ndarray, z: np.ndarray, origin: tuple[float, floa
     return np.stack([np.rad2deg(np.arctan2(ey, ex)), np.rad2deg(lat), p * np.cos(lat) + ez * np.sin(lat) - WGS84_A**2 / own], 1)
 
 
-def surface(points: DataFrame, heights: np.ndarray, affine: tuple[float, float, float, float, float, float], origin: tuple[float, float, float, float], rounds: int = 12, close: float = 1e-4) -> DataFrame:
+def surface(points: DataFrame, heights: np.ndarray, affine: Affine, origin: tuple[float, float, float, float], rounds: int = 12, close: float = 1e-4, epsg: int = 4326) -> DataFrame:
     """points (x, y, z in a scene, z being a first guess) with z on an elevation model of ellipsoid heights.
 
-    The affine map gives longitude and latitude of a place (col, row) in the
-    model. A point is moved by what the model's height at its place on the
-    ellipsoid differs from its own, until it is within 0.1 mm; a batch that does
-    not get there is an error, and so is a missing height. The window of the
-    model is broadcast: it must fit a worker's memory, so cut it to the scene.
+    The affine map gives coordinates of a place (col, row) in the model: degrees,
+    or those of the UTM zone that epsg names. A point is moved by what the
+    model's height at its place differs from its own, until it is within 0.1 mm;
+    a batch that does not get there is an error, and so is a missing height. The
+    window of the model is broadcast, as it is cut to the scene; for models of
+    any size there is surface_by_tiles.
     """
-    det = affine[0] * affine[4] - affine[1] * affine[3]
     shared = points.sparkSession.sparkContext.broadcast(np.asarray(heights))
     at = [points.columns.index(c) for c in "xyz"]
 
@@ -63,8 +90,7 @@ def surface(points: DataFrame, heights: np.ndarray, affine: tuple[float, float,
             x, y, z = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in at)
             for _ in range(rounds):
                 place = world(x, y, z, origin)
-                dx, dy = place[:, 0] - affine[2], place[:, 1] - affine[5]
-                off = bilinear(shared.value, (affine[0] * dy - affine[3] * dx) / det, (affine[4] * dx - affine[1] * dy) / det) - place[:, 2]
+                off = bilinear(shared.value, *cells(place[:, 0], place[:, 1], affine, epsg)) - place[:, 2]
                 if not len(off) or np.abs(off).max() <= close:
                     break
                 z = z + off
@@ -76,6 +102,103 @@ def surface(points: DataFrame, heights: np.ndarray, affine: tuple[float, float,
     return points.withColumn("z", F.col("z").cast("double")).mapInArrow(run, points.withColumn("z", F.col("z").cast("double")).schema)
 
 
+def surface_by_tiles(points: DataFrame, model: Elevation, origin: tuple[float, float, float, float], size: int = 256, most: int = 100_000, rounds: int = 12, close: float = 1e-4) -> DataFrame:
+    """surface() on a whole elevation model, whatever its size: nothing of it is broadcast or cut.
+
+    Points go to the tile of the model below them; a tile with more than `most`
+    points is held by several tasks. A task moves its points on their tile until
+    they are within 0.1 mm; what leaves the tile on the way is sent on to the next
+    one, in rounds, which are few as points hardly move sideways. A point that
+    needs more than `rounds` steps, lies outside the model or meets a missing
+    height is an error.
+    """
+    spark = points.sparkSession
+    own = [c for c in points.columns if c != "z"]
+    state = T.StructType([*(points.schema[c] for c in own), *T.StructType.fromDDL("z double, _step int, _done boolean, _tile_row int, _tile_col int").fields])
+    names, xy = state.fieldNames(), [own.index(c) for c in "xy"]
+    grid = tiles(spark, model.path, size)
+
+    def below(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+        place = world(x, y, z, origin)
+        row, col = cells(place[:, 0], place[:, 1], model.affine, model.epsg)
+        r, c = row - 0.5, col - 0.5
+        slack = 1e-8
+        if not (np.isfinite(r) & np.isfinite(c) & (r >= -slack) & (c >= -slack) & (r <= model.rows - 1 + slack) & (c <= model.cols - 1 + slack)).all():
+            raise ValueError("outside the elevation model")
+        r, c = np.clip(r, 0, model.rows - 1), np.clip(c, 0, model.cols - 1)
+        # the last row and column of cells belong to the neighbours before them
+        cell_r, cell_c = np.minimum(r.astype(int), model.rows - 2), np.minimum(c.astype(int), model.cols - 2)
+        return r, c, cell_r // size, cell_c // size, place[:, 2]
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, z = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in "xyz")
+            n = len(x)
+            _, _, i, j, _ = below(x, y, z)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in own), pa.array(z), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names)
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, at = None, None
+        for whole in batches:
+            for batch, key in _tile_runs(whole):
+                if key != at:
+                    tile, at = None, key
+                side = batch.column(batch.schema.names.index("_side")).to_numpy()
+                if side[0] == 0:
+                    tile = np.frombuffer(batch.column(batch.schema.names.index("heights"))[0].as_py(), float).reshape(size + 1, size + 1)
+                    batch = batch.slice(1)
+                    if not batch.num_rows:
+                        continue
+                columns = {c: batch.column(batch.schema.names.index(c)) for c in names}
+                x, y, z = (columns[c].to_numpy(zero_copy_only=False).astype(float) for c in "xyz")
+                step, done = columns["_step"].to_numpy().copy(), np.zeros(len(x), bool)
+                tile_row, tile_col, live = np.full(len(x), key[0], np.int32), np.full(len(x), key[1], np.int32), np.arange(len(x))
+                while len(live):
+                    r, c, i, j, up = below(x[live], y[live], z[live])
+                    tile_row[live], tile_col[live] = i, j
+                    here = (i == key[0]) & (j == key[1])
+                    live, r, c, up = live[here], r[here], c[here], up[here]
+                    off = bilinear(tile, r - key[0] * size + 0.5, c - key[1] * size + 0.5) - up
+                    near = np.abs(off) <= close
+                    done[live[near]] = True
+                    live, off = live[~near], off[~near]
+                    z[live] += off
+                    step[live] += 1
+                    if (step[live] >= rounds).any():
+                        raise ValueError("the surface was not met")
+                columns |= {"z": pa.array(z), "_step": pa.array(step), "_done": pa.array(done), "_tile_row": pa.array(tile_row), "_tile_col": pa.array(tile_col)}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+    open_points = points.mapInArrow(begun, state)
+    found = None
+    for _ in range(rounds):
+        held = open_points.groupBy("_tile_row", "_tile_col").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+        held = kept(held)
+        tile = grid.join(held, (grid["tile_row"] == held["_tile_row"]) & (grid["tile_col"] == held["_tile_col"])).select("_tile_row", "_tile_col", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_side"), "heights")
+        dealt = open_points.join(F.broadcast(held) if held.count() <= 100_000 else held, ["_tile_row", "_tile_col"]).withColumn("_part", F.pmod(F.xxhash64(*own), F.col("_parts")).cast("int")).withColumn("_side", F.lit(1)).drop("_parts")
+        both = tile.unionByName(dealt, allowMissingColumns=True).repartition("_tile_row", "_tile_col", "_part").sortWithinPartitions("_tile_row", "_tile_col", "_part", "_side")
+        result = kept(both.mapInArrow(moved, state))
+        done = result.where("_done")
+        found = done if found is None else found.unionByName(done)
+        open_points = result.where("not _done")
+        if open_points.limit(1).count() == 0:
+            return found.select(*points.columns)
+    raise ValueError("the surface was not met")
+
+
+def _tile_runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[int, int]]]:
+    """Runs of rows of one tile and part, the tile's own row first if it is among them."""
+    key = [batch.column(batch.schema.names.index(c)).to_numpy() for c in ("_tile_row", "_tile_col", "_part")]
+    side = batch.column(batch.schema.names.index("_side")).to_numpy()
+    cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0) | (side[1:] < side[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a), (int(key[0][a]), int(key[1][a]))
+
+
 def spline(knots: np.ndarray, values: np.ndarray):
     """Thin-plate spline through knots (n x 2) with values (n x k); returns a function of points."""
     if len(knots) < 3:

@@ -395,7 +395,7 @@ def test_elevation(spark, tmp_path):
     assert np.array_equal(cut, values[1:4, 0:3])
     assert affine == pytest.approx((0.1, 0.0, 10.0, 0.0, -0.2, 49.8))
     datum = ['<Item name="VERTICAL_DATUM">EGM96</Item>']
-    for broken in (dem(unit="ft")[0], dem(extra=datum)[0], b"II*\0", dem()[0].replace(struct.pack("<HHIHH", 259, 3, 1, 1, 0), struct.pack("<HHIHH", 259, 3, 1, 5, 0))):
+    for broken in (dem(unit="ft")[0], dem(extra=datum)[0], b"II*\0", dem()[0].replace(struct.pack("<HHIHH", 259, 3, 1, 1, 0), struct.pack("<HHIHH", 259, 3, 1, 7, 0))):
         (tmp_path / "b.tif").write_bytes(broken)
         with pytest.raises((ValueError, struct.error)):
             elevation.layout(f"{tmp_path}/b.tif")
