@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,6 +163,60 @@ def frame_coordinates(pixels: DataFrame, rows: list[float], cols: list[float], l
     return pixels.withColumns({"lon": mixed(lon, True), "lat": mixed(lat, False)})
 
 
+def knot_places(images: DataFrame, rows: Column, cols: Column, most: int = 33) -> DataFrame:
+    """images with the pixels (row, col) of their geolocation knots: `most` at most on each axis, numbered i and j, and the
+    midpoints of the cells between them (mid). Rows and cols are the images' sizes, 2 or more."""
+
+    def axis(size: Column, mid: bool) -> tuple[Column, Column]:
+        n = F.least(size, F.lit(most))
+        at = F.transform(F.sequence(F.lit(0), n - (2 if mid else 1)), lambda k: F.struct(k.alias("k"), ((k + (0.5 if mid else 0.0)) * (size - 1) / (n - 1)).alias("at")))
+        return F.assert_true(size >= 2, "an image of at least 2 x 2 pixels is needed").isNull(), at
+
+    def places(mid: bool) -> DataFrame:
+        (good, down), (fine, across) = axis(rows, mid), axis(cols, mid)
+        each = images.where(good & fine).select(*images.columns, F.explode(down).alias("_r"), across.alias("_across")).select(*images.columns, "_r", F.explode("_across").alias("_c"))
+        return each.select(*images.columns, F.lit(mid).alias("mid"), F.col("_r.k").alias("i"), F.col("_c.k").alias("j"), F.col("_r.at").alias("row"), F.col("_c.at").alias("col"))
+
+    return places(False).unionByName(places(True))
+
+
+def knot_grid(located: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Knots and residuals of images (keys) from knot_places() with lon and lat, whatever map gave them.
+
+    The knots (keys, i, j, row, col, lon, lat) have `flat`, the longitude without
+    jumps: unwrapped along the columns of each row, then along the rows. The
+    residuals (keys, interpolation_error_m) are the largest distance, over all
+    cells, between a midpoint's place and the mean of its four knots.
+    """
+    knots = located.where("not mid")
+    for across, along in (("i", "j"), ("j", "i")):
+        name, own = ("lon" if across == "i" else "flat"), Window.partitionBy(*keys, across).orderBy(along)
+        step = wrapped(F.col(name) - F.lag(name).over(own))
+        knots = knots.withColumn("_step", F.coalesce(step, F.col(name))).withColumn("flat", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    after = Window.partitionBy(*keys, "i").orderBy("j")
+    pairs = knots.select(*keys, "i", "j", *[(F.col(c) + F.lead(c).over(after)).alias(f"{c}_2") for c in ("flat", "lat")])
+    below = Window.partitionBy(*keys, "j").orderBy("i")
+    means = pairs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("_i"), F.col("j").alias("_j"), *[((F.col(f"{c}_2") + F.lead(f"{c}_2").over(below)) / 4).alias(f"mean_{c}") for c in ("flat", "lat")])
+    met = located.where("mid").join(means, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "i", "j")])
+    off = F.hypot(F.radians(F.col("mean_lat") - F.col("lat")), F.radians(wrapped(F.col("mean_flat") - F.col("lon"))) * F.cos(F.radians("lat")))
+    residuals = met.groupBy(*keys).agg(F.max(EARTH_RADIUS * off).alias("interpolation_error_m"))
+    return knots.select(*keys, "i", "j", "row", "col", "lon", "lat", "flat"), residuals
+
+
+def frame_geolocation(spark: SparkSession, place: Callable[[DataFrame], DataFrame], rows: int, cols: int, most: int = 33) -> dict:
+    """The geolocation of one frame's manifest; `place` gives a DataFrame of pixels (row, col) lon and lat. At most `most` x `most` knots reach the driver."""
+    if rows * cols > 64_000_000:
+        raise ValueError("a frame has up to 64 million pixels")
+    one = spark.range(1).select(F.lit(0).alias("frame"))
+    knots, residual = knot_grid(place(knot_places(one, F.lit(rows), F.lit(cols), most)), "frame")
+    found = {(k["i"], k["j"]): k for k in knots.collect()}
+    n, m = (1 + max(k[axis] for k in found) for axis in (0, 1))
+    out = {"rows": [found[i, 0]["row"] for i in range(n)], "cols": [found[0, j]["col"] for j in range(m)]}
+    for name, c in (("longitude", "lon"), ("latitude", "lat")):
+        out[name] = [[found[i, j][c] for j in range(m)] for i in range(n)]
+    return {**out, "interpolation_error_m": residual.first()["interpolation_error_m"], "error_scope": "sampled cell-midpoint interpolation residual; absolute accuracy unknown"}
+
+
 def knot_residual(points: DataFrame) -> DataFrame:
     """The largest distance in metres between places (lon, lat) and what a knot grid gives for them (grid_lon, grid_lat), as one row."""
     return points.agg(F.max(great_circle(F.col("lon"), F.col("lat"), F.col("grid_lon"), F.col("grid_lat"))).alias("residual_m"))
@@ -251,8 +306,13 @@ def geocode(image: DataFrame, a: tuple[float, float, float, float, float, float]
     r0, c0 = F.least(F.floor("sr").cast("int"), F.lit(rows - 2)), F.least(F.floor("sc").cast("int"), F.lit(cols - 2))
     near = [F.struct((r0 + i).alias("row"), (c0 + j).alias("col"), ((1 - F.abs(F.col("sr") - (r0 + i))) * (1 - F.abs(F.col("sc") - (c0 + j)))).alias("w")) for i in (0, 1) for j in (0, 1)]
     asked = out.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.explode(F.array(*near)).alias("s")).where("s.w > 0").select("to_row", "to_col", "s.w", F.col("s.row").alias("row"), F.col("s.col").alias("col"))
+    return resampled(image, asked), grid
+
+
+def resampled(image: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, col, value) from weighted source pixels (to_row, to_col, w, row, col); a pixel that is missing or NaN makes its output NaN."""
     met = asked.join(image.select("row", "col", "value"), ["row", "col"], "left").groupBy("to_row", "to_col").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(float("nan")))).alias("value"))
-    return met.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value"), grid
+    return met.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value")
 
 
 def affine(row: Column, col: Column, a: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:

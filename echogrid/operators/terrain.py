@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.elevation import HIGHEST, LOWEST, Elevation, tiles
-from .geo import ALPHA, RECTIFYING, WGS84_A, WGS84_E2, WGS84_F
+from .geo import ALPHA, RECTIFYING, WGS84_A, WGS84_E2, WGS84_F, resampled
 
 Affine = tuple[float, float, float, float, float, float]
 
@@ -199,22 +199,152 @@ def _tile_runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[in
             yield batch.slice(a, b - a), (int(key[0][a]), int(key[1][a]))
 
 
-def spline(knots: np.ndarray, values: np.ndarray):
-    """Thin-plate spline through knots (n x 2) with values (n x k); returns a function of points."""
-    if len(knots) < 3:
-        raise ValueError("a spline needs three knots or more")
+class Spline:
+    """Thin-plate spline through knots (n x 2) with values (n x k): its values at points, and their derivatives."""
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
+    def __init__(self, knots: np.ndarray, values: np.ndarray):
+        if len(knots) < 3:
+            raise ValueError("a spline needs three knots or more")
+        n, self.knots = len(knots), knots
+        system = np.zeros((n + 3, n + 3))
+        system[:n, :n] = self._kernel(self._squares(knots))
+        system[:n, n], system[:n, n + 1 :] = 1, knots
+        system[n:, :n] = system[:n, n:].T
+        self.weights = np.linalg.solve(system, np.vstack([values, np.zeros((3, values.shape[1]))]))
+
+    def _squares(self, p: np.ndarray) -> np.ndarray:
+        return ((p[:, None, :] - self.knots[None, :, :]) ** 2).sum(2)
+
+    @staticmethod
+    def _kernel(d2: np.ndarray) -> np.ndarray:
         return np.where(d2 > 0, d2 * np.log(np.maximum(d2, 1e-300)), 0)
 
-    n = len(knots)
-    system = np.zeros((n + 3, n + 3))
-    system[:n, :n] = kernel(knots, knots)
-    system[:n, n], system[:n, n + 1 :] = 1, knots
-    system[n:, :n] = system[:n, n:].T
-    weights = np.linalg.solve(system, np.vstack([values, np.zeros((3, values.shape[1]))]))
-    return lambda p: kernel(p, knots) @ weights[:n] + weights[n] + p @ weights[n + 1 :]
+    def __call__(self, p: np.ndarray) -> np.ndarray:
+        n = len(self.knots)
+        return self._kernel(self._squares(p)) @ self.weights[:n] + self.weights[n] + p @ self.weights[n + 1 :]
+
+    def slopes(self, p: np.ndarray) -> np.ndarray:
+        """Derivatives (points x 2 x k) along both axes."""
+        n, d2 = len(self.knots), self._squares(p)
+        rate = np.where(d2 > 0, 2 * (np.log(np.maximum(d2, 1e-300)) + 1), 0)
+        return np.stack([(rate * (p[:, None, a] - self.knots[None, :, a])) @ self.weights[:n] + self.weights[n + 1 + a] for a in (0, 1)], 1)
+
+
+class ControlMap:
+    """Pixels (row, col from 0 at the first centre) of an image with control points on a projected plane, and the way back."""
+
+    def __init__(self, control: list[tuple[float, float, float, float]], rows: int, cols: int, epsg: int | None = None, cells: int = 64):
+        c = np.array(control, float)
+        if len(c) < 4:
+            raise ValueError("four control points are needed")
+        self.rows, self.cols = rows, cols
+        self.epsg = epsg or _zone(*Spline(c[:, :2], _level(c[:, 2:]))(np.array([[rows / 2, cols / 2]]))[0])
+        self.to_plane = Spline(c[:, :2] - 0.5, np.stack(utm(c[:, 2], c[:, 3], self.epsg), 1))
+        # a lattice of source pixels, whose cells tell where the way back begins
+        self.axes = [np.linspace(0, n - 1, min(n, cells + 1)) for n in (rows, cols)]
+        at = np.stack(np.meshgrid(*self.axes, indexing="ij"), 2)
+        self.lattice = self.to_plane(at.reshape(-1, 2)).reshape(at.shape)
+        corners = np.stack([self.lattice[i : i + at.shape[0] - 1, j : j + at.shape[1] - 1] for i in (0, 1) for j in (0, 1)])
+        low, high = corners.min(0).reshape(-1, 2), corners.max(0).reshape(-1, 2)
+        # a cell's image is curved: its box grows by a share of its size
+        self.low, self.high = low - 0.25 * (high - low), high + 0.25 * (high - low)
+
+    def extent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The box of the image's outline on the plane, pixels' outer edges included."""
+        r, c = (np.linspace(-0.5, n - 0.5, 257) for n in (self.rows, self.cols))
+        edge = np.concatenate([np.stack([r, np.full_like(r, k)], 1) for k in (c[0], c[-1])] + [np.stack([np.full_like(c, k), c], 1) for k in (r[0], r[-1])])
+        found = self.to_plane(edge)
+        return found.min(0), found.max(0)
+
+    def back(self, plane: np.ndarray, steps: int = 30, close: float = 1e-6) -> np.ndarray:
+        """Source pixels of points of the plane (n x 2); NaN for what no pixel of the image maps to.
+
+        Each cell of the lattice whose box holds a point is a place to begin
+        Newton's steps; of the ends inside the image the one next to its cell
+        counts.
+        """
+        out, best = np.full(plane.shape, np.nan), np.full(len(plane), np.inf)
+        near = np.flatnonzero(((self.high >= plane.min(0)) & (self.low <= plane.max(0))).all(1)) if len(plane) else []
+        width = len(self.axes[1]) - 1
+        for cell in near:
+            held = np.flatnonzero(((plane >= self.low[cell]) & (plane <= self.high[cell])).all(1))
+            if not len(held):
+                continue
+            i, j = divmod(int(cell), width)
+            centre = np.array([(self.axes[0][i] + self.axes[0][i + 1]) / 2, (self.axes[1][j] + self.axes[1][j + 1]) / 2])
+            at = np.tile(centre, (len(held), 1))
+            done, live = np.zeros(len(held), bool), np.arange(len(held))
+            for _ in range(steps):
+                slope = self.to_plane.slopes(at[live])
+                det = slope[:, 0, 0] * slope[:, 1, 1] - slope[:, 0, 1] * slope[:, 1, 0]
+                off = plane[held[live]] - self.to_plane(at[live])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    move = np.stack([off[:, 0] * slope[:, 1, 1] - off[:, 1] * slope[:, 1, 0], off[:, 1] * slope[:, 0, 0] - off[:, 0] * slope[:, 0, 1]], 1) / det[:, None]
+                sound = np.isfinite(move).all(1) & (np.abs(move).max(1) < 4 * max(self.rows, self.cols))
+                live, move = live[sound], move[sound]
+                at[live] += move
+                small = np.abs(move).max(1) < close
+                done[live[small]] = True
+                live = live[~small]
+                if not len(live):
+                    break
+            inside = done & (at >= -1e-6).all(1) & (at <= np.array([self.rows - 1, self.cols - 1]) + 1e-6).all(1)
+            far = np.abs(at - centre).max(1)
+            nearer = np.flatnonzero(inside & (far < best[held]))
+            out[held[nearer]], best[held[nearer]] = at[nearer], far[nearer]
+        return np.clip(out, 0, [self.rows - 1, self.cols - 1])
+
+
+def _level(lonlat: np.ndarray) -> np.ndarray:
+    """Longitudes and latitudes without a jump at the date line."""
+    return np.stack([lonlat[0, 0] + (lonlat[:, 0] - lonlat[0, 0] + 180) % 360 - 180, lonlat[:, 1]], 1)
+
+
+def _zone(lon: float, lat: float) -> int:
+    if not -80 <= lat <= 84:
+        raise ValueError("name a UTM zone outside the latitudes of UTM")
+    lon = (lon + 180) % 360 - 180
+    return (32600 if lat >= 0 else 32700) + min(60, int((lon + 180) // 6) + 1)
+
+
+def geocode_control(image: DataFrame, control: list[tuple[float, float, float, float]], rows: int, cols: int, pixel_m: float, epsg: int | None = None, tile: int = 128) -> tuple[DataFrame, dict[str, float]]:
+    """A magnitude image (row, col, value) with control points (row, col, lon, lat at pixel centres plus a half) on the
+    north-up grid of its UTM zone, as geo.geocode has it for affine images.
+
+    A thin-plate spline takes pixels to the plane. Each task turns tiles of
+    output pixels back through it: cells of a coarse lattice tell where to
+    begin, Newton's steps end within 1e-6 of a pixel. The spline (bounded by
+    the control points) is all that a task needs besides its tile; one shuffle
+    brings source values to output pixels.
+    """
+    if not np.isfinite(pixel_m) or pixel_m <= 0:
+        raise ValueError("the resolution must be positive metres")
+    spark = image.sparkSession
+    way = ControlMap(control, rows, cols, epsg)
+    low, high = way.extent()
+    width, height = (int(np.ceil((high[k] - low[k]) / pixel_m)) for k in (0, 1))
+    across, down = -(-width // tile), -(-height // tile)
+    shared = spark.sparkContext.broadcast(way)
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        way = shared.value
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                i, j = divmod(n, across)
+                r, c = (x.ravel() for x in np.mgrid[i * tile : min(height, (i + 1) * tile), j * tile : min(width, (j + 1) * tile)])
+                at = way.back(np.stack([low[0] + (c + 0.5) * pixel_m, high[1] - (r + 0.5) * pixel_m], 1))
+                met = np.isfinite(at[:, 0])
+                r, c, at = r[met], c[met], at[met]
+                first = np.minimum(at.astype(int), [rows - 2, cols - 2])
+                share = at - first
+                for di in (0, 1):
+                    for dj in (0, 1):
+                        w = np.abs(1 - di - share[:, 0]) * np.abs(1 - dj - share[:, 1])
+                        keep = w > 0
+                        yield pa.RecordBatch.from_arrays([pa.array(x[keep], kind) for x, kind in ((r, pa.int32()), (c, pa.int32()), (w, pa.float64()), (first[:, 0] + di, pa.int32()), (first[:, 1] + dj, pa.int32()))], ["to_row", "to_col", "w", "row", "col"])
+
+    asked = spark.range(across * down).mapInArrow(turned, "to_row int, to_col int, w double, row int, col int")
+    return resampled(image, asked), {"epsg": way.epsg, "left": float(low[0]), "top": float(high[1]), "pixel_m": pixel_m, "rows": height, "cols": width}
 
 
 def georeference(pixels: DataFrame, control: list[tuple[float, float, float, float]]) -> DataFrame:
@@ -222,12 +352,12 @@ def georeference(pixels: DataFrame, control: list[tuple[float, float, float, flo
     c = np.array(control, float)
     if len(c) < 4:
         raise ValueError("four control points are needed")
-    at = spline(c[:, :2], c[:, 2:])
+    at = Spline(c[:, :2], _level(c[:, 2:]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = at(batch[["row", "col"]].to_numpy(float) + 0.5)
-            yield batch.assign(lon=found[:, 0], lat=found[:, 1])
+            yield batch.assign(lon=(found[:, 0] + 180) % 360 - 180, lat=found[:, 1])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in pixels.dtypes)
     return pixels.mapInPandas(run, f"{fields}, lon double, lat double")

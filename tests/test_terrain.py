@@ -171,3 +171,104 @@ def test_utm_of_arrays_and_columns(spark):
         east, north = terrain.utm(lon, lat, epsg)
         rows = spark.createDataFrame(list(zip(lon.tolist(), lat.tolist(), strict=True)), "lon double, lat double").select(*geo.to_utm(F.col("lon"), F.col("lat"), epsg)).collect()
         assert np.allclose([list(x) for x in rows], np.stack([east, north], 1), atol=1e-6)
+
+
+CONTROL = [(r + 0.5, c + 0.5, 10.0 + 0.0011 * c + 0.00006 * r + 1e-6 * c * r / 30, 49.7 - 0.0007 * r + 0.00005 * c + 2e-6 * (c - 20) ** 2) for r in (0, 20, 39, 59) for c in (0, 15, 30, 49)]
+
+
+def test_the_way_back_equals_a_dense_search():
+    way = terrain.ControlMap(CONTROL, 60, 50, cells=8)
+    fine = np.stack(np.meshgrid(np.linspace(0, 59, 1181), np.linspace(0, 49, 981), indexing="ij"), 2).reshape(-1, 2)
+    plane = way.to_plane(fine)
+    r = np.random.default_rng(1)
+    asked = way.to_plane(r.random((60, 2)) * [59, 49])
+    got = way.back(asked)
+    for p, g in zip(asked, got, strict=True):
+        near = fine[np.argmin(((plane - p) ** 2).sum(1))]
+        assert np.abs(near - g).max() <= 0.05
+        assert np.abs(way.to_plane(g[None])[0] - p).max() < 1e-3
+    # places beside the image have no pixel
+    low, high = way.extent()
+    assert np.isnan(way.back(np.array([low - 500, high + 500]))).all()
+    slope, h = way.to_plane.slopes(fine[5000:5003]), 1e-3
+    for a in (0, 1):
+        step = np.eye(2)[a] * h
+        assert np.allclose(slope[:, a], (way.to_plane(fine[5000:5003] + step) - way.to_plane(fine[5000:5003] - step)) / (2 * h), atol=1e-3)
+
+
+def test_geocoding_by_control_points(spark):
+    rows, cols = 60, 50
+    values = np.add.outer(np.arange(rows) * 3.0, np.arange(cols) * 2.0)
+    values[30, 30] = np.nan
+    image = spark.createDataFrame([(r, c, float(values[r, c])) for r in range(rows) for c in range(cols)], "row int, col int, value double")
+    found, grid = terrain.geocode_control(image, CONTROL, rows, cols, 60.0, tile=32)
+    assert grid["epsg"] == 32632
+    way = terrain.ControlMap(CONTROL, rows, cols)
+    got = {(x.row, x.col): x.value for x in found.collect()}
+    holes = 0
+    for (r, c), v in got.items():
+        at = way.back(np.array([[grid["left"] + (c + 0.5) * 60, grid["top"] - (r + 0.5) * 60]]))[0]
+        if np.isnan(v):
+            holes += 1
+            assert np.abs(at - [30, 30]).max() < 1
+        else:
+            assert v == pytest.approx(3 * at[0] + 2 * at[1], abs=1e-6)
+    assert holes > 0
+    inside = way.back(np.stack([x.ravel() for x in np.meshgrid(grid["left"] + (np.arange(grid["cols"]) + 0.5) * 60, grid["top"] - (np.arange(grid["rows"]) + 0.5) * 60)], 1))
+    assert len(got) == np.isfinite(inside[:, 0]).sum() > 500
+    # an affine image: both ways agree
+    a = (0.001, 0.0, 10.0, 0.0, -0.0007, 49.7)
+    exact = [(r + 0.5, c + 0.5, a[0] * (c + 0.5) + a[2], a[4] * (r + 0.5) + a[5]) for r in range(0, 60, 3) for c in range(0, 50, 7)]
+    one, grid = geo.geocode(image, a, rows, cols, 80.0)
+    two, other = terrain.geocode_control(image, exact, rows, cols, 80.0)
+    assert abs(grid["left"] - other["left"]) < 5
+    assert abs(grid["top"] - other["top"]) < 5
+    both = {(x.row, x.col): x.value for x in one.collect()}
+    shift = [abs(both[x.row, x.col] - x.value) for x in two.collect() if (x.row, x.col) in both and not np.isnan(x.value) and not np.isnan(both[x.row, x.col])]
+    assert len(shift) > 500
+    assert max(shift) < 0.5
+    with pytest.raises(ValueError):
+        terrain.geocode_control(image, CONTROL, rows, cols, 0.0)
+
+
+def test_geolocation_grids_across_the_date_line(spark):
+    """Knots of an affine map have no residual, whichever side of the date line they lie on; those of a bent one have what plain loops give."""
+    images = spark.createDataFrame([(1, 100, 40, 179.99, 0.0), (2, 7, 3, -0.5, 0.0), (3, 2, 200, 179.9, 2e-7), (4, 500, 2, 10.0, 1e-7)], "id int, rows int, cols int, west double, bend double")
+    located = geo.knot_places(images, F.col("rows"), F.col("cols"))
+    bend = F.col("bend") * F.col("row") * F.col("col")
+    located = located.withColumn("lon", geo.wrapped(F.col("west") + 0.001 * F.col("col") + 100 * bend)).withColumn("lat", 60.0 - 0.0005 * F.col("row") + bend)
+    knots, residuals = geo.knot_grid(located, "id")
+    error = {x.id: x.interpolation_error_m for x in residuals.collect()}
+    assert error[1] < 1e-6
+    assert error[2] < 1e-6
+    for x in images.collect():
+        n, m = min(x.rows, 33), min(x.cols, 33)
+        own = {(k.i, k.j): k for k in knots.where(f"id = {x.id}").collect()}
+        assert len(own) == n * m
+        assert (own[n - 1, m - 1].row, own[n - 1, m - 1].col) == (x.rows - 1, x.cols - 1)
+        place = lambda r, c: (x.west + 0.001 * c + 100 * x.bend * r * c, 60 - 0.0005 * r + x.bend * r * c)  # noqa: B023, E731
+        worst = 0.0
+        for i in range(n - 1):
+            for j in range(m - 1):
+                four = [place(own[i + a, j + b].row, own[i + a, j + b].col) for a in (0, 1) for b in (0, 1)]
+                lon, lat = (sum(v[k] for v in four) / 4 for k in (0, 1))
+                at = place((own[i, j].row + own[i + 1, j].row) / 2, (own[i, j].col + own[i, j + 1].col) / 2)
+                worst = max(worst, 6371008.8 * np.hypot(np.deg2rad(lat - at[1]), np.deg2rad(lon - at[0]) * np.cos(np.deg2rad(at[1]))))
+        assert error[x.id] == pytest.approx(worst, abs=1e-6)
+        assert all(abs(k.flat - (own[0, 0].lon + place(k.row, k.col)[0] - place(0, 0)[0])) < 1e-9 for k in own.values())
+
+
+def test_a_frame_with_its_geolocation(spark, tmp_path):
+    from echogrid.sources import frames, products
+
+    image = spark.range(60 * 50).select((F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"), (F.col("id") % 7 + 1.0).alias("value"))
+    where = geo.frame_geolocation(spark, lambda pixels: terrain.georeference(pixels, CONTROL), 60, 50)
+    assert (len(where["rows"]), len(where["cols"])) == (33, 33)
+    assert 0 < where["interpolation_error_m"] < 5
+    (tmp_path / "o").mkdir()
+    products.write_frame(image, f"{tmp_path}/o", 60, 50, "geocoded_magnitude", "test", where)
+    assert frames.checked_manifest((tmp_path / "o" / "frame.sarframe").read_text())["geolocation"] == where
+    at = spark.createDataFrame([(10.0, 20.0), (59.0, 49.0)], "row double, col double")
+    got = geo.frame_coordinates(at, where["rows"], where["cols"], where["longitude"], where["latitude"]).collect()
+    want = terrain.georeference(at, CONTROL).collect()
+    assert all(abs(a.lon - b.lon) < 1e-4 and abs(a.lat - b.lat) < 1e-4 for a, b in zip(got, want, strict=True))
