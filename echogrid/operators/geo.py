@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import rpf
+
 #: Fixed values of the WGS84 ellipsoid and the mean Earth radius in metres.
 WGS84_A, WGS84_F, EARTH_RADIUS = 6378137.0, 1 / 298.257223563, 6371008.8
 WGS84_E2 = WGS84_F * (2 - WGS84_F)
@@ -92,27 +94,47 @@ def grid_coordinates(rows: DataFrame, grid: DataFrame, pixels: int, line: str =
     return found.select(*rows.columns, *[c.alias(n) for c, n in zip(at, ("latitude", "longitude", "ratio"), strict=True)])
 
 
+def in_sequence(catalog: DataFrame) -> DataFrame:
+    """catalog with `base` and `number` of each file in its sequence (base_1, base_2, ...); null for files that are in none.
+
+    A sequence ends at its first gap, so a file behind it has a base, but no number.
+    """
+    run = rpf.first_sequence(catalog.select("path").distinct()).select(F.col("path").alias("_path"), "number")
+    return catalog.join(run, catalog["path"] == run["_path"], "left").drop("_path").withColumn("base", rpf.sequence_base(F.col("path")))
+
+
 def matching_blocks(catalog: DataFrame, number: int, named: str | None = None) -> DataFrame:
-    """The image blocks of a catalog (path, chunk, mode, start, lines, ...) that an acquisition number asks for, best first.
+    """The image blocks of a catalog (path, chunk, mode, start, lines, ...) that an acquisition number asks for, with their rank from 1.
 
     A stripmap block answers for the lines that it covers, any other for its
-    own frame number; zero or less asks for the first block. The named file
-    goes before the others, which follow in their order.
+    own frame number; zero or less asks for the first block of a file. With a named file only
+    it and its sequence are searched, the file itself first; without one, all
+    files. Sequences go by number up to their first gap, not by text.
     """
     stripmap = F.col("mode") == "stripmap"
     hit = F.when(stripmap, F.lit(number).between(F.col("start"), F.col("start") + F.col("lines") - 1)).otherwise(F.col("start") == number)
-    asked = catalog if number <= 0 else catalog.where(hit)
-    return asked.orderBy(F.col("path") != named if named else F.lit(False), "path", "chunk")
+    placed = in_sequence(catalog)
+    searched = F.col("number").isNotNull() | F.col("base").isNull()
+    if named is not None:
+        searched = (F.col("path") == named) | (F.col("number").isNotNull() & (F.col("base") == rpf.sequence_base(F.lit(named))))
+    asked = placed.where(searched if number <= 0 else searched & hit)
+    # only blocks that match are ranked
+    order = Window.orderBy(F.col("path") != named if named else F.lit(False), F.coalesce("base", "path"), F.col("number").asc_nulls_last(), "path", "chunk")
+    return asked.select(*catalog.columns, F.row_number().over(order).alias("rank")).orderBy("rank")
 
 
 def line_stream(catalog: DataFrame, match: DataFrame) -> DataFrame:
-    """The blocks that a line stream runs over: all stripmap blocks of the match's files in order, or the one matching block.
+    """The blocks that a line stream runs over, with their place `nth` from 1: all blocks of the sequence that a stripmap match
+    belongs to, by number up to the first gap, whether before or behind the match; else the one matching block.
 
     Each block keeps its own chunk number, by which its geolocation grid is found.
     """
-    head = match.limit(1).select(F.col("path").alias("_path"), F.col("chunk").alias("_chunk"), F.col("mode").alias("_mode"))
-    chosen = catalog.join(F.broadcast(head), (F.col("mode") == F.col("_mode")) & ((F.col("mode") == "stripmap") | ((F.col("path") == F.col("_path")) & (F.col("chunk") == F.col("_chunk")))))
-    return chosen.where((F.col("path") >= F.col("_path"))).select(*catalog.columns)
+    head = match.orderBy("rank").limit(1).select(F.col("path").alias("_path"), F.col("chunk").alias("_chunk"), F.col("mode").alias("_mode"), rpf.sequence_base(F.col("path")).alias("_base"))
+    placed = in_sequence(catalog).join(F.broadcast(head))
+    own = F.col("path") == F.col("_path")
+    of_strip = (F.col("mode") == "stripmap") & (own | (F.col("number").isNotNull() & (F.col("base") == F.col("_base"))))
+    chosen = placed.where(F.when(F.col("_mode") == "stripmap", of_strip).otherwise(own & (F.col("chunk") == F.col("_chunk"))))
+    return chosen.select(*catalog.columns, F.row_number().over(Window.orderBy(F.col("number").asc_nulls_last(), "path", "chunk")).alias("nth")).orderBy("nth")
 
 
 def flat_grid(lines: DataFrame) -> DataFrame:

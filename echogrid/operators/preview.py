@@ -79,11 +79,19 @@ def centre_phase(pixels: DataFrame, rows: int, cols: int, height: int, width: in
 
 
 def nearest(pixels: DataFrame, rows: int, cols: int, out_rows: int, out_cols: int) -> DataFrame:
-    """The pixels at floor(i * rows / out_rows), floor(j * cols / out_cols): a filter, no join."""
-    r = F.ceil(F.col("row") * (out_rows / rows)).cast("int")
-    c = F.ceil(F.col("col") * (out_cols / cols)).cast("int")
-    hit = (F.floor(r * rows / out_rows) == F.col("row")) & (F.floor(c * cols / out_cols) == F.col("col")) & (r < out_rows) & (c < out_cols)
-    return pixels.where(hit).select(r.alias("row"), c.alias("col"), "value")
+    """The pixels at floor(i * rows / out_rows), floor(j * cols / out_cols): a filter, no join. The output is not larger than the input.
+
+    All in whole numbers: the first i whose place is not before a row is
+    ceil(row * out_rows / rows), and it counts if its place is that row.
+    """
+    out_rows, out_cols = max(1, min(rows, out_rows)), max(1, min(cols, out_cols))
+
+    def place(at: str, size: int, out: int) -> tuple[Column, Column]:
+        first = F.expr(f"(`{at}` * {out}L + {size - 1}L) div {size}L")
+        return first.cast("int"), (first < out) & (F.expr(f"((`{at}` * {out}L + {size - 1}L) div {size}L) * {size}L div {out}L") == F.col(at))
+
+    (r, in_row), (c, in_col) = place("row", rows, out_rows), place("col", cols, out_cols)
+    return pixels.where(in_row & in_col).select(r.alias("row"), c.alias("col"), "value")
 
 
 def datagram_shape(rows: int, cols: int, most_bytes: int = 65507 - 16) -> tuple[int, int]:
@@ -92,7 +100,15 @@ def datagram_shape(rows: int, cols: int, most_bytes: int = 65507 - 16) -> tuple[
     if rows * cols <= most:
         return rows, cols
     scale = (most / (rows * cols)) ** 0.5
-    return max(1, int(rows * scale)), max(1, int(cols * scale))
+    height, width = max(1, int(rows * scale)), max(1, int(cols * scale))
+    # a side that cannot shrink below one pixel leaves the other the rest
+    return min(height, most // width) if width == 1 else height, min(width, most // height) if height == 1 else width
+
+
+def datagram_frame(pixels: DataFrame, rows: int, cols: int, most_bytes: int = 65507 - 16) -> tuple[DataFrame, int, int]:
+    """A frame (row, col, value) shrunk to its nearest pixels so that it fits one datagram, with its new size."""
+    height, width = datagram_shape(rows, cols, most_bytes)
+    return (pixels if (height, width) == (rows, cols) else nearest(pixels, rows, cols, height, width)), height, width
 
 
 def coloured(level: Column, name: str = "turbo") -> Column:

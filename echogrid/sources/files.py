@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -38,26 +39,39 @@ def listed(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def private_name(path: str) -> str:
+    """A name beside `path`, in the same store, that no other writer has."""
+    return f"{uri(path).rstrip('/')}.{uuid.uuid4().hex}"
+
+
+def _moved(private: str, path: str) -> None:
+    if exists(path):
+        raise FileExistsError(path)
+    store, where = located(private)
+    store.move(where, located(path)[1].rstrip("/"))
+
+
 @contextmanager
 def published(path: str) -> Iterator[str]:
     """A private folder beside `path` that becomes `path` when the block ends well, and goes when it does not.
 
-    The name is private to this writer; an existing target is refused at the
-    start and again before the move.
+    It is named as `path` is, with its scheme, so that Spark and Arrow write to
+    the same store; a path without a scheme is one of the local disk for both.
+    An existing target is refused at the start and again before the move.
     """
     if exists(path):
         raise FileExistsError(path)
-    store, where = located(path)
-    private = f"{where.rstrip('/')}.{uuid.uuid4().hex}"
-    store.create_dir(private, recursive=True)
+    private = private_name(path)
+    if "://" not in private:
+        private = f"file://{private if private.startswith('/') else f'{os.getcwd()}/{private}'}"
+    store, where = located(private)
+    store.create_dir(where, recursive=True)
     try:
         yield private
-        if exists(path):
-            raise FileExistsError(path)
-        store.move(private, where.rstrip("/"))
+        _moved(private, path)
     except BaseException:
-        if store.get_file_info(private).type != fs.FileType.NotFound:
-            store.delete_dir(private)
+        if store.get_file_info(where).type != fs.FileType.NotFound:
+            store.delete_dir(where)
         raise
 
 
@@ -71,10 +85,9 @@ def write_rows(rows: DataFrame, path: str, expected: int, head: bytes = b"", tai
     if exists(path):
         raise FileExistsError(path)
     spark = rows.sparkSession
-    store, where = located(path)
-    private = f"{where}.{uuid.uuid4().hex}"
+    place = private_name(path)
+    store, private = located(place)
     store.create_dir(private, recursive=True)
-    place = uri(path)[: len(uri(path)) - len(where)] + private if uri(path).endswith(where) else private
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, first, last, store, top = None, "", 0, -1, *located(place)
@@ -110,9 +123,7 @@ def write_rows(rows: DataFrame, path: str, expected: int, head: bytes = b"", tai
         if [first for first, _, _ in found] != [x + 1 for x in ends[:-1]] or ends[-1] != expected - 1:
             raise ValueError(f"the rows are not 0 to {expected - 1}")
         spark.createDataFrame([([name for _, _, name in found],)], "names array<string>").coalesce(1).mapInArrow(joined, "done long").collect()
-        if exists(path):
-            raise FileExistsError(path)
-        store.move(f"{private}/whole", where)
+        _moved(f"{place}/whole", path)
     finally:
         store.delete_dir(private)
 
@@ -121,8 +132,8 @@ def write_bytes(path: str, content: bytes) -> None:
     """A small file that appears whole or not at all; an existing one is refused."""
     if exists(path):
         raise FileExistsError(path)
-    store, where = located(path)
-    private = f"{where}.{uuid.uuid4().hex}"
-    with store.open_output_stream(private, compression=None) as out:
+    private = private_name(path)
+    store, where = located(private)
+    with store.open_output_stream(where, compression=None) as out:
         out.write(content)
-    store.move(private, where)
+    _moved(private, path)

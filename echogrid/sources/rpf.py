@@ -332,6 +332,14 @@ def write(image: DataFrame, path: str, height: int, width: int, pixel_type: int
     files.write_rows(encoded_rows(image, width, lambda x: encoded(x, pixel_type, truncate)), path, height, head, tail)
 
 
+_NUMBERED = r"^(.*)_(\d+)(\.[^./]*)?$"
+
+
+def sequence_base(path: Column) -> Column:
+    """What a file's name has before its last underscore and number; null where it has no number."""
+    return F.nullif(F.regexp_extract(path, _NUMBERED, 1), F.lit(""))
+
+
 def first_sequence(names: DataFrame, path: str = "path") -> DataFrame:
     """Files whose names are a base, an underscore and a number: for each base, the unbroken run from its lowest number on.
 
@@ -339,7 +347,7 @@ def first_sequence(names: DataFrame, path: str = "path") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    cut = names.select(F.regexp_extract(path, r"^(.*)_\d+(\.[^./]*)?$", 1).alias("base"), F.regexp_extract(path, r"_(\d+)(\.[^./]*)?$", 1).alias("digits"), F.col(path).alias("path")).where("digits <> ''")
+    cut = names.select(sequence_base(F.col(path)).alias("base"), F.regexp_extract(path, _NUMBERED, 2).alias("digits"), F.col(path).alias("path")).where("base is not null")
     each = cut.groupBy("base", F.col("digits").cast("long").alias("number")).agg(F.min("path").alias("path"))
     own = Window.partitionBy("base").orderBy("number")
     runs = each.withColumns({"_run": F.col("number") - F.row_number().over(own), "_head": F.min("number").over(Window.partitionBy("base"))})

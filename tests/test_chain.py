@@ -187,6 +187,10 @@ def test_previews(spark):
     assert preview.datagram_shape(10, 10) == (10, 10)
     h, w = preview.datagram_shape(1000, 500)
     assert h * w <= (65507 - 16) // 4 < (h + 1) * (w + 1)
+    assert preview.datagram_shape(1, 10**6) == (1, 16372)
+    small, h, w = preview.datagram_frame(pixels_of(spark, np.arange(60.0).reshape(6, 10)), 6, 10, 4 * 15)
+    assert (h, w) == (3, 5)
+    assert sorted((p.row, p.col, p.value) for p in small.collect()) == [(r, c, 10.0 * (2 * r) + 2 * c) for r in range(3) for c in range(5)]
     near = preview.nearest(pixels_of(spark, np.arange(12.0).reshape(3, 4)), 3, 4, 2, 2)
     assert np.array_equal(matrix_of(near, 2, 2), [[0, 2], [4, 6]])
     colours = lambda v, m: tuple(spark.range(1).select(preview.coloured(F.lit(v), m).alias("c")).select("c.*").first())
@@ -198,3 +202,20 @@ def test_previews(spark):
     stages = spark.createDataFrame([("raw", False, "none kept"), ("formed", True, None)], "stage string, available boolean, reason string")
     got = {r.panel: (r.stage, r.reason) for r in preview.panels(stages, {"a": ["raw", "formed"], "b": ["raw", "other"]}).collect()}
     assert got == {"a": ("formed", None), "b": (None, "none kept")}
+
+
+def test_nearest_of_every_size(spark):
+    """All pairs of sizes below 100, in one frame: the rows of an image of one column."""
+    got = {}
+    for n in (1, 7, 50, 64, 99):
+        image = spark.range(n).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.col("id").alias("value"))
+        for m in (1, 2, 14, 37, 50, 63, 98, 120):
+            got[n, m] = sorted((p.row, p.value) for p in preview.nearest(image, n, 1, m, 1).collect())
+    for (n, m), rows in got.items():
+        m = min(n, m)
+        assert rows == [(i, i * n // m) for i in range(m)], (n, m)
+    # the whole numbers behind it, for all pairs
+    for n in range(1, 100):
+        for m in range(1, n + 1):
+            first = [(row * m + n - 1) // n for row in range(n)]
+            assert [(r, row) for row, r in enumerate(first) if r < m and r * n // m == row] == [(i, i * n // m) for i in range(m)]

@@ -89,9 +89,55 @@ def test_streams_of_products(spark, tmp_path):
     assert sorted(r.line for r in rpf.lines(stream).collect()) == [1, 2, 3, 4, 8, 9]
     named = [r.path for r in strips.orderBy("path").collect()][-1]
     assert geo.matching_blocks(strips, 0, named).first().path == named
+    assert [r.nth for r in stream.collect()] == [1, 2, 3]
     assert geo.flat_grid(spark.createDataFrame([(5, 5)], "first int, last int")).orderBy("line").select("line", "mid_ratio", "mid_lat").collect() == [(5, 1.0, None), (6, 1.0, None)]
 
 
+def test_sequences_go_by_number_and_end_at_a_gap(spark):
+    """Two sequences of more than ten files, one with a gap; their names sort otherwise than their numbers."""
+    rows = [(f"/d/{base}_{n}.rpf", 1, "stripmap", 100 * n + 1, 100) for base, numbers in (("s", [*range(1, 12), 13, 14]), ("t", range(2, 13))) for n in numbers]
+    rows += [("/d/s_2.rpf", 2, "stripmap", 5000, 50), ("/d/alone.rpf", 1, "stripmap", 1, 900), ("/d/u_1.rpf", 1, "seaspot", 7, 10)]
+    catalog = spark.createDataFrame(rows, "path string, chunk int, mode string, start int, lines int")
+    first = geo.matching_blocks(catalog, 1050, "/d/t_3.rpf").first()
+    assert (first.path, first.rank) == ("/d/t_10.rpf", 1)
+    ranked = [(r.path, r.rank) for r in geo.matching_blocks(catalog, 450).collect()]
+    assert ranked == [("/d/alone.rpf", 1), ("/d/s_4.rpf", 2), ("/d/t_4.rpf", 3)]
+    # the named file goes first; files behind the gap are found only by their own name
+    assert [r.path for r in geo.matching_blocks(catalog, 0, "/d/s_11.rpf").collect()][:4] == ["/d/s_11.rpf", "/d/s_1.rpf", "/d/s_2.rpf", "/d/s_2.rpf"]
+    assert geo.matching_blocks(catalog, 1350).count() == 0
+    assert geo.matching_blocks(catalog, 1350, "/d/s_13.rpf").first().path == "/d/s_13.rpf"
+    # a stream has the whole sequence of the match, before and behind it, and no other
+    stream = [(r.path, r.chunk) for r in geo.line_stream(catalog, geo.matching_blocks(catalog, 1050, "/d/s_9.rpf")).collect()]
+    assert stream == [("/d/s_1.rpf", 1), ("/d/s_2.rpf", 1), ("/d/s_2.rpf", 2), *[(f"/d/s_{n}.rpf", 1) for n in range(3, 12)]]
+    assert [r.path for r in geo.line_stream(catalog, geo.matching_blocks(catalog, 7, "/d/u_1.rpf")).collect()] == ["/d/u_1.rpf"]
+    assert [r.path for r in geo.line_stream(catalog, geo.matching_blocks(catalog, 5, "/d/alone.rpf")).collect()] == ["/d/alone.rpf"]
+
+
+def test_folders_appear_in_the_store_of_their_path(spark, tmp_path, monkeypatch):
+    """Names keep their scheme, and the move happens in the named store."""
+    from pyarrow import fs
+
+    from echogrid.sources import files
+
+    (tmp_path / "bucket").mkdir()
+    inner, real = fs.SubTreeFileSystem(str(tmp_path / "bucket"), fs.LocalFileSystem()), files.located
+    monkeypatch.setattr(files, "located", lambda path: (inner, path.removeprefix("store://")) if path.startswith("store://") else real(path))
+    with files.published("store://a/b") as work:
+        assert work.startswith("store://a/b.")
+        files.write_bytes(f"{work}/x", b"1")
+    assert (tmp_path / "bucket" / "a" / "b" / "x").read_bytes() == b"1"
+    with pytest.raises(FileExistsError), files.published("store://a/b"):
+        pass
+    with pytest.raises(ZeroDivisionError), files.published("store://a/c") as work:
+        files.write_bytes(f"{work}/x", b"1")
+        1 / 0
+    assert [p.name for p in (tmp_path / "bucket" / "a").iterdir()] == ["b"]
+    with files.published(f"{tmp_path}/set") as work:
+        assert work.startswith("file:///")
+        spark.range(3).write.parquet(f"{work}/rows")
+    assert spark.read.parquet(f"{tmp_path}/set/rows").count() == 3
+
+
 def scene(sampling=255, rate=22, mode=0, pulses=2, end=0):
     raw = struct.pack(">HHI", 200, 3, 77) + bytes([0, 1, 0, 128]) + struct.pack(">h", -2) + struct.pack(">H", pulses) + struct.pack(">h", end) + struct.pack(">H", 1) + b"M123"
     raw += bytes([sampling, mode]) + struct.pack(">HIHBB", 0, 99, 400, 1, 2) + bytes.fromhex("42640000") + bytes.fromhex("C2640000")
