@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,52 +29,93 @@ def line_lookup(rows: DataFrame, blocks: DataFrame, line: str, width: int = 1024
     return rows.join(found, rows[line] == found["_line"]).drop("_line")
 
 
-def latest(rows: DataFrame, line: str, table: DataFrame, at: str, name: str = "found", width: int = 1024) -> DataFrame:
+class _Buckets:
+    """Ranges of lines with about as many rows each; a line that fills several ranges alone is a bucket whose rows go to several tasks."""
+
+    def __init__(self, lines: DataFrame, parts: int | None = None):
+        parts = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shares = [k / parts for k in range(1, parts)]
+        cuts = lines.select(F.col(lines.columns[0]).cast("double").alias("line")).approxQuantile("line", shares, 0.2 / parts) if shares else []
+        held = Counter(cuts)
+        self.splits = sorted(held)
+        self.tasks = [1, *[held[x] for x in self.splits]]
+
+    def placed(self, df: DataFrame, line: Column) -> DataFrame:
+        """df with its rows' bucket; rows without a line are in the first one."""
+        if not self.splits:
+            return df.withColumn("_bucket", F.lit(0))
+        found = Bucketizer(splits=[-math.inf, *self.splits, math.inf], inputCol="_at", outputCol="_in")
+        return found.transform(df.withColumn("_at", F.coalesce(line.cast("double"), F.lit(-math.inf)))).withColumn("_bucket", F.col("_in").cast("int")).drop("_at", "_in")
+
+    def salted(self, df: DataFrame, every: bool) -> DataFrame:
+        """df (with buckets) with the task of each row in its bucket, or once for every one of them."""
+        if max(self.tasks) == 1:
+            return df.withColumn("_task", F.lit(0))
+        tasks = F.element_at(F.lit(self.tasks), F.col("_bucket") + 1)
+        if every:
+            return df.withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+        return df.withColumn("_task", F.pmod(F.xxhash64(*plain), tasks).cast("int"))
+
+    def across(self, ends: DataFrame, value: str, before: bool) -> DataFrame:
+        """Of buckets' ends (_bucket, value) those of the last bucket before, or the first one behind, each bucket. One row a bucket."""
+        order = Window.orderBy("_bucket")
+        frame = order.rowsBetween(Window.unboundedPreceding, -1) if before else order.rowsBetween(1, Window.unboundedFollowing)
+        every = ends.sparkSession.range(len(self.tasks)).select(F.col("id").cast("int").alias("_bucket")).join(F.broadcast(ends), "_bucket", "left")
+        return every.select("_bucket", (F.last if before else F.first)(value, ignorenulls=True).over(frame).alias(value))
+
+
+def latest(rows: DataFrame, line: str, table: DataFrame, at: str, name: str = "found", parts: int | None = None) -> DataFrame:
     """rows with `name`: a struct of the table's row with the greatest `at` that is not beyond the row's line, or null.
 
-    An as-of join as an equi-join on cells of `width` lines. What a cell lacks
-    comes from the cell before it that has something, found within runs of
-    `width` cells; only one row for each such run passes through one task.
-    `at` must be distinct whole numbers, so that a cell holds `width` rows at most.
+    An as-of join in one shuffle: rows and table meet in ranges of lines, sorted
+    together, and the last table row so far is carried along. What a range
+    begins with is the last table row of the ranges before it, one row for each
+    range. `at` must be distinct.
     """
-    order = F.struct(F.col(at).alias("_at"), F.struct(*table.columns).alias("_row"))
-    cells = table.groupBy(F.floor(F.col(at) / width).alias("_cell")).agg(F.array_sort(F.collect_list(order)).alias("_held"))
-    asked = rows.select(F.floor(F.col(line) / width).alias("_cell")).distinct()
-    every = cells.join(asked, "_cell", "full_outer").withColumns({"_run": F.floor(F.col("_cell") / width), "_tail": F.element_at("_held", -1)["_row"]})
-    before = Window.partitionBy("_run").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    runs = every.where("_tail is not null").groupBy("_run").agg(F.max_by("_tail", "_cell").alias("_far"))
-    runs = every.select("_run").distinct().join(runs, "_run", "left")
-    runs = runs.select(F.col("_run").alias("_of"), F.last("_far", ignorenulls=True).over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
-    near = F.last("_tail", ignorenulls=True).over(before)
-    every = every.withColumn("_near", near).join(runs, F.col("_run") == F.col("_of"), "left").select("_cell", "_held", F.coalesce("_near", "_far").alias("_before"))
-    found = rows.withColumn("_cell", F.floor(F.col(line) / width)).join(every, "_cell")
-    inside = F.filter("_held", lambda x: x["_at"] <= F.col(line))
-    own = F.when(F.size(inside) > 0, F.element_at(inside, -1)["_row"])
-    return found.select(*rows.columns, F.coalesce(own, F.col("_before")).alias(name))
-
-
-def knot_intervals(knots: DataFrame, at: str, *values: str, width: int = 1024) -> DataFrame:
-    """Successive knots as intervals (low, high, and for each value v: v_low, v_high). Knots are distinct whole numbers."""
-    # the knot before the next whole number below a knot is its predecessor
-    table = knots.select(F.col(at).alias("low"), *[F.col(v).alias(f"{v}_low") for v in values])
-    heads = knots.select((F.col(at) - 1).alias("_line"), F.col(at).alias("high"), *[F.col(v).alias(f"{v}_high") for v in values])
-    pairs = latest(heads, "_line", table, "low", "_low", width).where("_low is not null")
-    return pairs.select("_low.low", "high", *[c for v in values for c in (f"_low.{v}_low", f"{v}_high")])
-
-
-def interpolate_lines(rows: DataFrame, line: str, knots: DataFrame, at: str, *values: str, width: int = 1024) -> DataFrame:
+    lines = rows.select(F.col(line)).union(table.select(F.col(at)))
+    return _latest(rows, line, table, at, name, _Buckets(lines, parts))
+
+
+def _latest(rows: DataFrame, line: str, table: DataFrame, at: str, name: str, buckets: _Buckets) -> DataFrame:
+    held = buckets.placed(table.select(F.col(at).alias("_line"), F.struct(*table.columns).alias("_row")), F.col("_line"))
+    ends = held.groupBy("_bucket").agg(F.max_by(F.struct("_line", "_row"), "_line").alias("_end"))
+    begins = buckets.across(ends, "_end", before=True).where("_end is not null").select(F.col("_end._line").alias("_line"), F.col("_end._row").alias("_row"), "_bucket")
+    asked = buckets.salted(buckets.placed(rows.select(F.col(line).alias("_line"), F.struct(*rows.columns).alias("_asked")), F.col("_line")), every=False)
+    both = buckets.salted(held.unionByName(begins), every=True).unionByName(asked, allowMissingColumns=True)
+    so_far = Window.partitionBy("_bucket", "_task").orderBy("_line", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.when(F.col("_line").isNotNull(), F.last("_row", ignorenulls=True).over(so_far))).where("_asked is not null")
+    return found.select(*[F.col("_asked")[c].alias(c) for c in rows.columns], F.col("_found").alias(name))
+
+
+def _with_next(knots: DataFrame, at: str, values: tuple[str, ...], buckets: _Buckets) -> DataFrame:
+    """low, high and, for each value v, v_low and v_high of each knot and the one behind it; null for the last knot."""
+    own = buckets.placed(knots.select(F.col(at).alias("low"), *[F.col(v).alias(f"{v}_low") for v in values]), F.col("low"))
+    row = F.struct("low", *[f"{v}_low" for v in values])
+    heads = buckets.across(own.groupBy("_bucket").agg(F.min_by(row, "low").alias("_head")), "_head", before=False)
+    each = own.withColumn("_next", F.lead(row).over(Window.partitionBy("_bucket").orderBy("low"))).join(F.broadcast(heads), "_bucket")
+    after = F.coalesce("_next", "_head")
+    return each.select("low", after["low"].alias("high"), *[c for v in values for c in (F.col(f"{v}_low"), after[f"{v}_low"].alias(f"{v}_high"))])
+
+
+def knot_intervals(knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
+    """Successive knots as intervals (low, high, and for each value v: v_low, v_high). Knots are distinct."""
+    return _with_next(knots, at, values, _Buckets(knots.select(at), parts)).where("high is not null")
+
+
+def interpolate_lines(rows: DataFrame, line: str, knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
     """rows with each value of the knots at the row's line: the knot's own at a knot, linear between two, and
     carried on along the first or last interval outside them. A single knot gives its value everywhere."""
-    intervals = knot_intervals(knots, at, *values, width=width)
-    first = intervals.orderBy("low").limit(1).agg(F.first(F.struct(*intervals.columns)).alias("_first"))
-    single = knots.orderBy(at).limit(1).agg(F.first(F.struct(*values)).alias("_single"))
-    found = latest(rows, line, intervals, "low", "_i", width).join(F.broadcast(first)).join(F.broadcast(single))
+    buckets = _Buckets(rows.select(F.col(line)).union(knots.select(F.col(at))), parts)
+    every = _with_next(knots, at, values, buckets)
+    first = every.agg(F.min_by(F.struct(*every.columns), "low").alias("_first"))
+    found = _latest(rows, line, every.where("high is not null"), "low", "_i", buckets).join(F.broadcast(first))
     i = F.coalesce("_i", "_first")
-    share = F.when(i["high"].isNotNull(), (F.col(line) - i["low"]) / (i["high"] - i["low"]))
+    share = (F.col(line) - i["low"]) / (i["high"] - i["low"])
 
     def value(v: str) -> Column:
         low, high = i[f"{v}_low"], i[f"{v}_high"]
-        return F.when(i.isNull(), F.col("_single")[v]).when(F.col(line) == i["high"], high).otherwise(low + share * (high - low)).alias(v)
+        return F.when(i["high"].isNull() | (F.col(line) == i["low"]), low).when(F.col(line) == i["high"], high).otherwise(low + share * (high - low)).alias(v)
 
     return found.select(*rows.columns, *map(value, values))
 

@@ -255,13 +255,34 @@ def test_grid_interpolation(spark):
     for x in asked:
         k = min(max(np.searchsorted(at, x, "right") - 1, 0), 2)
         truth[x] = v[k] + (x - at[k]) / (at[k + 1] - at[k]) * (v[k + 1] - v[k])
-    for width in (16, 1024):
-        got = {r.line: r.v for r in geo.interpolate_lines(lines, "line", knots, "at", "v", width=width).collect()}
+    for parts in (1, 4, 40):
+        got = {r.line: r.v for r in geo.interpolate_lines(lines, "line", knots, "at", "v", parts=parts).collect()}
         assert got == pytest.approx(truth)
         assert got[9000] == 0.0
     single = geo.interpolate_lines(lines, "line", knots.limit(1), "at", "v").collect()
     assert {r.v for r in single} == {10.0}
     assert geo.latest(lines, "line", knots, "at").where("found is null").count() == 2
+    none = geo.interpolate_lines(lines, "line", knots.limit(0), "at", "v").collect()
+    assert [r.v for r in none] == [None] * len(asked)
+
+
+def test_as_of_with_a_line_that_holds_most_rows(spark):
+    """A line with most rows is dealt to several tasks; rows without a line find nothing; repeated rows stay."""
+    r = np.random.default_rng(4)
+    at = sorted(r.choice(5000, 300, replace=False).tolist())
+    asked = [*r.integers(-100, 5200, 700).tolist(), *[2500] * 2000, None]
+    rows = spark.createDataFrame([(x, k % 50) for k, x in enumerate(asked)], "line int, other int")
+    table = spark.createDataFrame([(x, f"v{x}") for x in at], "at int, v string")
+    found = geo.latest(rows, "line", table, "at", parts=8)
+    assert found.columns == ["line", "other", "found"]
+    want = {x: at[np.searchsorted(at, x, "right") - 1] if x is not None and x >= at[0] else None for x in asked}
+    got = found.collect()
+    assert sorted((x.line or -999, x.other) for x in got) == sorted((x or -999, k % 50) for k, x in enumerate(asked))
+    assert all((x.found.at if x.found else None) == want[x.line] and (not x.found or x.found.v == f"v{x.found.at}") for x in got)
+    buckets = geo._Buckets(rows.select("line"), 8)
+    assert max(buckets.tasks) > 2
+    pairs = sorted((x.low, x.high, x.v_low, x.v_high) for x in geo.knot_intervals(table, "at", "v", parts=7).collect())
+    assert pairs == [(a, b, f"v{a}", f"v{b}") for a, b in zip(at, at[1:], strict=False)]
 
 
 def test_grid_coordinates(spark):
