@@ -88,36 +88,54 @@ def _latest(rows: DataFrame, line: str, table: DataFrame, at: str, name: str, bu
     return found.select(*[F.col("_asked")[c].alias(c) for c in rows.columns], F.col("_found").alias(name))
 
 
-def _with_next(knots: DataFrame, at: str, values: tuple[str, ...], buckets: _Buckets) -> DataFrame:
-    """low, high and, for each value v, v_low and v_high of each knot and the one behind it; null for the last knot."""
+def knot_intervals(knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
+    """Successive knots as intervals (low, high, and for each value v: v_low, v_high). Knots are distinct."""
+    buckets = _Buckets(knots.select(at), parts)
     own = buckets.placed(knots.select(F.col(at).alias("low"), *[F.col(v).alias(f"{v}_low") for v in values]), F.col("low"))
     row = F.struct("low", *[f"{v}_low" for v in values])
     heads = buckets.across(own.groupBy("_bucket").agg(F.min_by(row, "low").alias("_head")), "_head", before=False)
     each = own.withColumn("_next", F.lead(row).over(Window.partitionBy("_bucket").orderBy("low"))).join(F.broadcast(heads), "_bucket")
     after = F.coalesce("_next", "_head")
-    return each.select("low", after["low"].alias("high"), *[c for v in values for c in (F.col(f"{v}_low"), after[f"{v}_low"].alias(f"{v}_high"))])
-
+    return each.select("low", after["low"].alias("high"), *[c for v in values for c in (F.col(f"{v}_low"), after[f"{v}_low"].alias(f"{v}_high"))]).where("high is not null")
 
-def knot_intervals(knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
-    """Successive knots as intervals (low, high, and for each value v: v_low, v_high). Knots are distinct."""
-    return _with_next(knots, at, values, _Buckets(knots.select(at), parts)).where("high is not null")
 
+def _interpolated(rows: DataFrame, line: str, knots: DataFrame, at: str, values: tuple[str, ...], parts: int | None) -> DataFrame:
+    """rows with _v, the array of the values at the row's line.
 
-def interpolate_lines(rows: DataFrame, line: str, knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
-    """rows with each value of the knots at the row's line: the knot's own at a knot, linear between two, and
-    carried on along the first or last interval outside them. A single knot gives its value everywhere."""
+    Rows and knots are sorted together in ranges of lines, once up and once
+    down: the last knot so far is the one before the row, or behind it. Ranges
+    get the knots next to them, one on each side; the two outermost knots at
+    both ends serve what lies beyond.
+    """
     buckets = _Buckets(rows.select(F.col(line)).union(knots.select(F.col(at))), parts)
-    every = _with_next(knots, at, values, buckets)
-    first = every.agg(F.min_by(F.struct(*every.columns), "low").alias("_first"))
-    found = _latest(rows, line, every.where("high is not null"), "low", "_i", buckets).join(F.broadcast(first))
-    i = F.coalesce("_i", "_first")
-    share = (F.col(line) - i["low"]) / (i["high"] - i["low"])
+    knot = F.struct(F.col(at).cast("double").alias("at"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
+    held = buckets.placed(knots.select(F.col(at).alias("_line"), knot.alias("_knot")), F.col("_line"))
+    ends = held.groupBy("_bucket").agg(*[f(F.struct("_line", "_knot"), "_line").alias(n) for f, n in ((F.max_by, "_last"), (F.min_by, "_first"))])
+    for name, before in (("_last", True), ("_first", False)):
+        beside = buckets.across(ends.select("_bucket", name), name, before).where(f"{name} is not null")
+        held = held.unionByName(beside.select(F.col(f"{name}._line").alias("_line"), F.col(f"{name}._knot").alias("_knot"), "_bucket"))
+    asked = buckets.salted(buckets.placed(rows.select(F.col(line).alias("_line"), F.struct(*rows.columns).alias("_asked")), F.col("_line")), every=False)
+    both = buckets.salted(held, every=True).unionByName(asked, allowMissingColumns=True)
+    own = Window.partitionBy("_bucket", "_task")
+    ways = {"_low": (F.asc("_line"), F.col("_asked").isNotNull().asc()), "_high": (F.desc("_line"), F.col("_asked").isNotNull().desc())}
+    for name, order in ways.items():
+        both = both.withColumn(name, F.last("_knot", ignorenulls=True).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    outer = [knots.select(knot.alias("k")).orderBy(order).limit(2).agg(F.array_sort(F.collect_list("k")).alias(n)) for order, n in ((F.asc("k.at"), "_begin"), (F.desc("k.at"), "_end"))]
+    found = both.where("_asked is not null and _line is not null").join(F.broadcast(outer[0])).join(F.broadcast(outer[1]))
+    low = F.when(F.col("_low").isNull(), F.get("_begin", F.lit(0))).when(F.col("_high").isNull(), F.get("_end", F.lit(0))).otherwise(F.col("_low"))
+    high = F.when(F.col("_low").isNull(), F.get("_begin", F.lit(1))).when(F.col("_high").isNull(), F.get("_end", F.lit(1))).otherwise(F.col("_high"))
+    found = found.select("_asked", F.col("_line").cast("double").alias("_line"), low.alias("_low"), high.alias("_high"))
+    share = (F.col("_line") - F.col("_low.at")) / (F.col("_high.at") - F.col("_low.at"))
+    mixed = F.zip_with("_low.v", "_high.v", lambda a, b: F.when(F.col("_share") == 0, a).when(F.col("_share") == 1, b).otherwise(a + F.col("_share") * (b - a)))
+    found = found.withColumn("_share", share).withColumn("_v", F.when(F.col("_high").isNull(), F.col("_low.v")).otherwise(mixed))
+    return found.select(*[F.col("_asked")[c].alias(c) for c in rows.columns], "_v")
 
-    def value(v: str) -> Column:
-        low, high = i[f"{v}_low"], i[f"{v}_high"]
-        return F.when(i["high"].isNull() | (F.col(line) == i["low"]), low).when(F.col(line) == i["high"], high).otherwise(low + share * (high - low)).alias(v)
 
-    return found.select(*rows.columns, *map(value, values))
+def interpolate_lines(rows: DataFrame, line: str, knots: DataFrame, at: str, *values: str, parts: int | None = None) -> DataFrame:
+    """rows with each value of the knots at the row's line: the knot's own at a knot, linear between two, and
+    carried on along the first or last interval outside them. A single knot gives its value everywhere; rows without a line go."""
+    found = _interpolated(rows, line, knots, at, values, parts)
+    return found.select(*rows.columns, *[F.get("_v", F.lit(k)).alias(v) for k, v in enumerate(values)])
 
 
 def across_pixels(pixel: Column, pixels: Column | int, begin: Column, middle: Column, end: Column) -> Column:
