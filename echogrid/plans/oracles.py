@@ -189,8 +189,10 @@ SELECT c_custkey, CASE WHEN lat >= 0 THEN 32600 + zone ELSE 32700 + zone END AS
        round(500000 + 0.9996::DOUBLE * a * (y + a1 * cos(2 * x) * sinh(2 * y) + a2 * cos(4 * x) * sinh(4 * y) + a3 * cos(6 * x) * sinh(6 * y)), 3) + 0.0 AS east,
        round(CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END + 0.9996::DOUBLE * a * (x + a1 * sin(2 * x) * cosh(2 * y) + a2 * sin(4 * x) * cosh(4 * y) + a3 * sin(6 * x) * cosh(6 * y)), 3) + 0.0 AS north FROM v""",
     "q49_acquisition_match": """
-SELECT 'f' || CAST(s_nationkey AS VARCHAR) AS path, s_suppkey AS chunk, CASE WHEN s_suppkey % 3 > 0 THEN 'stripmap' ELSE 'seaspot' END AS mode, s_suppkey * 10 AS start, 55 AS lines FROM supplier
-WHERE CASE WHEN s_suppkey % 3 > 0 THEN 350 BETWEEN s_suppkey * 10 AND s_suppkey * 10 + 54 ELSE s_suppkey * 10 = 350 END""",
+WITH c AS (SELECT 'f_' || CAST(s_nationkey AS VARCHAR) AS path, s_nationkey AS n, s_suppkey AS chunk, CASE WHEN s_suppkey % 3 > 0 THEN 'stripmap' ELSE 'seaspot' END AS mode, s_suppkey * 10 AS start, 55 AS lines FROM supplier),
+r AS (SELECT n, n - row_number() OVER (ORDER BY n) AS run, min(n) OVER () AS head FROM (SELECT DISTINCT n FROM c)), q AS (SELECT n FROM r WHERE run = head - 1),
+m AS (SELECT * FROM c WHERE (n IN (SELECT n FROM q) OR path = 'f_7') AND CASE WHEN mode = 'stripmap' THEN 350 BETWEEN start AND start + 54 ELSE start = 350 END)
+SELECT path, chunk, mode, start, lines, CAST(row_number() OVER (ORDER BY path <> 'f_7', n IN (SELECT n FROM q) DESC, n, chunk) AS INTEGER) AS rank FROM m""",
     "q50_scene_parameters": """
 SELECT CAST(p_partkey AS VARCHAR) AS path, p_size * 100 * 1e6::DOUBLE AS carrier_hz, CASE WHEN p_size > 0 THEN 299792458.0::DOUBLE / (p_size * 100 * 1e6::DOUBLE) ELSE 0 END AS wavelength_m, p_size * 3 * 1e-9::DOUBLE AS pulse_s,
        p_retailprice * 1e6::DOUBLE AS sampling_hz, p_size / 2.0::DOUBLE * 1e12::DOUBLE AS fm_rate_hz_s, p_retailprice AS velocity_m_s, CAST(p_size * 1000 AS DOUBLE) AS range_m,
@@ -225,6 +227,20 @@ m AS (SELECT o.*, coalesce(i.low, f.low) AS low, coalesce(i.high, f.high) AS hig
 v AS (SELECT o_orderkey, pixel, a + (o_orderkey - low) / CAST(high - low AS DOUBLE) * (b - a) AS base, s + (o_orderkey - low) / CAST(high - low AS DOUBLE) * (t - s) AS step FROM m),
 c AS (SELECT *, CASE WHEN pixel < 10 THEN (pixel - 1) / 9.0::DOUBLE ELSE 1 + (pixel - 10) / 10.0::DOUBLE END AS u FROM v)
 SELECT o_orderkey, round(base + 3 * u * step, 5) + 0.0 AS latitude, round(base + (3 * u + 1) * step, 5) + 0.0 AS longitude, round(base + (3 * u + 2) * step, 5) + 0.0 AS ratio FROM c""",
+    "q59_geolocation_grid": """
+WITH g AS (SELECT s_suppkey, 2 + s_suppkey % 50 AS h, 2 + s_nationkey * 3 AS w, s_acctbal * 1e-9::DOUBLE AS bend FROM supplier), n AS (SELECT *, least(h, 9) AS nr, least(w, 9) AS nc FROM g),
+k AS (SELECT n.*, i, j, i * (h - 1) / CAST(nr - 1 AS DOUBLE) AS r, j * (w - 1) / CAST(nc - 1 AS DOUBLE) AS c FROM n, (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j) WHERE i < nr AND j < nc),
+f AS (SELECT *, 179.99::DOUBLE + 0.001::DOUBLE * c + bend * r * c AS lon, 60.0::DOUBLE - 0.0005::DOUBLE * r + bend * r * c AS lat FROM k),
+s AS (SELECT s_suppkey, count(*) AS knots, max(lon) AS east, min(lat) AS south, min_by(lon, i * 100 + j) AS lon0 FROM f GROUP BY 1),
+m AS (SELECT a.s_suppkey, (a.r + d.r) / 2 AS r, (a.c + d.c) / 2 AS c, a.bend, (a.lon + b.lon + e.lon + d.lon) / 4 AS lon, (a.lat + b.lat + e.lat + d.lat) / 4 AS lat
+  FROM f a JOIN f b ON a.s_suppkey = b.s_suppkey AND b.i = a.i + 1 AND b.j = a.j JOIN f e ON a.s_suppkey = e.s_suppkey AND e.i = a.i AND e.j = a.j + 1 JOIN f d ON a.s_suppkey = d.s_suppkey AND d.i = a.i + 1 AND d.j = a.j + 1),
+t AS (SELECT s_suppkey, max(6371008.8::DOUBLE * sqrt(pow(radians(lat - (60.0::DOUBLE - 0.0005::DOUBLE * r + bend * r * c)), 2) + pow(radians(lon - (179.99::DOUBLE + 0.001::DOUBLE * c + bend * r * c)) * cos(radians(60.0::DOUBLE - 0.0005::DOUBLE * r + bend * r * c)), 2))) AS e FROM m GROUP BY 1)
+SELECT s.s_suppkey, knots, round(east - 360 * round(lon0 / 360), 9) + 0.0 AS east, round(south, 9) + 0.0 AS south, round(e, 5) + 0.0 AS residual_m FROM s JOIN t ON s.s_suppkey = t.s_suppkey""",
+    "q60_sensor_metadata": """
+WITH d AS (SELECT s_suppkey, s_nationkey - 2 AS v, s_suppkey % 3 AS u, s_nationkey * 4.0::DOUBLE AS g, s_suppkey % 40 AS p, s_suppkey % 2 AS skew FROM supplier)
+SELECT s_suppkey, CASE WHEN u < 2 AND v > 0 THEN round(v * CASE WHEN u = 0 THEN 1 ELSE 0.3048::DOUBLE END, 6) + 0.0 END AS row_spacing_m, CASE WHEN g <= 90 THEN g END AS graze_deg, CASE WHEN p BETWEEN 1 AND 30 THEN CAST(p - 1 AS INTEGER) END AS reference_row,
+       CASE WHEN skew = 0 THEN 3 END AS parts, CAST(CAST((u = 2 OR v <= 0) AS INTEGER) + CAST(g > 90 AS INTEGER) + CAST(p NOT BETWEEN 1 AND 30 AS INTEGER) + skew AS INTEGER) AS n_issues,
+       CASE WHEN u = 2 OR v <= 0 OR g > 90 OR p NOT BETWEEN 1 AND 30 OR skew = 1 THEN 'issues_found' ELSE 'checked' END AS status FROM d""",
 }
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cplx
 from ..operators import chain, geo, imaging, measure, preview, register, signal
-from ..sources import tape
+from ..sources import rpf, sensors, tape
 
 N, REPLICA = 64, [0.25, 0.5, 0.75, 1.0, 0.75, 0.5, 0.25]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,10 +206,9 @@ def q24_gray_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def q25_sequence_first_island(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part, the first unbroken run of its suppliers' numbers."""
-    files = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("base"), F.col("l_linenumber").alias("n")).distinct()
-    own = Window.partitionBy("base").orderBy("n")
-    first = files.withColumns({"island": F.col("n") - F.row_number().over(own), "head": F.min("n").over(Window.partitionBy("base"))})
-    return first.where("island = head - 1").groupBy("base").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count("*").alias("n"))
+    names = _table(spark, sf_dir, "lineitem").select(F.concat("l_partkey", F.lit("_"), "l_linenumber", F.lit(".rpf")).alias("path")).distinct()
+    found = rpf.first_sequence(names).groupBy(F.col("base").cast("long").alias("base"))
+    return found.agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count("*").alias("n"))
 
 
 @_query
@@ -377,10 +376,10 @@ def q48_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def q49_acquisition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as image blocks of files by nation; those that answer for line or frame 350."""
+    """Suppliers as image blocks of a sequence of files by nation; those that answer for line or frame 350, best first."""
     key = F.col("s_suppkey")
-    catalog = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("path"), key.alias("chunk"), F.when(key % 3 > 0, "stripmap").otherwise("seaspot").alias("mode"), (key * 10).alias("start"), F.lit(55).alias("lines"))
-    return geo.matching_blocks(catalog, 350, "f7")
+    catalog = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f_"), F.col("s_nationkey").cast("string")).alias("path"), key.alias("chunk"), F.when(key % 3 > 0, "stripmap").otherwise("seaspot").alias("mode"), (key * 10).alias("start"), F.lit(55).alias("lines"))
+    return geo.matching_blocks(catalog, 350, "f_7")
 
 
 @_query
@@ -449,5 +448,30 @@ def q58_grid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", *[_r(c, 5).alias(c) for c in ("latitude", "longitude", "ratio")])
 
 
+@_query
+def q59_geolocation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as images near the date line: knots and midpoint residuals of their geolocation grids."""
+    images = _table(spark, sf_dir, "supplier").select("s_suppkey", (2 + F.col("s_suppkey") % 50).alias("rows"), (2 + F.col("s_nationkey") * 3).alias("cols"), (F.col("s_acctbal") * 1e-9).alias("bend"))
+    at = geo.knot_places(images, F.col("rows"), F.col("cols"), 9)
+    curve = F.col("bend") * F.col("row") * F.col("col")
+    located = at.withColumn("lon", geo.wrapped(179.99 + 0.001 * F.col("col") + curve)).withColumn("lat", 60.0 - 0.0005 * F.col("row") + curve)
+    knots, residuals = geo.knot_grid(located, "s_suppkey")
+    summed = knots.groupBy("s_suppkey").agg(F.count("*").alias("knots"), _r(F.max("flat"), 9).alias("east"), _r(F.min("lat"), 9).alias("south"))
+    return summed.join(residuals, "s_suppkey").select("s_suppkey", "knots", "east", "south", _r("interpolation_error_m", 5).alias("residual_m"))
+
+
+@_query
+def q60_sensor_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents of sensor records, some with units or values that cannot be used."""
+    field = lambda name, value: F.concat(F.lit(f'<field name="{name}" value="'), value, F.lit('"/>'))
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    craft = F.concat(F.lit('<tre name="ACFTB">'), field("ROW_SPACING", (nation - 2).cast("string")), field("ROW_SPACING_UNITS", F.element_at(F.lit(["m", "f", "y"]), (key % 3 + 1).cast("int"))), F.lit("</tre>"))
+    angle = F.concat(F.lit('<tre name="EXPLTB">'), field("GRAZE_ANG", (nation * 4).cast("string")), F.lit("</tre>"))
+    image = F.concat(F.lit('<tre name="MENSRB">'), field("RP_ROW", (key % 40).cast("string")), field("C_R_NC", F.lit("0.6")), field("C_R_EC", F.lit("0.8")), field("C_R_DC", F.when(key % 2 == 0, "0").otherwise("0.2")), F.lit("</tre>"))
+    documents = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("<tres>"), craft, angle, image, F.lit("</tres>")).alias("xml"), F.lit(30).alias("height"))
+    found = sensors.sensor_metadata(documents, "xml", "height")
+    return found.select("s_suppkey", _r("row_spacing_m").alias("row_spacing_m"), "graze_deg", "reference_row", F.size("range_ned").alias("parts"), F.size("issues").alias("n_issues"), "status")
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echogrid.operators import geo
-from echogrid.sources import binary, configs, files, frames, nitf, products, rpf, tape
+from echogrid.sources import binary, configs, files, frames, nitf, products, rpf, sensors, tape
 
 
 def pixels(spark, matrix):
@@ -257,7 +257,7 @@ def test_sensor_metadata(spark):
         MENSRB={"COSGRZ": "0.9", "RP_ROW": "11", "C_R_NC": "1", "C_AZ_NC": "0.5", "C_AZ_EC": "0", "C_AZ_DC": "0"},
     )
     rows = spark.createDataFrame([(1, fine, 10), (2, poor, 10), (3, None, 10)], "k int, xml string, height int")
-    got = {r.k: r for r in nitf.sensor_metadata(rows, "xml", "height").collect()}
+    got = {r.k: r for r in sensors.sensor_metadata(rows, "xml", "height").collect()}
     a = got[1]
     assert (a.status, a.issues) == ("checked", [])
     assert a.row_spacing_m == pytest.approx(0.6096)
@@ -269,11 +269,14 @@ def test_sensor_metadata(spark):
     assert (b.row_spacing_m, b.entry_lonlat, b.reference_row, b.range_ned, b.azimuth_ned) == (None,) * 5
     assert (got[3].status, got[3].issues) == ("unavailable", [])
     skew = document(MENSRB={"C_R_NC": "1", "C_R_EC": "0", "C_R_DC": "0", "C_AZ_NC": "0.6", "C_AZ_EC": "0.8", "C_AZ_DC": "0"})
-    one = nitf.sensor_metadata(spark.createDataFrame([(skew,)], "xml string")).first()
+    one = sensors.sensor_metadata(spark.createDataFrame([(skew,)], "xml string")).first()
     assert one.issues == ["MENSRB: range_ned and azimuth_ned are not at right angles"]
     for bad in ("<!DOCTYPE x><tres/>", "<tres", "<other/>", "<tres>" + '<tre name="ACFTB"/>' * 2 + "</tres>", '<tres><tre name="ACFTB"><field name="a" value="1"/><field name="a" value="2"/></tre></tres>'):
-        with pytest.raises(ValueError):
-            nitf.parse_tagged(bad)
+        with pytest.raises(Exception, match="too large|entities|expected|repeated|MALFORMED|malformed"):
+            sensors.sensor_metadata(spark.createDataFrame([(bad,)], "xml string")).collect()
+    other = document(ACFTB={"ENTELV": "3", "ELV_UNIT": "F"}).replace("<tres>", '<tres><tre name="OTHER"><field name="a" value="1"/></tre><tre name="EXPLTB" location="text"/>')
+    one = sensors.sensor_metadata(spark.createDataFrame([(other,)], "xml string")).first()
+    assert (one.status, one.entry_elevation_m) == ("checked", pytest.approx(0.9144))
 
 
 def test_rasters_and_tiffs(spark, tmp_path):
