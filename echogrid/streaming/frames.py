@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .stateful import focus, shifts
+
 
 def latest_frames(frames: DataFrame, key: str, capacity: int) -> DataFrame:
     """After each batch, what a buffer of `capacity` frames (key, ts_ns, value) holds for every key that had news: the oldest go first."""
@@ -34,24 +36,11 @@ def registered(frames: DataFrame, key: str, alpha: float = 0.0) -> DataFrame:
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rx, ry, sx, sy = state.get if state.exists else (None, None, 0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("frame").itertuples():
-            dx = dy = 0
-            metric = 0.0
-            if r.total > 0:
-                if rx is None:
-                    rx, ry = r.cx, r.cy
-                else:
-                    ex, ey = r.cx - rx, r.cy - ry
-                    dx, dy = (int(math.copysign(math.floor(abs(e) + 0.5), -e)) for e in (ex, ey))
-                    metric = math.hypot(ex, ey)
-                    if 0 < alpha < 1:
-                        rx, ry = alpha * rx + (1 - alpha) * r.cx, alpha * ry + (1 - alpha) * r.cy
-            sx, sy = sx + dx, sy + dy
-            out.append((k[0], r.frame, dx, dy, metric, sx, sy))
-        state.update((rx, ry, sx, sy))
-        yield pd.DataFrame(out, columns=[key, "frame", "dx", "dy", "metric", "cum_dx", "cum_dy"])
+        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
+        out, behind = shifts(*(rows[c].to_numpy(float) for c in ("total", "cx", "cy")), state.get if state.exists else (None, None, 0, 0), alpha)
+        state.update(behind)
+        names = ("dx", "dy", "metric", "cum_dx", "cum_dy")
+        yield pd.DataFrame({key: k[0], "frame": rows["frame"].to_numpy(np.int64), **{n: out[:, i] if n == "metric" else out[:, i].astype(np.int64) for i, n in enumerate(names)}})
 
     kind = dict(frames.dtypes)[key]
     return frames.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, dx int, dy int, metric double, cum_dx long, cum_dy long", "rx double, ry double, sx long, sy long", "append", GroupStateTimeout.NoTimeout)
@@ -61,13 +50,10 @@ def best_frames(frames: DataFrame, key: str, least_gain: float = 0.0, most_frame
     """Focus tracking of frames (key, frame, metric): is_best and converged against the best metric so far, which begins at 0."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, n, out = *(state.get if state.exists else (0.0, 0)), []
-        for r in pd.concat(list(batches)).sort_values("frame").itertuples():
-            gain, n = r.metric - best, n + 1
-            out.append((k[0], r.frame, r.metric, gain, gain >= 0, (least_gain > 0 and gain < least_gain) or 0 < most_frames <= n))
-            best = max(best, r.metric)
+        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
+        found, best, n = focus(rows["metric"].to_numpy(float), *(state.get if state.exists else (0.0, 0)), least_gain, most_frames)
         state.update((best, n))
-        yield pd.DataFrame(out, columns=[key, "frame", "metric", "delta", "is_best", "converged"])
+        yield pd.DataFrame({key: k[0], "frame": rows["frame"].to_numpy(np.int64), "metric": rows["metric"].to_numpy(float), **found})
 
     kind = dict(frames.dtypes)[key]
     return frames.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, frame long, metric double, delta double, is_best boolean, converged boolean", "best double, n long", "append", GroupStateTimeout.NoTimeout)
