@@ -1,15 +1,16 @@
-"""Commands: python -m echogrid {ingest,convert,compare,analyze,validate,query} ..."""
+"""Commands: python -m echogrid {form,ingest,convert,compare,analyze,validate,query} ..."""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
 
 from pyspark.sql import functions as F
 
 from .operators import chain, measure
-from .plans import queries
+from .plans import formation, queries
 from .session import session
 from .sources import binary, configs, frames, products, tape
 
@@ -24,6 +25,11 @@ def _parser() -> argparse.ArgumentParser:
             one.add_argument(a)
         return one
 
+    one = command("form", "an image set with its report from phase histories (a folder) or raw echoes (.npz)", "source", "target")
+    for f in dataclasses.fields(formation.Scene):
+        several = {"origin": 4, "focus_point": 3}.get(f.name)
+        kind = float if several else type(f.default) if f.default is not None else str
+        one.add_argument(f"--{f.name.replace('_', '-')}", type=kind, default=f.default, **({"nargs": several} if several else {}))
     one = command("ingest", "a tape as .dat, .vts, .hdr and .ssp", "tape", "prefix")
     one.add_argument("--complex", action="store_true", help="complex floats instead of signed bytes")
     one.add_argument("--best-effort", action="store_true", help="go on behind a record without its sync word")
@@ -41,6 +47,11 @@ def _parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> int:
     a = _parser().parse_args(arguments)
     spark = session(f"echogrid-{a.command}")
+    if a.command == "form":
+        given = {f.name: getattr(a, f.name) for f in dataclasses.fields(formation.Scene)}
+        scene = formation.Scene(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+        print(json.dumps(formation.form_scene(spark, a.source, a.target, scene), indent=2))
+        return 0
     if a.command == "ingest":
         return 0 if tape.ingest(spark, a.tape, a.prefix, a.complex, not a.best_effort) else 1
     if a.command == "convert":
