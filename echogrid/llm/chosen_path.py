@@ -14,12 +14,14 @@ nodes with few sets outside their largest known component are compared
 exhaustively, and the others branch on until they are small. The number of
 independent trees follows from the recall that is asked for at the threshold.
 
-1. In each node all sets are held against the smallest one: that makes a group of
-   near copies of any size one component with one link a set.
+1. In each node all sets are held against one of them, in a large node the one
+   next to what most of its sets have in common: that makes a group of near copies
+   of any size one component with one link a set.
 2. In each small node, sets outside the main component are compared with all
-   others; first only the most alike of each other component is confirmed, then,
-   after components have grown, every pair that is still apart. A node with a
-   large main component lies in parts, and only the few others visit all parts.
+   others. A node with a large main component lies in parts, and only the few
+   others visit all parts. What they may link with is looked up in the cells of
+   its component: a set and a cell make one row, never a row for each pair, and
+   the first link on full sets joins the components.
 
 Comparisons first count equal coordinates, and what may reach the threshold is
 confirmed on full sets. Pairs inside a component change nothing and are left out.
@@ -41,8 +43,9 @@ from .components import components
 _COORDINATES = 128
 _ODD = np.random.default_rng(77).integers(1, 2**63, _COORDINATES, dtype=np.uint64) | np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, _COORDINATES, dtype=np.uint64)
-#: Sets outside the main component up to which a node is small; sets of a part; levels beyond which nodes are compared whatever their size.
-SMALL, PART, LEVELS = 64, 1024, 40
+#: A node is small if its sets times those outside its main component are at most SMALL squared, and has a hub beyond HUB sets.
+#: Sets of a part of a node; n-grams of a cell of a component; levels beyond which nodes are compared whatever their size.
+SMALL, HUB, PART, CELL, LEVELS = 2048, 64, 1024, 500_000, 40
 
 
 def trees_for(recall: float, depth: int, percent: int) -> int:
@@ -106,20 +109,70 @@ def _nodes(signatures: DataFrame, trees: int, depth: int, percent: int) -> DataF
     return signatures.select("key", "signature").mapInArrow(run, "node long, key long")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(node, key, least) of the nodes that hold several sets; least is the smallest of them."""
-    several = rows.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
+def _shared(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(node, key, centre, n) of the nodes that hold several sets, n of them; centre is one of them, which the others are held against first."""
+    several = rows.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1")
     several = common.stored(several, "nodes")
-    return common.stored(common.split_join(rows, several, [("node", "at")], "n").select("node", "key", "least"), "shared")
+    hubs = several.where(F.col("n") > HUB)
+    if hubs.limit(1).count():
+        hubs = common.stored(_hubs(rows, hubs, signatures), "hubs")
+        several = several.join(hubs, several["at"] == hubs["hub_of"], "left").select("at", "n", F.coalesce("hub", "centre").alias("centre"))
+    return common.stored(common.split_join(rows, several, [("node", "at")], "n").select("node", "key", "centre", "n"), "shared")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with each set's component, and their nodes' size and main component; nodes of one component are left out."""
-    own = rows.join(labels, rows["key"] == labels["vertex"], "left").select("node", "key", F.coalesce("label", "key").alias("label"))
+def _hubs(rows: DataFrame, large: DataFrame, signatures: DataFrame, sample: int = 256) -> DataFrame:
+    """(hub_of, hub): of each large node the set that agrees most with what most sets have in each coordinate.
+
+    In a group of copies of one text that is the text itself or the copy next to
+    it, with which the others are more alike than with each other. About
+    `sample` sets of a node are looked at; that decides only which one is the hub.
+    """
+
+    def chosen(node: list[pa.RecordBatch]) -> int:
+        signs, keys = np.concatenate([_signs(b.column(2)) for b in node]), np.concatenate([b.column(1).to_numpy() for b in node])
+        order = np.sort(signs, axis=0)
+        # of each column the value of its longest run
+        runs = np.cumsum(np.r_[np.ones((1, _COORDINATES), bool), order[1:] != order[:-1]], axis=0)
+        most = np.array([order[np.argmax(np.bincount(runs[:, k])[runs[:, k]]), k] for k in range(_COORDINATES)], np.uint16)
+        return int(keys[np.lexsort((keys, -(signs == most).sum(axis=1)))[0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            node, out = batch.column(0).to_numpy(), []
+            cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
+                if a == b:
+                    continue
+                if held and at != node[a]:
+                    out.append((at, chosen(held)))
+                    held = []
+                at = node[a]
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield _pair_batch([np.array(out, np.int64)], "hub_of", "hub")
+        if held:
+            yield _pair_batch([np.array([(at, chosen(held))], np.int64)], "hub_of", "hub")
+
+    some = rows.join(large.select("at", "n"), rows["node"] == large["at"]).where(F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / sample)) == 0)
+    signed = some.join(signatures.select(F.col("key").alias("of"), "signature"), F.col("key") == F.col("of")).select("node", "key", "signature")
+    return signed.repartition("node").sortWithinPartitions("node").mapInArrow(run, "hub_of long, hub long")
+
+
+def _members(labels: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(vertex, label, cell): each linked set's component and its cell in it; cells hold about CELL n-grams."""
+    sized = labels.join(signatures.select(F.col("key").alias("vertex"), "n"), "vertex")
+    cells = sized.groupBy("label").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+    return common.stored(sized.join(cells, "label").select("vertex", "label", F.pmod(F.xxhash64("vertex"), "cells").cast("int").alias("cell")), "members")
+
+
+def _labelled(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows with each set's component and cell, and their nodes' size and main component; nodes of one component are left out."""
+    own = rows.join(members, rows["key"] == members["vertex"], "left").select("node", "key", F.coalesce("label", "key").alias("label"), F.coalesce("cell", F.lit(0)).alias("cell"))
     per_label = own.groupBy("node", "label").agg(F.count("*").alias("c"))
     nodes = per_label.groupBy(F.col("node").alias("at")).agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most")).select("at", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.c")).alias("others")).where("others > 0")
     nodes = common.stored(nodes, "mixed-nodes")
-    return common.stored(common.split_join(own, nodes, [("node", "at")], "n").select("node", "key", "label", "n", "main", "others"), "mixed")
+    return common.stored(common.split_join(own, nodes, [("node", "at")], "n").select("node", "key", "label", "cell", "n", "main", "others"), "mixed")
 
 
 def _branched(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -139,58 +192,71 @@ def _fitting(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _with_least(shared: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each set b that shares a node with a smaller set a that is its node's least, the a that is most alike."""
+def _with_centre(shared: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each set b two of the centres a of its nodes that it may link with, the most alike one and that of the largest node.
+
+    The second is the same for most sets of a large group, and so joins what
+    the first ones leave apart.
+    """
     enough = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            alike = (_signs(batch.column(4)) == _signs(batch.column(5))).sum(axis=1)
+            a, b, held, n, m = (batch.column(i).to_numpy() for i in range(5))
+            alike = (_signs(batch.column(5)) == _signs(batch.column(6))).sum(axis=1)
             keep = (alike >= enough) & _fitting(n, m, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(alike[keep])], ["a", "b", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, alike, held)], ["a", "b", "alike", "held"])
 
-    pairs = shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = common.stored(pairs.join(signatures.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("signature").alias("sign_b")), "b"), "with-least")
+    pairs = shared.where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.max("n").alias("held"))
+    pairs = common.stored(pairs.join(signatures.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("signature").alias("sign_b")), "b"), "with-centre")
     of_a = pairs.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_rows")).join(signatures, "key").select(F.col("key").alias("a_key"), "n", F.col("signature").alias("sign_a"), "n_rows")
-    of_a = common.stored(of_a, "leasts")
-    both = common.split_join(pairs, of_a, [("a", "a_key")], "n_rows").select("a", "b", "n", "m", "sign_a", "sign_b")
-    best = both.mapInArrow(run, "a long, b long, alike long").groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("best"))
-    return best.select((-F.col("best.a")).alias("a"), "b")
+    of_a = common.stored(of_a, "centres")
+    both = common.split_join(pairs, of_a, [("a", "a_key")], "n_rows").select("a", "b", "held", "n", "m", "sign_a", "sign_b")
+    best = both.mapInArrow(run, "a long, b long, alike long, held long").groupBy("b").agg(*[F.max(F.struct(by, F.col("a").alias("a"))).alias(by) for by in ("alike", "held")])
+    return best.select(F.explode(F.array_distinct(F.array("alike.a", "held.a"))).alias("a"), "b")
+
 
+def _candidates(mixed: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(label, cell, asker, others): sets of a component's cell that a set of another component may link with, from all small nodes.
 
-def _in_nodes(mixed: DataFrame, signatures: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b), a < b: pairs of small nodes that are in different components and may link; of each set and other component only the most alike, or every one."""
+    Sets outside a node's main component ask; every pair of a node in different
+    components is compared once, and told by the first of the nodes that it shares.
+    """
     enough = least_agreement(percent)
     parts = F.ceil(F.col("n") / PART).cast("int")
     asks = F.col("label") != F.col("main")
-    held = mixed.where(~asks).select("node", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "label", F.lit(False).alias("asks"))
-    asking = mixed.where(asks).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "key", "label", F.lit(True).alias("asks"))
-    signs = signatures.select(F.col("key").alias("of"), F.col("n").alias("size"), "signature")
+    held = mixed.where(~asks).select("node", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "label", "cell", F.lit(False).alias("asks"))
+    asking = mixed.where(asks).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "key", "label", "cell", F.lit(True).alias("asks"))
+    # a set is in some dozens of nodes
+    known = mixed.groupBy(F.col("key").alias("of")).agg(F.collect_list("node").alias("nodes"))
+    signs = signatures.join(known, F.col("key") == F.col("of")).select("of", F.col("n").alias("size"), "signature", "nodes")
     rows = held.unionByName(asking)
-    rows = rows.join(signs, rows["key"] == signs["of"]).select("node", "part", "asks", "key", "label", "size", "signature")
+    rows = rows.join(signs, rows["key"] == signs["of"]).select("node", "part", "asks", "key", "label", "cell", "size", "signature", "nodes")
     dealt = rows.repartition("node", "part").sortWithinPartitions("node", "part", "asks", "key")
 
-    def pairs(node: list[pa.RecordBatch]) -> np.ndarray:
-        columns = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in node]) for i in (2, 3, 4, 5)]
-        asks, key, label, size = columns
-        signs, out = np.concatenate([_signs(b.column(6)) for b in node]), []
+    def compared(node: list[pa.RecordBatch]) -> list[tuple[int, int, int, list[int]]]:
+        columns = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in node]) for i in (2, 3, 4, 5, 6)]
+        asks, key, label, cell, size = columns
+        signs, out = np.concatenate([_signs(b.column(7)) for b in node]), []
+        here = int(node[0].column(0)[0].as_py())
+        # the nodes of each set that come before this one
+        before = [[x for x in nodes if x < here] for b in node for nodes in b.column(8).to_pylist()]
         for y in np.flatnonzero(asks).tolist():
-            # every pair once: with what does not ask, and with what comes before among those that do
+            # with what does not ask, and with what comes before among those that do
             apart = np.flatnonzero((label[:y] != label[y]) & _fitting(size[:y], size[y], percent))
-            alike = (signs[apart] == signs[y]).sum(axis=1)
-            apart, alike = apart[alike >= enough], alike[alike >= enough]
-            if not every and len(apart) > 1:
-                order = np.lexsort((key[apart], -alike, label[apart]))
-                apart = apart[order]
-                apart = apart[np.r_[True, label[apart][1:] != label[apart][:-1]]]
-            out.append(np.stack([np.minimum(key[apart], key[y]), np.maximum(key[apart], key[y])], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            apart = apart[(signs[apart] == signs[y]).sum(axis=1) >= enough]
+            told = set(before[y])
+            apart = apart[[told.isdisjoint(before[x]) for x in apart.tolist()]] if len(apart) else apart
+            order = np.lexsort((cell[apart], label[apart]))
+            apart = apart[order]
+            cuts = np.flatnonzero((label[apart][1:] != label[apart][:-1]) | (cell[apart][1:] != cell[apart][:-1])) + 1
+            out += [(int(label[x[0]]), int(cell[x[0]]), int(key[y]), key[x].tolist()) for x in np.split(apart, cuts) if len(x)]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out, size = None, [], [], 0
+        at, held, out = None, [], []
         for batch in batches:
             node, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((node[1:] != node[:-1]) | (part[1:] != part[:-1])) + 1
@@ -198,32 +264,32 @@ def _in_nodes(mixed: DataFrame, signatures: DataFrame, percent: int, every: bool
                 if a == b:
                     continue
                 if held and at != (node[a], part[a]):
-                    out.append(pairs(held))
-                    held, size = [], size + len(out[-1])
+                    out += compared(held)
+                    held = []
                 at = (node[a], part[a])
                 held.append(batch.slice(a, b - a))
-            if size > 100_000:
-                yield _pair_batch(out)
-                out, size = [], 0
+            if len(out) > 2000:
+                yield packed(out)
+                out = []
         if held:
-            out.append(pairs(held))
+            out += compared(held)
         if out:
-            yield _pair_batch(out)
+            yield packed(out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["label", "cell", "asker", "others"])
 
+    found = dealt.mapInArrow(run, "label long, cell int, asker long, others array<long>")
+    # there are no more others than sets in the cell
+    return found.groupBy("label", "cell", "asker").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
-def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(found)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
+def _sets_of(keys: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(set_key, shingles) of the sets that a column of keys names, and of few others."""
+    bloom = docs.sparkSession.sparkContext.broadcast(jaccard_join._bloom(keys))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, rows: int = 2000) -> DataFrame:
-    """The pairs (a, b) whose full sets link. A set that many pairs name lies once beside each `rows` of them."""
-    spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(jaccard_join._bloom(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, text, offs in common.chunks(batch.column(0)):
@@ -234,7 +300,61 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, rows
                 if chosen:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chosen], pa.int64()), pa.array([s for _, s in chosen], pa.binary())], ["set_key", "shingles"])
 
-    sets = docs.select("text").where("text is not null").mapInArrow(sets_of, "set_key long, shingles binary")
+    return docs.select("text").where("text is not null").mapInArrow(run, "set_key long, shingles binary")
+
+
+def _found_in_cells(asked: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): for each set that asks and each cell a link on full sets, if there is one; further ones would not change any component."""
+    cells = asked.select("label", "cell").distinct()
+    own = members.select(F.col("label").alias("of"), F.col("cell").alias("in"), "vertex")
+    held = cells.join(own, (F.col("label") == F.col("of")) & (F.col("cell") == F.col("in")), "left").select("label", "cell", F.lit(0).alias("side"), F.coalesce("vertex", "label").alias("key"), F.lit(None).cast("array<long>").alias("others"))
+    rows = common.stored(held.unionByName(asked.select("label", "cell", F.lit(1).alias("side"), F.col("asker").alias("key"), "others")), "asked")
+    sets = _sets_of(rows.select("key").distinct(), docs, width)
+    loaded = rows.hint("merge").join(sets, rows["key"] == sets["set_key"]).select("label", "cell", "side", "key", "others", "shingles")
+    dealt = loaded.repartition("label", "cell").sortWithinPartitions("label", "cell", "side", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, last = None, {}, None
+        for batch in batches:
+            out = []
+            for label, cell, side, key, others, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (label, cell) != at:
+                    at, held, last = (label, cell), {}, None
+                own = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    held[key] = own
+                elif key != last:  # equal texts of several tasks bring a set more than once
+                    last = key
+                    for a in range(0, len(others), 256):
+                        some = [x for x in others[a : a + 256] if x in held]
+                        hit = _linked(own, [held[x] for x in some], percent)
+                        if len(hit):
+                            out.append((some[hit[0]], key))
+                            break
+            if out:
+                yield _pair_batch([np.array(out, np.int64)])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Places of the sets that link with one set."""
+    if not others:
+        return np.zeros(0, np.int64)
+    every, size = np.concatenate(others), np.array([len(x) for x in others])
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    shared = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(size) - size)
+    return np.flatnonzero(100 * shared >= percent * (len(own) + size - shared))
+
+
+def _pair_batch(found: list[np.ndarray], *names: str) -> pa.RecordBatch:
+    rows = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], list(names) or ["a", "b"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, rows: int = 2000) -> DataFrame:
+    """The pairs (a, b) whose full sets link. A set that many pairs name lies once beside each `rows` of them."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, width)
     often = common.stored(pairs.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("times")), "named")
     cells = common.split_join(pairs, often, [("a", "name")], "times")
     cells = common.stored(cells.select(F.col("a").alias("home"), F.pmod(F.xxhash64("b"), F.ceil(F.col("times") / rows)).cast("int").alias("part"), F.col("b").alias("key"), F.lit(1).alias("side")), "cells")
@@ -253,9 +373,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, rows
                 if side == 0:
                     own = np.frombuffer(raw, np.uint64)
                 elif key != last:  # equal texts of several tasks bring a set more than once
-                    last, other = key, np.frombuffer(raw, np.uint64)
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    last = key
+                    if len(_linked(own, [np.frombuffer(raw, np.uint64)], percent)):
                         out.append((home, key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
@@ -282,27 +401,26 @@ def link_sets(docs: DataFrame, width: int = 5, percent: int = 80, recall: float
     members = rows.drop("signature")
     signatures = rows.where("set_key is not null").groupBy(F.col("set_key").alias("key")).agg(F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     signatures = common.stored(signatures, "signatures")
-    shared = _shared(_nodes(signatures, trees_for(recall, depth, percent), depth, percent))
-    links = common.stored(_confirmed(common.stored(_with_least(shared, signatures, percent), "pairs"), docs, width, percent), "confirmed")
-    labels = components(links)
-    # nodes with many sets outside their main component branch on
-    mixed = _labelled(shared, labels)
-    small = mixed.where(F.col("others") <= SMALL)
+    shared = _shared(_nodes(signatures, trees_for(recall, depth, percent), depth, percent), signatures)
+    links = common.stored(_confirmed(common.stored(_with_centre(shared, signatures, percent), "pairs"), docs, width, percent), "confirmed")
+    linked = _members(components(links), signatures)
+    # nodes whose comparison would be too much branch on
+    mixed = _labelled(shared, linked)
+    much = F.col("others") * F.col("n") > SMALL * SMALL
+    small = mixed.where(~much)
     for _ in range(LEVELS):
-        large = mixed.where(F.col("others") > SMALL)
+        large = mixed.where(much)
         if large.limit(1).count() == 0:
             break
-        mixed = _labelled(_shared(_branched(large.select("node", "key"), signatures, percent)), labels)
-        small = small.unionByName(mixed.where(F.col("others") <= SMALL))
+        mixed = _labelled(_shared(_branched(large.select("node", "key"), signatures, percent), signatures), linked)
+        small = small.unionByName(mixed.where(~much))
     else:
-        small = small.unionByName(mixed.where(F.col("others") > SMALL))
-    for every in (False, True):
-        pairs = common.stored(_in_nodes(small, signatures, percent, every), "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        links = links.unionByName(common.stored(_confirmed(pairs, docs, width, percent), "confirmed"))
+        small = small.unionByName(mixed.where(much))
+    asked = common.stored(_candidates(small, signatures, percent), "candidates")
+    labels = linked.select("vertex", "label")
+    if asked.limit(1).count():
+        links = links.unionByName(common.stored(_found_in_cells(asked, linked, docs, width, percent), "found"))
         labels = components(links)
-        small = _labelled(small.select("node", "key"), labels)
     return members, labels
 
 

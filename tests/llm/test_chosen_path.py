@@ -85,10 +85,9 @@ def test_small_limits_take_every_way(spark, monkeypatch):
     """Nodes branch on, lie in parts and are compared at last whatever their size; the result stays."""
     rows = sample(5)[600:]
     want = [(a, b, c, d if a is not None else c is None) for a, b, c, d in brute(rows, 2, 80)]
-    for small, part, levels in ((2, 16, 40), (2, 16, 1)):
-        monkeypatch.setattr(chosen_path, "SMALL", small)
-        monkeypatch.setattr(chosen_path, "PART", part)
-        monkeypatch.setattr(chosen_path, "LEVELS", levels)
+    for small, levels in ((12, 40), (12, 1)):
+        for name, value in (("SMALL", small), ("HUB", 5), ("PART", 16), ("CELL", 2000), ("LEVELS", levels)):
+            monkeypatch.setattr(chosen_path, name, value)
         assert sorted(map(tuple, chosen_path.near_copies(spark.createDataFrame(rows, SCHEMA), width=2).collect()), key=str) == want
 
 
