@@ -31,13 +31,53 @@ _CLASS[list(b"#*$%&|<>")] = 8
 _CLASS[list(b".,;:!?")] = 32
 
 
+#: Bytes of a slice of a very long text.
+SLICE = 1 << 22
+
+
+def _slices(text: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """A text in slices of whole words, each behind the two words before it, and how many such words it has."""
+    before: list[bytes] = []
+    a, n = 0, len(text)
+    while a < n:
+        b = min(n, a + SLICE)
+        while b < n:
+            gap = np.flatnonzero(common.SPACE[text[b : b + 65_536]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(n, b + 65_536)
+        part = np.concatenate([np.frombuffer(b"".join(w + b" " for w in before), np.uint8), text[a:b]])
+        yield part, len(before)
+        starts, ends, _ = common.bounds(part, np.array([0, len(part)]))
+        before = [part[s:e].tobytes() for s, e in zip(starts[-2:], ends[-2:], strict=True)]
+        a = b
+
+
 def terms(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of the terms that each row has, logarithms of one more than their counts, and where each row's terms begin (n + 1 numbers)."""
+    """Columns of the terms that each row has, logarithms of one more than their counts, and where each row's terms begin (n + 1 numbers).
+
+    A very long row is counted slice by slice.
+    """
     n = len(offs) - 1
+    if n == 1 and len(text) > SLICE:
+        counts = np.zeros(WIDTH, np.int64)
+        for part, skip in _slices(text):
+            columns, found = _counted(part, np.array([0, len(part)]), skip)
+            counts[columns] += found
+        cells = np.flatnonzero(counts)
+        found = counts[cells]
+    else:
+        cells, found = _counted(text, offs)
+    return cells % WIDTH, np.log1p(found).astype(np.float32), np.searchsorted(cells, np.arange(n + 1) * WIDTH)
+
+
+def _counted(text: np.ndarray, offs: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (row * WIDTH + column) of the terms of all rows, and their counts; terms that end within the first `skip` words do not count."""
     starts, ends, at = common.bounds(text, offs)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(n + 1, np.int64)
-    row = np.repeat(np.arange(n), np.diff(at))
+    if len(starts) <= skip:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     together = row[1:] == row[:-1]
     hashes = common.word_hashes(text, starts)
     again = np.zeros(len(starts), np.int64)
@@ -49,9 +89,9 @@ def terms(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     word = (low % np.uint64(WORDS)).astype(np.int64)
     two = (common.mix(low[:-1] * np.uint64(3) + low[1:]) % np.uint64(WORD_PAIRS)).astype(np.int64)
     first = row * WIDTH
-    cells = np.concatenate([first + shape, (first[1:] + SHAPES + pair)[together], first + (SHAPES + PAIRS) + word, (first[1:] + (SHAPES + PAIRS + WORDS) + two)[together]])
-    cells, found = np.unique(cells, return_counts=True)
-    return cells % WIDTH, np.log1p(found).astype(np.float32), np.searchsorted(cells, np.arange(n + 1) * WIDTH)
+    together[: max(0, skip - 1)] = False
+    cells = np.concatenate([(first + shape)[skip:], (first[1:] + SHAPES + pair)[together], (first + (SHAPES + PAIRS) + word)[skip:], (first[1:] + (SHAPES + PAIRS + WORDS) + two)[together]])
+    return np.unique(cells, return_counts=True)
 
 
 def _product(columns: np.ndarray, values: np.ndarray, at: np.ndarray, dense: np.ndarray, block: int = 1 << 17) -> np.ndarray:
@@ -138,7 +178,7 @@ def fit(sample: DataFrame, dimensions: int = 32) -> Model | None:
 def rate(docs: DataFrame, model: Model | None, neighbours: int = 15, score: str = "quality_score") -> DataFrame:
     """docs with a score from 0 to 1 added: the share of good labels among the nearest neighbours.
 
-    Whole texts are read. All neighbours that tie at the last place vote. An
+    Whole texts are read, very long ones in slices. All neighbours that tie at the last place vote. An
     empty table gives an empty result. A null text counts as empty. Where no neighbour resembles the text, as for
     an empty one, the score is the sample's share of good rows, and 0.5 without
     a model. A column of that name is replaced; others pass through; rows that

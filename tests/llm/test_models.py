@@ -232,3 +232,20 @@ def test_clashing_columns_and_empty_tables(spark, rows):
     stage_docs = lang.withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1).cast("long"))
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, stage_docs, "").columns == stage_docs.columns, name
+
+
+def test_slices_count_what_the_whole_text_has(monkeypatch):
+    """Slices of every length, cut within and between words, give the counts of the whole text."""
+    r = np.random.default_rng(12)
+    words = ["a", "A", "bb,", "the", "the", "épée", "x" * 40, "12", "|", "\n", "  "]
+    text = " ".join(r.choice(words, 400).tolist())
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole = knn_quality.terms(raw, np.array([0, len(raw)]))
+    for size in (1, 2, 7, 50, 333, len(raw) - 1):
+        monkeypatch.setattr(knn_quality, "SLICE", size)
+        parts = knn_quality.terms(raw, np.array([0, len(raw)]))
+        for a, b in zip(whole, parts, strict=True):
+            assert np.array_equal(a, b), size
+    monkeypatch.setattr(knn_quality, "SLICE", 3)
+    blank = np.frombuffer(b" \n  \t  ", np.uint8)
+    assert len(knn_quality.terms(blank, np.array([0, len(blank)]))[0]) == 0
