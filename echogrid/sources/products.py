@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +36,14 @@ def write_tape(records: DataFrame, path: str) -> DataFrame:
         store, top = files.located(path)
         store.create_dir(top, recursive=True)
         name = f"{top}/tape-{TaskContext.get().partitionId():05d}.dat"
-        n = 0
-        with store.open_output_stream(name + ".part", compression=None) as out:
+        # attempts of one task write files of their own; each becomes the same file when it is whole
+        own, n = f"{name}.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(own, compression=None) as out:
             for batch in batches:
                 for r in batch.to_pylist():
                     out.write(tape_record(r["type"], r["scene"], r["number"], r["time"], r["payload"]))
                     n += 1
-        store.move(name + ".part", name)
+        store.move(own, name)
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
     return records.select("type", "scene", "number", "time", "payload").mapInArrow(run, "file string, records long")

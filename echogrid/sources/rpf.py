@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode
-from ..functions.lines import list_array
+from ..functions.lines import list_array, offsets
 from . import files
 
 #: Fixed values of the format: chunk sync, chunk types, header sizes, radar modes.
@@ -309,11 +309,19 @@ def encoded_rows(image: DataFrame, width: int, encode) -> DataFrame:
     packed = packed.select("row", F.col("line.col").alias("cols"), F.col("line.value").alias("values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.arange(width)
         for batch in batches:
-            for row, cols, values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if cols != list(range(width)) or None in values:
-                    raise ValueError(f"row {row} is not complete")
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([encode(np.array(values))], pa.binary())], ["row", "bytes"])
+            # some megabytes of rows at a time
+            step = max(1, (1 << 22) // (8 * width))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                (cols, at), (values, _) = offsets(part.column(1)), offsets(part.column(2))
+                out = []
+                for row, b, e in zip(part.column(0).to_pylist(), at[:-1] - at[0], at[1:] - at[0], strict=True):
+                    if e - b != width or not np.array_equal(cols[b:e], whole) or part.column(2).values.null_count and np.isnan(values[b:e].astype(float)).any():
+                        raise ValueError(f"row {row} is not complete")
+                    out.append((row, encode(values[b:e].astype(float))))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["row", "bytes"])
 
     return packed.mapInArrow(run, "row long, bytes binary")
 
