@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode
-from ..functions.lines import list_array
 from ..operators.signal import C
 from . import binary, files, rpf
 
@@ -150,9 +149,11 @@ def complex_lines(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [decode.iq_pairs(x or b"") for x in batch.column(3).to_pylist()]
-            for k, x in enumerate(out):
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:3], list_array(x.real[None].astype(np.float32)), list_array(x.imag[None].astype(np.float32))], ["path", "line", "time", "re", "im"])
+            found = [decode.iq_pairs(x or b"") for x in batch.column(3).to_pylist()]
+            cuts = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            flat = np.concatenate(found) if found else np.zeros(0, complex)
+            parts = (pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.float32))) for x in (flat.real, flat.imag))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], ["path", "line", "time", "re", "im"])
 
     return lines.select("path", "line", "time", "payload").mapInArrow(run, "path string, line long, time long, re array<float>, im array<float>")
 
