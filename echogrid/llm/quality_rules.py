@@ -26,8 +26,9 @@ _PRIOR = 10.0
 
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+`; an empty array for null, empty or blank text."""
-    trimmed = F.btrim(text, F.lit(_SPACES))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    # a split at one plain character needs no regular expression; what lies between two blanks is no word
+    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def _ending(word: Column) -> Column:
@@ -54,64 +55,87 @@ def _grams(pair: str, buckets: int, whole: int | None) -> list[Column]:
     return [ending, F.pmod(F.xxhash64(first), F.lit(whole)) + buckets, pair_of]
 
 
-def repeated_words(words: str, bits: str) -> Column:
-    """Words that lie in a 3-word window found twice or more in the text.
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """rows (words, n_words) with n_repeat_words: the words that lie in a 3-word window found twice or more in the text.
 
     Each window's hash, with the window's place in its low bits, is sorted as
     one array of longs, so equal windows become neighbours; the words themselves
-    are compared before two windows count as equal.
+    are compared before two windows count as equal. Each step is a column of its
+    own, so that it is made once, and reads its neighbours from shifted arrays:
+    a lookup by place in a lambda costs several times as much.
     """
-    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1
-
-    def word(i: Column) -> Column:
-        return F.get(F.col(words), i.cast("int"))
-
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)).bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
-
-    def same(x: Column, y: Column) -> Column:
-        a, b = x.bitwiseAND(place), y.bitwiseAND(place)
-        equal = [word(a + k) == word(b + k) for k in range(3)]
-        return F.coalesce((x.bitwiseAND(F.bitwise_not(place)) == y.bitwiseAND(F.bitwise_not(place))) & equal[0] & equal[1] & equal[2], F.lit(False))
-
-    def places(ordered: Column) -> Column:
-        hit = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k + 1)) | same(x, F.get(ordered, k - 1)))
-        return F.array_sort(F.transform(hit, lambda x: x.bitwiseAND(place)))
-
-    # a one-element array binds the sorted array to a lambda variable, so that it is made once
-    found = F.transform(F.array(F.sort_array(windows)), places)[0]
-    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(found, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), p - acc["last"])).alias("n")), lambda acc: acc["n"])
-    return F.when(F.size(words) >= 4, covered).otherwise(F.lit(0).cast("long"))
+    word = F.col("words")
+    bits = F.greatest(F.lit(20), F.length(F.bin("n_words"))).cast("int")
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+
+    def rest(column: str, k: int) -> Column:
+        return F.slice(column, k + 1, F.size(column))
+
+    def same_words(pair: Column) -> Column:
+        at = [(F.get(word, pair["a"] + k), F.get(word, pair["b"] + k)) for k in range(3)]
+        return (at[0][0] == at[0][1]) & (at[1][0] == at[1][1]) & (at[2][0] == at[2][1])
+
+    # zip_with fills the shorter array with nulls: the last two windows are none
+    pairs = F.zip_with("hashes", rest("hashes", 1), lambda x, y: F.xxhash64(x, y))
+    windows = F.slice(F.zip_with(pairs, rest("hashes", 2), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(F.lit(0), F.size("hashes") - 2))
+    # a text without equal hashes has no equal windows; only the others are sorted
+    again = F.size(F.array_distinct("windows")) < F.size("windows")
+    keyed = F.transform("windows", lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("mask"))).bitwiseOR(i.cast("long")))
+    keyed = F.when(again, F.sort_array(keyed)).otherwise(F.array().cast("array<bigint>"))
+    both = lambda x, y: F.struct(x.bitwiseAND(F.col("mask")).cast("int").alias("a"), y.bitwiseAND(F.col("mask")).cast("int").alias("b"))
+    hits = F.zip_with("keyed", rest("keyed", 1), lambda x, y: F.when(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits")) == 0, both(x, y)))
+    equal = F.filter(F.filter(hits, lambda p: p.isNotNull()), same_words)
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"], p["b"])))))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")), lambda acc: acc["n"])
+    out = rows.withColumns({"hashes": F.transform("words", lambda x: F.xxhash64(x)), "bits": bits}).withColumn("mask", place)
+    out = out.withColumn("windows", windows).drop("hashes").withColumn("keyed", keyed).withColumn("n_repeat_words", covered)
+    return out.drop("windows", "bits", "mask", "keyed")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """docs (doc_id, text), the text replaced by words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACES))) > 0)
     out = docs.withColumns({
         "words": words_of(text),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": F.when(F.instr(text, "\n") > 0, F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]).otherwise(0).cast("long"),
     })
-    out = out.withColumns({"n_words": F.size("words").cast("long"), "bits": F.greatest(F.lit(20), F.length(F.bin(F.size("words").cast("long")))).cast("int")})
-    out = out.withColumn("n_repeat_words", repeated_words("words", "bits"))
+    out = out.drop("text").withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long")})
+    out = with_repeated_words(out)
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _marked(docs: DataFrame, trusted: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """The rows of docs whose doc_id is trusted.
+def _marked(docs: DataFrame, trusted: DataFrame, bits: int | None = None) -> DataFrame:
+    """docs with good: 1 if the row's doc_id is trusted, else 0. Ids move, texts hardly.
 
-    A bit table of fixed size (512 KB), as a scalar subquery, leaves out most
-    other rows before any text is shuffled; only the join decides.
+    Two bit tables settle nearly all rows where they are. An id outside the
+    first, of the trusted ids, is not trusted. The second holds the ids of docs
+    that the first lets pass and a join of ids alone does not find: an id of
+    the first outside the second is trusted. Only rows in both take their text
+    through a join. Any size of the tables gives the same marks; `bits` is 16 or
+    more for each trusted row, up to 2^26 (8 MB).
     """
+    if bits is None:
+        bits = 1 << min(26, max(16, (16 * trusted.count()).bit_length()))
     marks = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
-    cells = marks.select(place("trusted_id").alias("at")).groupBy(F.floor(F.col("at") / 64).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("held"))
-    table = _dense(cells, "cell", "held", bits // 64, F.lit(0).cast("long")).scalar()
-    bit = F.getbit(F.get(table, F.floor(place("doc_id") / 64).cast("int")), (place("doc_id") % 64).cast("int"))
-    near = docs.where(F.col("doc_id").isNotNull() & (bit == 1))
-    return near.join(marks.hint("merge"), near["doc_id"].cast("long") == marks["trusted_id"]).select(*docs.columns)
+    own = docs["doc_id"].cast("long")
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    def held(ids: DataFrame, label: str) -> Column:
+        """Whether a row of docs is in the bit table of these ids."""
+        cells = ids.select(place(F.col(ids.columns[0])).alias("at")).groupBy(F.floor(F.col("at") / 64).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("held"))
+        table = common.stored(_dense(cells, "cell", "held", bits // 64, F.lit(0).cast("long")), label).scalar()
+        return own.isNotNull() & (F.getbit(F.get(table, F.floor(place(own) / 64).cast("int")), (place(own) % 64).cast("int")) == 1)
+
+    first = held(marks, "trusted")
+    second = held(docs.where(first).select(own.alias("passed_id")).join(marks.hint("merge"), F.col("passed_id") == F.col("trusted_id"), "left_anti"), "passed")
+    open_rows = docs.where(first & second).join(marks.hint("merge"), own == F.col("trusted_id"), "left")
+    settled = docs.where(~first | ~second).select(*docs.columns, first.cast("int").alias("good"))
+    return settled.unionByName(open_rows.select(*docs.columns, F.col("trusted_id").isNotNull().cast("int").alias("good")))
 
 
 def _dense(table: DataFrame, index: str, value: str, size: int, empty: Column) -> DataFrame:
@@ -129,15 +153,11 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, whole: int |
     share, both with the same prior, so that a rare gram weighs next to nothing.
     """
 
-    def grams(rows: DataFrame, column: str) -> DataFrame:
-        words = rows.select(words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-        each = words.select(F.explode_outer(_pairs("words")).alias("p")).where("p is not null")
-        each = each.select(F.explode_outer(F.array(*_grams("p", buckets, whole))).alias("bucket")).where("bucket is not null")
-        return each.select("bucket", *[F.lit(int(c == column)).cast("long").alias(c) for c in ("raw", "target")])
-
-    # only the trusted rows' texts move; each n-gram is counted where its text is, and one shuffle of buckets joins both
-    both = grams(docs, "raw").unionByName(grams(_marked(docs, trusted), "target"))
-    counts = common.stored(both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "gram-counts")
+    # each n-gram is counted once, for both counts, where its text is
+    words = _marked(docs, trusted).select("good", words_of(F.col("text")).alias("words"))
+    each = words.select("good", F.explode_outer(_pairs("words")).alias("p")).where("p is not null")
+    each = each.select("good", F.explode_outer(F.array(*_grams("p", buckets, whole))).alias("bucket")).where("bucket is not null")
+    counts = common.stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")), "gram-counts")
     totals = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()
     raw_n, target_n = totals["raw_n"] or 0, totals["target_n"] or 0
     if whole is not None:

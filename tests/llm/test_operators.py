@@ -291,6 +291,16 @@ def test_ratio_reads_whole_words(spark):
         assert found[i].ratio == pytest.approx(np.mean([np.log((target[g] + 10) / (raw[g] * share + 10)) for g in grams(t)]), abs=1e-2)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 10, None])
+def test_marks_at_any_table_size(spark, bits):
+    ids = [None, -5, *range(0, 4000, 7), 14, 14]
+    frame = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in [None, -5, *range(0, 6000, 3), 21]], "doc_id long")
+    found = Counter(map(tuple, quality_rules._marked(frame, trusted, bits).select("doc_id", "text", "good").collect()))
+    assert found == Counter((i, f"text {i}", int(i is not None and (i == -5 or i % 3 == 0))) for i in ids)
+    assert {r.good for r in quality_rules._marked(frame, trusted.limit(0), bits).collect()} == {0}
+
+
 def test_query_reads_whole_words(spark, tmp_path):
     from echogrid.llm import queries
 
