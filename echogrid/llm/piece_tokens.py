@@ -20,7 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from . import common
 MARK = "▁"
 #: Where the public tokenizers lie; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes for each generation of words in a worker of digest, which runs alone; encode's default leaves room for stages beside it.
+DIGEST_CACHE = 96_000_000
 
 
 @dataclass
@@ -59,7 +61,8 @@ class Vocabulary:
             raise ValueError("a piece holds a mark inside; words can't be encoded one by one")
         if self.kind not in ("bpe", "unigram"):
             raise ValueError("kind must be bpe or unigram")
-        self.lone_lines = "\n" not in "".join(self.pieces)
+        lone_lines = "\n" not in "".join(self.pieces)
+        self.words = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if lone_lines else f"{MARK}+[^{MARK}]*")
         self.least = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
 
     def merged(self, text: str) -> tuple[list[str], str]:
@@ -178,8 +181,7 @@ class Vocabulary:
 
     def split(self, text: str) -> Iterator[str]:
         """The marked words of a text without a mark in front; a line end that no piece holds stands alone."""
-        pattern = f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if self.lone_lines else f"{MARK}+[^{MARK}]*"
-        return map(re.Match.group, re.finditer(pattern, text))
+        return map(re.Match.group, self.words.finditer(text))
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
@@ -246,20 +248,21 @@ class WordCache:
         """The ids of each list of words, as little-endian 32-bit numbers."""
         if self.held > self.most:
             self.young, self.old, self.held = {}, self.young, 0
+        # one lookup a word; only words that the young generation lacks are gathered
+        known = [list(map(self.young.get, words)) for words in rows]
+        missing = set().union(*(compress(words, [x is None for x in found]) for words, found in zip(rows, known, strict=True) if None in found))
         fresh, once = [], {}
-        for word in set().union(*rows) - self.young.keys():
+        for word in missing:
             if (found := self.old.get(word)) is None:
                 fresh.append(word)
             else:
+                once[word] = found
                 self._keep(word, found)
         fresh.sort()
         for word, found in self.model.encode_words(fresh):
             once[word] = ids = array("i", found).tobytes()
             self._keep(word, ids)
-        if not once.keys() <= self.young.keys():
-            get = lambda w: self.young.get(w) or once[w]
-            return [b"".join(map(get, words)) for words in rows]
-        return [b"".join(map(self.young.__getitem__, words)) for words in rows]
+        return [b"".join([once[w] if x is None else x for w, x in zip(words, found, strict=True)] if None in found else found) for words, found in zip(rows, known, strict=True)]
 
 
 def _marked_rows(model: Vocabulary, raw: bytes, offs: list[int], most: int) -> Iterator[tuple[int, list[list[str]]]]:
@@ -269,10 +272,14 @@ def _marked_rows(model: Vocabulary, raw: bytes, offs: list[int], most: int) -> I
     for a, b in zip(offs[:-1], offs[1:], strict=True):
         words: list[str] = []
         if b > a:
-            words = list(islice(found := model.split(MARK + raw[a:b].decode("utf-8", "replace").replace(" ", MARK)), most))
-            while len(words) == most:
-                yield len(rows), [*rows, words]
-                rows, held, words = [], 0, list(islice(found, most))
+            text = MARK + raw[a:b].decode("utf-8", "replace").replace(" ", MARK)
+            if len(text) < most:  # it has no more words than characters
+                words = model.words.findall(text)
+            else:
+                words = list(islice(found := model.split(text), most))
+                while len(words) == most:
+                    yield len(rows), [*rows, words]
+                    rows, held, words = [], 0, list(islice(found, most))
         rows.append(words)
         held += len(words)
         if held > most:
@@ -346,7 +353,10 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", text: str =
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and round_trip (the decoded text equals the text)."""
-    both = encode(docs.select("doc_id", "text"), path, decoded="decoded")
+    """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and round_trip (the decoded text equals the text).
+
+    Nothing else runs in these workers, so they keep four times the words that encode keeps by default.
+    """
+    both = encode(docs.select("doc_id", "text"), path, decoded="decoded", cache_bytes=DIGEST_CACHE)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"))

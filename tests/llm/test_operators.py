@@ -362,6 +362,22 @@ def test_pieces_equal_the_library(spark, docs, empty):
     assert piece_tokens.digest(docs).where("not round_trip").count() == 0
 
 
+def test_words_are_encoded_once(monkeypatch):
+    model = piece_tokens.Vocabulary({"a": (0, 0.0)}, [], 9)
+    fresh = Counter()
+
+    def encode_words(words):
+        fresh.update(words)
+        return ((w, [int(w)]) for w in words)
+
+    monkeypatch.setattr(model, "encode_words", encode_words)
+    cache = piece_tokens.WordCache(model, piece_tokens.DIGEST_CACHE)
+    batches = [[[str(i) for i in range(k, k + 10_000)], [], [str(k), str(k)]] for k in range(0, 200_000, 10_000)]
+    for rows in [*batches, *batches]:
+        assert cache.ids_of(rows) == [np.array([int(w) for w in words], "<i4").tobytes() for words in rows]
+    assert set(fresh.values()) == {1}
+
+
 def test_unigram_pieces():
     r = random.Random(9)
     pieces = {p: (i, -r.random() * 5 - 1) for i, p in enumerate(["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca", "bca", "cab"])}
